@@ -5,7 +5,8 @@ from __future__ import annotations
 from opsdesk.plans import catalog_ops  # noqa: F401  (registers queries)
 from opsdesk.plans.registry import REGISTRY, Query
 
-_OPTIONAL = ["opsdesk.plans.catalog_text", "opsdesk.plans.catalog_flow", "opsdesk.plans.catalog_stream"]
+_OPTIONAL = ["opsdesk.plans.catalog_text", "opsdesk.plans.catalog_flow",
+             "opsdesk.plans.catalog_io", "opsdesk.plans.catalog_stream"]
 
 for _mod in _OPTIONAL:
     try:
