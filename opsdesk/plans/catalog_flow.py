@@ -276,3 +276,77 @@ def _timeline(v):
     """Timeline newest first with a title-cased label."""
     from opsdesk.operators.queue import timeline
     return timeline(ST.build_timeline(v.audit_events, v.tickets))
+
+
+# ----------------------------------------------------------------------------- CL2 / CL3
+
+def _enum_case(x: str, mapping: dict) -> str:
+    return f"CASE lower({_strip_sql(x)}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items()) + " END"
+
+
+_D = LX.PREDICTION_DEFAULTS
+_LISTS = ["key_information", "missing_information", "uncertainty_flags"]
+_STRS = ["category", "subcategory", "intent", "customer_impact", "urgency_reason"]
+
+
+def _present(k: str) -> str:
+    return f"list_contains(keys, '{k}')"
+
+
+def _jstr(k: str) -> str:
+    return f"json_extract_string(j, '$.{k}')"
+
+
+NORMALIZE_SQL = f"""
+pr AS (SELECT ticket_id, raw_json AS j FROM predictions),
+good AS (SELECT ticket_id, j, json_type(j) = 'OBJECT' AS is_obj, json_keys(j) AS keys FROM pr WHERE json_valid(j)),
+g1 AS (SELECT *,
+         {_enum_case(_jstr('priority'), LX.PRIORITY_MAP)} AS m_priority,
+         {_enum_case(_jstr('severity'), LX.SEVERITY_MAP)} AS m_severity,
+         {_enum_case(_jstr('sentiment'), LX.SENTIMENT_MAP)} AS m_sentiment,
+         TRY_CAST({_jstr('confidence')} AS DOUBLE) AS m_confidence,
+         {", ".join(f"(json_type(j, '$.{k}') = 'ARRAY' AND len(list_filter(json_type(j, '$.{k}[*]'), lambda t: t <> 'VARCHAR')) = 0) AS ok_{k}" for k in _LISTS)},
+         {", ".join(f"(json_type(j, '$.{k}') = 'VARCHAR' AND length({_strip_sql(_jstr(k))}) > 0) AS ok_{k}" for k in _STRS)}
+       FROM good),
+g2 AS (SELECT *, CASE WHEN NOT is_obj THEN 'AI response is not a JSON object.'
+         {" ".join(f"WHEN {_present(k)} AND m_{k} IS NULL THEN 'AI returned an unsupported classification enum.'" for k in ("priority", "severity", "sentiment"))}
+         WHEN {_present('confidence')} AND m_confidence IS NULL THEN 'AI field confidence is not a number.'
+         {" ".join(f"WHEN {_present(k)} AND NOT coalesce(ok_{k}, FALSE) THEN 'AI field {k} must be a list of strings.'" for k in _LISTS)}
+         {" ".join(f"WHEN {_present(k)} AND NOT coalesce(ok_{k}, FALSE) THEN 'AI field {k} is missing.'" for k in _STRS)}
+         END AS error FROM g1),
+norm AS (
+  SELECT ticket_id, error IS NULL AS valid, error,
+         {", ".join(f"CASE WHEN error IS NULL THEN CASE WHEN {_present(k)} THEN {_jstr(k)} ELSE '{_D[k]}' END END AS {k}" for k in _STRS)},
+         {", ".join(f"CASE WHEN error IS NULL THEN CASE WHEN {_present(k)} THEN m_{k} ELSE '{_D[k]}' END END AS {k}" for k in ("priority", "severity", "sentiment"))},
+         CASE WHEN error IS NULL THEN CASE WHEN {_present('confidence')} THEN greatest(0.0, least(1.0, m_confidence))
+                                           ELSE {_D['confidence']} END END AS confidence,
+         {", ".join(f"CASE WHEN error IS NULL THEN CASE WHEN {_present(k)} THEN array_to_string(CAST(json_extract_string(j, '$.{k}[*]') AS VARCHAR[]), '; ') ELSE '' END END AS {k}" for k in _LISTS)}
+  FROM g2
+  UNION ALL
+  SELECT ticket_id, FALSE, 'AI response is not a JSON object.', {", ".join("NULL" for _ in _STRS)}, NULL, NULL, NULL,
+         NULL, NULL, NULL, NULL FROM pr WHERE NOT json_valid(j))"""
+
+_NORM_COLS = ["valid", "error"] + _STRS + ["priority", "severity", "sentiment", "confidence"] + _LISTS
+
+
+@query("normalize_predictions", sql=f"WITH {NORMALIZE_SQL} SELECT * FROM norm", floats=["confidence"])
+def _normalize_predictions(v):
+    """CL2: typed validation / normalisation of stored model JSON."""
+    n = CL.normalize_predictions(v.predictions)
+    return n.select("ticket_id", *[F.array_join(c, "; ").alias(c) if c in _LISTS else F.col(c) for c in _NORM_COLS])
+
+
+@query("classify_fallback", sql=f"""WITH {NORMALIZE_SQL},
+cl AS ({classify_sql('subject', 'description', 'tickets', 'id')})
+SELECT cl.id AS ticket_id,
+       CASE WHEN n.valid THEN 'model' WHEN n.valid IS NOT NULL THEN 'rules_fallback' ELSE 'rules' END AS mode,
+       CASE WHEN n.valid THEN n.category ELSE cl.category END AS category,
+       CASE WHEN n.valid THEN n.priority ELSE cl.priority END AS priority,
+       CASE WHEN n.valid THEN n.severity ELSE cl.severity END AS severity,
+       CASE WHEN n.valid THEN n.sentiment ELSE cl.sentiment END AS sentiment,
+       CASE WHEN n.valid THEN n.confidence ELSE cl.confidence END AS confidence
+FROM cl LEFT JOIN norm n ON n.ticket_id = cl.id""", floats=["confidence"])
+def _classify_fallback(v):
+    """CL3: valid model prediction, else rules (with the fallback mode tag)."""
+    return CL.with_fallback(v.tickets, v.predictions).select(
+        "ticket_id", "mode", "category", "priority", "severity", "sentiment", "confidence")
