@@ -86,6 +86,67 @@ def prop_k(props: str = "props") -> Column:
     return F.get_json_object(F.col(props), "$.k").cast("int")
 
 
+def tickets_from(events: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Tickets derived from events (phrase by event_id % 12, benchmark text by event_id % 40).
+    Works for batch and streaming ``events`` (stream-static join with ``benchmark``)."""
+    phrase = F.element_at(
+        F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(m).alias("message"), F.lit(c).alias("category"),
+                           F.lit(se).alias("sentiment")) for _, s, m, c, se in PHRASES]),
+        (F.col("event_id") % 12 + 1).cast("int"))
+    k = F.col("k")
+    ev = events.select("event_id", "ts", "user_id", prop_k().alias("k"), phrase.alias("p"))
+    bench = benchmark.select(F.col("item_id"), F.substring("text", 1, 160).alias("btext"))
+    j = ev.join(bench, (ev.event_id % 40) == bench.item_id, "inner")
+    status = (F.when(k % 20 == 0, "Escalated").when(k % 20 == 1, "Pending").when(k % 20 == 2, "In Progress")
+              .when(k % 20 == 3, "Closed").when(k % 3 == 0, "Open").otherwise("Resolved"))
+    priority = (F.when(k % 10 == 0, "Urgent").when((k % 10).isin(1, 2), "High")
+                .when((k % 10).isin(3, 4, 5), "Medium").otherwise("Low"))
+    severity = (F.when(priority == "Urgent", "Critical").when(priority == "High", "Major")
+                .when(priority == "Medium", "Moderate").otherwise("Minor"))
+    return j.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("customer_id"),
+        F.col("p.subject").alias("subject"),
+        F.concat(F.col("p.message"), F.lit(". "), F.col("btext")).alias("description"),
+        _channel(F.col("event_id")).alias("channel"),
+        status.alias("status"),
+        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("p.category")).alias("category"),
+        priority.alias("priority"),
+        severity.alias("severity"),
+        F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("p.sentiment")).alias("sentiment"),
+        F.col("ts").alias("created_at"),
+        k.alias("k"),
+    )
+
+
+def audit_from(events: DataFrame) -> DataFrame:
+    """Audit events derived from events (batch or streaming)."""
+    k = prop_k()
+    return events.select(
+        F.col("event_id").alias("id"),
+        F.when(k % 9 == 0, F.lit(None).cast("bigint")).otherwise(F.col("event_id")).alias("ticket_id"),
+        F.col("event_type"),
+        F.lit("system").alias("actor_type"),
+        F.concat(F.lit("Recorded "), F.col("event_type"), F.lit(" event.")).alias("description"),
+        F.col("ts").alias("created_at"),
+    )
+
+
+def drafts_from(tickets: DataFrame) -> DataFrame:
+    """Outbound drafts: one per ticket, a second identical one when id % 5 = 4."""
+    t = tickets.select("id", "channel", "created_at")
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 5 == 4, 2).otherwise(1)))
+    return t.select("*", copies.alias("seq")).select(
+        (F.col("id") * 10 + F.col("seq")).alias("draft_id"),
+        F.col("id").alias("ticket_id"),
+        _pick(DRAFT_TEXTS, F.col("id") % 5).alias("content"),
+        F.col("channel"),
+        F.lit("Support update").alias("subject"),
+        (F.col("id") % 6 != 0).alias("agent_approved"),
+        F.timestamp_add("HOUR", F.col("seq") + 1, F.col("created_at")).alias("created_at"),
+    )
+
+
 class Views:
     """Lazily built derived views for one scale-factor directory."""
 
@@ -99,35 +160,7 @@ class Views:
     # ------------------------------------------------------------------ core entities
     @cached_property
     def tickets(self) -> DataFrame:
-        phrase = F.element_at(
-            F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(m).alias("message"), F.lit(c).alias("category"),
-                               F.lit(se).alias("sentiment")) for _, s, m, c, se in PHRASES]),
-            (F.col("event_id") % 12 + 1).cast("int"))
-        k = F.col("k")
-        ev = self.table("events").select("event_id", "ts", "user_id", prop_k().alias("k"),
-                                         phrase.alias("p"))
-        bench = self.table("benchmark").select(F.col("item_id"), F.substring("text", 1, 160).alias("btext"))
-        j = ev.join(bench, (ev.event_id % 40) == bench.item_id, "inner")
-        status = (F.when(k % 20 == 0, "Escalated").when(k % 20 == 1, "Pending").when(k % 20 == 2, "In Progress")
-                  .when(k % 20 == 3, "Closed").when(k % 3 == 0, "Open").otherwise("Resolved"))
-        priority = (F.when(k % 10 == 0, "Urgent").when((k % 10).isin(1, 2), "High")
-                    .when((k % 10).isin(3, 4, 5), "Medium").otherwise("Low"))
-        severity = (F.when(priority == "Urgent", "Critical").when(priority == "High", "Major")
-                    .when(priority == "Medium", "Moderate").otherwise("Minor"))
-        return j.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("customer_id"),
-            F.col("p.subject").alias("subject"),
-            F.concat(F.col("p.message"), F.lit(". "), F.col("btext")).alias("description"),
-            _channel(F.col("event_id")).alias("channel"),
-            status.alias("status"),
-            F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("p.category")).alias("category"),
-            priority.alias("priority"),
-            severity.alias("severity"),
-            F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("p.sentiment")).alias("sentiment"),
-            F.col("ts").alias("created_at"),
-            k.alias("k"),
-        )
+        return tickets_from(self.table("events"), self.table("benchmark"))
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -183,15 +216,7 @@ class Views:
 
     @cached_property
     def audit_events(self) -> DataFrame:
-        k = prop_k()
-        return self.table("events").select(
-            F.col("event_id").alias("id"),
-            F.when(k % 9 == 0, F.lit(None).cast("bigint")).otherwise(F.col("event_id")).alias("ticket_id"),
-            F.col("event_type"),
-            F.lit("system").alias("actor_type"),
-            F.concat(F.lit("Recorded "), F.col("event_type"), F.lit(" event.")).alias("description"),
-            F.col("ts").alias("created_at"),
-        )
+        return audit_from(self.table("events"))
 
     # ------------------------------------------------------------------ knowledge
     @cached_property
@@ -269,17 +294,7 @@ class Views:
 
     @cached_property
     def drafts(self) -> DataFrame:
-        t = self.tickets.select("id", "channel", "created_at")
-        copies = F.explode(F.sequence(F.lit(1), F.when(F.col("id") % 5 == 4, 2).otherwise(1)))
-        return t.select("*", copies.alias("seq")).select(
-            (F.col("id") * 10 + F.col("seq")).alias("draft_id"),
-            F.col("id").alias("ticket_id"),
-            _pick(DRAFT_TEXTS, F.col("id") % 5).alias("content"),
-            F.col("channel"),
-            F.lit("Support update").alias("subject"),
-            (F.col("id") % 6 != 0).alias("agent_approved"),
-            F.timestamp_add("HOUR", F.col("seq") + 1, F.col("created_at")).alias("created_at"),
-        )
+        return drafts_from(self.tickets)
 
     @cached_property
     def predictions(self) -> DataFrame:
