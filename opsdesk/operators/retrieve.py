@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import normalize_ws, round_half_up, token_bucket, token_sign, tokenize
+from opsdesk.plans.hints import bounded, salted
 
 NO_TEXT = "The selected document does not contain readable text."
 
@@ -68,15 +69,25 @@ def vector_norms(vectors: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- RET1
-def cosine_pairs(queries_vec: DataFrame, qkeys: list[str], corpus_vec: DataFrame, ckeys: list[str]) -> DataFrame:
-    """Exact cosine of every (query, chunk) pair that shares a bucket.
-
-    Equi-join on bucket (never a cross join); the corpus side keeps its doc partitioning,
-    the query side is broadcast by Spark when its runtime size is under the threshold."""
+def cosine_pairs(queries_vec: DataFrame, qkeys: list[str], corpus_vec: DataFrame, ckeys: list[str],
+                 query_broadcast: bool | None = None, salts: int = 64) -> DataFrame:
+    """Exact cosine of every (query, chunk) pair that shares a bucket (equi-join on bucket,
+    never a cross join).
+
+    ``query_broadcast`` True: the (checked, bounded) query vectors are broadcast and the corpus
+    keeps its document partitioning — no exchange before the per-pair aggregate.  False: both
+    sides are large; the 256-value bucket key is salted so the shuffle join spreads over
+    256 × ``salts`` keys.  None: decide with an exact bounded count of the query side."""
     q = queries_vec.select(*qkeys, "bucket", F.col("v").alias("qv"), F.col("norm2").alias("qn2"))
     c = corpus_vec.select(*ckeys, "bucket", F.col("v").alias("cv"), F.col("norm2").alias("cn2"))
-    dots = c.join(q, "bucket", "inner").groupBy(*ckeys, *qkeys, "qn2", "cn2") \
-        .agg(F.sum(F.col("qv") * F.col("cv")).alias("dot"))
+    if query_broadcast is None:
+        query_broadcast = bounded(q)
+    if query_broadcast:
+        j = c.join(F.broadcast(q), "bucket", "inner")
+    else:
+        cs, qs, keys = salted(c, q, "bucket", salts, ckeys)
+        j = cs.join(qs, keys, "inner").drop("_salt")
+    dots = j.groupBy(*ckeys, *qkeys, "qn2", "cn2").agg(F.sum(F.col("qv") * F.col("cv")).alias("dot"))
     cos = F.col("dot") / F.sqrt((F.col("qn2") * F.col("cn2")).cast("double"))
     return dots.select(*qkeys, *ckeys, cos.alias("cosine"))
 
@@ -88,14 +99,20 @@ def top_k(pairs: DataFrame, group: list[str], order: list[Column], k: int, rank:
 
 
 def retrieve_cosine(queries: DataFrame, chunk_vectors: DataFrame, chunks_meta: DataFrame, k: int,
-                    qid: str = "qid", qtext: str = "text") -> DataFrame:
+                    qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 100_000) -> DataFrame:
     """RET1: top-k chunks per query by cosine; score = round(max(0, cosine), 3).
-    Ties break on (doc_id, chunk_index); blank queries get no hits."""
+    Ties break on (doc_id, chunk_index); blank queries get no hits.
+
+    The query count is checked once: within ``max_broadcast_queries`` the query vectors and
+    the ≤ k·Q hits are broadcast (the corpus is never shuffled); beyond it the bucket join
+    is salted and the hits are joined to the chunk metadata by a shuffle join."""
     q = queries.where(F.length(F.trim(F.col(qtext))) > 0)
+    small = bounded(q.select(qid), max_broadcast_queries)
     qvec = hash_embed(q, [qid], text=qtext)
-    pairs = cosine_pairs(qvec, [qid], chunk_vectors, ["doc_id", "chunk_index"])
+    pairs = cosine_pairs(qvec, [qid], chunk_vectors, ["doc_id", "chunk_index"], query_broadcast=small)
     best = top_k(pairs, [qid], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
-    return best.join(chunks_meta, ["doc_id", "chunk_index"], "inner").select(
+    hits = chunks_meta.join(F.broadcast(best) if small else best, ["doc_id", "chunk_index"], "inner")
+    return hits.select(
         qid, "rank", "doc_id", "chunk_index", "filename", "document_type", "content",
         round_half_up(F.greatest(F.lit(0.0), F.col("cosine")), 3).alias("score"))
 
@@ -142,21 +159,27 @@ def token_sets(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return s.select(*keys, F.size("_set").alias("set_size"), F.explode("_set").alias("token"))
 
 
-def jaccard_pairs(left: DataFrame, lkeys: list[str], right: DataFrame, rkeys: list[str]) -> DataFrame:
-    """|A∩B| / max(1, |A∪B|) for every pair sharing ≥ 1 token (inverted-index equi-join)."""
+def jaccard_pairs(left: DataFrame, lkeys: list[str], right: DataFrame, rkeys: list[str],
+                  left_broadcast: bool = False) -> DataFrame:
+    """|A∩B| / max(1, |A∪B|) for every pair sharing ≥ 1 token (inverted-index equi-join).
+    Frequent tokens are hot join keys: with a bounded left side it is broadcast, otherwise
+    AQE's skew-join splitting spreads the hot token partitions."""
     lt = left.select(*lkeys, F.col("set_size").alias("ls"), "token")
     rt = right.select(*rkeys, F.col("set_size").alias("rs"), "token")
-    inter = lt.join(rt, "token", "inner").groupBy(*lkeys, *rkeys, "ls", "rs").agg(F.count(F.lit(1)).alias("inter"))
+    j = rt.join(F.broadcast(lt) if left_broadcast else lt, "token", "inner")
+    inter = j.groupBy(*lkeys, *rkeys, "ls", "rs").agg(F.count(F.lit(1)).alias("inter"))
     union = F.col("ls") + F.col("rs") - F.col("inter")
     return inter.select(*lkeys, *rkeys, "inter", (F.col("inter") / F.greatest(F.lit(1), union)).alias("jaccard"))
 
 
 def retrieve_jaccard(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
-                     qtext: str = "text") -> DataFrame:
+                     qtext: str = "text", max_broadcast_queries: int = 100_000) -> DataFrame:
     """RET2: token-set Jaccard top-k (zero scores never appear: no shared token, no pair)."""
-    q = token_sets(queries.where(F.length(F.trim(F.col(qtext))) > 0), [qid], qtext)
+    qf = queries.where(F.length(F.trim(F.col(qtext))) > 0)
+    small = bounded(qf.select(qid), max_broadcast_queries)
+    q = token_sets(qf, [qid], qtext)
     c = token_sets(chunks, ["doc_id", "chunk_index"], "content")
-    pairs = jaccard_pairs(q, [qid], c, ["doc_id", "chunk_index"])
+    pairs = jaccard_pairs(q, [qid], c, ["doc_id", "chunk_index"], left_broadcast=small)
     best = top_k(pairs, [qid], [F.col("jaccard").desc(), F.col("doc_id"), F.col("chunk_index")], k)
     return best.select(qid, "rank", "doc_id", "chunk_index",
                        round_half_up(F.col("jaccard"), 3).alias("score"))

@@ -47,7 +47,8 @@ def scored_candidates(tickets: DataFrame, cap: int = LX.SIMILAR_CANDIDATES,
     gvec = hash_embed(g, ["cand_id"], text="cand_text")
     texts = t.select("th", "text").dropDuplicates(["th"])
     tvec = hash_embed(texts, ["th"], text="text")
-    scores = cosine_pairs(tvec, ["th"], F.broadcast(gvec), ["cand_id"]) \
+    # G's ≤ cap+1 vectors are the bounded side: broadcast them, stream the distinct texts
+    scores = cosine_pairs(gvec, ["cand_id"], tvec, ["th"], query_broadcast=True) \
         .where(F.col("cosine") >= F.lit(min_score))
     in_g = g.select(F.col("cand_id").alias("ticket_id"), F.lit(True).alias("t_in_g"))
     tt = t.select("ticket_id", "th").join(in_g, "ticket_id", "left")
@@ -78,22 +79,33 @@ def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, cap: int = LX
 # ----------------------------------------------------------------------------- SIM2
 def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """SIM2: all document pairs (a < b) with token-set Jaccard ≥ ``threshold`` — exact."""
+    """SIM2: all document pairs (a < b) with token-set Jaccard ≥ ``threshold`` — exact.
+
+    1. distinct tokens per document, ordered globally by (document frequency, token);
+    2. prefix filter: only the first |A| − ⌈t·|A|⌉ + 1 tokens of each set are indexed;
+    3. length filter: t·|A| ≤ |B| ≤ |A| / t;
+    4. positional filter: with (i, j) the positions of the first shared token,
+       overlap ≤ 1 + min(|A| − i, |B| − j) must reach ⌈t / (1 + t) · (|A| + |B|)⌉;
+    5. survivors are verified with the full sets.
+    Every filter is a necessary condition, so the result equals brute force."""
+    t = float(threshold)
+    eps = 1e-9
     sets = docs.select(F.col(key).alias("d"), F.array_distinct(tokenize(F.col(text))).alias("toks")) \
         .where(F.size("toks") > 0)
     toks = sets.select("d", F.size("toks").alias("n"), F.explode("toks").alias("token"))
     df = toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = toks.join(df, "token", "inner") \
         .withColumn("pos", F.row_number().over(Window.partitionBy("d").orderBy("df", "token")))
-    # prefix length: n - ceil(t * n) + 1 (computed with a small epsilon guard for float error)
-    need = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
-    prefix = ranked.where(F.col("pos") <= F.col("n") - need + 1).select("d", "n", "token")
-    a = prefix.select(F.col("d").alias("a"), F.col("n").alias("na"), "token")
-    b = prefix.select(F.col("d").alias("b"), F.col("n").alias("nb"), "token")
-    # length filter: |B| >= t|A| and |A| >= t|B|
-    cand = a.join(b, "token", "inner").where(
-        (F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-        & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
+    need = F.ceil(F.col("n") * F.lit(t) - F.lit(eps))
+    prefix = ranked.where(F.col("pos") <= F.col("n") - need + 1).select("d", "n", "token", "pos")
+    a = prefix.select(F.col("d").alias("a"), F.col("n").alias("na"), "token", F.col("pos").alias("pa"))
+    b = prefix.select(F.col("d").alias("b"), F.col("n").alias("nb"), "token", F.col("pos").alias("pb"))
+    shared = a.join(b, "token", "inner").where(
+        (F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * t - eps) & (F.col("na") >= F.col("nb") * t - eps))
+    first = shared.groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("i"), F.min("pb").alias("j"))
+    alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - F.lit(eps))
+    cand = first.where(F.lit(1) + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= alpha) \
+        .select("a", "b")
     sa = sets.select(F.col("d").alias("a"), F.col("toks").alias("ta"))
     sb = sets.select(F.col("d").alias("b"), F.col("toks").alias("tb"))
     v = cand.join(sa, "a", "inner").join(sb, "b", "inner")
@@ -102,7 +114,7 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
     scored = v.select("a", "b", inter.cast("bigint").alias("inter"), union.cast("bigint").alias("union_size"))
     jac = F.col("inter") / F.greatest(F.lit(1), F.col("union_size"))
     return scored.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "inter", "union_size",
-                         jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(threshold))
+                         jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(t))
 
 
 def near_duplicates_brute(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE) -> DataFrame:
