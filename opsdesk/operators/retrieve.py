@@ -87,7 +87,9 @@ def cosine_pairs(queries_vec: DataFrame, qkeys: list[str], corpus_vec: DataFrame
     else:
         cs, qs, keys = salted(c, q, "bucket", salts, ckeys)
         j = cs.join(qs, keys, "inner").drop("_salt")
-    dots = j.groupBy(*ckeys, *qkeys, "qn2", "cn2").agg(F.sum(F.col("qv") * F.col("cv")).alias("dot"))
+    # norms are functionally dependent on the keys: carry them as aggregates, not grouping keys
+    dots = j.groupBy(*ckeys, *qkeys).agg(F.sum(F.col("qv") * F.col("cv")).alias("dot"),
+                                         F.max("qn2").alias("qn2"), F.max("cn2").alias("cn2"))
     cos = F.col("dot") / F.sqrt((F.col("qn2") * F.col("cn2")).cast("double"))
     return dots.select(*qkeys, *ckeys, cos.alias("cosine"))
 
@@ -190,11 +192,12 @@ def index_documents(docs: DataFrame, as_of, size: int = LX.CHUNK_SIZE, overlap:
     """IDX1: chunk + embed + register.  Returns ``documents`` (registry with status and
     chunk count; empty texts rejected with an error), ``chunks`` and ``vectors``."""
     d = by_document(docs)
-    chunks = chunk_documents(d, size=size, overlap=overlap)
+    chunks = chunk_documents(d, size=size, overlap=overlap, keep=["filename", "document_type"])
     vectors = hash_embed(chunks, ["doc_id", "chunk_index"])
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     stamp = F.lit(as_of).cast("timestamp_ntz")
-    reg = d.select("doc_id", "filename", "document_type").join(counts, "doc_id", "left")
+    # both sides keep the doc_id partitioning: the merge join needs no further exchange
+    reg = d.select("doc_id", "filename", "document_type").join(counts.hint("merge"), "doc_id", "left")
     n = F.coalesce(F.col("chunk_count"), F.lit(0)).cast("bigint")
     documents = reg.select(
         "doc_id", "filename", "document_type",

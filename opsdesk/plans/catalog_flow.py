@@ -350,3 +350,16 @@ def _classify_fallback(v):
     """CL3: valid model prediction, else rules (with the fallback mode tag)."""
     return CL.with_fallback(v.tickets, v.predictions).select(
         "ticket_id", "mode", "category", "priority", "severity", "sentiment", "confidence")
+
+
+@query("similarity_counts", sql=f"""WITH {ENRICH_CTES}
+SELECT (SELECT count(*) FROM top8) AS similar_count,
+       (SELECT count(*) FROM top8 WHERE match_type = 'probable_duplicate') AS duplicate_count,
+       (SELECT count_if(escalation_required) FROM enr) AS escalations""")
+def _similarity_counts(v):
+    """Similar / duplicate match counts and escalation recommendations of the enrichment."""
+    from opsdesk.operators.metrics import similarity_counts
+    from opsdesk.operators.similar import similar_tickets
+    e = enriched(v)
+    matches = similar_tickets(v.tickets)["similar"]
+    return similarity_counts(matches, e.select("escalation_required"))

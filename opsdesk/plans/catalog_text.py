@@ -44,8 +44,11 @@ FROM (SELECT doc_id, t, unnest(CASE WHEN length(t) > 0
 CVEC_SQL = vectors_sql("chunks", "doc_id, chunk_index", "content")
 
 
-def chunks_of(v):
-    return R.chunk_documents(R.by_document(v.knowledge))
+def chunks_of(v, meta: bool = False):
+    """Chunks of every knowledge document; with ``meta`` the file name and type travel with
+    each chunk (no later join against the document table)."""
+    keep = ["filename", "document_type"] if meta else []
+    return R.chunk_documents(R.by_document(v.knowledge), keep=keep)
 
 
 def chunk_vectors(v, chunks=None):
@@ -63,7 +66,7 @@ def _normalize_text(v):
 @query("chunk_documents", sql=f"SELECT * FROM ({CHUNKS_SQL})")
 def _chunk_documents(v):
     """TX2: 850-char windows with 120 overlap over every knowledge document."""
-    return chunks_of(v)
+    return chunks_of(v).select("doc_id", "chunk_index", "content")
 
 
 @query("tokenize", sql=f"""
@@ -101,8 +104,10 @@ SELECT c.doc_id, c.chunk_index, k.filename, k.document_type, CAST(length(c.conte
 FROM chunks c JOIN knowledge k ON k.doc_id = c.doc_id""")
 def _chunk_list(v):
     """Chunks ⋈ documents."""
-    c = chunks_of(v)
-    return c.join(v.knowledge.select("doc_id", "filename", "document_type"), "doc_id", "inner").select(
+    c = chunks_of(v, meta=False)
+    # chunks are hash-partitioned by doc_id already: a merge join shuffles only the document side
+    meta = v.knowledge.select("doc_id", "filename", "document_type").hint("merge")
+    return c.join(meta, "doc_id", "inner").select(
         "doc_id", "chunk_index", "filename", "document_type", F.length("content").cast("bigint").alias("chunk_chars"))
 
 
@@ -122,8 +127,11 @@ FROM best b JOIN chunks ch ON ch.doc_id = b.doc_id AND ch.chunk_index = b.chunk_
 JOIN knowledge k ON k.doc_id = b.doc_id"""
 
 
-def _chunks_meta(v, chunks):
-    return chunks.join(v.knowledge.select("doc_id", "filename", "document_type"), "doc_id", "inner")
+def _chunks_meta(v, chunks=None):
+    """Chunks with their document's file name and type, for looking up the ≤ k·Q hits.
+    Chunking is per row, so this side needs no doc partitioning: it is a narrow scan that
+    the broadcast hits filter (no shuffle)."""
+    return R.chunk_documents(v.knowledge, keep=["filename", "document_type"])
 
 
 @query("retrieve_cosine", sql=_retrieve_sql(K_SEARCH), floats=["score"])
@@ -328,3 +336,15 @@ FROM h JOIN g USING (dup_key)""")
 def _exact_duplicates(v):
     """SIM3: exact duplicates by hash of the normalised text."""
     return SIM.exact_duplicates(v.table("documents"))
+
+
+@query("doc_inventory", sql=f"""
+WITH chunks AS ({CHUNKS_SQL})
+SELECT k.doc_id, k.filename, k.document_type, k.uploaded_at, CAST(count(c.chunk_index) AS BIGINT) AS chunk_count,
+       CAST(coalesce(k.indexed_at, k.uploaded_at) AS DATE) AS last_update
+FROM knowledge k LEFT JOIN chunks c ON c.doc_id = k.doc_id
+GROUP BY k.doc_id, k.filename, k.document_type, k.uploaded_at, k.indexed_at""")
+def _doc_inventory(v):
+    """A24 + S8: documents with chunk counts and last update, newest upload first."""
+    from opsdesk.operators.metrics import doc_inventory
+    return doc_inventory(v.knowledge, chunks_of(v))
