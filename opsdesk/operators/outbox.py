@@ -80,14 +80,14 @@ def check_deliverable(outbox: DataFrame, email_provider: str = "demo", sms_provi
     email_err = F.when(is_blank(rec), F.lit("SMTP host, sender, username, password, or customer email is incomplete.")) \
         .when(~rec.rlike("^(?:" + LX.EMAIL_PATTERN + ")\\z"),
               F.lit("A valid customer email address is required for SMTP delivery."))
-    sms_err = F.when(is_blank(rec), F.lit("Twilio settings or customer phone are incomplete.")) \
+    sms_err = F.when(is_blank(rec), F.lit("SMS gateway settings or customer phone are incomplete.")) \
         .when(~rec.rlike("^(?:" + LX.PHONE_PATTERN + ")\\z"),
               F.lit("A customer phone number in E.164 format is required for SMS.")) \
         .when(F.length(F.col("content")) > LX.SMS_MAX_CHARS,
               F.lit("SMS message exceeds the provider's 1,600-character limit."))
     err = F.when(is_demo, F.lit(None).cast("string")) \
         .when((ch == "Email") & (provider == "smtp"), email_err) \
-        .when((ch == "SMS") & (provider == "twilio"), sms_err) \
+        .when((ch == "SMS") & (provider == "sms_gateway"), sms_err) \
         .otherwise(F.lit("The configured communication provider is not supported for this channel."))
     return outbox.select(
         "draft_id", "ticket_id", "channel", "recipient", "idempotency_key",

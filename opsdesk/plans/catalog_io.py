@@ -270,14 +270,14 @@ def _outbox_dedupe(v):
 
 _DELIVER_SQL = f"""
 dl AS (SELECT draft_id, ticket_id, channel, recipient, idempotency_key, content,
-              CASE WHEN channel = 'Email' THEN 'smtp' ELSE 'twilio' END AS provider,
+              CASE WHEN channel = 'Email' THEN 'smtp' ELSE 'sms_gateway' END AS provider,
               substr(subject, 1, {LX.SUBJECT_MAX_CHARS}) AS subject,
               CASE WHEN channel = 'Email' THEN
                      CASE WHEN {_blank('recipient')} THEN 'SMTP host, sender, username, password, or customer email is incomplete.'
                           WHEN NOT regexp_full_match(recipient, '{LX.EMAIL_PATTERN}')
                           THEN 'A valid customer email address is required for SMTP delivery.' END
                    WHEN channel = 'SMS' THEN
-                     CASE WHEN {_blank('recipient')} THEN 'Twilio settings or customer phone are incomplete.'
+                     CASE WHEN {_blank('recipient')} THEN 'SMS gateway settings or customer phone are incomplete.'
                           WHEN NOT regexp_full_match(recipient, '{LX.PHONE_PATTERN.replace(chr(92) + 'd', '[0-9]')}')
                           THEN 'A customer phone number in E.164 format is required for SMS.'
                           WHEN length(content) > {LX.SMS_MAX_CHARS}
@@ -288,7 +288,7 @@ dl AS (SELECT draft_id, ticket_id, channel, recipient, idempotency_key, content,
 
 def deliverable(v):
     acc = outbox(v).where(F.col("status") == "accepted")
-    return OB.check_deliverable(acc, email_provider="smtp", sms_provider="twilio")
+    return OB.check_deliverable(acc, email_provider="smtp", sms_provider="sms_gateway")
 
 
 @query("deliverable", sql=f"""WITH {OUTBOX_SQL}, {_DELIVER_SQL}
