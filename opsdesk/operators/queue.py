@@ -185,12 +185,34 @@ def customer_recent(tickets: DataFrame, n: int = 5) -> DataFrame:
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def running_number(df: DataFrame, key: str, order: list[Column], name: str = "n",
+                   partitions: int | None = None) -> DataFrame:
+    """Exact 1..n numbering of each ``key``'s rows in ``order`` without putting a key's rows
+    into one task (a single key may hold a large share of all rows).
+
+    1. range-partition by (key, order): a hot key is split over several ranges;
+    2. the range id is fixed by a reliable checkpoint (shared checkpoint folder) so both
+       branches below see the same assignment, also after an executor loss;
+    3. local number within (range, key) — groups are at most one range;
+    4. offset = rows of the same key in earlier ranges (a running sum over ≤ #ranges rows)."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, F.col(key), *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_range", key).orderBy(*order)))
+    counts = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    return local.join(offsets.drop("_cnt"), [key, "_range"], "inner") \
+        .withColumn(name, F.col("_offset") + F.col("_local")).drop("_range", "_local", "_offset")
+
+
 def sentiment_sequence(tickets: DataFrame) -> DataFrame:
     """Running number per customer over tickets with a sentiment, in S1 order (not by time)."""
-    w = Window.partitionBy("customer_id").orderBy(*ticket_order())
-    return tickets.where(F.col("sentiment").isNotNull()) \
-        .withColumn("ticket_number", F.row_number().over(w)) \
-        .select("customer_id", F.col("id").alias("ticket_id"), "sentiment", "ticket_number")
+    t = tickets.where(F.col("sentiment").isNotNull()).select("customer_id", "id", "sentiment", "priority",
+                                                               "created_at")
+    numbered = running_number(t, "customer_id", ticket_order(), "ticket_number")
+    return numbered.select("customer_id", F.col("id").alias("ticket_id"), "sentiment",
+                           F.col("ticket_number").cast("int").alias("ticket_number"))
 
 
 def feedback_recent(feedback: DataFrame, n: int = 40) -> DataFrame:

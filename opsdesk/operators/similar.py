@@ -79,19 +79,27 @@ def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, cap: int = LX
 # ----------------------------------------------------------------------------- SIM2
 def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """SIM2: all document pairs (a < b) with token-set Jaccard ≥ ``threshold`` — exact.
+    """SIM2: near-duplicate pairs by token-set Jaccard ≥ ``threshold`` — exact, and safe when
+    a large share of the corpus consists of copies.
 
-    1. distinct tokens per document, ordered globally by (document frequency, token);
+    0. documents with the *same* token set are collapsed first (group by a hash of the sorted
+       set; representative = lowest id, ``copies`` = group size) — a group of copies never
+       produces pairs among itself;
+    1. distinct tokens ordered globally by (document frequency, token);
     2. prefix filter: only the first |A| − ⌈t·|A|⌉ + 1 tokens of each set are indexed;
     3. length filter: t·|A| ≤ |B| ≤ |A| / t;
     4. positional filter: with (i, j) the positions of the first shared token,
        overlap ≤ 1 + min(|A| − i, |B| − j) must reach ⌈t / (1 + t) · (|A| + |B|)⌉;
     5. survivors are verified with the full sets.
-    Every filter is a necessary condition, so the result equals brute force."""
+    Output: one row per pair of distinct sets (their representatives) with both copy counts —
+    lossless: every near-duplicate document pair is either inside one copy group (Jaccard 1)
+    or maps to exactly one row.  Every filter is a necessary condition (= brute force)."""
     t = float(threshold)
     eps = 1e-9
-    sets = docs.select(F.col(key).alias("d"), F.array_distinct(tokenize(F.col(text))).alias("toks")) \
-        .where(F.size("toks") > 0)
+    per_doc = docs.select(F.col(key).alias("doc"), F.array_sort(F.array_distinct(tokenize(F.col(text)))).alias("toks")) \
+        .where(F.size("toks") > 0).withColumn("set_key", F.sha2(F.array_join("toks", " "), 256))
+    sets = per_doc.groupBy("set_key").agg(F.min("doc").alias("d"), F.count(F.lit(1)).alias("copies"),
+                                          F.first("toks").alias("toks")).drop("set_key")
     toks = sets.select("d", F.size("toks").alias("n"), F.explode("toks").alias("token"))
     df = toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = toks.join(df, "token", "inner") \
@@ -106,15 +114,16 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
     alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - F.lit(eps))
     cand = first.where(F.lit(1) + F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= alpha) \
         .select("a", "b")
-    sa = sets.select(F.col("d").alias("a"), F.col("toks").alias("ta"))
-    sb = sets.select(F.col("d").alias("b"), F.col("toks").alias("tb"))
+    sa = sets.select(F.col("d").alias("a"), F.col("toks").alias("ta"), F.col("copies").alias("copies_a"))
+    sb = sets.select(F.col("d").alias("b"), F.col("toks").alias("tb"), F.col("copies").alias("copies_b"))
     v = cand.join(sa, "a", "inner").join(sb, "b", "inner")
     inter = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - inter
-    scored = v.select("a", "b", inter.cast("bigint").alias("inter"), union.cast("bigint").alias("union_size"))
+    scored = v.select("a", "b", "copies_a", "copies_b", inter.cast("bigint").alias("inter"),
+                      union.cast("bigint").alias("union_size"))
     jac = F.col("inter") / F.greatest(F.lit(1), F.col("union_size"))
     return scored.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "inter", "union_size",
-                         jac.alias("jaccard")).where(F.col("jaccard") >= F.lit(t))
+                         jac.alias("jaccard"), "copies_a", "copies_b").where(F.col("jaccard") >= F.lit(t))
 
 
 def near_duplicates_brute(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE) -> DataFrame:

@@ -317,11 +317,13 @@ def _replace_similarity(v):
 
 
 @query("near_duplicates", sql=f"""
-WITH s AS (SELECT doc_id AS d, list_distinct(regexp_extract_all(lower(text), '{P}')) AS toks FROM documents),
-t AS (SELECT d, len(toks) AS n, unnest(toks) AS token FROM s),
-c AS (SELECT a.d AS doc_a, b.d AS doc_b, count(*) AS inter, a.n AS na, b.n AS nb
-      FROM t a JOIN t b ON a.token = b.token AND a.d < b.d GROUP BY a.d, b.d, a.n, b.n)
-SELECT doc_a, doc_b, inter, na + nb - inter AS union_size, inter / (na + nb - inter) AS jaccard
+WITH s AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '{P}'))) AS toks FROM documents),
+g AS (SELECT toks, min(doc_id) AS d, count(*) AS copies FROM s WHERE len(toks) > 0 GROUP BY toks),
+t AS (SELECT d, len(toks) AS n, copies, unnest(toks) AS token FROM g),
+c AS (SELECT a.d AS doc_a, b.d AS doc_b, count(*) AS inter, a.n AS na, b.n AS nb, a.copies AS copies_a,
+             b.copies AS copies_b
+      FROM t a JOIN t b ON a.token = b.token AND a.d < b.d GROUP BY a.d, b.d, a.n, b.n, a.copies, b.copies)
+SELECT doc_a, doc_b, inter, na + nb - inter AS union_size, inter / (na + nb - inter) AS jaccard, copies_a, copies_b
 FROM c WHERE inter / (na + nb - inter) >= {LX.DUPLICATE_MIN_SCORE}""", floats=["jaccard"])
 def _near_duplicates(v):
     """SIM2: exact corpus-wide near-duplicate pairs (prefix-filtered inverted index)."""

@@ -47,17 +47,28 @@ def test_similar_tickets_equals_brute_force(views):
 
 def test_near_duplicates_equals_brute_force(views):
     docs = views.table("documents")
-    fast = {(r.doc_a, r.doc_b, r.inter) for r in SIM.near_duplicates(docs).collect()}
-    sets = {r.doc_id: set(TOK.findall(r.text.lower())) for r in docs.collect()}
-    ids = sorted(sets)
+    fast = {(r.doc_a, r.doc_b, r.inter, r.copies_a, r.copies_b) for r in SIM.near_duplicates(docs).collect()}
+    per_doc = {r.doc_id: frozenset(TOK.findall(r.text.lower())) for r in docs.collect()}
+    groups = {}
+    for d, st in per_doc.items():
+        if st:
+            groups.setdefault(st, []).append(d)
+    reps = sorted((min(ds), st, len(ds)) for st, ds in groups.items())
     brute = set()
-    for i, a in enumerate(ids):
-        for b in ids[i + 1:]:
-            inter = len(sets[a] & sets[b])
-            union = len(sets[a] | sets[b])
-            if union and inter / union >= 0.72:
-                brute.add((a, b, inter))
+    for i, (a, sa, ca) in enumerate(reps):
+        for b, sb, cb in reps[i + 1:]:
+            inter, union = len(sa & sb), len(sa | sb)
+            if inter / union >= 0.72:
+                brute.add((a, b, inter, ca, cb))
     assert fast == brute and len(brute) > 0
+    # lossless: every document pair above the threshold is a copy pair or a representative pair
+    rep_of = {d: min(ds) for ds in groups.values() for d in ds}
+    ids = sorted(d for d in per_doc if per_doc[d])
+    for i, x in enumerate(ids[:60]):
+        for y in ids[i + 1:]:
+            sx, sy = per_doc[x], per_doc[y]
+            if len(sx & sy) / len(sx | sy) >= 0.72 and rep_of[x] != rep_of[y]:
+                assert (min(rep_of[x], rep_of[y]), max(rep_of[x], rep_of[y])) in {(f[0], f[1]) for f in fast}
 
 
 def test_exact_duplicates_groups(views):
