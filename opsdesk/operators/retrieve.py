@@ -100,22 +100,110 @@ def top_k(pairs: DataFrame, group: list[str], order: list[Column], k: int, rank:
     return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def retrieve_cosine(queries: DataFrame, chunk_vectors: DataFrame, chunks_meta: DataFrame, k: int,
+def sparse_arrays(rows: DataFrame, keys: list[str], text: str = "content", dims: int = LX.HASH_DIMS) -> DataFrame:
+    """TX4 in array form: (keys…, b array<int>, v array<bigint>) — ≤ ``dims`` entries per row,
+    sorted by bucket.  Keyed by the row key, so doc-partitioned input needs no exchange."""
+    tok = rows.select(*keys, F.explode(tokenize(F.col(text))).alias("tok"))
+    entries = tok.groupBy(*keys, token_bucket(F.col("tok"), dims).alias("bucket")) \
+        .agg(F.sum(token_sign(F.col("tok"))).cast("bigint").alias("v")).where(F.col("v") != 0)
+    packed = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "v"))).alias("e"))
+    return packed.select(*keys, F.transform("e", lambda x: x["bucket"]).alias("b"),
+                         F.transform("e", lambda x: x["v"]).alias("v"))
+
+
+def _dense(b_lists, v_lists, dims: int):
+    import numpy as np
+    n = len(b_lists)
+    lens = np.fromiter((len(x) for x in b_lists), dtype=np.int64, count=n)
+    m = np.zeros((n, dims), dtype=np.float64)
+    if lens.sum():
+        rows = np.repeat(np.arange(n), lens)
+        m[rows, np.concatenate(b_lists).astype(np.int64)] = np.concatenate(v_lists).astype(np.float64)
+    return m
+
+
+def _score_batches(bc, k: int, dims: int):
+    """mapInPandas body: exact cosine of a batch of chunks against the broadcast queries and
+    the batch-local top-k per query (ties: doc_id, chunk_index).  Only pairs sharing a bucket
+    are candidates, as in the bucket equi-join."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        qids, qmat, qn2 = bc.value
+        qnz = (qmat != 0).astype(np.float32)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            c = _dense(pdf["b"].tolist(), pdf["v"].tolist(), dims)
+            cn2 = (c * c).sum(axis=1).astype(np.int64)
+            dots = c @ qmat                                   # exact: integer sums < 2**53
+            shared = ((c != 0).astype(np.float32) @ qnz) > 0
+            cos = dots / np.sqrt((cn2[:, None] * qn2[None, :]).astype(np.float64))
+            doc = pdf["doc_id"].to_numpy()
+            chunk = pdf["chunk_index"].to_numpy()
+            out_q, out_d, out_c, out_s = [], [], [], []
+            for j in range(len(qids)):
+                idx = np.flatnonzero(shared[:, j])
+                if idx.size == 0:
+                    continue
+                sc = cos[idx, j]
+                if idx.size > k:
+                    kth = np.partition(sc, idx.size - k)[idx.size - k]
+                    keep = sc >= kth
+                    idx, sc = idx[keep], sc[keep]
+                order = np.lexsort((chunk[idx], doc[idx], -sc))[:k]
+                sel = idx[order]
+                out_q.append(np.full(sel.size, qids[j], dtype=qids.dtype))
+                out_d.append(doc[sel])
+                out_c.append(chunk[sel])
+                out_s.append(cos[sel, j])
+            if out_q:
+                yield pd.DataFrame({"qid": np.concatenate(out_q), "doc_id": np.concatenate(out_d).astype(np.int64),
+                                    "chunk_index": np.concatenate(out_c).astype(np.int32),
+                                    "cosine": np.concatenate(out_s)})
+    return run
+
+
+def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims: int = LX.HASH_DIMS) -> DataFrame:
+    """Top-k chunks per query for a *bounded* (already checked) query set: the query matrix
+    is broadcast, every corpus partition is scored batch-wise with one matrix product and
+    emits ≤ k rows per query; the global top-k is the partial/final group limit."""
+    import numpy as np
+
+    spark = corpus_arrays.sparkSession
+    qtype = query_arrays.schema["qid"].dataType.simpleString()
+    q = query_arrays.select("qid", "b", "v").collect()  # bounded: the caller checked the query count
+    qids = np.array([r.qid for r in q], dtype=object if qtype == "string" else np.int64)
+    qmat = _dense([r.b for r in q], [r.v for r in q], dims).T.copy() if q else np.zeros((dims, 0))
+    qn2 = (qmat * qmat).sum(axis=0).astype(np.int64)
+    bc = spark.sparkContext.broadcast((qids, qmat, qn2))
+    schema = f"qid {qtype}, doc_id bigint, chunk_index int, cosine double"
+    local = corpus_arrays.select("doc_id", "chunk_index", "b", "v").mapInPandas(_score_batches(bc, k, dims), schema)
+    return top_k(local, ["qid"], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
+
+
+def retrieve_cosine(queries: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int,
                     qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 100_000) -> DataFrame:
     """RET1: top-k chunks per query by cosine; score = round(max(0, cosine), 3).
     Ties break on (doc_id, chunk_index); blank queries get no hits.
 
-    The query count is checked once: within ``max_broadcast_queries`` the query vectors and
-    the ≤ k·Q hits are broadcast (the corpus is never shuffled); beyond it the bucket join
-    is salted and the hits are joined to the chunk metadata by a shuffle join."""
-    q = queries.where(F.length(F.trim(F.col(qtext))) > 0)
-    small = bounded(q.select(qid), max_broadcast_queries)
-    qvec = hash_embed(q, [qid], text=qtext)
-    pairs = cosine_pairs(qvec, [qid], chunk_vectors, ["doc_id", "chunk_index"], query_broadcast=small)
-    best = top_k(pairs, [qid], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
+    ``chunks`` (doc-partitioned chunk rows) are hashed here.  The query count is checked
+    once: within ``max_broadcast_queries`` the query matrix is broadcast and each corpus
+    partition is scored by a vectorised kernel (``dense_top_k``); beyond it the bucket
+    equi-join is salted.  Both give identical scores."""
+    q = queries.where(F.length(F.trim(F.col(qtext))) > 0).select(F.col(qid).alias("qid"), F.col(qtext).alias("text"))
+    small = bounded(q.select("qid"), max_broadcast_queries)
+    if small:
+        best = dense_top_k(sparse_arrays(chunks, ["doc_id", "chunk_index"]), sparse_arrays(q, ["qid"], "text"), k)
+    else:
+        qvec = hash_embed(q, ["qid"], text="text")
+        cvec = hash_embed(chunks, ["doc_id", "chunk_index"])
+        pairs = cosine_pairs(qvec, ["qid"], cvec, ["doc_id", "chunk_index"], query_broadcast=False)
+        best = top_k(pairs, ["qid"], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
     hits = chunks_meta.join(F.broadcast(best) if small else best, ["doc_id", "chunk_index"], "inner")
     return hits.select(
-        qid, "rank", "doc_id", "chunk_index", "filename", "document_type", "content",
+        F.col("qid").alias(qid), "rank", "doc_id", "chunk_index", "filename", "document_type", "content",
         round_half_up(F.greatest(F.lit(0.0), F.col("cosine")), 3).alias("score"))
 
 

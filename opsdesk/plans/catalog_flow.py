@@ -100,9 +100,7 @@ ESC_REASON_SQL = (f"CASE WHEN escalation_required THEN {sql_text(LX.ESCALATE_REA
 
 
 def enriched(v):
-    chunks = chunks_of(v)
-    return WF.enrich_tickets(v.tickets, v.customers, chunk_vectors(v, chunks), _chunks_meta(v, chunks),
-                             v.ticket_sla, AS_OF)
+    return WF.enrich_tickets(v.tickets, v.customers, chunks_of(v), _chunks_meta(v), v.ticket_sla, AS_OF)
 
 
 def enrich_flat(e):

@@ -409,8 +409,7 @@ FROM qs JOIN tt ON tt.ticket_id = qs.ticket_id LEFT JOIN ev ON ev.th = tt.th LEF
 def _copilot_context(v):
     """CL14 + W7: copilot context pack for every ticket with a conversation."""
     questions = v.messages.select(F.col("ticket_id").alias("question_id"), "ticket_id").distinct()
-    chunks = chunks_of(v)
-    return WF.answer_context(questions, v.tickets, v.messages, chunk_vectors(v, chunks), _chunks_meta(v, chunks))
+    return WF.answer_context(questions, v.tickets, v.messages, chunks_of(v), _chunks_meta(v))
 
 
 # ----------------------------------------------------------------------------- sources / sinks

@@ -27,23 +27,23 @@ def text_hash(subject: str = "subject", description: str = "description"):
     return F.sha2(SIM.ticket_text(subject, description), 256)
 
 
-def evidence_by_text(tickets: DataFrame, chunk_vectors: DataFrame, chunks_meta: DataFrame, k: int) -> DataFrame:
+def evidence_by_text(tickets: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int) -> DataFrame:
     """Top-k evidence per distinct ticket text as an array ordered by rank (≤ k entries)."""
     texts = tickets.select(text_hash().alias("qid"), SIM.ticket_text().alias("text")).dropDuplicates(["qid"])
-    hits = R.retrieve_cosine(texts, chunk_vectors, chunks_meta, k)
+    hits = R.retrieve_cosine(texts, chunks, chunks_meta, k)
     return hits.groupBy(F.col("qid").alias("th")).agg(F.array_sort(F.collect_list(F.struct(
         "rank", "content", F.col("filename").alias("source"), "document_type", "score", "chunk_index")))
         .alias("evidence"))
 
 
-def enrich_tickets(tickets: DataFrame, customers: DataFrame, chunk_vectors: DataFrame, chunks_meta: DataFrame,
+def enrich_tickets(tickets: DataFrame, customers: DataFrame, chunks: DataFrame, chunks_meta: DataFrame,
                    ticket_sla: DataFrame, as_of, predictions: DataFrame | None = None,
                    k: int = LX.K_WORKFLOW, materialize: str | None = None) -> DataFrame:
     """CL12: one enriched row per ticket."""
     a = CL.with_fallback(tickets, predictions)
     base = tickets.select(F.col("id").alias("ticket_id"), "customer_id", "channel", "subject", "description",
                           text_hash().alias("th"))
-    ev = evidence_by_text(tickets, chunk_vectors, chunks_meta, k)
+    ev = evidence_by_text(tickets, chunks, chunks_meta, k)
     sim = SIM.similar_tickets(tickets)
     sim_counts = sim["similar"].groupBy("ticket_id").agg(F.count(F.lit(1)).alias("similar_count"))
     dup_counts = sim["duplicates"].groupBy("ticket_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
@@ -151,7 +151,7 @@ def split_outputs(enriched: DataFrame, history: DataFrame | None, as_of) -> dict
             "routing": routing, "quality": quality, "audit": audit}
 
 
-def answer_context(questions: DataFrame, tickets: DataFrame, history: DataFrame, chunk_vectors: DataFrame,
+def answer_context(questions: DataFrame, tickets: DataFrame, history: DataFrame, chunks: DataFrame,
                    chunks_meta: DataFrame, k: int = LX.K_COPILOT, history_n: int = 8) -> DataFrame:
     """CL14: copilot context pack per question — ticket, top-k evidence for the ticket text,
     last ``history_n`` messages (oldest first) — and the rule answer text.  The model call
@@ -161,7 +161,7 @@ def answer_context(questions: DataFrame, tickets: DataFrame, history: DataFrame,
     t = tickets.select(F.col("id").alias("ticket_id"), "subject", "description", text_hash().alias("th"))
     q = questions.join(t, "ticket_id", "inner")
     ev = evidence_by_text(tickets.join(questions.select(F.col("ticket_id").alias("id")).distinct(), "id",
-                                       "left_semi"), chunk_vectors, chunks_meta, k)
+                                       "left_semi"), chunks, chunks_meta, k)
     hist = last_n(history, "ticket_id", [F.col("created_at").desc(), F.col("id").desc()], history_n, "back") \
         .groupBy("ticket_id").agg(F.count(F.lit(1)).alias("history_count"))
     j = q.join(ev, "th", "left").join(hist, "ticket_id", "left")
