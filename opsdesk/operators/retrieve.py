@@ -106,7 +106,7 @@ def sparse_arrays(rows: DataFrame, keys: list[str], text: str = "content", dims:
     tok = rows.select(*keys, F.explode(tokenize(F.col(text))).alias("tok"))
     entries = tok.groupBy(*keys, token_bucket(F.col("tok"), dims).alias("bucket")) \
         .agg(F.sum(token_sign(F.col("tok"))).cast("bigint").alias("v")).where(F.col("v") != 0)
-    packed = entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bucket", "v"))).alias("e"))
+    packed = entries.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bucket", "v"))).alias("e"))
     return packed.select(*keys, F.transform("e", lambda x: x["bucket"]).alias("b"),
                          F.transform("e", lambda x: x["v"]).alias("v"))
 
@@ -212,7 +212,7 @@ def class_centroids(vectors: DataFrame, label: str = "label", emb: str = "embedd
     e = vectors.select(F.col(label).alias("qid"), F.posexplode(emb).alias("i", "x"))
     per_dim = e.groupBy("qid", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return per_dim.groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
 
 
 def retrieve_dense(queries: DataFrame, vectors: DataFrame, k: int, vid: str = "vec_id", emb: str = "embedding",
