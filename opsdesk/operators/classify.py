@@ -33,46 +33,73 @@ ANALYSIS_FIELDS = ["category", "subcategory", "intent", "priority", "severity",
                    "key_information", "missing_information", "urgency_reason", "confidence", "uncertainty_flags"]
 
 
-def rule_analysis(subject: Column, message: Column, lex: Lexicon = DEFAULT_LEXICON) -> Column:
-    """CL1 as one struct Column with the analysis fields."""
-    text = F.lower(F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(message, F.lit(""))))
-    category = F.lit(lex.default_category[0])
-    intent = F.lit(lex.default_category[1])
-    for cat, itt, words in reversed(lex.category_rules):
-        hit = contains_any(text, words)
-        category = F.when(hit, F.lit(cat)).otherwise(category)
-        intent = F.when(hit, F.lit(itt)).otherwise(intent)
-    urgent = contains_any(text, lex.urgent)
-    neg = contains_any(text, lex.negative)
-    billing = category == "Billing"
-    missing = F.filter(F.array(
-        F.when(billing & ~text.rlike(lex.amount_pattern), F.lit(LX.MISSING_AMOUNT)),
-        F.when(text.contains("payment") & ~text.contains("reference"), F.lit(LX.MISSING_REFERENCE)),
-    ), lambda x: x.isNotNull())
-    return F.struct(
-        category.alias("category"),
-        intent.alias("subcategory"),
-        intent.alias("intent"),
+def compact(*items: Column) -> Column:
+    """Array of the non-null ``items`` in order — ``concat`` of conditional singletons, which
+    stays in whole-stage codegen (a ``filter`` lambda would be interpreted)."""
+    empty = F.array().cast("array<string>")
+    return F.concat(*[F.when(i.isNotNull(), F.array(i)).otherwise(empty) for i in items])
+
+
+FIELDS = ["category", "subcategory", "intent", "priority", "severity", "sentiment", "customer_impact",
+          "key_information", "missing_information", "urgency_reason", "confidence", "uncertainty_flags"]
+
+
+def with_rule_analysis(df: DataFrame, subject: str, message: str, lex: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """CL1 as columns appended to ``df``.
+
+    Built in three projections so each intermediate is computed once per row: the lower-cased
+    text (used by every keyword test), then the category index and urgent / negative flags
+    (used by several fields), then the fields.  Catalyst keeps the projections apart because
+    each intermediate is referenced more than once."""
+    rules = list(lex.category_rules)
+    x = F.col("_x")
+    s1 = df.withColumn("_x", F.lower(F.concat(F.coalesce(F.col(subject), F.lit("")), F.lit(" "),
+                                            F.coalesce(F.col(message), F.lit("")))))
+    idx = F.lit(len(rules))
+    for i in reversed(range(len(rules))):
+        idx = F.when(contains_any(x, rules[i][2]), F.lit(i)).otherwise(idx)
+    s2 = s1.withColumn("_ci", idx).withColumn("_urgent", contains_any(x, lex.urgent)) \
+        .withColumn("_neg", contains_any(x, lex.negative)) \
+        .withColumn("_amount", x.rlike(lex.amount_pattern)) \
+        .withColumn("_payment_ref", x.contains("payment") & ~x.contains("reference"))
+    cats = F.array(*[F.lit(c) for c, _, _ in rules], F.lit(lex.default_category[0]))
+    intents = F.array(*[F.lit(i) for _, i, _ in rules], F.lit(lex.default_category[1]))
+    ci = F.col("_ci")
+    s3 = s2.withColumn("category", F.element_at(cats, ci + 1)).withColumn("intent", F.element_at(intents, ci + 1))
+    urgent, neg = F.col("_urgent"), F.col("_neg")
+    billing = F.col("category") == "Billing"
+    out = s3.select(
+        *[c for c in s3.columns if not c.startswith("_") and c not in FIELDS],
+        "category",
+        F.col("intent").alias("subcategory"),
+        "intent",
         F.when(urgent, "Urgent").when(neg & billing, "High").when(neg, "Medium").otherwise("Low").alias("priority"),
         F.when(urgent, "Critical").when(neg, "Major").otherwise("Minor").alias("severity"),
         F.when(neg, "Negative").otherwise("Neutral").alias("sentiment"),
         F.when(neg, LX.IMPACT_NEGATIVE).otherwise(LX.IMPACT_NEUTRAL).alias("customer_impact"),
-        F.array(F.coalesce(subject, F.lit("")), F.coalesce(message, F.lit(""))).alias("key_information"),
-        missing.alias("missing_information"),
+        F.array(F.coalesce(F.col(subject), F.lit("")), F.coalesce(F.col(message), F.lit(""))).alias("key_information"),
+        compact(F.when(billing & ~F.col("_amount"), F.lit(LX.MISSING_AMOUNT)),
+                F.when(F.col("_payment_ref"), F.lit(LX.MISSING_REFERENCE))).alias("missing_information"),
         F.when(urgent, LX.REASON_URGENT).when(neg, LX.REASON_NEGATIVE).otherwise(LX.REASON_NONE)
          .alias("urgency_reason"),
-        F.when(category != LX.DEFAULT_CATEGORY[0], F.lit(LX.CONFIDENCE_KNOWN))
+        F.when(F.col("category") != LX.DEFAULT_CATEGORY[0], F.lit(LX.CONFIDENCE_KNOWN))
          .otherwise(F.lit(LX.CONFIDENCE_GENERAL)).alias("confidence"),
         F.array(F.lit(LX.RULE_UNCERTAINTY_FLAG)).alias("uncertainty_flags"),
     )
+    return out
+
+
+def rule_analysis_struct() -> Column:
+    """The analysis columns added by ``with_rule_analysis`` as one struct."""
+    return F.struct(*[F.col(c) for c in FIELDS])
 
 
 def classify(tickets: DataFrame, subject: str = "subject", message: str = "description",
              lex: Lexicon = DEFAULT_LEXICON, keep: list[str] | None = None) -> DataFrame:
     """CL1: one analysis per input row, flattened next to the ``keep`` columns."""
     keep = keep if keep is not None else ["id"]
-    a = rule_analysis(F.col(subject), F.col(message), lex)
-    return tickets.select(*keep, a.alias("a")).select(*keep, "a.*")
+    base = tickets.select(*keep, F.col(subject).alias("_subject"), F.col(message).alias("_message"))
+    return with_rule_analysis(base, "_subject", "_message", lex).select(*keep, *FIELDS)
 
 
 def low_confidence(confidence: Column) -> Column:
@@ -142,15 +169,15 @@ def with_fallback(tickets: DataFrame, predictions: DataFrame | None, subject: st
 
     mode = ``model`` (valid prediction), ``rules_fallback`` (prediction present but rejected),
     ``rules`` (no prediction)."""
-    rules = rule_analysis(F.col(subject), F.col(message), lex)
-    base = tickets.select(F.col(id_col).alias("ticket_id"), rules.alias("r"))
+    rules = classify(tickets, subject, message, lex, keep=[id_col]) \
+        .select(F.col(id_col).alias("ticket_id"), rule_analysis_struct().alias("r"))
     if predictions is None:
-        return base.select("ticket_id", F.lit("rules").alias("mode"), F.lit(None).cast("string").alias("note"),
-                           "r.*")
+        return rules.select("ticket_id", F.lit("rules").alias("mode"), F.lit(None).cast("string").alias("note"),
+                            "r.*")
     norm = normalize_predictions(predictions)
     p = norm.select("ticket_id", "valid", "error",
                     F.struct(*[F.col(k) for k in ANALYSIS_FIELDS]).alias("m"))
-    j = base.join(p, "ticket_id", "left")
+    j = rules.join(p, "ticket_id", "left")
     chosen = F.when(F.col("valid"), F.col("m")).otherwise(F.col("r"))
     mode = F.when(F.col("valid"), "model").when(F.col("valid").isNotNull(), "rules_fallback").otherwise("rules")
     note = F.when(F.col("valid") == F.lit(False), F.concat(F.lit("Model output rejected; rules used ("),

@@ -105,19 +105,18 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
     ``knowledge_matches`` is the number of retrieval hits at k=2, i.e. min(k, corpus chunks)
     for a non-blank text (vector retrieval has no minimum score).  ``max_rows`` reproduces
     the optional batch cap (raise when exceeded); at scale it is left unset."""
-    from opsdesk.operators.classify import rule_analysis
+    from opsdesk.operators.classify import with_rule_analysis
 
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"Batch exceeds the {max_rows:,}-row limit. Split the CSV and retry.")
     subj = F.substring(py_strip(F.col("subject")), 1, LX.BULK_SUBJECT_MAX)
     desc = F.substring(py_strip(F.col("description")), 1, LX.BULK_DESCRIPTION_MAX)
-    corpus = corpus_chunks.agg(F.count(F.lit(1)).alias("_corpus"))
+    corpus = corpus_chunks.agg(F.count(F.lit(1)).alias("corpus_n"))
     r = rows.select(key, subj.alias("s"), desc.alias("d"),
                     F.substring(F.coalesce(F.col("customer").cast("string"), F.lit("")), 1, LX.BULK_CUSTOMER_MAX)
                     .alias("customer")).crossJoin(corpus)  # one-row aggregate
     ok = F.col("s").isNotNull() & F.col("d").isNotNull() & (F.length("s") > 0) & (F.length("d") > 0)
-    a = rule_analysis(F.col("s"), F.col("d"))
-    out = r.select(key, ok.alias("ok"), "s", "customer", a.alias("a"), "_corpus")
+    out = with_rule_analysis(r.withColumn("ok", ok), "s", "d")
 
     def when_ok(c):
         return F.when(F.col("ok"), c)
@@ -125,8 +124,8 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
     return out.select(
         key, F.when(F.col("ok"), F.col("s")).otherwise(F.lit(LX.BULK_FAILED_SUBJECT)).alias("subject"),
         when_ok(F.col("customer")).alias("customer"),
-        *[when_ok(F.col(f"a.{c}")).alias(c) for c in ("category", "intent", "priority", "severity", "sentiment",
-                                                      "confidence")],
-        when_ok(F.least(F.lit(k), F.col("_corpus")).cast("bigint")).alias("knowledge_matches"),
+        *[when_ok(F.col(c)).alias(c) for c in ("category", "intent", "priority", "severity", "sentiment",
+                                               "confidence")],
+        when_ok(F.least(F.lit(k), F.col("corpus_n")).cast("bigint")).alias("knowledge_matches"),
         when_ok(F.lit("rules")).alias("analysis_mode"),
         F.when(~F.col("ok"), F.lit(LX.BULK_ERR_TEXT)).alias("error"))

@@ -13,8 +13,10 @@ from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import contains_any, py_strip
 
 
-def _non_null(arr: Column) -> Column:
-    return F.filter(arr, lambda x: x.isNotNull())
+def _non_null(arr_items: list[Column]) -> Column:
+    """Non-null items in order, as a codegen-friendly concat of conditional singletons."""
+    from opsdesk.operators.classify import compact
+    return compact(*arr_items)
 
 
 def investigation(evidence_contents: Column) -> Column:
@@ -26,11 +28,11 @@ def investigation(evidence_contents: Column) -> Column:
 
 def recommended_steps(missing: Column, has_evidence: Column) -> Column:
     """CL6: fixed first step, missing-details step, evidence-dependent step."""
-    return _non_null(F.array(
+    return _non_null([
         F.lit(LX.STEP_CONFIRM),
         F.when(F.size(missing) > 0, F.concat(F.lit(LX.STEP_MISSING_PREFIX), F.array_join(missing, ", "), F.lit("."))),
         F.when(has_evidence, F.lit(LX.STEP_WITH_EVIDENCE)).otherwise(F.lit(LX.STEP_WITHOUT_EVIDENCE)),
-    ))
+    ])
 
 
 def escalation_required(severity: Column, category: Column, has_evidence: Column, sla_resolution: Column) -> Column:
@@ -59,12 +61,12 @@ def rule_draft_safe(message: Column, has_evidence: Column) -> Column:
 def response_issues(draft: Column, has_evidence: Column) -> Column:
     """CL10: safety issues of a reply, in rule order."""
     d = F.coalesce(draft, F.lit(""))
-    return _non_null(F.array(
+    return _non_null([
         F.when(F.length(py_strip(d)) < LX.MIN_DRAFT_LENGTH, F.lit(LX.ISSUE_TOO_SHORT)),
         F.when(d.rlike(LX.GUARANTEE_PATTERN), F.lit(LX.ISSUE_GUARANTEE)),
         F.when(d.rlike(LX.CARD_PATTERN), F.lit(LX.ISSUE_CARD)),
         F.when(~has_evidence & d.rlike(LX.POLICY_PATTERN), F.lit(LX.ISSUE_POLICY)),
-    ))
+    ])
 
 
 def check_response(df: DataFrame, draft: str = "content", has_evidence: Column | None = None) -> DataFrame:

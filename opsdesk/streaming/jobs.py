@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from opsdesk.operators.classify import rule_analysis
+from opsdesk.operators.classify import with_rule_analysis
 from opsdesk.operators.metrics import status_series
 from opsdesk.operators.outbox import build_outbox
 from opsdesk.session import scratch_path
@@ -228,11 +228,12 @@ def classify_stream(spark: SparkSession, sf_dir: str, base: str | None = None, a
     sink, ck = _locations(spark, "classify", base)
     bench = spark.read.schema(SCHEMAS["benchmark"]).parquet(os.path.join(sf_dir, "benchmark.parquet"))
     t = tickets_from(events_stream(spark, sf_dir), bench)
-    a = rule_analysis(F.col("subject"), F.col("description"))
-    out = t.select(F.col("id").alias("ticket_id"), a.alias("a")).select(
-        "ticket_id", "a.category", "a.subcategory", "a.intent", "a.priority", "a.severity", "a.sentiment",
-        "a.customer_impact", "a.urgency_reason", "a.confidence",
-        F.array_join("a.missing_information", "; ").alias("missing_info"))
+    a = with_rule_analysis(t.select(F.col("id").alias("ticket_id"), "subject", "description"), "subject",
+                           "description")
+    out = a.select(
+        "ticket_id", "category", "subcategory", "intent", "priority", "severity", "sentiment",
+        "customer_impact", "urgency_reason", "confidence",
+        F.array_join("missing_information", "; ").alias("missing_info"))
     _run(out.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
          .outputMode("append"), available_now)
     return sink
