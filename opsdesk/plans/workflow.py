@@ -38,8 +38,20 @@ def evidence_by_text(tickets: DataFrame, chunks: DataFrame, chunks_meta: DataFra
 
 def enrich_tickets(tickets: DataFrame, customers: DataFrame, chunks: DataFrame, chunks_meta: DataFrame,
                    ticket_sla: DataFrame, as_of, predictions: DataFrame | None = None,
-                   k: int = LX.K_WORKFLOW, materialize: str | None = None) -> DataFrame:
-    """CL12: one enriched row per ticket."""
+                   k: int = LX.K_WORKFLOW, materialize: str | None = None,
+                   materialize_input: str | None = "checkpoint") -> DataFrame:
+    """CL12: one enriched row per ticket.
+
+    ``materialize_input`` = "checkpoint" (default): the narrow ticket projection every branch
+    needs is written once to the shared checkpoint folder (a lineage cut) instead of being
+    re-derived by each branch (classification, evidence, similar cases, SLA, tool gate);
+    "persist" keeps it in memory/disk; None re-derives it per branch.  ``materialize`` does
+    the same for the enriched result when it feeds several outputs (IO6)."""
+    cols = ["id", "customer_id", "channel", "subject", "description", "status", "created_at"]
+    if materialize_input == "checkpoint":
+        tickets = tickets.select(*cols).checkpoint()
+    elif materialize_input == "persist":
+        tickets = tickets.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     a = CL.with_fallback(tickets, predictions)
     base = tickets.select(F.col("id").alias("ticket_id"), "customer_id", "channel", "subject", "description",
                           text_hash().alias("th"))
