@@ -96,12 +96,17 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
     or maps to exactly one row.  Every filter is a necessary condition (= brute force)."""
     t = float(threshold)
     eps = 1e-9
-    per_doc = docs.select(F.col(key).alias("doc"), F.sort_array(F.array_distinct(tokenize(F.col(text)))).alias("toks")) \
+    # documents partitioned by id once: tokenising, de-duplicating and hashing each set is
+    # then exchange-free; identical sets are grouped by a fixed-width hash aggregate and the
+    # representative's tokens are fetched by a join (no aggregation of arrays)
+    per_doc = docs.select(F.col(key).alias("doc"), F.col(text).alias("_t")).repartition("doc") \
+        .select("doc", F.sort_array(F.array_distinct(tokenize(F.col("_t")))).alias("toks")) \
         .where(F.size("toks") > 0).withColumn("set_key", F.sha2(F.array_join("toks", " "), 256))
+    groups = per_doc.groupBy("set_key").agg(F.min("doc").alias("d"), F.count(F.lit(1)).alias("copies"))
     # the distinct sets feed three branches (index, and both sides of the verification):
     # materialise them once in the shared checkpoint folder instead of tokenising three times
-    sets = per_doc.groupBy("set_key").agg(F.min("doc").alias("d"), F.count(F.lit(1)).alias("copies"),
-                                          F.first("toks").alias("toks")).drop("set_key").checkpoint()
+    sets = groups.join(per_doc.select(F.col("doc").alias("d"), "toks"), "d", "inner") \
+        .select("d", "copies", "toks").checkpoint()
     toks = sets.select("d", F.size("toks").alias("n"), F.explode("toks").alias("token"))
     df = toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     ranked = toks.join(df, "token", "inner") \
