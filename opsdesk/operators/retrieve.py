@@ -165,12 +165,17 @@ def _score_batches(bc, k: int, dims: int):
     return run
 
 
-def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims: int = LX.HASH_DIMS) -> DataFrame:
-    """Top-k chunks per query for a *bounded* (already checked) query set: the query matrix
-    is broadcast, every corpus partition is scored batch-wise with one matrix product and
-    emits ≤ k rows per query; the global top-k is the partial/final group limit."""
+def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims: int = LX.HASH_DIMS,
+                max_queries: int = 100_000, checked: bool = False) -> DataFrame:
+    """Top-k chunks per query for a *bounded* query set: the query matrix is broadcast, every
+    corpus partition is scored batch-wise with one matrix product and emits ≤ k rows per
+    query; the global top-k is the partial/final group limit.  The query count is checked
+    against ``max_queries`` (skip with ``checked=True`` when the caller already did)."""
     import numpy as np
 
+    if not checked and not bounded(query_arrays.select("qid"), max_queries):
+        raise ValueError(f"dense_top_k needs at most {max_queries} queries; use the salted join "
+                         "(cosine_pairs with query_broadcast=False) for larger query sets")
     spark = corpus_arrays.sparkSession
     qtype = query_arrays.schema["qid"].dataType.simpleString()
     q = query_arrays.select("qid", "b", "v").collect()  # bounded: the caller checked the query count
@@ -195,7 +200,8 @@ def retrieve_cosine(queries: DataFrame, chunks: DataFrame, chunks_meta: DataFram
     q = queries.where(F.length(F.trim(F.col(qtext))) > 0).select(F.col(qid).alias("qid"), F.col(qtext).alias("text"))
     small = bounded(q.select("qid"), max_broadcast_queries)
     if small:
-        best = dense_top_k(sparse_arrays(chunks, ["doc_id", "chunk_index"]), sparse_arrays(q, ["qid"], "text"), k)
+        best = dense_top_k(sparse_arrays(chunks, ["doc_id", "chunk_index"]), sparse_arrays(q, ["qid"], "text"), k,
+                           checked=True)
     else:
         qvec = hash_embed(q, ["qid"], text="text")
         cvec = hash_embed(chunks, ["doc_id", "chunk_index"])
