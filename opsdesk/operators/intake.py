@@ -111,10 +111,10 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
         raise ValueError(f"Batch exceeds the {max_rows:,}-row limit. Split the CSV and retry.")
     subj = F.substring(py_strip(F.col("subject")), 1, LX.BULK_SUBJECT_MAX)
     desc = F.substring(py_strip(F.col("description")), 1, LX.BULK_DESCRIPTION_MAX)
-    corpus = corpus_chunks.agg(F.count(F.lit(1)).alias("corpus_n"))
+    corpus = corpus_chunks.agg(F.count(F.lit(1)).alias("corpus_n")).scalar()  # one value, no join
     r = rows.select(key, subj.alias("s"), desc.alias("d"),
                     F.substring(F.coalesce(F.col("customer").cast("string"), F.lit("")), 1, LX.BULK_CUSTOMER_MAX)
-                    .alias("customer")).crossJoin(corpus)  # one-row aggregate
+                    .alias("customer"), corpus.alias("corpus_n"))
     ok = F.col("s").isNotNull() & F.col("d").isNotNull() & (F.length("s") > 0) & (F.length("d") > 0)
     out = with_rule_analysis(r.withColumn("ok", ok), "s", "d")
 

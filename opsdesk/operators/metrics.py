@@ -1,7 +1,7 @@
 """Operational and quality aggregates.
 
-Every metric is a single pass with partial (map-side) aggregation; scalar results are one-row
-frames, combined only with other one-row frames.  Zero-filled grids are generated with
+Every metric is a single pass with partial (map-side) aggregation; counters from other tables
+are attached as scalar subqueries (evaluated once, no join).  Zero-filled grids are generated with
 ``explode`` over a literal array — no join against a dimension table.
 """
 
@@ -29,10 +29,11 @@ def kpi_metrics(tickets: DataFrame, customers: DataFrame, messages: DataFrame, f
         F.count_if(is_closed()).alias("resolved"),
         F.count_if((F.col("status") == "Escalated") | (F.col("severity") == "Critical")).alias("escalated_or_critical"),
     )
-    c = customers.agg(_n().alias("customers"))
-    m = messages.agg(_n().alias("messages"))
-    f = feedback.agg(F.count_if(F.col("status") == "New").alias("pending_feedback"))
-    return t.crossJoin(c).crossJoin(m).crossJoin(f)  # four one-row aggregates
+    # the other tables' counters are scalar subqueries: evaluated once, no join
+    c = customers.agg(_n().alias("customers")).scalar()
+    m = messages.agg(_n().alias("messages")).scalar()
+    f = feedback.agg(F.count_if(F.col("status") == "New").alias("pending_feedback")).scalar()
+    return t.select("*", c.alias("customers"), m.alias("messages"), f.alias("pending_feedback"))
 
 
 def brief_counts(tickets: DataFrame, as_of) -> DataFrame:
@@ -148,7 +149,7 @@ def quality_kpis(quality: DataFrame, messages: DataFrame, accepted_status: str =
         F.count_if(~F.col("validation_passed")).alias("validation_failures"),
         F.sum(F.col("regenerated").cast("int")).cast("bigint").alias("regenerated"),
     )
-    j = q.crossJoin(approved)  # two one-row aggregates
+    j = q.select("*", approved.scalar().alias("approved_tickets"))  # scalar subquery, no join
     return j.select("*", (F.col("approved_tickets") / F.greatest(F.lit(1), F.col("analyzed_tickets")))
                     .alias("acceptance_rate"))
 
@@ -158,8 +159,8 @@ def similarity_counts(matches: DataFrame, recommendations: DataFrame) -> DataFra
     m = matches.agg(
         F.count_if(F.col("match_type").isin("similar", "resolved_case", "probable_duplicate")).alias("similar_count"),
         F.count_if(F.col("match_type") == "probable_duplicate").alias("duplicate_count"))
-    r = recommendations.agg(F.count_if(F.col("escalation_required")).alias("escalations"))
-    return m.crossJoin(r)
+    r = recommendations.agg(F.count_if(F.col("escalation_required")).alias("escalations")).scalar()
+    return m.select("*", r.alias("escalations"))
 
 
 def quality_trend(quality: DataFrame) -> DataFrame:
@@ -224,11 +225,13 @@ def doc_inventory(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def brief_facts(risks: DataFrame, quality: DataFrame, categories: DataFrame) -> DataFrame:
     """Narrative sentences from the brief aggregates (one row)."""
     r = risks.agg(_n().alias("risk_count"))
-    q = quality.agg(_n().alias("analyses"), F.count_if(~F.col("validation_passed")).alias("failures"))
+    q = quality.agg(F.struct(_n().alias("analyses"), F.count_if(~F.col("validation_passed")).alias("failures"))
+                    .alias("q")).scalar()
     # most common category: highest count, ties by name ascending
     top = categories.agg(F.min_by("category", F.struct((-F.col("tickets")).alias("n"), F.col("category")))
-                         .alias("top_category"))
-    j = r.crossJoin(q).crossJoin(top)  # one-row aggregates
+                         .alias("top_category")).scalar()
+    j = r.select("risk_count", q["analyses"].alias("analyses"), q["failures"].alias("failures"),
+                 top.alias("top_category"))  # scalar subqueries, no join
     return j.select(
         "risk_count", "analyses", "failures", "top_category",
         F.format_string("%d ticket(s) are at risk or past an SLA target.", "risk_count").alias("risk_text"),

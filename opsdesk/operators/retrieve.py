@@ -226,16 +226,16 @@ def retrieve_dense(queries: DataFrame, vectors: DataFrame, k: int, vid: str = "v
     """RET1d: exact top-k vectors by dot product for a *bounded* query set.
 
     The query count is checked (a one-row count) before the queries are packed into a single
-    broadcast array; each vector is then scored against every query inside its own row and
+    scalar-subquery array; each vector is then scored against every query inside its own row and
     the per-query top-k uses the partial group limit.  Beyond ``max_queries`` exact dense
     retrieval would be an all-pairs scan, so the operator refuses instead of degrading."""
     n = queries.limit(max_queries + 1).count()
     if n > max_queries:
         raise ValueError(f"retrieve_dense supports at most {max_queries} queries; use retrieve_cosine "
                          "(sparse inverted index) for large query sets")
-    packed = F.broadcast(queries.agg(F.collect_list(F.struct(F.col("qid"), F.col("embedding").alias("qe")))
-                                     .alias("qs")))
-    v = vectors.select(F.col(vid).alias("vid"), F.col(emb).alias("ve")).crossJoin(packed)  # one-row frame
+    # the checked, bounded query set as one scalar value attached to every vector row (no join)
+    packed = queries.agg(F.collect_list(F.struct(F.col("qid"), F.col("embedding").alias("qe"))).alias("qs")).scalar()
+    v = vectors.select(F.col(vid).alias("vid"), F.col(emb).alias("ve"), packed.alias("qs"))
 
     def dot(q):
         return F.aggregate(F.zip_with(q["qe"], F.col("ve"), lambda a, b: a.cast("double") * b.cast("double")),

@@ -68,9 +68,10 @@ def first_active_policy(policies: DataFrame) -> DataFrame:
 def sla_assign(tickets: DataFrame, policies: DataFrame) -> DataFrame:
     """SLA2: due times from the oldest active policy; no active policy → no rows.
 
-    The policy is a single aggregated row, so the join is a broadcast of one row."""
-    pol = F.broadcast(first_active_policy(policies))
-    j = tickets.select(F.col("id").alias("ticket_id"), "created_at").crossJoin(pol)
+    The policy is one aggregated value, attached to every ticket as a scalar subquery."""
+    pol = first_active_policy(policies).select(F.struct("*").alias("p")).scalar()  # one value, no join
+    j = tickets.select(F.col("id").alias("ticket_id"), "created_at", pol.alias("p")).where(F.col("p").isNotNull()) \
+        .select("ticket_id", "created_at", "p.*")
     return j.select(
         "ticket_id", "policy_id",
         F.timestamp_add("MINUTE", F.col("first_response_minutes"), F.col("created_at")).alias("first_response_due_at"),
@@ -107,8 +108,9 @@ def sla_dashboard(states: DataFrame, tickets: DataFrame) -> DataFrame:
         F.count_if(first.isin(*RISK_STATES) | res.isin(*RISK_STATES)).alias("sla_risks"),
         F.count_if(first.isin(*GOOD_STATES) & res.isin(*GOOD_STATES)).alias("sla_met"),
         F.count(F.lit(1)).alias("sla_rows"))
-    t = tickets.agg(F.count_if(is_closed()).alias("resolved"), F.count(F.lit(1)).alias("total"))
-    j = s.crossJoin(t)  # two one-row aggregates
+    t = tickets.agg(F.struct(F.count_if(is_closed()).alias("resolved"), F.count(F.lit(1)).alias("total"))
+                    .alias("t")).scalar()
+    j = s.select("*", t["resolved"].alias("resolved"), t["total"].alias("total"))  # scalar subquery, no join
     return j.select(
         "sla_risks", "sla_met", "sla_rows", "resolved", "total",
         (F.col("sla_met") / F.greatest(F.lit(1), F.col("sla_rows"))).alias("met_rate"),
@@ -132,9 +134,10 @@ def sla_health(states: DataFrame, by: list[str] | None = None) -> DataFrame:
     grid = base.select(*by, F.posexplode(label_array).alias("bucket_order", "bucket"))
     filled = grid.join(counts, by + ["bucket"], "left").select(
         *by, "bucket", "bucket_order", F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint").alias("tickets"))
-    totals = b.groupBy(*by).agg(F.count(F.lit(1)).alias("sla_rows")) if by else \
-        b.agg(F.count(F.lit(1)).alias("sla_rows"))
-    j = filled.join(totals, by, "left") if by else filled.crossJoin(totals)
+    if by:
+        j = filled.join(b.groupBy(*by).agg(F.count(F.lit(1)).alias("sla_rows")), by, "left")
+    else:
+        j = filled.select("*", b.agg(F.count(F.lit(1)).alias("sla_rows")).scalar().alias("sla_rows"))
     return j.select(*by, "bucket", "bucket_order", "tickets",
                     (F.col("tickets") / F.greatest(F.lit(1), F.coalesce(F.col("sla_rows"), F.lit(0))))
                     .alias("share"))
