@@ -205,7 +205,7 @@ def _customer_messages(v):
 SELECT id, subject, priority, status, created_at, row_number() OVER (ORDER BY {s1()}) AS rank
 FROM tickets WHERE {_OPEN_SQL.format(p='')} QUALIFY rank <= 5""")
 def _top_issues(v):
-    """First 5 open tickets in S1 order."""
+    """S2 + P12: first 5 open tickets (not Resolved/Closed) in S1 order."""
     return Q.top_tickets(tickets_v(v), 5, open_only=True)
 
 
@@ -285,7 +285,7 @@ SELECT * FROM
  (SELECT count(*) AS messages FROM messages),
  (SELECT count_if(status = 'New') AS pending_feedback FROM feedback)""")
 def _kpi_metrics(v):
-    """A1: headline counters."""
+    """A1 + P13: headline counters (KPI-open excludes Escalated)."""
     return M.kpi_metrics(v.tickets, v.customers, v.messages, v.feedback)
 
 

@@ -136,7 +136,7 @@ def _chunks_meta(v, chunks=None):
 
 @query("retrieve_cosine", sql=_retrieve_sql(K_SEARCH), floats=["score"])
 def _retrieve_cosine(v):
-    """RET1 + S6: cosine top-5 of every benchmark query over every knowledge chunk."""
+    """RET1 + S6 + J14: cosine top-5 of every benchmark query over every knowledge chunk."""
     return R.retrieve_cosine(v.queries, chunks_of(v), _chunks_meta(v), K_SEARCH)
 
 
