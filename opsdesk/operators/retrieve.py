@@ -64,10 +64,6 @@ def hash_embed(rows: DataFrame, keys: list[str], text: str = "content", dims: in
     return entries.withColumn("norm2", F.sum(F.col("v") * F.col("v")).over(w))
 
 
-def vector_norms(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    return vectors.select(*keys, "norm2").distinct()
-
-
 # ----------------------------------------------------------------------------- RET1
 def cosine_pairs(queries_vec: DataFrame, qkeys: list[str], corpus_vec: DataFrame, ckeys: list[str],
                  query_broadcast: bool | None = None, salts: int = 64) -> DataFrame:

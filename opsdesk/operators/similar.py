@@ -17,13 +17,10 @@ SIM3 — exact duplicates by sha-256 of the normalised lower-case text.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
-from opsdesk.functions.predicates import is_closed
 from opsdesk.functions.text import normalize_ws, round_half_up, tokenize
 from opsdesk.operators.retrieve import cosine_pairs, hash_embed
 
@@ -133,23 +130,6 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
                          jac.alias("jaccard"), "copies_a", "copies_b").where(F.col("jaccard") >= F.lit(t))
 
 
-def near_duplicates_brute(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE) -> DataFrame:
-    """Reference form for tests: every pair sharing a token, verified (small inputs only)."""
-    sets = docs.select(F.col("doc_id").alias("d"), F.array_distinct(tokenize(F.col("text"))).alias("toks"))
-    t = sets.select("d", F.size("toks").alias("n"), F.explode("toks").alias("token"))
-    a = t.select(F.col("d").alias("a"), F.col("n").alias("na"), "token")
-    b = t.select(F.col("d").alias("b"), F.col("n").alias("nb"), "token")
-    c = a.join(b, "token").where(F.col("a") < F.col("b")).groupBy("a", "b", "na", "nb").agg(
-        F.count(F.lit(1)).alias("inter"))
-    u = F.col("na") + F.col("nb") - F.col("inter")
-    return c.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "inter", u.alias("union_size"),
-                    (F.col("inter") / u).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def prefix_length(n: int, threshold: float) -> int:
-    return n - math.ceil(n * threshold - 1e-9) + 1
-
-
 # ----------------------------------------------------------------------------- SIM3
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """SIM3: documents whose normalised lower-case text occurs more than once, with the

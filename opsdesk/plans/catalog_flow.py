@@ -10,8 +10,7 @@ from opsdesk.operators import resolve as RS
 from opsdesk.operators import state as ST
 from opsdesk.plans import workflow as WF
 from opsdesk.plans.catalog_ops import _clock_sql, classify_sql
-from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, SIM_SQL, _chunks_meta, chunk_vectors, chunks_of, \
-    vectors_sql
+from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, SIM_SQL, _chunks_meta, chunks_of, vectors_sql
 from opsdesk.plans.registry import query
 from opsdesk.sources.views import AS_OF
 

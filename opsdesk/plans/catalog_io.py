@@ -13,8 +13,8 @@ from opsdesk.operators import resolve as RS
 from opsdesk.operators import sla as SLA
 from opsdesk.operators import state as ST
 from opsdesk.plans import workflow as WF
-from opsdesk.plans.catalog_flow import _TEAM_SQL, _strip_sql, sql_text
-from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, _chunks_meta, chunk_vectors, chunks_of, vectors_sql
+from opsdesk.plans.catalog_flow import _TEAM_SQL, _strip_sql
+from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, _chunks_meta, chunks_of, vectors_sql
 from opsdesk.plans.registry import query
 from opsdesk.session import scratch_path
 from opsdesk.sources import csv_intake, documents

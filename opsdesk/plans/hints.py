@@ -21,12 +21,6 @@ def bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    if bounded(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
-
-
 def salted(big: DataFrame, small: DataFrame, key: str, salts: int, salt_of: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
     """Spread a low-cardinality join key: ``big`` rows get salt = hash(salt_of) mod salts,
     ``small`` rows are replicated once per salt.  Returns the frames and the join keys."""
