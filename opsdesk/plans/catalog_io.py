@@ -252,8 +252,8 @@ def _outbox_build(v):
 
 
 @query("outbox_dedupe", sql=f"""
-WITH first_round AS (SELECT * FROM drafts WHERE draft_id % 10 = 1),
-second_round AS (SELECT * FROM drafts WHERE draft_id % 10 = 2),
+WITH first_round AS (SELECT * FROM drafts WHERE review_round = 1),
+second_round AS (SELECT * FROM drafts WHERE review_round = 2),
 {_outbox_sql("first_round", None, "a")},
 recorded AS (SELECT idempotency_key FROM aob WHERE reject_reason IS NULL),
 {_outbox_sql("second_round", "SELECT DISTINCT idempotency_key FROM recorded")}
@@ -261,10 +261,9 @@ SELECT {_OB_COLS} FROM ob""")
 def _outbox_dedupe(v):
     """Second review round against the all-time key log of the first round (left anti)."""
     d = v.drafts
-    seq = F.col("draft_id") % 10  # draft_id = ticket_id * 10 + round
-    first = outbox(v, d.where(seq == 1))
+    first = outbox(v, d.where(F.col("review_round") == 1))
     recorded = first.where(F.col("status") == "accepted").select("idempotency_key")
-    return outbox(v, d.where(seq == 2), recorded).select("draft_id", "ticket_id", "channel", "recipient",
+    return outbox(v, d.where(F.col("review_round") == 2), recorded).select("draft_id", "ticket_id", "channel", "recipient",
                                                          "idempotency_key", "status", "reject_reason")
 
 

@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
     "phrases": f"SELECT * FROM (VALUES {_PHRASE_ROWS}) AS p(pid, subject, message, category, sentiment)",
     "tickets": """
 SELECT e.event_id AS id, e.user_id AS customer_id, p.subject,
-       concat(p.message, '. ', substr(b.text, 1, 160)) AS description,
+       concat(p.message, '. ', b.text) AS description,
        CASE e.event_id % 3 WHEN 0 THEN 'Email' WHEN 1 THEN 'SMS' ELSE 'Web' END AS channel,
        CASE WHEN e.k % 20 = 0 THEN 'Escalated' WHEN e.k % 20 = 1 THEN 'Pending'
             WHEN e.k % 20 = 2 THEN 'In Progress' WHEN e.k % 20 = 3 THEN 'Closed'
@@ -103,7 +103,8 @@ SELECT c_custkey AS request_id, CASE WHEN c_custkey % 13 = 0 THEN '' ELSE c_name
        TIMESTAMP '2024-01-15 00:00:00' + to_seconds(c_custkey) AS requested_at
 FROM customer JOIN phrases p ON c_custkey % 12 = p.pid""",
     "drafts": f"""
-SELECT t.id * 10 + s.seq AS draft_id, t.id AS ticket_id, {_list(DRAFT_TEXTS)}[t.id % 5 + 1] AS content,
+SELECT t.id * 10 + s.seq AS draft_id, t.id AS ticket_id, s.seq AS review_round,
+       {_list(DRAFT_TEXTS)}[t.id % 5 + 1] AS content,
        t.channel, 'Support update' AS subject, t.id % 6 <> 0 AS agent_approved,
        t.created_at + to_hours(s.seq + 1) AS created_at
 FROM tickets t, LATERAL (SELECT unnest(range(1, CASE WHEN t.id % 5 = 4 THEN 2 ELSE 1 END + 1)) AS seq) s""",

@@ -87,7 +87,7 @@ def prop_k(props: str = "props") -> Column:
 
 
 def tickets_from(events: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Tickets derived from events (phrase by event_id % 12, benchmark text by event_id % 40).
+    """Tickets derived from events (phrase by event_id % 12, whole benchmark text by event_id % 40).
     Works for batch and streaming ``events`` (stream-static join with ``benchmark``)."""
     phrase = F.element_at(
         F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(m).alias("message"), F.lit(c).alias("category"),
@@ -95,7 +95,7 @@ def tickets_from(events: DataFrame, benchmark: DataFrame) -> DataFrame:
         (F.col("event_id") % 12 + 1).cast("int"))
     k = F.col("k")
     ev = events.select("event_id", "ts", "user_id", prop_k().alias("k"), phrase.alias("p"))
-    bench = benchmark.select(F.col("item_id"), F.substring("text", 1, 160).alias("btext"))
+    bench = benchmark.select(F.col("item_id"), F.col("text").alias("btext"))  # the whole benchmark text
     j = ev.join(bench, (ev.event_id % 40) == bench.item_id, "inner")
     status = (F.when(k % 20 == 0, "Escalated").when(k % 20 == 1, "Pending").when(k % 20 == 2, "In Progress")
               .when(k % 20 == 3, "Closed").when(k % 3 == 0, "Open").otherwise("Resolved"))
@@ -139,6 +139,7 @@ def drafts_from(tickets: DataFrame) -> DataFrame:
     return t.select("*", copies.alias("seq")).select(
         (F.col("id") * 10 + F.col("seq")).alias("draft_id"),
         F.col("id").alias("ticket_id"),
+        F.col("seq").alias("review_round"),
         _pick(DRAFT_TEXTS, F.col("id") % 5).alias("content"),
         F.col("channel"),
         F.lit("Support update").alias("subject"),
