@@ -43,3 +43,16 @@ def test_bounded_check_refuses_large_dense_query_sets(spark):
     with pytest.raises(ValueError):
         R.retrieve_dense(queries, vecs, 3, max_queries=10)
     assert R.retrieve_dense(queries, vecs, 3, max_queries=100).count() == 60
+
+
+def test_jaccard_kernel_equals_inverted_index_join(views):
+    chunks = R.chunk_documents(views.knowledge.select("doc_id", "text"))
+    q = views.queries
+    kernel = R.jaccard_top_k(chunks, q, 4)
+    pairs = R.jaccard_pairs(R.token_sets(q, ["qid"], "text"), ["qid"],
+                            R.token_sets(chunks, ["doc_id", "chunk_index"], "content"), ["doc_id", "chunk_index"])
+    joined = R.top_k(pairs, ["qid"], [F.col("jaccard").desc(), F.col("doc_id"), F.col("chunk_index")], 4)
+    cols = ["qid", "rank", "doc_id", "chunk_index", "jaccard"]
+    a = rows_of(cols, kernel.select(*cols).collect())
+    b = rows_of(cols, joined.select(*cols).collect())
+    assert a == b and len(a) > 0
