@@ -162,7 +162,7 @@ def _score_batches(bc, k: int, dims: int):
 
 
 def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims: int = LX.HASH_DIMS,
-                max_queries: int = 100_000, checked: bool = False) -> DataFrame:
+                max_queries: int = 20_000, checked: bool = False) -> DataFrame:
     """Top-k chunks per query for a *bounded* query set: the query matrix is broadcast, every
     corpus partition is scored batch-wise with one matrix product and emits ≤ k rows per
     query; the global top-k is the partial/final group limit.  The query count is checked
@@ -185,14 +185,14 @@ def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims:
 
 
 def retrieve_cosine(queries: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int,
-                    qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 100_000) -> DataFrame:
+                    qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 20_000) -> DataFrame:
     """RET1: top-k chunks per query by cosine; score = round(max(0, cosine), 3).
     Ties break on (doc_id, chunk_index); blank queries get no hits.
 
     ``chunks`` (doc-partitioned chunk rows) are hashed here.  The query count is checked
-    once: within ``max_broadcast_queries`` the query matrix is broadcast and each corpus
-    partition is scored by a vectorised kernel (``dense_top_k``); beyond it the bucket
-    equi-join is salted.  Both give identical scores."""
+    once: within ``max_broadcast_queries`` (20 k queries ≈ 41 MB as a dense 256 × Q matrix)
+    the query matrix is broadcast and each corpus partition is scored by a vectorised kernel
+    (``dense_top_k``); beyond it the bucket equi-join is salted.  Both give identical scores."""
     q = queries.where(F.length(F.trim(F.col(qtext))) > 0).select(F.col(qid).alias("qid"), F.col(qtext).alias("text"))
     small = bounded(q.select("qid"), max_broadcast_queries)
     if small:
@@ -345,7 +345,7 @@ def jaccard_top_k(chunks: DataFrame, queries: DataFrame, k: int, qid: str = "qid
 
 
 def retrieve_jaccard(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
-                     qtext: str = "text", max_broadcast_queries: int = 100_000) -> DataFrame:
+                     qtext: str = "text", max_broadcast_queries: int = 20_000) -> DataFrame:
     """RET2: token-set Jaccard top-k (zero scores never appear: no shared token, no pair).
     Within the checked query bound the vectorised kernel is used; beyond it the
     inverted-index equi-join on token (hot tokens split by AQE skew handling)."""
