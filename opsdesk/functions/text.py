@@ -65,7 +65,3 @@ def round_half_up(c, digits: int = 3) -> Column:
     """Engine-independent rounding: floor(x * 10^d + 0.5) / 10^d."""
     scale = 10 ** digits
     return F.floor(col(c) * scale + F.lit(0.5)) / F.lit(float(scale))
-
-
-def round6(c) -> Column:
-    return F.round(col(c).cast("double"), 6)

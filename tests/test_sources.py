@@ -40,3 +40,10 @@ def test_csv_header_normalisation_and_required_columns(spark):
         f.write("title,body\nx,y\n")
     with pytest.raises(ValueError, match="subject and description"):
         csv_intake.read_ticket_csv(spark, bad)
+
+
+def test_register_all_supports_spark_sql(spark):
+    from opsdesk.sources.tables import register_all
+    register_all(spark, "/root/testdata/sf0.001")
+    n = spark.sql("SELECT count(*) AS n FROM events WHERE event_type = :t", args={"t": "click"}).first().n
+    assert n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type = 'click'").count()
