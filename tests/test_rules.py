@@ -77,3 +77,27 @@ def test_normalize_predictions_variants(views):
     assert "AI field key_information must be a list of strings." in res
     clamp = n.where(F.col("category") == "Account Access").select("confidence", "priority").distinct().collect()
     assert [(r.confidence, r.priority) for r in clamp] == [(1.0, "Low")]
+
+
+def test_fixture_phrases_classify_as_documented(spark):
+    from opsdesk.sources.views import PHRASES
+    expected = {
+        0: ("Billing", "High", "Major", "Negative", ""),
+        1: ("Billing", "Low", "Minor", "Neutral", "Transaction date and amount; Payment or transaction reference"),
+        2: ("Billing", "Low", "Minor", "Neutral", ""),
+        3: ("Account Access", "Low", "Minor", "Neutral", ""),
+        4: ("Account Access", "Urgent", "Critical", "Negative", ""),
+        5: ("Technical", "Medium", "Major", "Negative", ""),
+        6: ("Technical", "Medium", "Major", "Negative", ""),
+        7: ("Technical", "Low", "Minor", "Neutral", ""),
+        8: ("Feedback", "Low", "Minor", "Neutral", ""),
+        9: ("Feedback", "Low", "Minor", "Neutral", ""),
+        10: ("General Support", "Low", "Minor", "Neutral", ""),
+        11: ("Billing", "Urgent", "Critical", "Neutral", "Transaction date and amount"),
+    }
+    df = spark.createDataFrame([(p, s, m) for p, s, m, _, _ in PHRASES], "id int, subject string, description string")
+    out = CL.classify(df).select("id", "category", "priority", "severity", "sentiment",
+                                 F.array_join("missing_information", "; ").alias("m")).collect()
+    assert {r.id: (r.category, r.priority, r.severity, r.sentiment, r.m) for r in out} == expected
+    # the view's stored category / sentiment columns agree with the rules
+    assert all(expected[p][0] == c and expected[p][3] == se for p, _, _, c, se in PHRASES)
