@@ -97,14 +97,16 @@ def intake(requests: DataFrame, customers: DataFrame, policies: DataFrame) -> di
 
 
 def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK, max_rows: int | None = None,
-                 key: str = "row_id") -> DataFrame:
+                 key: str = "row_id", observation=None) -> DataFrame:
     """CL13: per-row classification of a CSV batch in one pass.
 
     subject/description are stripped then cut to 300/5000; a missing or blank value gives a
     failed row with a fixed error (the row text is never echoed); customer is cut to 200.
     ``knowledge_matches`` is the number of retrieval hits at k=2, i.e. min(k, corpus chunks)
     for a non-blank text (vector retrieval has no minimum score).  ``max_rows`` reproduces
-    the optional batch cap (raise when exceeded); at scale it is left unset."""
+    the optional batch cap (raise when exceeded); at scale it is left unset.  Progress is
+    reported through Spark's own metrics: pass a ``pyspark.sql.Observation`` and read
+    ``processed`` / ``failed`` from it after the action (no driver-side callback per row)."""
     from opsdesk.operators.classify import with_rule_analysis
 
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
@@ -121,7 +123,7 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
     def when_ok(c):
         return F.when(F.col("ok"), c)
 
-    return out.select(
+    result = out.select(
         key, F.when(F.col("ok"), F.col("s")).otherwise(F.lit(LX.BULK_FAILED_SUBJECT)).alias("subject"),
         when_ok(F.col("customer")).alias("customer"),
         *[when_ok(F.col(c)).alias(c) for c in ("category", "intent", "priority", "severity", "sentiment",
@@ -129,3 +131,7 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
         when_ok(F.least(F.lit(k), F.col("corpus_n")).cast("bigint")).alias("knowledge_matches"),
         when_ok(F.lit("rules")).alias("analysis_mode"),
         F.when(~F.col("ok"), F.lit(LX.BULK_ERR_TEXT)).alias("error"))
+    if observation is not None:
+        result = result.observe(observation, F.count(F.lit(1)).alias("processed"),
+                                F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return result

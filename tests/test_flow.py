@@ -120,3 +120,14 @@ def test_feedback_rating_optional(spark):
     r = {x.feedback_id: x for x in IN.validate_feedback(f).collect()}
     assert r[1].valid and r[1].rating is None and r[1].name is None
     assert not r[2].valid
+
+
+def test_bulk_progress_via_observation(spark):
+    from pyspark.sql import Observation
+    rows = spark.createDataFrame([(1, "Subscription charge", "Charged twice", None), (2, " ", "x", None),
+                                  (3, "Login", "cannot sign in", "Ann")],
+                                 "row_id long, subject string, description string, customer string")
+    chunks = spark.createDataFrame([(1, 0, "x")], "doc_id long, chunk_index int, content string")
+    obs = Observation("bulk")
+    IN.bulk_analyze(rows, chunks, observation=obs).write.format("noop").mode("overwrite").save()
+    assert obs.get == {"processed": 3, "failed": 1}
