@@ -12,7 +12,8 @@ ST2 idempotent outbox — ``foreachBatch`` applying the batch gates plus an all-
 ST3 ticket volume per day × series — event-time ``window`` count; ``complete`` mode (via
     foreachBatch overwrite) for parity with the batch counts, ``append`` + watermark for
     production (a window is emitted once the watermark passes its end).
-ST4 SLA breach alerts — ``applyInPandasWithState`` with event-time timeouts per ticket.
+ST4 SLA breach alerts — ``applyInPandasWithState`` with event-time timeouts per ticket; events
+    behind the watermark are dropped by Spark and counted (``late_rows.json`` next to the sink).
 ST5 streaming classification — stateless CL1 projection, append.
 """
 
@@ -127,7 +128,7 @@ def volume_stream(spark: SparkSession, sf_dir: str, base: str | None = None, mod
 # ----------------------------------------------------------------------------- ST4
 ALERT_SCHEMA = T.StructType([
     T.StructField("ticket_id", T.LongType()), T.StructField("clock", T.StringType()),
-    T.StructField("due_at", T.TimestampNTZType()), T.StructField("late_events", T.LongType()),
+    T.StructField("due_at", T.TimestampNTZType()),
 ])
 STATE_SCHEMA = T.StructType([
     T.StructField("first_due", T.TimestampNTZType()), T.StructField("res_due", T.TimestampNTZType()),
@@ -153,10 +154,10 @@ def _sla_timer(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterat
     if state.hasTimedOut:
         now = state.getCurrentWatermarkMs()
         if first_due is not None and not replied and not first_alerted and _ms(first_due) <= now:
-            alerts.append((tid, "first_response", first_due, 0))
+            alerts.append((tid, "first_response", first_due))
             first_alerted = True
         if res_due is not None and not closed and not res_alerted and _ms(res_due) <= now:
-            alerts.append((tid, "resolution", res_due, 0))
+            alerts.append((tid, "resolution", res_due))
             res_alerted = True
     else:
         for pdf in frames:
@@ -176,10 +177,9 @@ def _sla_timer(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         state.setTimeoutTimestamp(max(min(_ms(d) for d in pending), wm + 1))
     else:
         state.remove()
-    yield pd.DataFrame(alerts, columns=["ticket_id", "clock", "due_at", "late_events"]) if alerts else \
+    yield pd.DataFrame(alerts, columns=["ticket_id", "clock", "due_at"]) if alerts else \
         pd.DataFrame({"ticket_id": pd.Series([], dtype="int64"), "clock": pd.Series([], dtype="object"),
-                      "due_at": pd.Series([], dtype="datetime64[us]"),
-                      "late_events": pd.Series([], dtype="int64")})
+                      "due_at": pd.Series([], dtype="datetime64[us]")})
 
 
 def sla_event_stream(spark: SparkSession, sf_dir: str, replies: DataFrame) -> DataFrame:
@@ -217,11 +217,31 @@ def sla_stream(spark: SparkSession, sf_dir: str, replies: DataFrame, base: str |
         .withWatermark("event_time", watermark)
     alerts = ev.groupBy("ticket_id").applyInPandasWithState(
         _sla_timer, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    _run(alerts.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
-         .outputMode("append"), available_now)
+    q = _run(alerts.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
+             .outputMode("append"), available_now)
+    if available_now:
+        write_late_rows(q, os.path.join(os.path.dirname(sink), "late_rows.json"))
     return sink
 
 
+def late_rows(query) -> int:
+    """Events dropped because they arrived behind the watermark (Spark's own state-operator
+    metric, summed over the query's progress reports)."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
+            total += int(op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
+                         else op.numRowsDroppedByWatermark)
+    return total
+
+
+def write_late_rows(query, path: str) -> None:
+    import json
+    if "://" not in path:
+        with open(path, "w", encoding="utf-8") as fh:
+            json.dump({"late_rows_dropped": late_rows(query)}, fh)
+
+
 # ----------------------------------------------------------------------------- ST5
 def classify_stream(spark: SparkSession, sf_dir: str, base: str | None = None, available_now: bool = True) -> str:
     """ST5: stateless rule classification of tickets as they arrive."""

@@ -45,3 +45,14 @@ def test_outbox_stream_accepts_each_key_once(spark, views):
     acc = out.where(F.col("status") == "accepted")
     assert acc.count() > 0
     assert acc.groupBy("idempotency_key").count().where("count > 1").count() == 0
+
+
+def test_sla_stream_reports_late_rows(spark, views):
+    import json
+    import os
+    replies = views.messages.where(F.col("direction") == "outbound").groupBy("ticket_id") \
+        .agg(F.min("created_at").alias("reply_at"))
+    sink = J.sla_stream(spark, SF, replies)
+    with open(os.path.join(os.path.dirname(sink), "late_rows.json"), encoding="utf-8") as fh:
+        assert json.load(fh)["late_rows_dropped"] >= 0
+    assert set(spark.read.parquet(sink).columns) == {"ticket_id", "clock", "due_at"}
