@@ -56,3 +56,15 @@ def test_sla_stream_reports_late_rows(spark, views):
     with open(os.path.join(os.path.dirname(sink), "late_rows.json"), encoding="utf-8") as fh:
         assert json.load(fh)["late_rows_dropped"] >= 0
     assert set(spark.read.parquet(sink).columns) == {"ticket_id", "clock", "due_at"}
+
+
+def test_volume_stream_append_mode_emits_final_counts(spark, views):
+    from opsdesk.operators.metrics import status_series
+    s = spark.read.parquet(J.volume_stream(spark, SF, mode="append", watermark="1 hour"))
+    rows = s.collect()
+    assert rows, "closed windows are emitted"
+    b = views.tickets.select(F.to_date("created_at").alias("day"), status_series(F.col("status")).alias("series")) \
+        .groupBy("day", "series").count().collect()
+    batch = {(r.day, r.series): r["count"] for r in b}
+    for r in rows:
+        assert batch[(r.day, r.series)] == r.tickets
