@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsdesk.functions.time import as_timestamp
+
 from opsdesk.functions.predicates import (category_or_unclassified, is_closed, is_high, is_kpi_open, is_open)
 
 SERIES = ["Open tickets", "Resolved", "Escalated"]
@@ -38,7 +40,7 @@ def kpi_metrics(tickets: DataFrame, customers: DataFrame, messages: DataFrame, f
 
 def brief_counts(tickets: DataFrame, as_of) -> DataFrame:
     """A2: tickets created on the ``as_of`` UTC date, open, open high-priority, escalated."""
-    day = F.to_date(F.lit(as_of).cast("timestamp_ntz"))
+    day = F.to_date(as_timestamp(as_of))
     return tickets.agg(
         F.count_if(F.to_date("created_at") == day).alias("tickets_today"),
         F.count_if(is_open()).alias("open"),
@@ -99,7 +101,7 @@ def status_series(status: Column) -> Column:
 
 def volume_trend(tickets: DataFrame, as_of, days: int = 7) -> DataFrame:
     """7 days ending at the ``as_of`` date × 3 series, zero filled."""
-    end = F.to_date(F.lit(as_of).cast("timestamp_ntz"))
+    end = F.to_date(as_timestamp(as_of))
     start = F.date_sub(end, days - 1)
     counts = tickets.select(F.to_date("created_at").alias("day"), status_series(F.col("status")).alias("series")) \
         .where(F.col("series").isNotNull() & (F.col("day") >= start) & (F.col("day") <= end)) \

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsdesk.functions.time import as_timestamp
+
 from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import is_blank, py_strip
 from opsdesk.operators.resolve import response_issues
@@ -99,7 +101,7 @@ def check_deliverable(outbox: DataFrame, email_provider: str = "demo", sms_provi
 def apply_delivery_results(results: DataFrame, as_of) -> dict:
     """Key-log status, outbound message rows and audit events per delivery result.
     Failed deliveries write only the key status and a failure event."""
-    stamp = F.lit(as_of).cast("timestamp_ntz")
+    stamp = as_timestamp(as_of)
     ok = F.col("delivery_status") != "failed"
     keys = results.select("idempotency_key", "ticket_id", F.col("delivery_status").alias("status"),
                           stamp.alias("created_at"))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
+from opsdesk.functions.time import as_timestamp
 from opsdesk.functions.text import normalize_ws, round_half_up, token_bucket, token_sign, tokenize
 from opsdesk.plans.hints import bounded, salted
 
@@ -369,7 +370,7 @@ def index_documents(docs: DataFrame, as_of, size: int = LX.CHUNK_SIZE, overlap:
     chunks = chunk_documents(d, size=size, overlap=overlap, keep=["filename", "document_type"])
     vectors = hash_embed(chunks, ["doc_id", "chunk_index"])
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    stamp = F.lit(as_of).cast("timestamp_ntz")
+    stamp = as_timestamp(as_of)
     # both sides keep the doc_id partitioning: the merge join needs no further exchange
     reg = d.select("doc_id", "filename", "document_type").join(counts.hint("merge"), "doc_id", "left")
     n = F.coalesce(F.col("chunk_count"), F.lit(0)).cast("bigint")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsdesk.functions.time import as_timestamp
+
 from opsdesk.functions.lexicon import FIRST_RESPONSE_AT_RISK_SECONDS, RESOLUTION_AT_RISK_SECONDS
 from opsdesk.functions.predicates import is_closed, is_open
 
@@ -19,7 +21,7 @@ HEALTH_LABELS = ["On Time", "At Risk", "Breached"]
 
 
 def _ts(as_of) -> Column:
-    return F.lit(as_of).cast("timestamp_ntz") if isinstance(as_of, str) else as_of
+    return as_timestamp(as_of)
 
 
 def micros_until(due: Column, as_of) -> Column:

@@ -15,6 +15,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsdesk.functions.time import as_timestamp
+
 from opsdesk.functions import lexicon as LX
 from opsdesk.operators import classify as CL
 from opsdesk.operators import resolve as RS
@@ -115,7 +117,7 @@ def latest_analysis(analyses: DataFrame) -> DataFrame:
 def split_outputs(enriched: DataFrame, history: DataFrame | None, as_of) -> dict[str, DataFrame]:
     """IO6 + U4 + CL16: the six persisted tables plus audit events, each a projection of
     the one enriched frame."""
-    stamp = F.lit(as_of).cast("timestamp_ntz")
+    stamp = as_timestamp(as_of)
     e = enriched
     prior = None
     if history is not None:
