@@ -120,7 +120,10 @@ def normalize_predictions(preds: DataFrame, raw: str = "raw_json", keep: list[st
     list item, or a blank text field rejects the row (``error`` set, ``valid`` false).
     Parsing uses VARIANT so presence, null and JSON type are told apart exactly."""
     keep = keep if keep is not None else ["ticket_id"]
-    v = F.try_parse_json(F.col(raw))
+    # parse once: the VARIANT is referenced by ~30 field checks below, and Catalyst keeps this
+    # projection apart because it is referenced more than once
+    preds = preds.select(*keep, F.try_parse_json(F.col(raw)).alias("_v"))
+    v = F.col("_v")
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
 
     def present(k):
