@@ -113,14 +113,15 @@ def volume_trend(tickets: DataFrame, as_of, days: int = 7) -> DataFrame:
 
 
 def customer_360(customers: DataFrame, tickets: DataFrame) -> DataFrame:
-    """Per customer total, open (P12), resolved, escalated; customers with none show zeros."""
+    """A12 + S8: per customer total, open (P12), resolved, escalated, listed by name; customers
+    with no tickets show zeros."""
     agg = tickets.groupBy(F.col("customer_id").alias("id")).agg(
         _n().alias("total"), F.count_if(is_open()).alias("open"),
         F.count_if(is_closed()).alias("resolved"), F.count_if(F.col("status") == "Escalated").alias("escalated"))
     j = customers.select("id", "name").join(agg, "id", "left")
     return j.select(F.col("id").alias("customer_id"), "name",
                     *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-                      for c in ("total", "open", "resolved", "escalated")])
+                      for c in ("total", "open", "resolved", "escalated")]).orderBy("name", "customer_id")
 
 
 def customer_channels(tickets: DataFrame) -> DataFrame:

@@ -365,9 +365,11 @@ def retrieve_jaccard(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "
 # ----------------------------------------------------------------------------- IDX1-4
 def index_documents(docs: DataFrame, as_of, size: int = LX.CHUNK_SIZE, overlap: int = LX.CHUNK_OVERLAP) -> dict:
     """IDX1: chunk + embed + register.  Returns ``documents`` (registry with status and
-    chunk count; empty texts rejected with an error), ``chunks`` and ``vectors``."""
+    chunk count; empty texts rejected with an error), ``chunks`` (id ``doc_id:i``) and
+    ``vectors``."""
     d = by_document(docs)
-    chunks = chunk_documents(d, size=size, overlap=overlap, keep=["filename", "document_type"])
+    chunks = chunk_documents(d, size=size, overlap=overlap, keep=["filename", "document_type"]) \
+        .withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
     vectors = hash_embed(chunks, ["doc_id", "chunk_index"])
     counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
     stamp = as_timestamp(as_of)
