@@ -136,14 +136,18 @@ def ticket_context(tickets: DataFrame) -> DataFrame:
     return tickets.select(F.col("id").alias("ticket_id"), "customer_id").join(counts, "customer_id", "inner")
 
 
-def quality_kpis(quality: DataFrame, messages: DataFrame, accepted_status: str = "demo_sent") -> DataFrame:
-    """Acceptance rate, mean confidence (null as 0), edit / failure / regenerated rates and sums."""
+def quality_kpis(quality: DataFrame, messages: DataFrame, accepted_status: str = "demo_sent",
+                 approx_distinct: bool = False) -> DataFrame:
+    """Acceptance rate, mean confidence (null as 0), edit / failure / regenerated rates and sums.
+    ``approx_distinct`` switches the two distinct-ticket counts to HyperLogLog sketches
+    (``approx_count_distinct``, ~1 % error, fixed memory) for very large inputs; exact by default."""
+    distinct = F.approx_count_distinct if approx_distinct else F.count_distinct
     approved = messages.where((F.col("direction") == "outbound") & (F.col("delivery_status") == accepted_status)) \
-        .agg(F.count_distinct("ticket_id").alias("approved_tickets"))
+        .agg(distinct("ticket_id").alias("approved_tickets"))
     n = _n()
     q = quality.agg(
         n.alias("analyses"),
-        F.count_distinct("ticket_id").alias("analyzed_tickets"),
+        distinct("ticket_id").alias("analyzed_tickets"),
         F.avg(F.coalesce(F.col("confidence"), F.lit(0.0))).alias("avg_confidence"),
         F.avg(F.col("human_edited").cast("int")).alias("edit_rate"),
         F.avg((~F.col("validation_passed")).cast("int")).alias("failure_rate"),
