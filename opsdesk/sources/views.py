@@ -158,6 +158,18 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
 
+    VIEW_NAMES = ("tickets", "customers", "messages", "ticket_sla", "sla_policies", "audit_events", "knowledge",
+                  "queries", "quality", "feedback", "requests", "drafts", "predictions", "status_changes",
+                  "analyses")
+
+    def register(self, prefix: str = "") -> list[str]:
+        """Register every derived view as a temp view (lazy), for ``spark.sql`` users."""
+        names = []
+        for name in self.VIEW_NAMES:
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
     # ------------------------------------------------------------------ core entities
     @cached_property
     def tickets(self) -> DataFrame:

@@ -47,3 +47,12 @@ def test_register_all_supports_spark_sql(spark):
     register_all(spark, "/root/testdata/sf0.001")
     n = spark.sql("SELECT count(*) AS n FROM events WHERE event_type = :t", args={"t": "click"}).first().n
     assert n == spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type = 'click'").count()
+
+
+def test_registered_views_answer_parameterised_sql(spark, views):
+    from pyspark.sql import functions as F
+    views.register(prefix="od_")
+    got = spark.sql("SELECT count(*) AS n FROM od_tickets WHERE status = :s AND priority = :p",
+                    args={"s": "Open", "p": "Urgent"}).first().n
+    exp = views.tickets.where((F.col("status") == "Open") & (F.col("priority") == "Urgent")).count()
+    assert got == exp
