@@ -77,8 +77,12 @@ def ship_package(spark: SparkSession) -> None:
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
     target = scratch_path(spark, f"pyfiles-{app}")
-    if "://" not in target:
-        os.makedirs(target, exist_ok=True)
+    if "://" in target and not target.startswith("file:"):
+        # remote checkpoint folder (e.g. hdfs://): build the zip on the driver; addPyFile copies
+        # it to Spark's file server, from where every executor fetches it (code, not data)
+        target = tempfile.mkdtemp(prefix="opsdesk-pyfiles-")
+    target = target[len("file:"):] if target.startswith("file:") else target
+    os.makedirs(target, exist_ok=True)
     path = os.path.join(target, "opsdesk.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
         for folder, _, files in os.walk(pkg):
