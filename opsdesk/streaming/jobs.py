@@ -177,9 +177,8 @@ def _sla_timer(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         state.setTimeoutTimestamp(max(min(_ms(d) for d in pending), wm + 1))
     else:
         state.remove()
-    yield pd.DataFrame(alerts, columns=["ticket_id", "clock", "due_at"]) if alerts else \
-        pd.DataFrame({"ticket_id": pd.Series([], dtype="int64"), "clock": pd.Series([], dtype="object"),
-                      "due_at": pd.Series([], dtype="datetime64[us]")})
+    if alerts:  # an empty iterator is a valid "no output" for this group
+        yield pd.DataFrame(alerts, columns=["ticket_id", "clock", "due_at"])
 
 
 def sla_event_stream(spark: SparkSession, sf_dir: str, replies: DataFrame) -> DataFrame:
