@@ -68,3 +68,27 @@ def test_volume_stream_append_mode_emits_final_counts(spark, views):
     batch = {(r.day, r.series): r["count"] for r in b}
     for r in rows:
         assert batch[(r.day, r.series)] == r.tickets
+
+
+def test_sla_alerts_equal_batch_expectation(spark, views):
+    """Exact: an alert exists iff the clock is armed, not disarmed, and its due time is
+    behind the final watermark (max event time − 2 h)."""
+    import datetime as dt
+    replies = views.messages.where(F.col("direction") == "outbound").groupBy("ticket_id") \
+        .agg(F.min("created_at").alias("reply_at"))
+    alerts = {(r.ticket_id, r.clock) for r in spark.read.parquet(J.sla_stream(spark, SF, replies)).collect()}
+    rep = {r.ticket_id: r.reply_at for r in replies.collect()}
+    t = views.tickets.select("id", "status", "created_at", "k").collect()
+    sla = {r.ticket_id: r for r in views.ticket_sla.collect()}
+    times = [r.created_at for r in t] + [rep[r.id] for r in t if r.id in rep]
+    wm = max(times) - dt.timedelta(hours=2)
+    expected = set()
+    for r in t:
+        s = sla.get(r.id)
+        if s is None:
+            continue
+        if s.first_response_due_at is not None and r.id not in rep and s.first_response_due_at < wm:
+            expected.add((r.id, "first_response"))
+        if r.status not in ("Resolved", "Closed") and s.resolution_due_at < wm:
+            expected.add((r.id, "resolution"))
+    assert alerts == expected and expected
