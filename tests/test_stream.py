@@ -92,3 +92,11 @@ def test_sla_alerts_equal_batch_expectation(spark, views):
         if r.status not in ("Resolved", "Closed") and s.resolution_due_at < wm:
             expected.add((r.id, "resolution"))
     assert alerts == expected and expected
+
+
+def test_outbox_stream_equals_batch_outbox(spark, views):
+    from opsdesk.operators.outbox import build_outbox
+    s = spark.read.parquet(J.outbox_stream(spark, SF, views.tickets, views.customers))
+    b = build_outbox(views.drafts, views.tickets, views.customers)
+    cols = ["draft_id", "ticket_id", "channel", "status", "reject_reason"]
+    assert rows_of(cols, s.select(*cols).collect()) == rows_of(cols, b.select(*cols).collect())
