@@ -61,3 +61,14 @@ def test_sparse_hash_matches_python(spark):
         b, s = int(h[:8], 16) % 256, (1 if int(h[8:10], 16) % 2 else -1)
         exp[b] = exp.get(b, 0) + s
     assert got == {(b, v) for b, v in exp.items() if v != 0}
+
+
+def test_batch_embedder_udf_equals_python_vectors(spark):
+    from opsdesk.functions.embed import embed_column
+    texts = ["Refund the ₹999 charge", "password reset link", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.e for r in df.select("i", embed_column(F.col("t")).alias("e")).collect()}
+    exp = hashed_vectors(texts)
+    for i in range(len(texts)):
+        assert len(got[i]) == 256
+        assert max(abs(a - b) for a, b in zip(got[i], exp[i])) < 1e-7
