@@ -42,7 +42,7 @@ def scored_candidates(tickets: DataFrame, cap: int = LX.SIMILAR_CANDIDATES,
                              F.col("status").alias("cand_status"), F.col("text").alias("cand_text"),
                              "g_rank"))
     gvec = hash_embed(g, ["cand_id"], text="cand_text")
-    texts = t.select("th", "text").dropDuplicates(["th"])
+    texts = t.select("th", "text").distinct()  # th determines text: a hash aggregate, no sort
     tvec = hash_embed(texts, ["th"], text="text")
     # G's ≤ cap+1 vectors are the bounded side: broadcast them, stream the distinct texts
     scores = cosine_pairs(gvec, ["cand_id"], tvec, ["th"], query_broadcast=True) \

@@ -31,7 +31,7 @@ def text_hash(subject: str = "subject", description: str = "description"):
 
 def evidence_by_text(tickets: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int) -> DataFrame:
     """Top-k evidence per distinct ticket text as an array ordered by rank (≤ k entries)."""
-    texts = tickets.select(text_hash().alias("qid"), SIM.ticket_text().alias("text")).dropDuplicates(["qid"])
+    texts = tickets.select(text_hash().alias("qid"), SIM.ticket_text().alias("text")).distinct()
     hits = R.retrieve_cosine(texts, chunks, chunks_meta, k)
     return hits.groupBy(F.col("qid").alias("th")).agg(F.sort_array(F.collect_list(F.struct(
         "rank", "content", F.col("filename").alias("source"), "document_type", "score", "chunk_index")))
