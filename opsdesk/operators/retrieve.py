@@ -119,7 +119,7 @@ def _dense(b_lists, v_lists, dims: int):
     return m
 
 
-def _score_batches(bc, k: int, dims: int):
+def _score_batches(bc, k: int, dims: int, pad_zero: bool = False):
     """mapInPandas body: exact cosine of a batch of chunks against the broadcast queries and
     the batch-local top-k per query (ties: doc_id, chunk_index).  Only pairs sharing a bucket
     are candidates, as in the bucket equi-join."""
@@ -136,7 +136,11 @@ def _score_batches(bc, k: int, dims: int):
             cn2 = (c * c).sum(axis=1).astype(np.int64)
             dots = c @ qmat                                   # exact: integer sums < 2**53
             shared = ((c != 0).astype(np.float32) @ qnz) > 0
-            cos = dots / np.sqrt((cn2[:, None] * qn2[None, :]).astype(np.float64))
+            if pad_zero:  # every chunk is a candidate: chunks sharing no bucket score 0
+                shared = np.ones_like(shared)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                cos = dots / np.sqrt((cn2[:, None] * qn2[None, :]).astype(np.float64))
+            cos = np.nan_to_num(cos, nan=0.0)  # a zero-norm query (no tokens) scores 0
             doc = pdf["doc_id"].to_numpy()
             chunk = pdf["chunk_index"].to_numpy()
             out_q, out_d, out_c, out_s = [], [], [], []
@@ -163,7 +167,7 @@ def _score_batches(bc, k: int, dims: int):
 
 
 def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims: int = LX.HASH_DIMS,
-                max_queries: int = 20_000, checked: bool = False) -> DataFrame:
+                max_queries: int = 20_000, checked: bool = False, pad_zero: bool = False) -> DataFrame:
     """Top-k chunks per query for a *bounded* query set: the query matrix is broadcast, every
     corpus partition is scored batch-wise with one matrix product and emits ≤ k rows per
     query; the global top-k is the partial/final group limit.  The query count is checked
@@ -181,25 +185,33 @@ def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims:
     qn2 = (qmat * qmat).sum(axis=0).astype(np.int64)
     bc = spark.sparkContext.broadcast((qids, qmat, qn2))
     schema = f"qid {qtype}, doc_id bigint, chunk_index int, cosine double"
-    local = corpus_arrays.select("doc_id", "chunk_index", "b", "v").mapInPandas(_score_batches(bc, k, dims), schema)
+    local = corpus_arrays.select("doc_id", "chunk_index", "b", "v").mapInPandas(
+        _score_batches(bc, k, dims, pad_zero), schema)
     return top_k(local, ["qid"], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
 
 
 def retrieve_cosine(queries: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int,
-                    qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 20_000) -> DataFrame:
+                    qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 20_000,
+                    pad_zero: bool = False) -> DataFrame:
     """RET1: top-k chunks per query by cosine; score = round(max(0, cosine), 3).
     Ties break on (doc_id, chunk_index); blank queries get no hits.
 
     ``chunks`` (doc-partitioned chunk rows) are hashed here.  The query count is checked
     once: within ``max_broadcast_queries`` (20 k queries ≈ 41 MB as a dense 256 × Q matrix)
     the query matrix is broadcast and each corpus partition is scored by a vectorised kernel
-    (``dense_top_k``); beyond it the bucket equi-join is salted.  Both give identical scores."""
+    (``dense_top_k``); beyond it the bucket equi-join is salted.  Both give identical scores.
+
+    ``pad_zero`` (kernel path): rank *every* chunk, so a query with fewer than k matching
+    chunks is padded with zero-similarity chunks (lowest ids first) — the behaviour of an
+    unthresholded vector-store top-k.  The default keeps only chunks sharing a bucket."""
     q = queries.where(F.length(F.trim(F.col(qtext))) > 0).select(F.col(qid).alias("qid"), F.col(qtext).alias("text"))
     small = bounded(q.select("qid"), max_broadcast_queries)
     if small:
         best = dense_top_k(sparse_arrays(chunks, ["doc_id", "chunk_index"]), sparse_arrays(q, ["qid"], "text"), k,
-                           checked=True)
+                           checked=True, pad_zero=pad_zero)
     else:
+        if pad_zero:
+            raise ValueError("pad_zero needs the broadcast kernel path (query set within the bound)")
         qvec = hash_embed(q, ["qid"], text="text")
         cvec = hash_embed(chunks, ["doc_id", "chunk_index"])
         pairs = cosine_pairs(qvec, ["qid"], cvec, ["doc_id", "chunk_index"], query_broadcast=False)

@@ -56,3 +56,18 @@ def test_jaccard_kernel_equals_inverted_index_join(views):
     a = rows_of(cols, kernel.select(*cols).collect())
     b = rows_of(cols, joined.select(*cols).collect())
     assert a == b and len(a) > 0
+
+
+def test_pad_zero_fills_k_hits_for_unmatched_queries(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "alpha gamma")],
+                                 "doc_id long, text string")
+    chunks = R.chunk_documents(docs)
+    meta = R.chunk_documents(docs.withColumn("filename", F.lit("f")).withColumn("document_type", F.lit("t")),
+                             keep=["filename", "document_type"])
+    q = spark.createDataFrame([(10, "zeta"), (11, "alpha")], "qid long, text string")
+    plain = R.retrieve_cosine(q, chunks, meta, 2).collect()
+    padded = R.retrieve_cosine(q, chunks, meta, 2, pad_zero=True).collect()
+    assert {r.qid for r in plain} == {11}                      # no shared bucket, no hit
+    zeta = sorted((r.rank, r.doc_id, r.score) for r in padded if r.qid == 10)
+    assert zeta == [(1, 1, 0.0), (2, 2, 0.0)]                  # padded by lowest ids, score 0
+    assert sorted(r.doc_id for r in padded if r.qid == 11) == sorted(r.doc_id for r in plain if r.qid == 11)
