@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsdesk.llm import contam, packing, tokens
+from opsdesk.llm import contam, fmindex, jaccard, knn, packing, suffixblocks, tokens
 from opsdesk.llm.common import table
 
 
@@ -15,12 +15,32 @@ def tokenizer_file(name: str) -> bytes:
         return f.read()
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by a 50-word window that also starts in a smaller document."""
+    return fmindex.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, from one encoding of the whole document."""
     return tokens.token_counts(table(spark, sf_dir, "documents"),
                                tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 50-byte string that also starts in a smaller document."""
+    return suffixblocks.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op7_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows by integer inner product for every row whose vec_id is divisible by 20."""
+    return knn.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at a similarity of 0.8 on five-word shingles."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a 10-word window of a benchmark item."""
     return contam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,5 +51,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op9_contamination, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_token_counts, op6_suffix_dedup, op7_knn_join,
+                                  op8_jaccard_join, op9_contamination, op10_packing)}
 SQL: dict[str, str] = {}
