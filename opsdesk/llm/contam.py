@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsdesk.llm import textscan as S
 from opsdesk.llm.common import id_text, map_pieces, prepare
@@ -231,9 +232,10 @@ def item_blocks(items: DataFrame, block_bytes: int):
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
-                       block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, item_ids (array, sorted) and, with ``remove``, the
-    text without the hit words (their bytes are cut, everything else stays).
+                       block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None, remove: bool = False) -> DataFrame:
+    """Per document: the columns of ``keep`` (doc_id), n_words, n_hit and item_ids (array, sorted).
+    With ``remove`` the kept text comes without the hit words (their bytes are cut, everything
+    else stays).
 
     Every block of items is one automaton in the tasks' closure; a document is streamed through
     each of them, and its hits are united before anything is returned.
@@ -241,8 +243,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
     prepare(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared = [context.broadcast(ItemIndex(b, window)) for b in item_blocks(items, block_bytes)]
-    names = ["doc_id", "n_words", "n_hit", "item_ids"] + (["text"] if remove else [])
-    schema = "doc_id long, n_words long, n_hit long, item_ids array<long>" + (", text string" if remove else "")
+    keep = keep or ["doc_id"]
+    frame = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumn("text", F.col("text").cast("string"))
+    names = [*keep, "n_words", "n_hit", "item_ids"]
+    schema = T.StructType([*(frame.schema[c] for c in keep), T.StructField("n_words", T.LongType()),
+                           T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType()))])
 
     def scan(piece: pa.RecordBatch) -> pa.RecordBatch:
         data, off = S.text_bytes(piece.column("text"))
@@ -258,20 +263,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10,
                 found.setdefault(a, set()).add(b)
         total = np.concatenate([[0], np.cumsum(hit)])
         m = piece.num_rows
-        cols = [piece.column("doc_id"), pa.array(first[1:] - first[:-1]), pa.array(total[first[1:]] - total[first[:-1]]),
-                pa.array([sorted(found.get(d, ())) for d in range(m)], pa.list_(pa.int64()))]
-        if remove:
+        kept = {c: piece.column(c) for c in keep}
+        if remove and hit.any():
             texts = piece.column("text").to_pylist()
-            for d in sorted({int(x) for x in np.searchsorted(first, np.flatnonzero(hit), side="right") - 1}):
-                texts[d] = _cut(texts[d].encode("utf-8"), [(int(starts[w] - off[d]), int(ends[w] - off[d]))
-                                                          for w in range(first[d], first[d + 1]) if hit[w]])
-            cols.append(pa.array(texts, pa.string()))
-        return pa.RecordBatch.from_arrays(cols, names=names)
+            for d in np.unique(np.searchsorted(first, np.flatnonzero(hit), side="right") - 1).tolist():
+                at = first[d] + np.flatnonzero(hit[first[d]:first[d + 1]])
+                spans = zip((starts[at] - off[d]).tolist(), (ends[at] - off[d]).tolist())
+                texts[d] = _cut(texts[d].encode("utf-8"), spans)
+            kept["text"] = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays(
+            [*(kept[c] for c in keep), pa.array(first[1:] - first[:-1]), pa.array(total[first[1:]] - total[first[:-1]]),
+             pa.array([sorted(found.get(d, ())) for d in range(m)], pa.list_(pa.int64()))], names=names)
 
-    return map_pieces(id_text(docs), scan, schema)
+    return map_pieces(frame, scan, schema)
 
 
-def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
+def _cut(raw: bytes, spans) -> str:
     out, at = [], 0
     for a, b in spans:
         out.append(raw[at:a])
@@ -280,9 +287,17 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join(out).decode("utf-8")
 
 
+def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], window: int = 10,
+                  max_coverage: float = 0.5) -> DataFrame:
+    """Documents without the spans that occur in test items; documents of which more than
+    ``max_coverage`` of the words are hit go as a whole."""
+    found = find_contamination(docs, items, window, keep=keep, remove=True)
+    return found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)).select(*keep)
+
+
 def contamination_report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The digest columns of the registered query."""
-    found = find_contamination(docs, items, window)
+    found = find_contamination(id_text(docs), items, window)
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(ids.cast("binary"), 256).alias("items_sha256"),

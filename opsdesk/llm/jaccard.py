@@ -174,8 +174,8 @@ class BlockPair:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class of linked documents;
-    its own if it has no links) and n_links (other documents of similarity >= threshold, copies
-    included)."""
+    its own if it has no links), n_links (other documents of similarity >= threshold, copies
+    included), class_key (tells classes apart even where ids repeat; null: no words) and text_key."""
     spark = docs.sparkSession
     prepare(spark)
     bands = HASHES // BAND
@@ -197,11 +197,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         null = np.ones(piece.num_rows, bool)
         null[some] = False
         return pa.RecordBatch.from_arrays(
-            [piece.column("doc_id"), pa.array(keys, pa.int64(), mask=null),
-             pa.ListArray.from_arrays(pa.array(offsets), pa.array(band))], names=["doc_id", "set_key", "bands"])
+            [piece.column("doc_id"), piece.column("text_key"), pa.array(keys, pa.int64(), mask=null),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(band))],
+            names=["doc_id", "text_key", "set_key", "bands"])
 
     rows = id_text(docs)
-    made = stored(map_pieces(rows, banded, "doc_id long, set_key long, bands array<long>"), "bands")
+    made = stored(map_pieces(rows.withColumn("text_key", F.xxhash64("text")), banded,
+                             "doc_id long, text_key long, set_key long, bands array<long>"), "bands")
     sets = made.where("set_key is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
     banded_sets = stored(sets, "sets")
@@ -275,7 +277,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         .withColumn("component", F.coalesce("component", "set_key"))
     lowest = known.groupBy("component").agg(F.min("doc").alias("class_id"))
     per_set = known.join(lowest, "component").select(
-        "set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return made.select("doc_id", "set_key").join(per_set, "set_key", "left").select(
+        "set_key", "class_id", "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return made.select("doc_id", "text_key", "set_key").join(per_set, "set_key", "left").select(
         "doc_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("class_key"), "text_key")
+
+
+def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with one row per class of linked documents: the smallest doc_id (of several
+    rows of that id in the class the one of smallest text hash).  Rows without words stay, equal
+    ones once."""
+    found = near_duplicates(docs, threshold)
+    first = found.where("class_key is null or doc_id <=> class_id").groupBy("class_key", "doc_id").agg(
+        F.min("text_key").alias("text_key")).drop("class_key").distinct() \
+        .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    keyed = docs.withColumn("_key2", F.xxhash64(F.col("text").cast("string")))
+    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")))
+    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns)

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, packing, suffixblocks, tokens
+from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, packing, suffixblocks, tokens, toxicity
 from opsdesk.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned on two thirds of the labelled rows."""
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document in blocks aligned with an earlier overlapping document."""
     return linealign.remove_repeated_lines(table(spark, sf_dir, "documents")).drop("text")
@@ -62,6 +67,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_language_id, op3_token_counts, op5_line_dedup, op6_suffix_dedup, op7_knn_join,
-    op8_jaccard_join, op9_contamination, op10_packing)}
+    op1_substring_dedup, op2_language_id, op3_token_counts, op4_toxicity, op5_line_dedup, op6_suffix_dedup,
+    op7_knn_join, op8_jaccard_join, op9_contamination, op10_packing)}
 SQL: dict[str, str] = {}
