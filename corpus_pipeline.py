@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdesk.llm import contam, jaccard, langid, linealign, packing
-from opsdesk.llm.common import prepare, shared_folder, table
+from opsdesk.llm.common import carry, prepare, restore, shared_folder, table
 from opsdesk.llm.queries import tokenizer_file
 
 LEAST_SHARE = 0.35
@@ -30,15 +30,14 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs)
-    found = langid.predict(docs, model, docs.columns)
+    found = langid.predict(carry(docs), model, ["text", "row"])
     kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return restore(kept, docs, lang=F.coalesce(F.col("row.lang"), F.col("lang_pred")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linealign.remove_repeated_lines(docs, docs.columns)
-    kept = found.where("n_removed = 0 or trim(text) <> ''")
-    return _resized(kept, docs).select(*docs.columns)
+    found = linealign.remove_repeated_lines(carry(docs), ["doc_id", "text", "row"])
+    return _resized(restore(found.where("n_removed = 0 or trim(text) <> ''"), docs), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +45,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = contam.decontaminate(docs, table(spark, sf_dir, "benchmark"), docs.columns)
-    return _resized(kept, docs)
+    return _resized(contam.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,19 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
                        F.col("text").cast("string").alias("text"), *[F.col(c) for c in more])
 
 
+def carry(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): everything but the text as one struct, so that a table's own columns
+    pass through an operator whatever their names."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def restore(carried: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` from a carried table; ``changed`` gives new values by name."""
+    return carried.select(*[changed[c].alias(c) if c in changed else F.col("text") if c == "text" else
+                            F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

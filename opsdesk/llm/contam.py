@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsdesk.llm import textscan as S
-from opsdesk.llm.common import id_text, map_pieces, prepare
+from opsdesk.llm.common import carry, id_text, map_pieces, prepare, restore
 
 ITEM_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLOCK_BYTES = 8 << 20
@@ -287,12 +287,11 @@ def _cut(raw: bytes, spans) -> str:
     return b"".join(out).decode("utf-8")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str], window: int = 10,
-                  max_coverage: float = 0.5) -> DataFrame:
-    """Documents without the spans that occur in test items; documents of which more than
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
+    """The documents without the spans that occur in test items; those of which more than
     ``max_coverage`` of the words are hit go as a whole."""
-    found = find_contamination(docs, items, window, keep=keep, remove=True)
-    return found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)).select(*keep)
+    found = find_contamination(carry(docs), items, window, keep=["text", "row"], remove=True)
+    return restore(found.where(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)), docs)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsdesk.llm import textscan as S
-from opsdesk.llm.common import id_text, map_pieces, partitions, prepare, stored
+from opsdesk.llm.common import carry, id_text, map_pieces, partitions, prepare, restore, stored
 from opsdesk.llm.components import components
 
 SHINGLE = 5
@@ -291,6 +291,6 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     first = found.where("class_key is null or doc_id <=> class_id").groupBy("class_key", "doc_id").agg(
         F.min("text_key").alias("text_key")).drop("class_key").distinct() \
         .select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_key2", F.xxhash64(F.col("text").cast("string")))
-    kept = keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")))
-    return kept.dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    keyed = carry(docs).withColumn("key", F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return restore(kept.dropDuplicates(["_id", "_key"]), docs)

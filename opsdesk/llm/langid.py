@@ -96,8 +96,10 @@ def train(rows: DataFrame) -> Model:
                     total[name] = total[name] + part if name in total else part
         for name, part in total.items():
             some = np.flatnonzero(part)
+            if not len(some):
+                continue
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(some)), pa.array(some.astype(np.int32)), pa.array(part[some].astype(np.int64))],
+                [pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(part[some].astype(np.int64))],
                 names=["lang", "bucket", "n"])
 
     counts = rows.where("lang is not null and text is not null").select("text", "lang") \

