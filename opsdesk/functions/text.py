@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from opsdesk.functions.lexicon import TOKEN_PATTERN
+from opsdesk.functions.lexicon import TOKEN_PATTERN, WHITESPACE
 
 
 def col(c) -> Column:
@@ -16,8 +16,9 @@ def col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: removes all leading/trailing whitespace (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(F.regexp_replace(col(c), r"^\s+", ""), r"\s+$", "")
+    """Python ``str.strip()``: removes all leading/trailing Unicode whitespace (Spark ``trim`` removes
+    spaces only, ``\\s`` is ASCII)."""
+    return F.regexp_replace(F.regexp_replace(col(c), f"^{WHITESPACE}+", ""), f"{WHITESPACE}+$", "")
 
 
 def is_blank(c) -> Column:
@@ -27,7 +28,7 @@ def is_blank(c) -> Column:
 
 def normalize_ws(c) -> Column:
     """TX1: collapse whitespace runs to one space and strip."""
-    return py_strip(F.regexp_replace(col(c), r"\s+", " "))
+    return py_strip(F.regexp_replace(col(c), f"{WHITESPACE}+", " "))
 
 
 def tokenize(c) -> Column:

@@ -59,7 +59,7 @@ def resolve_customers(valid_requests: DataFrame, customers: DataFrame) -> DataFr
     j = r.join(existing, "em", "left").join(first, "em", "left")
     new_id = F.concat(F.lit("CUS-"), F.substring(F.sha2(F.concat(F.lit("customer:"),
                       F.when(F.col("blank_email"), F.col("request_id")).otherwise(F.col("first_request"))
-                      .cast("string")), 256), 1, 12))
+                      .cast("string")), 256), 1, 32))
     return j.select("request_id",
                     F.coalesce(F.col("existing_id").cast("string"), new_id).alias("customer_id"),
                     (F.col("existing_id").isNull() & (F.col("blank_email") |
@@ -75,7 +75,7 @@ def intake(requests: DataFrame, customers: DataFrame, policies: DataFrame) -> di
     cust = resolve_customers(ok, customers)
     r = ok.join(cust, "request_id", "inner")
     tid = F.concat(F.lit("SUP-"), F.upper(F.substring(F.sha2(F.concat(F.lit("ticket:"),
-                                                                        F.col("request_id").cast("string")), 256), 1, 6)))
+                                                                        F.col("request_id").cast("string")), 256), 1, 32)))
     tickets = r.select(
         tid.alias("id"), "request_id", "customer_id", py_strip(F.col("subject")).alias("subject"),
         py_strip(F.col("description")).alias("description"), "channel", F.lit("Open").alias("status"),
@@ -100,8 +100,8 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
                  key: str = "row_id", observation=None) -> DataFrame:
     """CL13: per-row classification of a CSV batch in one pass.
 
-    subject/description are stripped then cut to 300/5000; a missing or blank value gives a
-    failed row with a fixed error (the row text is never echoed); customer is cut to 200.
+    The whole stripped subject and description are classified; a missing or blank value gives a
+    failed row with a fixed error (the row text is never echoed).
     ``knowledge_matches`` is the number of retrieval hits at k=2, i.e. min(k, corpus chunks)
     for a non-blank text (vector retrieval has no minimum score).  ``max_rows`` reproduces
     the optional batch cap (raise when exceeded); at scale it is left unset.  Progress is
@@ -111,12 +111,10 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
 
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"Batch exceeds the {max_rows:,}-row limit. Split the CSV and retry.")
-    subj = F.substring(py_strip(F.col("subject")), 1, LX.BULK_SUBJECT_MAX)
-    desc = F.substring(py_strip(F.col("description")), 1, LX.BULK_DESCRIPTION_MAX)
+    subj, desc = py_strip(F.col("subject")), py_strip(F.col("description"))
     corpus = corpus_chunks.agg(F.count(F.lit(1)).alias("corpus_n")).scalar()  # one value, no join
     r = rows.select(key, subj.alias("s"), desc.alias("d"),
-                    F.substring(F.coalesce(F.col("customer").cast("string"), F.lit("")), 1, LX.BULK_CUSTOMER_MAX)
-                    .alias("customer"), corpus.alias("corpus_n"))
+                    F.coalesce(F.col("customer").cast("string"), F.lit("")).alias("customer"), corpus.alias("corpus_n"))
     ok = F.col("s").isNotNull() & F.col("d").isNotNull() & (F.length("s") > 0) & (F.length("d") > 0)
     out = with_rule_analysis(r.withColumn("ok", ok), "s", "d")
 

@@ -401,9 +401,11 @@ def missing_chunks(chunks: DataFrame, indexed: DataFrame, keys: list[str] | None
     return chunks.join(indexed.select(*keys).distinct(), keys, "left_anti")
 
 
-def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """IO7/X3: drop every existing row whose key appears in ``new``, then append ``new``."""
-    return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def replace_by_key(existing: DataFrame, new: DataFrame, keys: list[str], replaced: DataFrame) -> DataFrame:
+    """IO7/X3: drop every existing row whose key is in ``replaced`` (the keys that were asked to be
+    replaced, also those whose new result is empty), then append the new rows of those keys."""
+    asked = replaced.select(*keys).distinct()
+    return existing.join(asked, keys, "left_anti").unionByName(new.join(asked, keys, "left_semi"))
 
 
 def delete_documents(documents: DataFrame, chunks: DataFrame, requests: DataFrame) -> dict:

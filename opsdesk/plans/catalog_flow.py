@@ -22,7 +22,7 @@ def sql_text(s: str) -> str:
 
 
 def _strip_sql(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+    return f"regexp_replace(regexp_replace({x}, '^{LX.WHITESPACE}+', ''), '{LX.WHITESPACE}+$', '')"
 
 
 def _in_list(words) -> str:

@@ -135,7 +135,7 @@ rc AS (SELECT r.request_id,
               coalesce(CAST(ex.existing_id AS VARCHAR),
                        concat('CUS-', substr(sha256(concat('customer:', CAST(CASE WHEN r.blank_email THEN r.request_id
                                                                           ELSE fr.first_request END AS VARCHAR))),
-                                             1, 12))) AS customer_id,
+                                             1, 32))) AS customer_id,
               ex.existing_id IS NULL AND (r.blank_email OR fr.first_request = r.request_id) AS creates_customer
        FROM r LEFT JOIN ex ON ex.em = r.em LEFT JOIN fr ON fr.em = r.em)"""
 
@@ -155,7 +155,7 @@ def _intake_customers(v):
 
 @query("intake_tickets", sql=f"""
 WITH {_CUSTOMERS_SQL}
-SELECT concat('SUP-', upper(substr(sha256(concat('ticket:', CAST(ok.request_id AS VARCHAR))), 1, 6))) AS id,
+SELECT concat('SUP-', upper(substr(sha256(concat('ticket:', CAST(ok.request_id AS VARCHAR))), 1, 32))) AS id,
        ok.request_id, rc.customer_id, {_strip_sql('ok.subject')} AS subject,
        {_strip_sql('ok.description')} AS description, ok.channel, 'Open' AS status, 'Medium' AS priority,
        'Moderate' AS severity, '{LX.DEFAULT_AGENT}' AS assigned_agent, ok.requested_at AS created_at
@@ -342,9 +342,9 @@ def bulk_rows(v):
 _BULK_SQL = f"""
 chunks AS ({CHUNKS_SQL}),
 corpus AS (SELECT count(*) AS n FROM chunks),
-br AS (SELECT request_id AS row_id, substr({_strip_sql('subject')}, 1, {LX.BULK_SUBJECT_MAX}) AS s,
-              substr({_strip_sql('description')}, 1, {LX.BULK_DESCRIPTION_MAX}) AS d,
-              substr(coalesce(CAST(name AS VARCHAR), ''), 1, {LX.BULK_CUSTOMER_MAX}) AS customer FROM requests),
+br AS (SELECT request_id AS row_id, {_strip_sql('subject')} AS s,
+              {_strip_sql('description')} AS d,
+              coalesce(CAST(name AS VARCHAR), '') AS customer FROM requests),
 bc AS (SELECT * FROM ({{classify}})),
 bulk AS (
   SELECT br.row_id, CASE WHEN ok THEN s ELSE '{LX.BULK_FAILED_SUBJECT}' END AS subject,
@@ -435,10 +435,10 @@ WITH s AS (SELECT page_id, url,
         '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g'),
         '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
       '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'),
-    '\\s+', ' ', 'g')) AS text FROM pages)
-SELECT page_id, url, CASE WHEN length(text) <= 2000000 THEN text END AS text, CAST(length(text) AS INTEGER) AS n_chars,
-       CASE WHEN length(text) > 2000000 THEN 'Extracted knowledge text exceeds the 2 MB character limit.' END AS error
-FROM s""")
+    '{LX.WHITESPACE}+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, url, text, CAST(length(text) AS INTEGER) AS n_chars,
+       CASE WHEN length(text) > 2000000 THEN 'Extracted knowledge text exceeds the 2 MB character limit.' END AS warning
+FROM s""".replace("{LX.WHITESPACE}", LX.WHITESPACE))
 def _extract_pages(v):
-    """IO4: raw HTML pages to plain text with the size quarantine."""
+    """IO4: raw HTML pages to whole plain text; long ones are flagged."""
     return documents.extract_pages(v.table("pages"))

@@ -33,7 +33,8 @@ SELECT {keys}, bucket, v, sum(v * v) OVER (PARTITION BY {keys}) AS norm2 FROM (
   GROUP BY ALL HAVING sum({_sign_sql('w')}) <> 0)"""
 
 
-NORM_SQL = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+# (the class holds braces of its own: doubled for str.format)
+NORM_SQL = "trim(regexp_replace({x}, '" + LX.WHITESPACE.replace("{", "{{").replace("}", "}}") + "+', ' ', 'g'))"
 CHUNKS_SQL = f"""
 SELECT doc_id, CAST(s // {LX.CHUNK_SIZE - LX.CHUNK_OVERLAP} AS BIGINT) AS chunk_index,
        substr(t, s + 1, {LX.CHUNK_SIZE}) AS content
@@ -212,9 +213,9 @@ def _index_missing(v):
 WITH chunks AS ({CHUNKS_SQL}),
 cv AS ({CVEC_SQL}),
 req AS (SELECT doc_id FROM knowledge WHERE indexed_at IS NULL),
-old AS (SELECT * FROM cv WHERE doc_id NOT IN (SELECT doc_id FROM req)),
+old AS (SELECT * FROM cv),
 new AS (SELECT * FROM cv WHERE doc_id IN (SELECT doc_id FROM req)),
-idx AS (SELECT *, FALSE AS fresh FROM old UNION ALL SELECT *, TRUE FROM new)
+idx AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM req) UNION ALL SELECT * FROM new)
 SELECT k.doc_id, CAST(count(DISTINCT idx.chunk_index) AS BIGINT) AS indexed_chunks,
        CAST(count(idx.bucket) AS BIGINT) AS entries,
        CASE WHEN k.doc_id IN (SELECT doc_id FROM req) THEN TIMESTAMP '{AS_OF}' ELSE k.indexed_at END AS indexed_at
@@ -224,9 +225,7 @@ def _doc_reindex(v):
     chunks = chunks_of(v)
     vectors = chunk_vectors(v, chunks)
     req = v.knowledge.where(F.col("indexed_at").isNull()).select("doc_id")
-    old = vectors.join(req, "doc_id", "left_anti")  # stand-in for the stored index without the requested docs
-    new = vectors.join(req, "doc_id", "left_semi")
-    idx = R.replace_by_key(old, new, ["doc_id"])
+    idx = R.replace_by_key(vectors, vectors.join(req, "doc_id", "left_semi"), ["doc_id"], req)
     stats = idx.groupBy("doc_id").agg(F.count_distinct("chunk_index").alias("indexed_chunks"),
                                       F.count(F.lit(1)).alias("entries"))
     reqf = req.withColumn("fresh", F.lit(True))
@@ -304,7 +303,7 @@ def _similar_duplicates(v):
 WITH {SIM_SQL},
 new AS (SELECT p.ticket_id, p.matched_ticket_id, p.score, p.match_type FROM p JOIN tickets tk ON tk.id = p.ticket_id
         WHERE tk.status = 'Escalated' AND p.match_type = 'probable_duplicate')
-SELECT ticket_id, matched_ticket_id, score, match_type FROM top8 WHERE ticket_id NOT IN (SELECT ticket_id FROM new)
+SELECT ticket_id, matched_ticket_id, score, match_type FROM top8 WHERE ticket_id NOT IN (SELECT id FROM tickets WHERE status = 'Escalated')
 UNION ALL SELECT * FROM new""", floats=["score"])
 def _replace_similarity(v):
     """IO7 + X3: replace the similarity rows of escalated tickets by their full duplicate lists."""
@@ -312,7 +311,7 @@ def _replace_similarity(v):
     esc = v.tickets.where(F.col("status") == "Escalated").select(F.col("id").alias("ticket_id"))
     new = out["duplicates"].join(esc, "ticket_id", "left_semi")
     existing = out["similar"].drop("rank")
-    return R.replace_by_key(existing, new, ["ticket_id"])
+    return R.replace_by_key(existing, new, ["ticket_id"], esc)
 
 
 @query("near_duplicates", sql=f"""

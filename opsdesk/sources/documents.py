@@ -1,8 +1,8 @@
 """IO4: document sources — raw files (``binaryFile``) and HTML pages to plain text.
 
-Limits (fixed values): files ≤ 10 MB, extracted text ≤ 2,000,000 characters; txt / md / csv
-are decoded as UTF-8 (invalid bytes replaced), html / htm are stripped to text.  Rejected
-inputs go to the same frame with an ``error`` (quarantine), never silently dropped.
+Files over 10 MB and texts over 2,000,000 characters are flagged with a ``warning`` and keep
+their whole text; txt / md / csv are decoded as UTF-8 (invalid bytes replaced), html / htm are
+stripped to text.  Inputs of other types have no text and an ``error``, never silently dropped.
 PDF / DOCX decoding is not built (no decoder library available).
 """
 
@@ -35,11 +35,11 @@ def html_to_text(html: Column) -> Column:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html) → text with the character cap applied as a quarantine."""
+    """Pages (page_id, url, html) → whole text; long ones are flagged."""
     t = pages.select("page_id", "url", html_to_text(F.col("html")).alias("text"))
     n = F.length("text")
-    return t.select("page_id", "url", F.when(n <= MAX_CHARS, F.col("text")).alias("text"), n.alias("n_chars"),
-                    F.when(n > MAX_CHARS, F.lit(ERR_CHARS)).alias("error"))
+    return t.select("page_id", "url", "text", n.alias("n_chars"),
+                    F.when(n > MAX_CHARS, F.lit(ERR_CHARS)).alias("warning"))
 
 
 def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -48,15 +48,13 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def extract_documents(binary: DataFrame) -> DataFrame:
-    """``binaryFile`` rows (path, length, content) → (path, filename, text, error)."""
+    """``binaryFile`` rows (path, length, content) → (path, filename, text, error, warning)."""
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     decoded = F.decode(F.col("content"), "UTF-8")
     text = F.when(suffix.isin(".txt", ".md", ".csv"), decoded) \
         .when(suffix.isin(".html", ".htm"), html_to_text(decoded))
-    err = F.when(F.col("length") > MAX_BYTES, F.lit(ERR_SIZE)) \
-        .when(suffix.isin(".pdf", ".docx"), F.lit(ERR_DECODER)) \
-        .when(text.isNull(), F.lit(ERR_TYPE)) \
-        .when(F.length(text) > MAX_CHARS, F.lit(ERR_CHARS))
+    err = F.when(suffix.isin(".pdf", ".docx"), F.lit(ERR_DECODER)).when(text.isNull(), F.lit(ERR_TYPE))
+    warning = F.when(F.col("length") > MAX_BYTES, F.lit(ERR_SIZE)).when(F.length(text) > MAX_CHARS, F.lit(ERR_CHARS))
     return binary.select("path", name.alias("filename"), F.when(err.isNull(), text).alias("text"),
-                         err.alias("error"))
+                         err.alias("error"), warning.alias("warning"))

@@ -52,6 +52,12 @@ def _run(writer, available_now: bool = True):
     return q
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Does the path exist, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def _locations(spark: SparkSession, name: str, base: str | None) -> tuple[str, str]:
     root = base or scratch_path(spark, f"stream-{name}-{os.urandom(6).hex()}")
     return os.path.join(root, "sink"), os.path.join(root, "checkpoint")
@@ -86,10 +92,8 @@ def outbox_stream(spark: SparkSession, sf_dir: str, tickets: DataFrame, customer
 
     def process(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        try:
-            recorded = s.read.parquet(keylog).where(F.col("batch_id") != batch_id)
-        except Exception:  # noqa: BLE001 - first batch: no log yet
-            recorded = None
+        # the first batch has no log yet; any other failure to read it stops the batch
+        recorded = s.read.parquet(keylog).where(F.col("batch_id") != batch_id) if _exists(s, keylog) else None
         result = build_outbox(batch, tickets, customers, recorded_keys=recorded)
         result = result.withColumn("batch_id", F.lit(batch_id))
         result.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))

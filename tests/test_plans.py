@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as E
+from opsdesk.plans.catalog import all_queries
 
 SF = "/root/testdata/sf0.001"
-BATCH = [k for k in E.queries() if not k.startswith("st_") and k != "csv_intake"]
+BATCH = [k for k in all_queries() if not k.startswith("st_") and k != "csv_intake"]
 
 
 def _plan(spark, key: str) -> str:

@@ -23,7 +23,8 @@ def test_extract_documents_limits_and_types(spark):
     out = {r.filename: r for r in documents.extract_documents(documents.read_binary(spark, d)).collect()}
     assert out["guide.txt"].text.startswith("For product resets") and out["guide.txt"].error is None
     assert out["page.html"].text == "Hello & welcome"
-    assert out["large.txt"].error == documents.ERR_SIZE and out["large.txt"].text is None
+    assert out["large.txt"].warning == documents.ERR_SIZE and out["large.txt"].error is None
+    assert len(out["large.txt"].text) == 10 * 1024 * 1024 + 1
     assert out["scan.pdf"].error == documents.ERR_DECODER
     assert out["image.png"].error == documents.ERR_TYPE
 
