@@ -99,7 +99,7 @@ def check_deliverable(outbox: DataFrame, email_provider: str = "demo", sms_provi
 
 
 def apply_delivery_results(results: DataFrame, as_of) -> dict:
-    """Key-log status, outbound message rows and audit events per delivery result.
+    """Key-log status, outbound message rows, touched tickets and audit events per delivery result.
     Failed deliveries write only the key status and a failure event."""
     stamp = as_timestamp(as_of)
     ok = F.col("delivery_status") != "failed"
@@ -121,7 +121,8 @@ def apply_delivery_results(results: DataFrame, as_of) -> dict:
         F.format_string("Approved %s could not be accepted by the configured provider.", F.col("channel"))
         .alias("description"))))
     audit = results.select("ticket_id", "idempotency_key", F.inline(ev))
-    return {"keys": keys, "messages": messages, "audit": audit}
+    tickets = results.where(ok).select("ticket_id").distinct().withColumn("updated_at", stamp)
+    return {"keys": keys, "messages": messages, "tickets": tickets, "audit": audit}
 
 
 def human_edited(latest: DataFrame, sent: DataFrame) -> DataFrame:

@@ -127,8 +127,12 @@ def _outputs(v):
 
 @query("wf_recommendations", sql=f"""WITH {ENRICH_CTES}
 SELECT ticket_id, problem_summary, {sql_text(LX.LIKELY_CAUSE)} AS likely_cause, recommended_steps,
-       escalation_required, {ESC_REASON_SQL} AS escalation_reason, evidence_count,
-       TIMESTAMP '{AS_OF}' AS created_at FROM enr""")
+       {sql_text(" | ".join(LX.REQUIRED_CHECKS))} AS required_checks, {sql_text(LX.CUSTOMER_ACTION)} AS customer_action,
+       {sql_text(LX.INTERNAL_ACTION)} AS internal_action,
+       escalation_required, {ESC_REASON_SQL} AS escalation_reason,
+       coalesce(array_to_string(ev.contents, ' | '), '') AS evidence, enr.evidence_count,
+       TIMESTAMP '{AS_OF}' AS created_at
+FROM enr LEFT JOIN tt ON tt.id = enr.ticket_id LEFT JOIN ev ON ev.th = tt.th""")
 def _wf_recommendations(v):
     """IO6: recommendation rows of the enrichment."""
     return _outputs(v)["recommendations"]
@@ -162,12 +166,13 @@ def _wf_ticket_update(v):
 @query("wf_audit", sql=f"""WITH {ENRICH_CTES}
 SELECT ticket_id, '{LX.EV_TOOL}' AS event_type,
        CASE WHEN mcp_succeeded THEN 'Controlled demo customer lookup completed.'
-            ELSE 'Controlled demo customer lookup did not find a record.' END AS description, 0 AS seq
+            ELSE 'Controlled demo customer lookup did not find a record.' END AS description, 0 AS seq, '{{}}' AS metadata_json
 FROM enr WHERE mcp_used
-UNION ALL SELECT ticket_id, '{LX.EV_ANALYSIS}', 'AI workflow completed in demo mode.', 1 FROM enr
-UNION ALL SELECT ticket_id, '{LX.EV_ESCALATION}', {ESC_REASON_SQL}, 2 FROM enr WHERE escalation_required
+UNION ALL SELECT ticket_id, '{LX.EV_ANALYSIS}', 'AI workflow completed in demo mode.', 1, '{{}}' FROM enr
+UNION ALL SELECT ticket_id, '{LX.EV_ESCALATION}', {ESC_REASON_SQL}, 2, '{{}}' FROM enr WHERE escalation_required
 UNION ALL SELECT ticket_id, '{LX.EV_SIMILAR}',
-                 format('{{:d}} similar cases found; probable duplicates require agent review.', similar_count), 3
+                 format('{{:d}} similar cases found; probable duplicates require agent review.', similar_count), 3,
+                 format('{{{{"possible_duplicates": {{:d}}}}}}', duplicate_count)
 FROM enr WHERE similar_count > 0""")
 def _wf_audit(v):
     """CL16: audit events derived from the enrichment."""

@@ -45,6 +45,15 @@ def _status_changes(v):
     return ST.apply_status_changes(v.tickets, v.status_changes)["updated"]
 
 
+@query("status_audit", sql=f"""
+SELECT c.ticket_id, '{LX.EV_STATUS}' AS event_type, concat('Ticket status changed to ', c.status, '.') AS description,
+       c.changed_at AS created_at
+FROM status_changes c WHERE c.status IN ({_STATUS_LIST}) AND c.ticket_id IN (SELECT id FROM tickets)""")
+def _status_audit(v):
+    """U1 + IO5: one audit event per applied status change."""
+    return ST.apply_status_changes(v.tickets, v.status_changes)["audit"]
+
+
 @query("status_rejects", sql=f"""
 SELECT change_id, ticket_id, status, changed_at, '{LX.ERR_STATUS}' AS error FROM status_changes
 WHERE status IS NULL OR status NOT IN ({_STATUS_LIST})""")
@@ -165,6 +174,44 @@ def _intake_tickets(v):
     return IN.intake(v.requests, v.customers, v.sla_policies)["tickets"]
 
 
+_NEW_TICKETS_SQL = f"""{_CUSTOMERS_SQL},
+nt AS (SELECT concat('SUP-', upper(substr(sha256(concat('ticket:', CAST(ok.request_id AS VARCHAR))), 1, 32))) AS id,
+              ok.request_id, rc.customer_id, rc.creates_customer, ok.name, ok.email, ok.phone,
+              {_strip_sql('ok.description')} AS description, ok.channel, ok.requested_at AS created_at
+       FROM ok JOIN rc ON rc.request_id = ok.request_id)"""
+
+
+@query("intake_messages", sql=f"""
+WITH {_NEW_TICKETS_SQL}
+SELECT id AS ticket_id, customer_id, channel, 'inbound' AS direction, {_strip_sql('name')} AS sender,
+       description AS content, 'received' AS delivery_status, created_at FROM nt""")
+def _intake_messages(v):
+    """The first inbound message of every new ticket."""
+    return IN.intake(v.requests, v.customers, v.sla_policies)["messages"]
+
+
+@query("intake_sla", sql=f"""
+WITH {_NEW_TICKETS_SQL},
+p AS (SELECT id, first_response_minutes, resolution_minutes FROM sla_policies WHERE active ORDER BY created_at, id LIMIT 1)
+SELECT nt.id AS ticket_id, p.id AS policy_id, nt.created_at + to_minutes(p.first_response_minutes) AS first_response_due_at,
+       nt.created_at + to_minutes(p.resolution_minutes) AS resolution_due_at,
+       'on_track' AS first_response_status, 'on_track' AS resolution_status FROM nt, p""")
+def _intake_sla(v):
+    """U3 + SLA2: due times of every new ticket."""
+    return IN.intake(v.requests, v.customers, v.sla_policies)["ticket_sla"]
+
+
+@query("intake_new_customers", sql=f"""
+WITH {_NEW_TICKETS_SQL}
+SELECT customer_id AS id, {_strip_sql('name')} AS name,
+       CASE WHEN {_blank('email')} THEN NULL ELSE {_strip_sql('email')} END AS email,
+       CASE WHEN {_blank('phone')} THEN NULL ELSE {_strip_sql('phone')} END AS phone, created_at
+FROM nt WHERE creates_customer""")
+def _intake_new_customers(v):
+    """U3 + J9: customers created by the intake."""
+    return IN.intake(v.requests, v.customers, v.sla_policies)["customers"]
+
+
 FEEDBACK_KINDS = ["General feedback", "Feature request", "Bug report", "UI/UX feedback", "AI quality feedback",
                   "RAG/knowledge feedback"]
 
@@ -298,6 +345,38 @@ def _deliverable(v):
     return deliverable(v)
 
 
+def _delivery_results(v):
+    return deliverable(v).withColumn("delivery_status", F.when(F.col("delivery_status") == "failed", "failed")
+                                     .otherwise("sent_to_provider"))
+
+
+_RESULTS_SQL = f"""{OUTBOX_SQL}, {_DELIVER_SQL},
+res AS (SELECT *, CASE WHEN deliver_error IS NOT NULL THEN 'failed' ELSE 'sent_to_provider' END AS delivery_status
+        FROM dl)"""
+
+
+@query("delivery_keys", sql=f"""WITH {_RESULTS_SQL}
+SELECT idempotency_key, ticket_id, delivery_status AS status, TIMESTAMP '{AS_OF}' AS created_at FROM res""")
+def _delivery_keys(v):
+    """Key-log status of every delivery result."""
+    return OB.apply_delivery_results(_delivery_results(v), AS_OF)["keys"]
+
+
+@query("delivery_messages", sql=f"""WITH {_RESULTS_SQL}
+SELECT ticket_id, channel, 'outbound' AS direction, 'Support Agent' AS sender, idempotency_key, delivery_status,
+       TIMESTAMP '{AS_OF}' AS created_at FROM res WHERE delivery_status <> 'failed'""")
+def _delivery_messages(v):
+    """Outbound message rows of successful deliveries."""
+    return OB.apply_delivery_results(_delivery_results(v), AS_OF)["messages"]
+
+
+@query("delivery_tickets", sql=f"""WITH {_RESULTS_SQL}
+SELECT DISTINCT ticket_id, TIMESTAMP '{AS_OF}' AS updated_at FROM res WHERE delivery_status <> 'failed'""")
+def _delivery_tickets(v):
+    """Tickets touched by a successful delivery."""
+    return OB.apply_delivery_results(_delivery_results(v), AS_OF)["tickets"]
+
+
 @query("delivery_apply", sql=f"""WITH {OUTBOX_SQL}, {_DELIVER_SQL},
 res AS (SELECT *, CASE WHEN deliver_error IS NOT NULL THEN 'failed' ELSE 'sent_to_provider' END AS delivery_status
         FROM dl)
@@ -313,9 +392,7 @@ UNION ALL SELECT ticket_id, idempotency_key, '{LX.EV_DELIVERY_FAILED}',
 FROM res WHERE delivery_status = 'failed'""")
 def _delivery_apply(v):
     """Audit events from delivery results (failures write only the failure event)."""
-    res = deliverable(v).withColumn("delivery_status", F.when(F.col("delivery_status") == "failed", "failed")
-                                    .otherwise("sent_to_provider"))
-    return OB.apply_delivery_results(res, AS_OF)["audit"]
+    return OB.apply_delivery_results(_delivery_results(v), AS_OF)["audit"]
 
 
 @query("human_edited", sql=f"""WITH {OUTBOX_SQL},

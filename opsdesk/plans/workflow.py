@@ -134,7 +134,11 @@ def split_outputs(enriched: DataFrame, history: DataFrame | None, as_of) -> dict
     recommendations = e.select("ticket_id", "problem_summary",
                                F.lit(LX.LIKELY_CAUSE).alias("likely_cause"),
                                F.array_join("recommended_steps", " | ").alias("recommended_steps"),
+                               F.lit(" | ".join(LX.REQUIRED_CHECKS)).alias("required_checks"),
+                               F.lit(LX.CUSTOMER_ACTION).alias("customer_action"),
+                               F.lit(LX.INTERNAL_ACTION).alias("internal_action"),
                                "escalation_required", "escalation_reason",
+                               F.array_join(F.transform("evidence", lambda h: h["content"]), " | ").alias("evidence"),
                                F.col("evidence_count").cast("bigint").alias("evidence_count"),
                                stamp.alias("created_at"))
     routing = e.select("ticket_id", F.col("routing.team").alias("recommended_team"),
@@ -160,7 +164,10 @@ def split_outputs(enriched: DataFrame, history: DataFrame | None, as_of) -> dict
             F.lit(LX.EV_SIMILAR).alias("event_type"),
             F.format_string("%d similar cases found; probable duplicates require agent review.",
                             F.col("similar_count")).alias("description"), F.lit(3).alias("seq"))),
-    ), lambda x: x.isNotNull())).alias("ev")).select("ticket_id", "ev.event_type", "ev.description", "ev.seq")
+    ), lambda x: x.isNotNull())).alias("ev"), "duplicate_count").select(
+        "ticket_id", "ev.event_type", "ev.description", "ev.seq",
+        F.when(F.col("ev.event_type") == LX.EV_SIMILAR, F.format_string('{"possible_duplicates": %d}', F.col("duplicate_count")))
+        .otherwise(F.lit("{}")).alias("metadata_json"))
     return {"analyses": analyses, "ticket_updates": updates, "recommendations": recommendations,
             "routing": routing, "quality": quality, "audit": audit}
 
