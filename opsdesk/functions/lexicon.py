@@ -67,7 +67,6 @@ FIRST_RESPONSE_AT_RISK_SECONDS = 3600
 RESOLUTION_AT_RISK_SECONDS = 21600
 
 # ---------------------------------------------------------------- FIXED VALUES: similarity / retrieval
-SIMILAR_CANDIDATES = 120
 SIMILAR_MIN_SCORE = 0.22
 DUPLICATE_MIN_SCORE = 0.72
 SIMILAR_TOP = 8

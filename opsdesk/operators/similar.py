@@ -1,11 +1,8 @@
 """Similar and duplicate detection (SIM1-SIM3, S5, S9, J13).
 
-SIM1 — every ticket against the 120 most recent *other* tickets.  The candidate set is
-global: G = the 121 newest tickets (TakeOrderedAndProject, no global window).  Ticket t's
-candidates are G minus t when t ∈ G, else G's first 120 — exact, because removing t from
-the 121 newest leaves exactly the 120 newest others.  Scores depend only on the two texts,
-so they are computed once per *distinct* ticket text against G's ≤121 vectors (a bounded
-broadcast), then joined back to tickets by text hash.
+SIM1 — every ticket against all *other* tickets.  Scores depend only on the two texts, so
+equal texts are collapsed and distinct texts are scored block against block; only each text's
+best matches and its probable duplicates leave a task, and tickets are joined back by text hash.
 
 SIM2 — corpus-wide near duplicates by token-set Jaccard ≥ t, exact: prefix filtering
 (rarest-first token order; two sets with J ≥ t must share a token within their first
@@ -22,55 +19,102 @@ from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import normalize_ws, round_half_up, tokenize
-from opsdesk.operators.retrieve import cosine_pairs, hash_embed
+from opsdesk.operators.retrieve import sparse_arrays
 
 
 def ticket_text(subject: str = "subject", description: str = "description") -> Column:
     return F.concat(F.coalesce(F.col(subject), F.lit("")), F.lit(" "), F.coalesce(F.col(description), F.lit("")))
 
 
-def scored_candidates(tickets: DataFrame, cap: int = LX.SIMILAR_CANDIDATES,
-                      min_score: float = LX.SIMILAR_MIN_SCORE) -> DataFrame:
-    """All valid (ticket, candidate) pairs with cosine ≥ ``min_score`` (unrounded)."""
-    t = tickets.select(F.col("id").alias("ticket_id"), "created_at", "status", ticket_text().alias("text")) \
-        .withColumn("th", F.sha2(F.col("text"), 256))
-    # G: the cap+1 newest tickets — bounded (TakeOrderedAndProject), then ranked within ≤ cap+1 rows
-    g = t.orderBy(F.col("created_at").desc(), F.col("ticket_id").asc()).limit(cap + 1)
-    g = g.withColumn("g_rank", F.row_number().over(Window.orderBy(F.col("created_at").desc(),
-                                                                  F.col("ticket_id").asc())))
-    g = F.broadcast(g.select(F.col("ticket_id").alias("cand_id"), F.col("created_at").alias("cand_created"),
-                             F.col("status").alias("cand_status"), F.col("text").alias("cand_text"),
-                             "g_rank"))
-    gvec = hash_embed(g, ["cand_id"], text="cand_text")
-    texts = t.select("th", "text").distinct()  # th determines text: a hash aggregate, no sort
-    tvec = hash_embed(texts, ["th"], text="text")
-    # G's ≤ cap+1 vectors are the bounded side: broadcast them, stream the distinct texts
-    scores = cosine_pairs(gvec, ["cand_id"], tvec, ["th"], query_broadcast=True) \
-        .where(F.col("cosine") >= F.lit(min_score))
-    in_g = g.select(F.col("cand_id").alias("ticket_id"), F.lit(True).alias("t_in_g"))
-    tt = t.select("ticket_id", "th").join(in_g, "ticket_id", "left")
-    pairs = tt.join(scores, "th", "inner").join(g.drop("cand_text"), "cand_id", "inner")
-    valid = (F.col("cand_id") != F.col("ticket_id")) & ((F.col("g_rank") <= cap) | F.col("t_in_g").isNotNull())
-    return pairs.where(valid).select("ticket_id", "cand_id", "cand_created", "cand_status", "cosine")
-
-
 def match_type(cos: Column, cand_status: Column) -> Column:
     return F.when(cos >= LX.DUPLICATE_MIN_SCORE, "probable_duplicate") \
         .when(cand_status.isin("Resolved", "Closed"), "resolved_case").otherwise("similar")
 
 
-def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, cap: int = LX.SIMILAR_CANDIDATES) -> dict:
-    """SIM1 + S5: ``similar`` = top 8 per ticket by rounded score, newest candidate first, then
-    id; ``duplicates`` = every probable duplicate (not cut to 8)."""
-    p = scored_candidates(tickets, cap).select(
-        "ticket_id", F.col("cand_id").alias("matched_ticket_id"), "cand_created",
-        round_half_up(F.col("cosine"), 3).alias("score"), match_type(F.col("cosine"), F.col("cand_status"))
-        .alias("match_type"))
-    w = Window.partitionBy("ticket_id").orderBy(F.col("score").desc(), F.col("cand_created").desc(),
-                                                F.col("matched_ticket_id").asc())
-    similar = p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).drop("cand_created")
-    duplicates = p.where(F.col("match_type") == "probable_duplicate").drop("cand_created")
-    return {"similar": similar, "duplicates": duplicates}
+TEXT_BLOCK = 2048            # expected distinct texts of a block: two dense blocks per task
+
+
+def _score_block(top: int, min_score: float, dims: int):
+    """cogroup body: cosines of one block of texts against another.  Per left text it keeps the
+    ``top`` best right texts (by rounded score, then the newest ticket of the text) and every
+    probable duplicate."""
+    import numpy as np
+    import pandas as pd
+
+    from opsdesk.operators.retrieve import _dense
+
+    def run(left, right):
+        out = {"a": [], "b": [], "cosine": [], "best": []}
+        if len(left) and len(right):
+            x = _dense(left["lb"].tolist(), left["lv"].tolist(), dims)
+            y = _dense(right["b"].tolist(), right["v"].tolist(), dims)
+            norm = np.sqrt(((x * x).sum(1).astype(np.int64)[:, None] * (y * y).sum(1).astype(np.int64)).astype(np.float64))
+            cos = (x @ y.T) / np.maximum(norm, 1)                # integer dot products below 2**53: exact
+            a, b = left["lth"].to_numpy(), right["th"].to_numpy()
+            created, newest = right["created_us"].to_numpy(), right["newest_id"].to_numpy()
+            for i in range(len(a)):
+                hit = np.flatnonzero(cos[i] >= min_score)
+                score = np.floor(cos[i, hit] * 1000 + 0.5)
+                order = hit[np.lexsort((newest[hit], -created[hit], -score))]
+                rest = order[top:]
+                keep = np.concatenate([order[:top], rest[cos[i, rest] >= LX.DUPLICATE_MIN_SCORE]])
+                out["a"].append(np.full(len(keep), a[i], object))
+                out["b"].append(b[keep])
+                out["cosine"].append(cos[i, keep])
+                out["best"].append(np.arange(len(keep)) < top)
+        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype(
+            {"cosine": float, "best": bool})
+    return run
+
+
+def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, min_score: float = LX.SIMILAR_MIN_SCORE) -> dict:
+    """SIM1 + S5 over *all* other tickets (no candidate cap).
+
+    Equal texts are collapsed; distinct texts are scored block against block (every pair of blocks
+    is a task of bounded size that returns at most ``top`` + 1 texts per text, plus duplicates).
+    A ticket's best matches lie among the ``top`` + 1 newest tickets of those texts, one being itself.
+
+    * ``similar``: top 8 per ticket by rounded score, newest first, then id;
+    * ``duplicates``: probable duplicates as pairs of copy groups with both sizes (a group with
+      itself when it has copies) - every duplicate pair of tickets is in exactly one row;
+    * ``duplicate_counts``: the number of probable duplicates of every ticket that has any."""
+    t = tickets.select(F.col("id").alias("ticket_id"), "created_at", "status", ticket_text().alias("text")) \
+        .withColumn("th", F.sha2(F.col("text"), 256))
+    groups = t.groupBy("th").agg(F.min("ticket_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
+    newest_first = [F.col("created_at").desc(), F.col("ticket_id").asc()]
+    newest = t.select("th", "ticket_id", "created_at", "status").withColumn(
+        "nr", F.row_number().over(Window.partitionBy("th").orderBy(*newest_first))).where(F.col("nr") <= top + 1)
+    head = newest.where(F.col("nr") == 1).select(
+        "th", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), F.col("ticket_id").alias("newest_id"))
+    texts = t.select("th", "text").distinct()  # th determines text: a hash aggregate, no sort
+    vec = sparse_arrays(texts, ["th"], text="text").join(head, "th")
+    blocks = max(1, -(-texts.count() // TEXT_BLOCK))
+    dealt = vec.withColumn("own", F.pmod(F.xxhash64("th"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = dealt.select(F.col("th").alias("lth"), F.col("b").alias("lb"), F.col("v").alias("lv"), F.col("own").alias("x"),
+                        every.alias("y"))
+    right = dealt.select("th", "b", "v", "created_us", "newest_id", every.alias("x"), F.col("own").alias("y"))
+    pairs = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(
+        _score_block(top + 1, min_score, LX.HASH_DIMS), "a string, b string, cosine double, best boolean")
+    cand = pairs.where("best").join(newest.withColumnRenamed("th", "b"), "b").select(
+        F.col("a").alias("th"), F.col("ticket_id").alias("matched_ticket_id"), F.col("created_at").alias("cand_created"),
+        round_half_up(F.col("cosine"), 3).alias("score"), match_type(F.col("cosine"), F.col("status")).alias("match_type"))
+    best_first = [F.col("score").desc(), F.col("cand_created").desc(), F.col("matched_ticket_id").asc()]
+    per_text = cand.withColumn("pr", F.row_number().over(Window.partitionBy("th").orderBy(*best_first))) \
+        .where(F.col("pr") <= top + 1).drop("pr")
+    similar = t.select("ticket_id", "th").join(per_text, "th").where("ticket_id <> matched_ticket_id") \
+        .withColumn("rank", F.row_number().over(Window.partitionBy("ticket_id").orderBy(*best_first))) \
+        .where(F.col("rank") <= top).select("ticket_id", "matched_ticket_id", "score", "match_type", "rank")
+    ga = groups.select(F.col("th").alias("a"), "group_id", F.col("copies").alias("tickets"))
+    gb = groups.select(F.col("th").alias("b"), F.col("group_id").alias("matched_group_id"),
+                       F.col("copies").alias("matched_tickets"))
+    both = pairs.where(F.col("cosine") >= F.lit(LX.DUPLICATE_MIN_SCORE)).join(ga, "a").join(gb, "b")
+    duplicates = both.where("group_id < matched_group_id or (group_id = matched_group_id and tickets > 1)").select(
+        "group_id", "matched_group_id", round_half_up(F.col("cosine"), 3).alias("score"), "tickets", "matched_tickets")
+    counts = both.groupBy(F.col("a").alias("th")).agg((F.sum("matched_tickets") - 1).alias("duplicate_count")) \
+        .where("duplicate_count > 0")
+    duplicate_counts = t.select("ticket_id", "th").join(counts, "th").select("ticket_id", "duplicate_count")
+    return {"similar": similar, "duplicates": duplicates, "duplicate_counts": duplicate_counts}
 
 
 # ----------------------------------------------------------------------------- SIM2

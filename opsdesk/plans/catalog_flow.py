@@ -51,7 +51,6 @@ ev AS (SELECT b.th, count(*) AS evidence_count, list(ch.content ORDER BY b.rank)
        JOIN knowledge k ON k.doc_id = b.doc_id GROUP BY b.th),
 {SIM_SQL},
 simc AS (SELECT ticket_id, count(*) AS similar_count FROM top8 GROUP BY 1),
-dupc AS (SELECT ticket_id, count(*) AS duplicate_count FROM p WHERE match_type = 'probable_duplicate' GROUP BY 1),
 slaa AS (SELECT tk.id AS ticket_id,
                 CASE WHEN s.ticket_id IS NOT NULL
                      THEN {_clock_sql('s.resolution_due_at', 21600, "tk.status IN ('Resolved', 'Closed')")}

@@ -265,53 +265,58 @@ def _doc_delete(v):
 SIM_SQL = f"""
 t AS (SELECT id AS ticket_id, created_at, status,
              concat(coalesce(subject, ''), ' ', coalesce(description, '')) AS text FROM tickets),
-g AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, ticket_id) AS g_rank FROM t
-      QUALIFY g_rank <= {LX.SIMILAR_CANDIDATES + 1}),
-tv AS ({vectors_sql("t", "ticket_id", "text")}),
-gv AS ({vectors_sql("g", "ticket_id", "text")}),
-sc AS (SELECT tv.ticket_id, gv.ticket_id AS cand_id,
-              sum(tv.v * gv.v) / sqrt(CAST(tv.norm2 * gv.norm2 AS DOUBLE)) AS cosine
-       FROM tv JOIN gv ON tv.bucket = gv.bucket GROUP BY tv.ticket_id, gv.ticket_id, tv.norm2, gv.norm2),
-p AS (SELECT sc.ticket_id, sc.cand_id AS matched_ticket_id, g.created_at AS cand_created,
+tx AS (SELECT text, min(ticket_id) AS rep, count(*) AS copies FROM t GROUP BY text),
+tg AS (SELECT t.ticket_id, t.created_at, t.status, tx.rep FROM t JOIN tx ON tx.text = t.text),
+tv AS ({vectors_sql("tx", "rep", "text")}),
+sc AS (SELECT * FROM (
+         SELECT l.rep AS a, r.rep AS b, sum(l.v * r.v) / sqrt(CAST(l.norm2 * r.norm2 AS DOUBLE)) AS cosine
+         FROM tv l JOIN tv r ON l.bucket = r.bucket GROUP BY l.rep, r.rep, l.norm2, r.norm2)
+       WHERE cosine >= {LX.SIMILAR_MIN_SCORE}),
+newest AS (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY created_at DESC, ticket_id) AS nr FROM tg
+           QUALIFY nr <= {LX.SIMILAR_TOP + 1}),
+p AS (SELECT sc.a, n.ticket_id AS matched_ticket_id, n.created_at AS cand_created,
              floor(sc.cosine * 1000 + 0.5) / 1000 AS score,
              CASE WHEN sc.cosine >= {LX.DUPLICATE_MIN_SCORE} THEN 'probable_duplicate'
-                  WHEN g.status IN ('Resolved', 'Closed') THEN 'resolved_case' ELSE 'similar' END AS match_type
-      FROM sc JOIN g ON g.ticket_id = sc.cand_id
-      WHERE sc.cosine >= {LX.SIMILAR_MIN_SCORE} AND sc.cand_id <> sc.ticket_id
-        AND (g.g_rank <= {LX.SIMILAR_CANDIDATES} OR sc.ticket_id IN (SELECT ticket_id FROM g))),
-top8 AS (SELECT ticket_id, matched_ticket_id, score, match_type,
-                row_number() OVER (PARTITION BY ticket_id ORDER BY score DESC, cand_created DESC, matched_ticket_id)
+                  WHEN n.status IN ('Resolved', 'Closed') THEN 'resolved_case' ELSE 'similar' END AS match_type,
+             row_number() OVER (PARTITION BY sc.a ORDER BY floor(sc.cosine * 1000 + 0.5) DESC, n.created_at DESC,
+                                n.ticket_id) AS pr
+      FROM sc JOIN newest n ON n.rep = sc.b QUALIFY pr <= {LX.SIMILAR_TOP + 1}),
+top8 AS (SELECT tg.ticket_id, p.matched_ticket_id, p.score, p.match_type,
+                row_number() OVER (PARTITION BY tg.ticket_id ORDER BY p.score DESC, p.cand_created DESC, p.matched_ticket_id)
                   AS rank
-         FROM p QUALIFY rank <= {LX.SIMILAR_TOP})"""
+         FROM tg JOIN p ON p.a = tg.rep AND p.matched_ticket_id <> tg.ticket_id QUALIFY rank <= {LX.SIMILAR_TOP}),
+dg AS (SELECT sc.a AS group_id, sc.b AS matched_group_id, floor(sc.cosine * 1000 + 0.5) / 1000 AS score,
+              x.copies AS tickets, y.copies AS matched_tickets
+       FROM sc JOIN tx x ON x.rep = sc.a JOIN tx y ON y.rep = sc.b WHERE sc.cosine >= {LX.DUPLICATE_MIN_SCORE}),
+dupc AS (SELECT tg.ticket_id, d.duplicate_count
+         FROM tg JOIN (SELECT group_id, sum(matched_tickets) - 1 AS duplicate_count FROM dg GROUP BY 1) d
+           ON d.group_id = tg.rep WHERE d.duplicate_count > 0)"""
 
 
 @query("similar_tickets", sql=f"WITH {SIM_SQL} SELECT * FROM top8", floats=["score"])
 def _similar_tickets(v):
-    """SIM1 + S5 + S9 + J13: top-8 similar tickets among the 120 most recent others."""
+    """SIM1 + S5 + S9 + J13: top-8 similar tickets among all others."""
     return SIM.similar_tickets(v.tickets)["similar"]
 
 
 @query("similar_duplicates", sql=f"""
-WITH {SIM_SQL} SELECT ticket_id, matched_ticket_id, score, match_type FROM p WHERE match_type = 'probable_duplicate'""",
-       floats=["score"])
+WITH {SIM_SQL} SELECT group_id, matched_group_id, score, tickets, matched_tickets FROM dg
+WHERE group_id < matched_group_id OR (group_id = matched_group_id AND tickets > 1)""", floats=["score"])
 def _similar_duplicates(v):
-    """SIM1: every probable duplicate (score ≥ .72), not cut to 8."""
+    """SIM1: every probable duplicate (score ≥ .72) as pairs of copy groups with their sizes."""
     return SIM.similar_tickets(v.tickets)["duplicates"]
 
 
 @query("replace_similarity", sql=f"""
 WITH {SIM_SQL},
-new AS (SELECT p.ticket_id, p.matched_ticket_id, p.score, p.match_type FROM p JOIN tickets tk ON tk.id = p.ticket_id
-        WHERE tk.status = 'Escalated' AND p.match_type = 'probable_duplicate')
-SELECT ticket_id, matched_ticket_id, score, match_type FROM top8 WHERE ticket_id NOT IN (SELECT id FROM tickets WHERE status = 'Escalated')
-UNION ALL SELECT * FROM new""", floats=["score"])
+esc AS (SELECT id FROM tickets WHERE status = 'Escalated')
+SELECT ticket_id, matched_ticket_id, score, match_type FROM top8
+WHERE ticket_id NOT IN (SELECT id FROM esc) OR match_type = 'probable_duplicate'""", floats=["score"])
 def _replace_similarity(v):
-    """IO7 + X3: replace the similarity rows of escalated tickets by their full duplicate lists."""
-    out = SIM.similar_tickets(v.tickets)
+    """IO7 + X3: replace the similarity rows of escalated tickets by their probable duplicates."""
+    existing = SIM.similar_tickets(v.tickets)["similar"].drop("rank")
     esc = v.tickets.where(F.col("status") == "Escalated").select(F.col("id").alias("ticket_id"))
-    new = out["duplicates"].join(esc, "ticket_id", "left_semi")
-    existing = out["similar"].drop("rank")
-    return R.replace_by_key(existing, new, ["ticket_id"], esc)
+    return R.replace_by_key(existing, existing.where(F.col("match_type") == "probable_duplicate"), ["ticket_id"], esc)
 
 
 @query("near_duplicates", sql=f"""

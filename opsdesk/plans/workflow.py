@@ -60,7 +60,7 @@ def enrich_tickets(tickets: DataFrame, customers: DataFrame, chunks: DataFrame,
     ev = evidence_by_text(tickets, chunks, chunks_meta, k)
     sim = SIM.similar_tickets(tickets)
     sim_counts = sim["similar"].groupBy("ticket_id").agg(F.count(F.lit(1)).alias("similar_count"))
-    dup_counts = sim["duplicates"].groupBy("ticket_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
+    dup_counts = sim["duplicate_counts"]
     sla = SLA.sla_assessment(tickets, ticket_sla, as_of).select(
         "ticket_id", F.col("resolution_status").alias("sla_resolution_status"))
     j = base.join(a, "ticket_id", "inner").join(ev, "th", "left").join(sim_counts, "ticket_id", "left") \

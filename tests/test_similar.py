@@ -26,7 +26,7 @@ def test_similar_tickets_equals_brute_force(views):
     vec = {r.id: _vec(f"{r.subject} {r.description}") for r in rows}
     expected = set()
     for r in rows:
-        cands = [c for c in rows if c.id != r.id][:120]
+        cands = [c for c in rows if c.id != r.id]
         hits = []
         for c in cands:
             a, b = vec[r.id], vec[c.id]
@@ -45,6 +45,25 @@ def test_similar_tickets_equals_brute_force(views):
     assert got == expected and len(got) > 0
 
 
+def test_similar_blocks_and_duplicates_equal_brute_force(views, monkeypatch):
+    """Many blocks give the same matches; group pairs and counts cover every duplicate pair."""
+    whole = {tuple(r) for r in SIM.similar_tickets(views.tickets)["similar"].collect()}
+    monkeypatch.setattr(SIM, "TEXT_BLOCK", 7)
+    out = SIM.similar_tickets(views.tickets)
+    assert {tuple(r) for r in out["similar"].collect()} == whole
+    t = views.tickets.select("id", "subject", "description").collect()
+    text = {r.id: f"{r.subject} {r.description}" for r in t}
+    vec = {x: _vec(x) for x in set(text.values())}
+    close = {(x, y) for x in vec for y in vec
+             if float(vec[x] @ vec[y]) / (math.sqrt(float(vec[x] @ vec[x]) * float(vec[y] @ vec[y])) or 1.0) >= 0.72}
+    size = {x: sum(v == x for v in text.values()) for x in vec}
+    counts = {i: sum(size[y] for y in vec if (x, y) in close) - 1 for i, x in text.items()}
+    assert {r.ticket_id: r.duplicate_count for r in out["duplicate_counts"].collect()} == {i: n for i, n in counts.items() if n}
+    pairs = sum(r.tickets * (r.tickets - 1) // 2 if r.group_id == r.matched_group_id else r.tickets * r.matched_tickets
+                for r in out["duplicates"].collect())
+    assert 2 * pairs == sum(counts.values())
+
+
 def test_near_duplicates_equals_brute_force(views):
     docs = views.table("documents")
     fast = {(r.doc_a, r.doc_b, r.inter, r.copies_a, r.copies_b) for r in SIM.near_duplicates(docs).collect()}
