@@ -98,3 +98,12 @@ def test_exact_duplicates_groups(views):
     for r in rows:
         assert r.canonical_doc_id == canon[r.dup_key] <= r.doc_id
     assert d.where(~F.col("is_copy")).count() == d.select("dup_key").distinct().count()
+
+
+def test_replacement_drops_requested_keys_with_an_empty_result(spark):
+    from opsdesk.operators.retrieve import replace_by_key
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
+    asked = spark.createDataFrame([(1,), (3,)], "k int")
+    assert [tuple(r) for r in replace_by_key(old, old.limit(0), ["k"], asked).collect()] == [(2, "c")]
+    new = spark.createDataFrame([(1, "x"), (2, "not asked")], "k int, v string")
+    assert sorted(tuple(r) for r in replace_by_key(old, new, ["k"], asked).collect()) == [(1, "x"), (2, "c")]

@@ -72,3 +72,11 @@ def test_batch_embedder_udf_equals_python_vectors(spark):
     for i in range(len(texts)):
         assert len(got[i]) == 256
         assert max(abs(a - b) for a, b in zip(got[i], exp[i])) < 1e-7
+
+
+def test_unicode_white_space_collapses(spark):
+    from opsdesk.functions.text import is_blank, normalize_ws, py_strip
+    raw = "  a　 b\t\u0085c  "
+    r = spark.createDataFrame([(raw, "　 ")], "t string, e string").select(
+        normalize_ws("t").alias("n"), py_strip("t").alias("s"), is_blank("e").alias("b")).first()
+    assert r.n == " ".join(raw.split()) and r.s == raw.strip() and r.b
