@@ -9,7 +9,8 @@ cell with pivot p and radius rp every inner product q.x lies within
 
 Taking data cells by falling lower bound until they hold k vectors (besides the query itself)
 gives a threshold theta that the k-th best score of every query of the cell reaches.  A vector x is
-replicated to a query cell only if its own upper bound a.x + ra |x| reaches theta.  Cells are
+replicated to a query cell only if its own upper bound a.x + ra |x| reaches theta.  Queries use no more
+cells than they fill blocks, as every cell can need most of the data in many dimensions.  Cells are
 solved locally by blocks: query blocks of bounded size against slices of the replicated vectors of
 bounded expected size, each keeping its k best, and a final top-k per query merges the slices.  A
 hot cell or a hot vector is therefore many slices, never one task, and results are exact.
@@ -112,7 +113,9 @@ def _top_k_dim(base: DataFrame, asked: DataFrame, k: int, n_pivots: int) -> Data
         return None
     pivots = np.array([r["v"] for r in sample], np.float64)          # at most n_pivots vectors
     data = stored(_assign(base, pivots), "knn-data")
-    ask = stored(_assign(asked, pivots), "knn-queries")
+    # no more query cells than blocks of queries: every cell may need most of the data
+    groups = min(len(pivots), max(1, -(-asked.count() // QUERY_ROWS)))
+    ask = stored(_assign(asked, pivots[:groups]), "knn-queries")
     n = len(pivots)
     d_radius, d_count = np.zeros(n), np.zeros(n, np.int64)
     for r in data.groupBy("cell").agg(F.max("dist").alias("r"), F.count("*").alias("n")).collect():
