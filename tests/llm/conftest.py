@@ -5,9 +5,6 @@ os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 import pytest  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-SF_MORE = "/root/testdata/sf0.01"
-
 # names that the operators use inside, as columns of the input
 CLASHES = ["blk", "bucket", "start", "length", "grp", "set_key", "cluster", "_seq", "_cut", "score", "n_words",
            "held_out", "ids", "key", "bands", "text_key", "cell", "rank"]

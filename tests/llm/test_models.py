@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF_MORE
+from brute import SF_MORE
 
 from opsdesk.llm import langid, toxicity
 from opsdesk.llm.common import table

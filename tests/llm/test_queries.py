@@ -1,8 +1,9 @@
 import re
 
-import brute
 import pytest
-from conftest import SF
+
+import brute
+from brute import SF
 
 import __spark_entry__
 import corpus_pipeline
