@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from opsdesk.llm import textscan as S
 from opsdesk.llm.common import id_text, partitions, pieces, prepare
 
-BLOCK_BYTES = 8 << 20        # text of one block
-SHARD_BYTES = 16 << 20       # input text per shard
+BLOCK_BYTES = 6 << 20        # text of one block
+SHARD_BYTES = 8 << 20        # input text per shard
 _CODEC = "zstd"
 
 
@@ -74,6 +74,7 @@ class Units:
         self.key = S.mix(S.range_hash(self.byte_prefix, self.off[:-1], self.off[1:])
                          ^ S.mix(self.doc_id.view(np.uint64) + S.U64(1)))
         if not anchors:
+            del self.byte_prefix
             return
         order = S.gram_hash(prefix, k)
         at, self.lo, self.hi = S.window_anchors(order, self.first, k, window)
@@ -82,6 +83,7 @@ class Units:
         ok = valid[self.doc]                   # a null doc_id takes no part
         self.lo, self.hi, self.anchor, self.doc = self.lo[ok], self.hi[ok], self.anchor[ok], self.doc[ok]
         self.content = S.range_hash(prefix, self.lo, self.hi + window)
+        del self.byte_prefix                   # eight times the text
 
     def span(self, unit: str, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Byte ranges of the segments."""
