@@ -3,8 +3,8 @@ import random
 import pytest
 
 import brute
+from opsdesk.llm import components as graph
 from opsdesk.llm import jaccard
-from opsdesk.llm.components import components
 
 
 @pytest.fixture(scope="module")
@@ -55,11 +55,13 @@ def test_needed_matches_follow_the_posterior():
     assert jaccard.needed_matches(0.8, tolerance=1e-3)[-1] > need[-1]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("size", [1 << 20, 10])
+def test_components(spark, size, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", size)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_empty_table(spark, make_docs):
