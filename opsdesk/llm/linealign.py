@@ -6,8 +6,11 @@ Overlapping documents are found through shared rare lines: a line of at least ``
 characters that at least two sequences hold and that is rare - held by at most ``rare`` sequences,
 or among the rarer half of its document's own lines (so that large groups of near copies, whose
 every line is frequent, find each other while boilerplate between otherwise different documents
-does not).  A sequence is paired with the earliest holder of each of its rare lines, so pairs grow
-with lines and a group of any size is a star, never all pairs.
+does not).  Frequent lines link by runs: the shortest run of consecutive lines from a line on that
+has two lines with characters and ``min_block`` characters, however many sequences hold it, so every
+common block of two or more lines links.  A sequence is paired with the earliest holder of each of
+its rare lines and of each of its runs, so pairs grow with lines and a group of any size is a star,
+never all pairs.
 
 Each pair is aligned by patience diff: common ends are matched, then lines that are unique in both
 and in increasing order split the rest, recursively.  Maximal blocks of aligned lines with at
@@ -30,11 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opsdesk.llm import textscan as S
 from opsdesk.llm.common import map_pieces, prepare, stored
 
 RARE = 50                    # holders up to which a line is rare anywhere
 MIN_LINE = 20                # characters of a linking line
 MIN_BLOCK = 40               # characters of a deleted block
+ALIGN_LINES = 100_000        # lines of the pairs turned into Python lists at once
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -108,6 +113,39 @@ def deleted_lines(early: list[int], late: list[int], size: list[int], min_block:
     return out
 
 
+def line_runs(h: np.ndarray, c: np.ndarray, off: np.ndarray, min_block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, hash) of the distinct runs of sequences of line hashes ``h`` and lengths ``c``; a
+    sequence is [off[i], off[i + 1])."""
+    chars = np.concatenate([[0], np.cumsum(c, dtype=np.int64)])
+    filled = np.concatenate([[0], np.cumsum(c > 0)])
+    at = np.flatnonzero(c > 0)
+    end = np.maximum(np.searchsorted(chars, chars[at] + min_block), np.searchsorted(filled, filled[at] + 2))
+    seq = np.searchsorted(off, at, side="right") - 1
+    ok = end <= off[seq + 1]
+    run = S.range_hash(S.prefix_hash(S.mix(h.view(np.uint64))), at[ok], end[ok])
+    order = np.lexsort((run, seq[ok]))
+    seq, run = seq[ok][order], run[order]
+    new = np.concatenate([[True], (seq[1:] != seq[:-1]) | (run[1:] != run[:-1])])[:len(seq)]
+    return seq[new], run[new]
+
+
+def run_pairs(seqs: DataFrame, min_block: int) -> DataFrame:
+    """(seq_key, hub): every sequence with the earliest holder of each of its shared runs."""
+    def cut(batches):
+        for b in batches:
+            h, c = b.column("h"), b.column("c")
+            seq, run = line_runs(h.flatten().to_numpy(), c.flatten().to_numpy(),
+                                 np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy(), dtype=np.int64)]), min_block)
+            pick = pa.array(seq)
+            yield pa.RecordBatch.from_arrays([b.column("seq_key").take(pick), b.column("doc").take(pick),
+                                              pa.array(run.view(np.int64))], names=["seq_key", "doc", "run"])
+
+    runs = seqs.select("seq_key", "doc", "h", "c").mapInArrow(cut, "seq_key long, doc long, run long")
+    holders = runs.groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc", "seq_key")).alias("hub")) \
+        .where("df > 1").select("run", F.col("hub.seq_key").alias("hub"))
+    return runs.join(holders, "run").where("hub <> seq_key").select("seq_key", "hub").distinct()
+
+
 def repeated_lines(rows: DataFrame, rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK
                    ) -> tuple[DataFrame, DataFrame]:
     """From rows of (doc_id, text): (sequences, cuts).  sequences: seq_key, first_doc; cuts:
@@ -131,17 +169,24 @@ def repeated_lines(rows: DataFrame, rare: int = RARE, min_line: int = MIN_LINE,
     number = F.count("*").over(Window.partitionBy("seq_key"))
     ranked = shared.withColumn("rank", F.col("n") - number + place - 1)
     pairs = ranked.where((F.col("df") <= rare) | (2 * F.col("rank") < F.col("n"))) \
-        .where("hub <> seq_key").select("seq_key", "hub").distinct()
+        .where("hub <> seq_key").select("seq_key", "hub").union(run_pairs(seqs, min_block)).distinct()
     early = seqs.select(F.col("seq_key").alias("hub"), F.col("h").alias("early"))
     # the later document's lines travel with it, the hub's are joined (skewed joins are split)
     both = pairs.join(seqs.select("seq_key", F.col("h").alias("late"), "c"), "seq_key").join(early, "hub")
 
     def align(batches):
         for b in batches:
-            cut = [deleted_lines(x, y, c, min_block) for x, y, c in
-                   zip(b.column("early").to_pylist(), b.column("late").to_pylist(), b.column("c").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("seq_key"), pa.array(cut, pa.list_(pa.int32()))],
-                                             names=["seq_key", "cut"])
+            lines = np.cumsum(b.column("early").value_lengths().to_numpy() + b.column("late").value_lengths().to_numpy(),
+                              dtype=np.int64)
+            i = 0
+            while i < b.num_rows:              # Python lists of some pairs at a time
+                j = max(i + 1, int(np.searchsorted(lines, (lines[i - 1] if i else 0) + ALIGN_LINES, side="right")))
+                some = b.slice(i, j - i)
+                cut = [deleted_lines(x, y, c, min_block) for x, y, c in
+                       zip(*(some.column(k).to_pylist() for k in ("early", "late", "c")))]
+                yield pa.RecordBatch.from_arrays([some.column("seq_key"), pa.array(cut, pa.list_(pa.int32()))],
+                                                 names=["seq_key", "cut"])
+                i = j
 
     cuts = both.select("seq_key", "early", "late", "c").mapInArrow(align, "seq_key long, cut array<int>") \
         .where(F.size("cut") > 0).groupBy("seq_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))

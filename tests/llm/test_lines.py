@@ -92,3 +92,17 @@ def test_patience_keeps_unique_lines_in_order():
 
 def test_empty_table(spark, make_docs):
     assert linealign.remove_repeated_lines(make_docs([(1, "x")]).where("doc_id = 2")).count() == 0
+
+
+def removed(make_docs, rows):
+    return {r.doc_id: r.n_removed for r in linealign.remove_repeated_lines(make_docs(rows)).collect()}
+
+
+def test_block_with_many_holders_goes(spark, make_docs, words):
+    block = [" ".join(words(8, 7000 + j)) for j in range(3)]
+    short = [f"short line {j}" for j in range(12)]
+    rows = [(i, "\n".join([*(f"own line {i} {j} of this document" for j in range(9)), *block, f"end of {i}"])) for i in range(70)]
+    rows += [(i, "\n".join([*short[:i % 12], f"variant {i}", *short[i % 12:]])) for i in range(100, 170)]
+    got = removed(make_docs, rows)
+    assert got[0] == 0 and all(got[i] == 3 for i in range(1, 70))
+    assert got[100] == 0 and all(got[i] >= 8 for i in range(101, 170))
