@@ -163,9 +163,9 @@ def repeated_lines(rows: DataFrame, rare: int = RARE, min_line: int = MIN_LINE,
         .where(F.col("c") >= min_line)
     holders = held.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc", "seq_key")).alias("hub")) \
         .where("df > 1").select("line", "df", F.col("hub.seq_key").alias("hub"))
-    shared = held.join(holders, "line").select("seq_key", "n", "df", "hub")
+    shared = held.join(holders, "line").select("seq_key", "n", "line", "df", "hub")
     from pyspark.sql.window import Window
-    place = F.row_number().over(Window.partitionBy("seq_key").orderBy("df"))
+    place = F.row_number().over(Window.partitionBy("seq_key").orderBy("df", "line"))
     number = F.count("*").over(Window.partitionBy("seq_key"))
     ranked = shared.withColumn("rank", F.col("n") - number + place - 1)
     pairs = ranked.where((F.col("df") <= rare) | (2 * F.col("rank") < F.col("n"))) \

@@ -106,3 +106,35 @@ def test_block_with_many_holders_goes(spark, make_docs, words):
     got = removed(make_docs, rows)
     assert got[0] == 0 and all(got[i] == 3 for i in range(1, 70))
     assert got[100] == 0 and all(got[i] >= 8 for i in range(101, 170))
+
+def test_block_of_stray_lines_goes(spark, make_docs):
+    """Every line of the block also stands alone in an earlier document."""
+    line = [f"line {j:02d} of the common passage" for j in range(30)]
+    rows = [(j, f"start {j}\n{line[j]}\nend {j}") for j in range(30)]
+    rows += [(100, "\n".join(["head of C", *line])), (101, "\n".join(["head of D", *line, "tail of D"]))]
+    rows += [(200, "a long line that also stands in another text, alone"),
+             (201, "\n".join(["other", "a short one", "a long line that also stands in another text, alone", "the next"])),
+             (202, "\n".join(["a short one", "a long line that also stands in another text, alone", "the next", "more"]))]
+    got = removed(make_docs, rows)
+    assert got[100] == 0 and got[101] == 30 and got[202] == 3
+
+
+def test_star_equals_all_pairs(spark, make_docs):
+    """Texts cut in order from common ones: the star removes what aligning with every earlier text does."""
+    import random
+    rng = random.Random(5)
+    base = [[f"text {b} line {j} {'x' * rng.randrange(20)}" for j in range(40)] for b in range(4)]
+    rows = []
+    for i in range(60):
+        whole = base[rng.randrange(4)]
+        a = rng.randrange(30)
+        own = [x if rng.random() < 0.85 else f"changed {i} {j}" for j, x in enumerate(whole[a:a + rng.randrange(5, 30)])]
+        rows.append((i, "\n".join([f"head {i}", *own])))
+    texts = [t.split("\n") for _, t in rows]
+    want = {}
+    for i, late in enumerate(texts):
+        gone = set()
+        for early in texts[:i]:
+            gone |= set(linealign.deleted_lines(early, late, [len(x) for x in late], linealign.MIN_BLOCK))
+        want[i] = len(gone)
+    assert removed(make_docs, rows) == want
