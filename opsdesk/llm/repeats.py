@@ -16,8 +16,14 @@ arranged so that nothing is ever compared all against all and no window list is
    unit ranges of windows that start in a smaller document.
 5. Blocks unite the ranges per document.
 
-A hot passage adds at most one anchor and one distinct segment per block, so copies neither pile
-up in a task nor are they expanded into pairs.  Shards and blocks grow in number, not in size,
+Copies of a hot passage add one anchor and one distinct segment per block.  Windows over its edges
+share the anchor but hold each document's own words, so an anchor's distinct segments can be as many
+as the documents.  Blocks send their number with the anchors, and the windows of an anchor with more
+than ``hot`` of them are keyed one by one by their content hash: they go to shards of their own by
+that hash, without text, where equal hashes are equal windows.  Equal windows still meet, as being
+hot is the shard's answer to all blocks.  A use of a window (12 bytes) is sent for every occurrence,
+so those of one window or segment that stands in very many documents still meet in one task.
+Shards and blocks grow in number, not in size,
 with the input; all of it is lineage over two reused exchanges, so lost executors only repeat
 their part.  Hashes are 64-bit content hashes; equal windows are decided by the index itself.
 """
@@ -34,6 +40,7 @@ from opsdesk.llm.common import id_text, partitions, pieces, prepare
 
 BLOCK_BYTES = 6 << 20        # text of one block
 SHARD_BYTES = 8 << 20        # input text per shard
+HOT_BYTES = 2 << 20          # about the text of one anchor's distinct segments before its windows are dealt out
 _CODEC = "zstd"
 
 
@@ -85,6 +92,13 @@ class Units:
         self.content = S.range_hash(prefix, self.lo, self.hi + window)
         del self.byte_prefix                   # eight times the text
 
+    def window_hash(self, unit: str, window: int, start: np.ndarray) -> np.ndarray:
+        """Content hashes of the windows at ``start`` (the prefixes are not kept, so made anew)."""
+        prefix = S.prefix_hash(S.BYTE_CODE[self.data])
+        if unit != "byte":
+            prefix = S.prefix_hash(S.range_hash(prefix, self.starts, self.ends))
+        return S.range_hash(prefix, start, start + window)
+
     def span(self, unit: str, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Byte ranges of the segments."""
         if unit == "byte":
@@ -141,27 +155,51 @@ def layout(docs: DataFrame) -> tuple[DataFrame, int]:
     return dealt.repartition(parts, "blk"), int(shards)
 
 
+def hot_segments(unit: str, window: int) -> int:
+    """Distinct segments up to which an anchor stays in one shard."""
+    return max(1, HOT_BYTES // (window * 3 // 2 * (1 if unit == "byte" else 6)))
+
+
 def repeated_ranges(dealt: DataFrame, shards: int, unit: str, window: int, k: int, engine) -> DataFrame:
     """(blk, ranges): per block the unit ranges covered by windows that start in a smaller
     document.  ``engine(text, seg_start, seg_end, windows, doc)`` gives the smallest doc of every
     window of every segment, one after another."""
+    hot = hot_segments(unit, window)
 
     def anchors(table: pa.Table) -> pa.Table:
         blk = table.column("blk")[0].as_py()
-        seen = [_mask48(Units(p, unit, k, window).anchor) for p in block_pieces(table)]
-        h = np.unique(np.concatenate(seen))
+        seen = []
+        for p in block_pieces(table):
+            u = Units(p, unit, k, window)
+            content, first = np.unique(u.content, return_index=True)
+            seen.append((content, _mask48(u.anchor)[first]))
+            del u
+        _, first = np.unique(np.concatenate([c for c, _ in seen]), return_index=True)
+        h, held = np.unique(np.concatenate([a for _, a in seen])[first], return_counts=True)
         order, starts = _groups((h % S.U64(shards)).astype(np.int64))
         bucket = (h % S.U64(shards)).astype(np.int64)[order[starts]] if len(h) else np.empty(0, np.int64)
-        blobs = [_to48(part).tobytes() for part in np.split(h[order], starts[1:])] if len(h) else []
+        parts = np.split(order, starts[1:]) if len(h) else []
+        blobs = [_to48(h[part]).tobytes() for part in parts]
+        # anchors of more than one distinct segment here: place and number
+        more = [(np.flatnonzero(held[part] > 1), held[part][held[part] > 1]) for part in parts]
+        more = [np.concatenate(x).astype(np.uint32).tobytes() or None for x in more]
         return pa.table({"bucket": pa.array(bucket, pa.int64()), "blk": pa.array([blk] * len(blobs), pa.int64()),
-                         "anchors": pa.array(blobs, pa.binary())})
+                         "anchors": pa.array(blobs, pa.binary()), "more": pa.array(more, pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
         parts = [_from48(np.frombuffer(x, np.uint8)) for x in table.column("anchors").to_pylist()]
         _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        twice = np.split(count[inverse] > 1, np.cumsum([len(p) for p in parts])[:-1])
+        base = np.cumsum([0] + [len(p) for p in parts])
+        twice = np.split(count[inverse] > 1, base[1:-1])
+        total = count.astype(np.int64)
+        for at, blob in zip(base, table.column("more").to_pylist()):
+            if blob:
+                place, held = np.frombuffer(blob, np.uint32).reshape(2, -1).astype(np.int64)
+                total[inverse[at + place]] += held - 1     # distinct within a block
+        over = np.split((total > hot)[inverse], base[1:-1])
         return pa.table({"blk": table.column("blk"), "bucket": table.column("bucket"),
-                         "bits": pa.array([np.packbits(t).tobytes() for t in twice], pa.binary())})
+                         "bits": pa.array([np.packbits(t).tobytes() for t in twice], pa.binary()),
+                         "hot": pa.array([np.packbits(t).tobytes() if t.any() else None for t in over], pa.binary())})
 
     def segments(key, table: pa.Table, replies: pa.Table) -> pa.Table:
         blk = key[0].as_py()
@@ -178,10 +216,13 @@ def repeated_ranges(dealt: DataFrame, shards: int, unit: str, window: int, k: in
         # anchors held by another block (the shards' bits), or by two documents of this one
         bucket = (h % S.U64(shards)).astype(np.int64)
         order, starts = _groups(bucket)
-        answer = dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()))
-        ok = np.zeros(len(h), bool)
+        answer = dict(zip(replies.column("bucket").to_pylist(), zip(replies.column("bits").to_pylist(),
+                                                                    replies.column("hot").to_pylist())))
+        ok, over = np.zeros(len(h), bool), np.zeros(len(h), bool)
         for part in np.split(order, starts[1:]):
-            ok[part] = np.unpackbits(np.frombuffer(answer[int(bucket[part[0]])], np.uint8), count=len(part)) > 0
+            for flags, blob in zip((ok, over), answer[int(bucket[part[0]])]):
+                if blob:
+                    flags[part] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(part)) > 0
         ids = np.concatenate([u.doc_id[u.doc] for u in units])
         at = np.searchsorted(h, np.concatenate(a48))
         low = np.full(len(h), np.iinfo(np.int64).max)
@@ -189,9 +230,33 @@ def repeated_ranges(dealt: DataFrame, shards: int, unit: str, window: int, k: in
         np.minimum.at(low, at, ids)
         np.maximum.at(high, at, ids)
         ok |= low < high
+        out: list[list] = [[], [], [], [], []]
+
+        def send(shard, content, doc, lo, wins, s0, s1, data, key64, doc_id):
+            order, starts = _groups(shard)
+            for part in np.split(order, starts[1:]) if len(order) else []:
+                _, first, seg = np.unique(content[part], return_index=True, return_inverse=True)
+                mine, d = np.unique(doc[part], return_inverse=True)
+                rep = part[first]
+                text = _take(data, s0[rep], s1[rep])
+                out[0].append(int(shard[part[0]]))
+                out[1].append(blk)
+                out[2].append(pack(key64[mine], doc_id[mine]))
+                out[3].append(pack(d.astype(np.int32), lo[part].astype(np.int32), seg.astype(np.int32)))
+                out[4].append(pack((s1[rep] - s0[rep]).astype(np.int32), wins[rep].astype(np.int32),
+                                   content[rep], text))
+
         rows = []
         for u, a in zip(units, a48):
-            pick = np.flatnonzero(ok[np.searchsorted(h, a)])
+            at = np.searchsorted(h, a)
+            pick = np.flatnonzero(ok[at] & over[at])
+            if len(pick):                          # windows of hot anchors, by their content hash
+                n = u.hi[pick] - u.lo[pick] + 1
+                w = _take(np.arange(int(u.first[-1])), u.lo[pick], u.hi[pick] + 1)
+                doc, content, none = np.repeat(u.doc[pick], n), u.window_hash(unit, window, w), np.zeros(len(w), np.int64)
+                send((content % S.U64(shards)).astype(np.int64) + shards, content, doc, w - u.first[doc], none + 1,
+                     none, none, u.data[:0], u.key, u.doc_id)
+            pick = np.flatnonzero(ok[at] & ~over[at])
             s0, s1 = u.span(unit, window)
             rows.append((a[pick], u.content[pick], u.doc[pick], u.lo[pick] - u.first[u.doc[pick]],
                          u.hi[pick] - u.lo[pick] + 1, s0[pick], s1[pick]))
@@ -203,24 +268,12 @@ def repeated_ranges(dealt: DataFrame, shards: int, unit: str, window: int, k: in
         key64 = np.concatenate([u.key for u in units])
         doc_id = np.concatenate([u.doc_id for u in units])
         del units, rows
-        shard = (anchor % S.U64(shards)).astype(np.int64)
-        order, starts = _groups(shard)
-        out: list[list] = [[], [], [], [], []]
-        for part in np.split(order, starts[1:]) if len(order) else []:
-            _, first, seg = np.unique(content[part], return_index=True, return_inverse=True)
-            mine, d = np.unique(doc[part], return_inverse=True)
-            rep = part[first]
-            text = _take(data, s0[rep], s1[rep])
-            out[0].append(int(shard[part[0]]))
-            out[1].append(blk)
-            out[2].append(pack(key64[mine], doc_id[mine]))
-            out[3].append(pack(d.astype(np.int32), lo[part].astype(np.int32), seg.astype(np.int32)))
-            out[4].append(pack((s1[rep] - s0[rep]).astype(np.int32), wins[rep].astype(np.int32),
-                               content[rep], text))
+        send((anchor % S.U64(shards)).astype(np.int64), content, doc, lo, wins, s0, s1, data, key64, doc_id)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()),
                          *[pa.array(c, pa.binary()) for c in out[2:]]], names=names)
 
     def index(table: pa.Table) -> pa.Table:
+        single = table.column("bucket")[0].as_py() >= shards          # windows of hot anchors
         doc_tabs = [unpack(x, np.uint64, np.int64) for x in table.column("docs").to_pylist()]
         uses = [unpack(x, np.int32, np.int32, np.int32) for x in table.column("uses").to_pylist()]
         texts = [unpack(x, np.int32, np.int32, np.uint64, np.uint8) for x in table.column("texts").to_pylist()]
@@ -237,13 +290,13 @@ def repeated_ranges(dealt: DataFrame, shards: int, unit: str, window: int, k: in
         text = _take(np.concatenate([t[3] for t in texts]), (end - size)[first], end[first])
         del texts
         seg_end = np.cumsum(size[first])
-        mind = engine(text, seg_end - size[first], seg_end, wins, low)
+        mind = low if single else engine(text, seg_end - size[first], seg_end, wins, low)
         w_at = np.cumsum(wins) - wins
         seg_min = np.minimum.reduceat(mind, w_at)
         seg_max = np.maximum.reduceat(mind, w_at)
         blobs = []
         for i, (d, lo, seg) in enumerate(uses):
-            key, ids = doc_tabs[i]
+            keys, ids = doc_tabs[i]
             own, s, lo = ids[d], seg_of[seg + n_seg[i]], lo.astype(np.int64)
             all_of = np.flatnonzero(seg_max[s] < own)
             some = np.flatnonzero((seg_max[s] >= own) & (seg_min[s] < own))
@@ -261,13 +314,13 @@ def repeated_ranges(dealt: DataFrame, shards: int, unit: str, window: int, k: in
                 r_hi.append(lo[some][row[edge]] + step[stop] + window)
             r_doc, r_lo, r_hi = (np.concatenate(x) for x in (r_doc, r_lo, r_hi))
             order = np.lexsort((r_lo, r_doc))
-            blobs.append(pack(key[r_doc[order]], r_lo[order].astype(np.int32), r_hi[order].astype(np.int32))
+            blobs.append(pack(keys[r_doc[order]], r_lo[order].astype(np.int32), r_hi[order].astype(np.int32))
                          if len(order) else None)
         out = pa.table({"blk": table.column("blk"), "ranges": pa.array(blobs, pa.binary())})
         return out.filter(out.column("ranges").is_valid())
 
-    sent = dealt.groupBy("blk").applyInArrow(anchors, "bucket long, blk long, anchors binary")
-    answers = sent.groupBy("bucket").applyInArrow(shared, "blk long, bucket long, bits binary")
+    sent = dealt.groupBy("blk").applyInArrow(anchors, "bucket long, blk long, anchors binary, more binary")
+    answers = sent.groupBy("bucket").applyInArrow(shared, "blk long, bucket long, bits binary, hot binary")
     cut = dealt.groupBy("blk").cogroup(answers.groupBy("blk")).applyInArrow(
         segments, "bucket long, blk long, docs binary, uses binary, texts binary")
     return cut.groupBy("bucket").applyInArrow(index, "blk long, ranges binary")

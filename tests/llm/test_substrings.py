@@ -113,3 +113,30 @@ def test_empty_table(spark, make_docs):
     docs = make_docs([(1, "x")]).where("doc_id = 2")
     assert fmindex.remove_repeated_words(docs).count() == 0
     assert suffixblocks.remove_repeated_bytes(docs).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3000])
+def test_hot_anchors_dealt_out_equal_brute_force(spark, make_docs, rows, monkeypatch, size):
+    monkeypatch.setattr(repeats, "HOT_BYTES", size, raising=False)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 20_000)
+    got = fmindex.remove_repeated_words(make_docs(rows))
+    assert sorted(map(tuple, got.collect()), key=str) == brute.words_removed(rows)
+    got = suffixblocks.remove_repeated_bytes(make_docs(rows))
+    assert sorted(map(tuple, got.collect()), key=str) == brute.bytes_removed(rows)
+
+
+@pytest.mark.parametrize("unit, window, k, engine", [("word", 50, 8, fmindex.smallest_docs), ("byte", 50, 16, suffixblocks.smallest_docs)])
+def test_no_shard_holds_a_hot_anchor(spark, make_docs, words, monkeypatch, unit, window, k, engine):
+    """A template phrase between each document's own words gives one distinct segment a document."""
+    monkeypatch.setattr(repeats, "HOT_BYTES", 20 * window * 9, raising=False)
+    phrase = " ".join(words(12, 77))
+    dealt, shards = repeats.layout(make_docs([(i, " ".join([*words(60, 100 + i, 10**9), phrase, *words(60, 5000 + i, 10**9)]))
+                                              for i in range(600)]))
+
+    def bounded(text, a, b, wins, doc):
+        if len(a) > 400:
+            raise RuntimeError(f"{len(a)} segments in one shard")
+        return engine(text, a, b, wins, doc, window)
+
+    repeats.repeated_ranges(dealt, shards, unit, window, k, bounded).collect()
