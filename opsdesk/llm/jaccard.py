@@ -205,24 +205,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     made = stored(map_pieces(rows.withColumn("text_key", F.xxhash64("text")), banded,
                              "doc_id long, text_key long, set_key long, bands array<long>"), "bands")
     sets = made.where("set_key is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("low"),
+        F.min("text_key").alias("text_key"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")) \
+        .select("set_key", F.col("low.doc_id").alias("doc"), F.coalesce("low.text_key", "text_key").alias("rep_key"),
+                "copies", "bands")
     banded_sets = stored(sets, "sets")
     buckets = banded_sets.select("set_key", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min("set_key").alias("hub"), F.count("*").alias("n")).where("n > 1")
     links = buckets.join(hubs, "band").select(F.col("set_key").alias("a"), F.col("hub").alias("b"))
     coarse = components(links).withColumnsRenamed({"node": "set_key", "component": "cluster"})
-    members = banded_sets.select("set_key", "doc", "copies").join(coarse, "set_key")
+    members = banded_sets.select("set_key", "doc", "rep_key", "copies").join(coarse, "set_key")
 
     # the shingles of clustered sets, from the text of one document each
     wanted = members.withColumnRenamed("doc", "rep")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "set_key", "copies", "cluster")
+    # (by id and content: an id, or no id, may stand in very many rows of other texts)
+    texts = rows.withColumn("text_key", F.xxhash64("text")).join(
+        wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))) \
+        .select("text", "set_key", "copies", "cluster")
 
     def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
         h, first = shingle_sets(piece.column("text"), size)
         some = np.flatnonzero(first[1:] > first[:-1])
         keys = np.zeros(piece.num_rows, np.int64)
         keys[some] = set_keys(h, np.append(first[some], first[-1]))
-        ok = keys == np.asarray(piece.column("set_key"))       # another text of a repeated id: not it
+        ok = keys == np.asarray(piece.column("set_key"))       # another text of equal hash: not it
         blobs = [h[first[i]:first[i + 1]].tobytes() for i in np.flatnonzero(ok)]
         pick = pa.array(np.flatnonzero(ok))
         return pa.RecordBatch.from_arrays(

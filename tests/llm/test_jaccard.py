@@ -66,3 +66,20 @@ def test_components(spark, size, monkeypatch):
 
 def test_empty_table(spark, make_docs):
     assert jaccard.near_duplicates(make_docs([(1, "x")]).where("doc_id = 2")).count() == 0
+
+
+def test_rows_of_one_id_are_joined_by_content(spark, make_docs, words, monkeypatch):
+    """Near copies without an id and of one id: every set meets its own text only."""
+    own, joined = jaccard.map_pieces, []
+
+    def counted(df, *args):
+        if "cluster" in df.columns:
+            joined.append(df.count())
+        return own(df, *args)
+
+    monkeypatch.setattr(jaccard, "map_pieces", counted)
+    body = words(100, 9)
+    rows = [(i, " ".join([*body, f"end{j}{i}"])) for i in (None, 5) for j in range(40)]
+    got = jaccard.near_duplicates(make_docs(rows)).collect()
+    assert len(got) == 80 and all(r.n_links == 79 for r in got) and {r.class_id for r in got} == {5}
+    assert joined == [80]
