@@ -156,7 +156,7 @@ def infer(data: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray,
     best = single.max(1).astype(np.float64)
     size = np.ones(len(some), np.int64)
     answer = best_one.copy()
-    for s in range(2, min(k, 4) + 1):
+    for s in range(2, k + 1):
         member = np.zeros((len(some), k), np.float32)
         np.put_along_axis(member, rank[:, :s], 1, 1)
         part = shares * member

@@ -123,3 +123,21 @@ def test_toxicity_gradients():
         low = loss()
         a[real] = old
         assert np.isclose(g[at], (high - low) / 2e-3, rtol=2e-2, atol=2e-5)
+
+
+def test_sets_of_more_than_four_languages():
+    langs = [f"l{i}" for i in range(7)]
+    rng = np.random.default_rng(4)
+
+    def text(g, n):
+        letters = [chr(97 + (3 * g + i) % 26) for i in range(3)]
+        return " ".join("".join(rng.choice(letters, 5)) for _ in range(n))
+
+    counts = np.ones((7, langid.BUCKETS))
+    for g in range(7):
+        data, off = langid.S.text_bytes(pa.array([text(g, 2000)]))
+        counts[g] += np.bincount(langid.trigrams(data, off)[0], minlength=langid.BUCKETS)
+    model = langid.Model(langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+    mixed = [" ".join(text(g, 40 + 10 * (g == 2)) for g in range(n)) for n in (3, 5, 6, 7)]
+    pred, _, size = langid.infer(*langid.S.text_bytes(pa.array([*mixed, text(1, 50)])), model)
+    assert size.tolist() == [3, 5, 6, 7, 1] and pred.tolist() == [2, 2, 2, 2, 1]
