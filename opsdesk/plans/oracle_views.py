@@ -43,8 +43,7 @@ SELECT e.event_id AS id, e.user_id AS customer_id, p.subject,
        e.ts AS created_at, e.k
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e
 JOIN phrases p ON e.event_id % 12 = p.pid
-JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) b
-  ON e.event_id % (SELECT count(*) FROM benchmark) = b.place""",
+LEFT JOIN benchmark b ON e.event_id % (SELECT greatest(1, max(item_id) + 1) FROM benchmark) = b.item_id""",
     "customers": """
 SELECT c_custkey AS id, concat('EXT-', CAST(c_custkey AS VARCHAR)) AS external_customer_id, c_name AS name,
        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat('user', CAST(c_custkey AS VARCHAR), '@example.test') END AS email,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsdesk.sources.tables import load
@@ -87,18 +87,19 @@ def prop_k(props: str = "props") -> Column:
 
 
 def tickets_from(events: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Tickets derived from events: phrase by event_id % 12, whole benchmark text by the item whose
-    rank (by item_id) is event_id modulo the number of items, so every item occurs.  Works for batch
-    and streaming ``events`` (stream-static join with ``benchmark``, a small dimension table)."""
+    """Tickets derived from events: phrase by event_id % 12, whole text of the benchmark item whose id is
+    event_id modulo the span of ids (0 .. largest), so every item occurs and no numbering is needed; an
+    id without an item adds no text and loses no ticket.  Works for batch and streaming ``events``
+    (stream-static join with ``benchmark``)."""
     phrase = F.element_at(
         F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(m).alias("message"), F.lit(c).alias("category"),
                            F.lit(se).alias("sentiment")) for _, s, m, c, se in PHRASES]),
         (F.col("event_id") % 12 + 1).cast("int"))
     k = F.col("k")
     ev = events.select("event_id", "ts", "user_id", prop_k().alias("k"), phrase.alias("p"))
-    bench = benchmark.select(F.col("text").alias("btext"),  # the whole benchmark text
-                             (F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("place"))
-    j = ev.join(bench, F.pmod(ev.event_id, F.lit(max(1, benchmark.count()))) == bench.place, "inner")
+    bench = benchmark.select("item_id", F.col("text").alias("btext"))  # the whole benchmark text
+    span = benchmark.agg(F.greatest(F.lit(1).cast("bigint"), F.max("item_id") + 1)).scalar()
+    j = ev.join(bench, F.pmod(ev.event_id, span) == bench.item_id, "left")
     status = (F.when(k % 20 == 0, "Escalated").when(k % 20 == 1, "Pending").when(k % 20 == 2, "In Progress")
               .when(k % 20 == 3, "Closed").when(k % 3 == 0, "Open").otherwise("Resolved"))
     priority = (F.when(k % 10 == 0, "Urgent").when((k % 10).isin(1, 2), "High")
@@ -109,7 +110,7 @@ def tickets_from(events: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("event_id").alias("id"),
         F.col("user_id").alias("customer_id"),
         F.col("p.subject").alias("subject"),
-        F.concat(F.col("p.message"), F.lit(". "), F.col("btext")).alias("description"),
+        F.concat(F.col("p.message"), F.lit(". "), F.coalesce(F.col("btext"), F.lit(""))).alias("description"),
         _channel(F.col("event_id")).alias("channel"),
         status.alias("status"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("p.category")).alias("category"),
