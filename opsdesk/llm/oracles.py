@@ -122,5 +122,60 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11 = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+              ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)
+), fields AS (
+  SELECT row_number() OVER () AS uid, CAST(doc_id AS BIGINT) AS doc_id, coalesce(':' || lang, '-') AS tree,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS body,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+                         lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 3 = 0 AS tampered
+  FROM documents, crc
+), leaves AS (
+  SELECT uid, doc_id, tree, leaf, CASE WHEN tampered THEN sha256(head || low) ELSE leaf END AS start,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, uid) - 1 AS pos
+  FROM (SELECT *, sha256(head || body) AS leaf FROM fields)
+), nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM nodes) WHERE c > 1 GROUP BY tree, level, pos // 8
+), subroots AS (
+  SELECT tree, h AS subroot, level AS height, row_number() OVER (ORDER BY tree) - 1 AS place
+  FROM (SELECT *, max(level) OVER (PARTITION BY tree) AS top FROM nodes) WHERE level = top
+), upper AS (
+  SELECT 0 AS level, place AS pos, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS c FROM upper) WHERE c > 1 GROUP BY level, pos // 8
+), runs AS (
+  SELECT tree, level, pos // 8 AS run, list(h ORDER BY pos) AS hs
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree, level) AS c FROM
+        (SELECT tree, level, pos, h FROM nodes UNION ALL SELECT '', level, pos, h FROM upper)) WHERE c > 1 GROUP BY ALL
+), climb AS (
+  SELECT uid, tree, 0 AS level, pos, start AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT uid, tree, level + 1, pos // 8,
+         sha256(array_to_string(hs[:pos % 8], '') || h || array_to_string(hs[pos % 8 + 2:], '')),
+         proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+  FROM climb JOIN runs USING (tree, level) WHERE run = pos // 8
+), climbed AS (
+  SELECT uid, '' AS tree, 0 AS level, place AS pos, h, proof
+  FROM climb JOIN subroots ON climb.tree = subroots.tree AND level = height
+  UNION ALL
+  SELECT uid, tree, level + 1, pos // 8,
+         sha256(array_to_string(hs[:pos % 8], '') || h || array_to_string(hs[pos % 8 + 2:], '')),
+         proof || array_to_string(hs[:pos % 8], '') || array_to_string(hs[pos % 8 + 2:], '')
+  FROM climbed JOIN runs USING (tree, level) WHERE run = pos // 8
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM leaves JOIN subroots USING (tree) JOIN climbed USING (uid)
+JOIN (SELECT level, h AS root FROM upper ORDER BY level DESC LIMIT 1) USING (level)
+"""
+
 SQL = {"op1_substring_dedup": OP1, "op6_suffix_dedup": OP6, "op7_knn_join": OP7, "op8_jaccard_join": OP8,
-       "op9_contamination": OP9}
+       "op9_contamination": OP9, "op11_merkle_manifest": OP11}

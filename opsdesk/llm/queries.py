@@ -6,7 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, packing, suffixblocks, tokens, toxicity
+from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, merkle, packing, suffixblocks, \
+    tokens, toxicity
 from opsdesk.llm.common import table
 from opsdesk.llm.oracles import SQL  # noqa: F401  (read by the driver contract)
 
@@ -67,6 +68,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document; every third one is tampered with."""
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_token_counts, op4_toxicity, op5_line_dedup, op6_suffix_dedup,
-    op7_knn_join, op8_jaccard_join, op9_contamination, op10_packing)}
+    op7_knn_join, op8_jaccard_join, op9_contamination, op10_packing, op11_merkle_manifest)}
