@@ -177,5 +177,41 @@ FROM leaves JOIN subroots USING (tree) JOIN climbed USING (uid)
 JOIN (SELECT level, h AS root FROM upper ORDER BY level DESC LIMIT 1) USING (level)
 """
 
+OP12 = r"""
+WITH piece AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), place AS (
+  SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM piece, (VALUES (1), (2), (3), (4)) AS size(n) WHERE len(w) >= n
+), f AS (
+  SELECT lang, n AS size, array_to_string(w[i:i + n - 1], ' ') AS phrase, count(*) AS a FROM place GROUP BY ALL
+), total AS (
+  SELECT lang, sum(len(w)) AS n FROM piece GROUP BY lang
+), candidate AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30
+), inner_part AS (
+  SELECT lang, a, m, w, unnest(range(1, size - m + 2)) AS i FROM candidate, (VALUES (2), (3)) AS part(m) WHERE m < size
+), longer AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM inner_part GROUP BY ALL
+), kept AS (
+  SELECT candidate.* FROM candidate LEFT JOIN longer USING (lang, phrase)
+  WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+), cut AS (
+  SELECT lang, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r,
+         CAST(2000000 * CAST(cut.a AS HUGEINT) // (CAST(x.a AS HUGEINT) + y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       CAST(n AS BIGINT) AS n, score
+FROM best JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 SQL = {"op1_substring_dedup": OP1, "op6_suffix_dedup": OP6, "op7_knn_join": OP7, "op8_jaccard_join": OP8,
-       "op9_contamination": OP9, "op11_merkle_manifest": OP11}
+       "op9_contamination": OP9, "op11_merkle_manifest": OP11, "op12_phrase_mining": OP12}

@@ -24,6 +24,7 @@ from opsdesk.llm import textscan as S
 from opsdesk.llm.common import id_text, map_pieces, pieces, prepare, stored
 
 GROUP_PIECES = 16_384      # expected pieces of a group: bounds memory of a packing task
+ENCODE_BYTES = 1 << 19     # text encoded at once: about a hundred bytes of arrays per byte of text
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -73,6 +74,42 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+def piece_batches(batches, spec: bytes, capacity: int, eos: int, emit_ids: bool = False):
+    """Token pieces of Arrow batches with doc_id and text (runs inside a task)."""
+    from opsdesk.llm.wordbpe import WordBpe
+    bpe = worker_tokenizer(spec, WordBpe)
+    for batch in batches:
+        for piece in pieces(batch, limit=ENCODE_BYTES):
+            yield _cut(piece, bpe, capacity, eos, emit_ids)
+
+
+def _cut(piece: pa.RecordBatch, bpe, capacity: int, eos: int, emit_ids: bool) -> pa.RecordBatch:
+    ids, first = bpe.encode(*S.text_bytes(piece.column("text")))
+    docs = len(first) - 1
+    total = np.diff(first) + 1                       # with eos
+    stop = np.cumsum(total)
+    whole = np.full(stop[-1], eos, "<u4")
+    inner = np.ones(len(whole), bool)
+    inner[stop - 1] = False
+    whole[inner] = ids
+    parts = -(-total // capacity)
+    doc = np.repeat(np.arange(docs), parts)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * capacity
+    length = np.minimum(capacity, total[doc] - start)
+    at = (stop - total)[doc] + start
+    raw = memoryview(whole).cast("B")
+    crc = np.fromiter((zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())),
+                      np.int64, len(doc))
+    arrays = [piece.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc),
+              pa.array(total[doc])]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    if emit_ids:
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(whole.astype(np.int64))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
 def encode_pieces(docs: DataFrame, spec: bytes, capacity: int = 2048, eos: int = 1,
                   emit_ids: bool = False) -> DataFrame:
     """Token pieces of every document: (doc_id, start, length, ids_crc32, doc_tokens[, ids])."""
@@ -80,36 +117,7 @@ def encode_pieces(docs: DataFrame, spec: bytes, capacity: int = 2048, eos: int =
     prepare(spark)
     shared = spark.sparkContext.broadcast(spec)      # the vocabulary file: fixed size
     schema = PIECE_SCHEMA + (", ids array<long>" if emit_ids else "")
-
-    def run(batches):
-        from opsdesk.llm.wordbpe import WordBpe
-        bpe = worker_tokenizer(shared.value, WordBpe)
-        for batch in batches:
-            for piece in pieces(batch):
-                yield cut(piece, bpe)
-
-    def cut(piece: pa.RecordBatch, bpe) -> pa.RecordBatch:
-        data, off = S.text_bytes(piece.column("text"))
-        ids, first = bpe.encode(data, off)
-        doc_id = piece.column("doc_id").to_pylist()
-        rows: list[tuple] = []
-        out_ids = []
-        for d in range(len(doc_id)):
-            whole = np.append(ids[first[d]:first[d + 1]], np.uint32(eos)).astype("<u4")
-            for at in range(0, len(whole), capacity):
-                part = whole[at:at + capacity]
-                rows.append((doc_id[d], at, len(part), zlib.crc32(part.tobytes()), len(whole)))
-                if emit_ids:
-                    out_ids.append(part.astype(np.int64))
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        arrays = [pa.array(c, pa.int64()) for c in cols]
-        if emit_ids:
-            names.append("ids")
-            arrays.append(pa.array(out_ids, pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return id_text(docs).mapInArrow(run, schema)
+    return id_text(docs).mapInArrow(lambda batches: piece_batches(batches, shared.value, capacity, eos, emit_ids), schema)
 
 
 _TOKENIZER: dict[int, object] = {}

@@ -6,8 +6,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, merkle, packing, suffixblocks, \
-    tokens, toxicity
+from opsdesk.llm import contam, fmindex, jaccard, knn, langid, linealign, merkle, packing, patterns, \
+    phrases, suffixblocks, tokens, toxicity
 from opsdesk.llm.common import table
 from opsdesk.llm.oracles import SQL  # noqa: F401  (read by the driver contract)
 
@@ -73,6 +73,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of two to four words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens by fitted length patterns."""
+    return patterns.pack_by_patterns(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_language_id, op3_token_counts, op4_toxicity, op5_line_dedup, op6_suffix_dedup,
-    op7_knn_join, op8_jaccard_join, op9_contamination, op10_packing, op11_merkle_manifest)}
+    op7_knn_join, op8_jaccard_join, op9_contamination, op10_packing, op11_merkle_manifest,
+    op12_phrase_mining, op13_pattern_packing)}

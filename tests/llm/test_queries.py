@@ -15,7 +15,7 @@ from opsdesk.llm.queries import QUERIES
 
 def test_all_queries_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 12))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) < set(names) and "pipeline" in names and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
