@@ -96,14 +96,14 @@ def intake(requests: DataFrame, customers: DataFrame, policies: DataFrame) -> di
             "rejected": rejected}
 
 
-def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK, max_rows: int | None = None,
+def bulk_analyze(rows: DataFrame, knowledge, k: int = LX.K_BULK, max_rows: int | None = None,
                  key: str = "row_id", observation=None) -> DataFrame:
     """CL13: per-row classification of a CSV batch in one pass.
 
     The whole stripped subject and description are classified; a missing or blank value gives a
     failed row with a fixed error (the row text is never echoed).
-    ``knowledge_matches`` is the number of retrieval hits at k=2, i.e. min(k, corpus chunks)
-    for a non-blank text (vector retrieval has no minimum score).  ``max_rows`` reproduces
+    ``knowledge_matches`` and ``knowledge_sources`` are the k best hits of "subject description" in
+    ``knowledge`` (a ``VectorIndex`` or ``ChunkCorpus``), retrieved once per distinct text.  ``max_rows`` reproduces
     the optional batch cap (raise when exceeded); at scale it is left unset.  Progress is
     reported through Spark's own metrics: pass a ``pyspark.sql.Observation`` and read
     ``processed`` / ``failed`` from it after the action (no driver-side callback per row)."""
@@ -112,11 +112,15 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
         raise ValueError(f"Batch exceeds the {max_rows:,}-row limit. Split the CSV and retry.")
     subj, desc = py_strip(F.col("subject")), py_strip(F.col("description"))
-    corpus = corpus_chunks.agg(F.count(F.lit(1)).alias("corpus_n")).scalar()  # one value, no join
     r = rows.select(key, subj.alias("s"), desc.alias("d"),
-                    F.coalesce(F.col("customer").cast("string"), F.lit("")).alias("customer"), corpus.alias("corpus_n"))
+                    F.coalesce(F.col("customer").cast("string"), F.lit("")).alias("customer"),
+                    F.xxhash64(F.concat_ws(" ", subj, desc)).alias("th"))
     ok = F.col("s").isNotNull() & F.col("d").isNotNull() & (F.length("s") > 0) & (F.length("d") > 0)
-    out = with_rule_analysis(r.withColumn("ok", ok), "s", "d")
+    r = r.withColumn("ok", ok)
+    asked = r.where("ok").groupBy("th").agg(F.any_value(F.concat_ws(" ", "s", "d")).alias("text"))
+    hits = knowledge.retrieve(asked, k, "th").groupBy("th").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "filename"))).alias("hits"))
+    out = with_rule_analysis(r, "s", "d").join(hits, "th", "left")
 
     def when_ok(c):
         return F.when(F.col("ok"), c)
@@ -126,7 +130,8 @@ def bulk_analyze(rows: DataFrame, corpus_chunks: DataFrame, k: int = LX.K_BULK,
         when_ok(F.col("customer")).alias("customer"),
         *[when_ok(F.col(c)).alias(c) for c in ("category", "intent", "priority", "severity", "sentiment",
                                                "confidence")],
-        when_ok(F.least(F.lit(k), F.col("corpus_n")).cast("bigint")).alias("knowledge_matches"),
+        when_ok(F.coalesce(F.size("hits"), F.lit(0)).cast("bigint")).alias("knowledge_matches"),
+        when_ok(F.array_join(F.col("hits.filename"), " | ")).alias("knowledge_sources"),
         when_ok(F.lit("rules")).alias("analysis_mode"),
         F.when(~F.col("ok"), F.lit(LX.BULK_ERR_TEXT)).alias("error"))
     if observation is not None:

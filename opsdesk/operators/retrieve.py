@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
-from opsdesk.functions.time import as_timestamp
 from opsdesk.functions.text import normalize_ws, round_half_up, token_bucket, token_sign, tokenize
+from opsdesk.operators import vectors as V
+from opsdesk.operators.index import with_content
+from opsdesk.operators.vectors import top_k  # noqa: F401
 from opsdesk.plans.hints import bounded, salted
 
-NO_TEXT = "The selected document does not contain readable text."
-
 
 def by_document(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hash-partition documents by id so all per-document work below is exchange-free."""
@@ -91,12 +91,6 @@ def cosine_pairs(queries_vec: DataFrame, qkeys: list[str], corpus_vec: DataFrame
     return dots.select(*qkeys, *ckeys, cos.alias("cosine"))
 
 
-def top_k(pairs: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """row_number() ≤ k per group (planned as a partial + final WindowGroupLimit)."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return pairs.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
-
-
 def sparse_arrays(rows: DataFrame, keys: list[str], text: str = "content", dims: int = LX.HASH_DIMS) -> DataFrame:
     """TX4 in array form: (keys…, b array<int>, v array<bigint>) — ≤ ``dims`` entries per row,
     sorted by bucket.  Keyed by the row key, so doc-partitioned input needs no exchange."""
@@ -119,107 +113,30 @@ def _dense(b_lists, v_lists, dims: int):
     return m
 
 
-def _score_batches(bc, k: int, dims: int, pad_zero: bool = False):
-    """mapInPandas body: exact cosine of a batch of chunks against the broadcast queries and
-    the batch-local top-k per query (ties: doc_id, chunk_index).  Only pairs sharing a bucket
-    are candidates, as in the bucket equi-join."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        qids, qmat, qn2 = bc.value
-        qnz = (qmat != 0).astype(np.float32)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            c = _dense(pdf["b"].tolist(), pdf["v"].tolist(), dims)
-            cn2 = (c * c).sum(axis=1).astype(np.int64)
-            dots = c @ qmat                                   # exact: integer sums < 2**53
-            shared = ((c != 0).astype(np.float32) @ qnz) > 0
-            if pad_zero:  # every chunk is a candidate: chunks sharing no bucket score 0
-                shared = np.ones_like(shared)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                cos = dots / np.sqrt((cn2[:, None] * qn2[None, :]).astype(np.float64))
-            cos = np.nan_to_num(cos, nan=0.0)  # a zero-norm query (no tokens) scores 0
-            doc = pdf["doc_id"].to_numpy()
-            chunk = pdf["chunk_index"].to_numpy()
-            out_q, out_d, out_c, out_s = [], [], [], []
-            for j in range(len(qids)):
-                idx = np.flatnonzero(shared[:, j])
-                if idx.size == 0:
-                    continue
-                sc = cos[idx, j]
-                if idx.size > k:
-                    kth = np.partition(sc, idx.size - k)[idx.size - k]
-                    keep = sc >= kth
-                    idx, sc = idx[keep], sc[keep]
-                order = np.lexsort((chunk[idx], doc[idx], -sc))[:k]
-                sel = idx[order]
-                out_q.append(np.full(sel.size, qids[j], dtype=qids.dtype))
-                out_d.append(doc[sel])
-                out_c.append(chunk[sel])
-                out_s.append(cos[sel, j])
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q), "doc_id": np.concatenate(out_d).astype(np.int64),
-                                    "chunk_index": np.concatenate(out_c).astype(np.int32),
-                                    "cosine": np.concatenate(out_s)})
-    return run
-
-
-def dense_top_k(corpus_arrays: DataFrame, query_arrays: DataFrame, k: int, dims: int = LX.HASH_DIMS,
-                max_queries: int = 20_000, checked: bool = False, pad_zero: bool = False) -> DataFrame:
-    """Top-k chunks per query for a *bounded* query set: the query matrix is broadcast, every
-    corpus partition is scored batch-wise with one matrix product and emits ≤ k rows per
-    query; the global top-k is the partial/final group limit.  The query count is checked
-    against ``max_queries`` (skip with ``checked=True`` when the caller already did)."""
-    import numpy as np
+def chunk_blocks(chunks: DataFrame, group_docs: int = 512) -> DataFrame:
+    """Packed vectors of chunk rows that are in no stored index."""
+    rows = chunks.withColumn("commit", F.lit(""))
+    groups = -(-rows.select("doc_id").distinct().count() // group_docs)
+    return V.blocks_of(V.grouped(rows, groups)).withColumn("dead", F.lit(None).cast("array<bigint>"))
+
+
+class ChunkCorpus:
+    """Chunk rows and their metadata as something to retrieve from, like a ``VectorIndex``."""
 
-    if not checked and not bounded(query_arrays.select("qid"), max_queries):
-        raise ValueError(f"dense_top_k needs at most {max_queries} queries; use the salted join "
-                         "(cosine_pairs with query_broadcast=False) for larger query sets")
-    spark = corpus_arrays.sparkSession
-    qtype = query_arrays.schema["qid"].dataType.simpleString()
-    q = query_arrays.select("qid", "b", "v").collect()  # bounded: the caller checked the query count
-    qids = np.array([r.qid for r in q], dtype=object if qtype == "string" else np.int64)
-    qmat = _dense([r.b for r in q], [r.v for r in q], dims).T.copy() if q else np.zeros((dims, 0))
-    qn2 = (qmat * qmat).sum(axis=0).astype(np.int64)
-    bc = spark.sparkContext.broadcast((qids, qmat, qn2))
-    schema = f"qid {qtype}, doc_id bigint, chunk_index int, cosine double"
-    local = corpus_arrays.select("doc_id", "chunk_index", "b", "v").mapInPandas(
-        _score_batches(bc, k, dims, pad_zero), schema)
-    return top_k(local, ["qid"], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
+    def __init__(self, chunks: DataFrame, chunks_meta: DataFrame):
+        self.chunks, self.chunks_meta = chunks, chunks_meta
+
+    def retrieve(self, queries: DataFrame, k: int, qid: str = "qid", text: str = "text") -> DataFrame:
+        return retrieve_cosine(queries, self.chunks, self.chunks_meta, k, qid, text)
 
 
 def retrieve_cosine(queries: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int,
-                    qid: str = "qid", qtext: str = "text", max_broadcast_queries: int = 20_000,
-                    pad_zero: bool = False) -> DataFrame:
-    """RET1: top-k chunks per query by cosine; score = round(max(0, cosine), 3).
-    Ties break on (doc_id, chunk_index); blank queries get no hits.
-
-    ``chunks`` (doc-partitioned chunk rows) are hashed here.  The query count is checked
-    once: within ``max_broadcast_queries`` (20 k queries ≈ 41 MB as a dense 256 × Q matrix)
-    the query matrix is broadcast and each corpus partition is scored by a vectorised kernel
-    (``dense_top_k``); beyond it the bucket equi-join is salted.  Both give identical scores.
-
-    ``pad_zero`` (kernel path): rank *every* chunk, so a query with fewer than k matching
-    chunks is padded with zero-similarity chunks (lowest ids first) — the behaviour of an
-    unthresholded vector-store top-k.  The default keeps only chunks sharing a bucket."""
-    q = queries.where(F.length(F.trim(F.col(qtext))) > 0).select(F.col(qid).alias("qid"), F.col(qtext).alias("text"))
-    small = bounded(q.select("qid"), max_broadcast_queries)
-    if small:
-        best = dense_top_k(sparse_arrays(chunks, ["doc_id", "chunk_index"]), sparse_arrays(q, ["qid"], "text"), k,
-                           checked=True, pad_zero=pad_zero)
-    else:
-        if pad_zero:
-            raise ValueError("pad_zero needs the broadcast kernel path (query set within the bound)")
-        qvec = hash_embed(q, ["qid"], text="text")
-        cvec = hash_embed(chunks, ["doc_id", "chunk_index"])
-        pairs = cosine_pairs(qvec, ["qid"], cvec, ["doc_id", "chunk_index"], query_broadcast=False)
-        best = top_k(pairs, ["qid"], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], k)
-    hits = chunks_meta.join(F.broadcast(best) if small else best, ["doc_id", "chunk_index"], "inner")
-    return hits.select(
-        F.col("qid").alias(qid), "rank", "doc_id", "chunk_index", "filename", "document_type", "content",
-        round_half_up(F.greatest(F.lit(0.0), F.col("cosine")), 3).alias("score"))
+                    qid: str = "qid", qtext: str = "text", slab_bytes: int = V.SLAB_BYTES) -> DataFrame:
+    """RET1 over chunk rows without a stored index (``VectorIndex.retrieve`` reads a stored one):
+    the k chunks of largest cosine per query, min(k, chunks) hits for every query that is not blank;
+    score = round(max(0, cosine), 3), ties by (doc_id, chunk_index)."""
+    best = V.search_blocks(chunk_blocks(chunks), queries, k, qid, qtext, slab_bytes)
+    return with_content(best, chunks_meta, ["doc_id", "chunk_index"], qid)
 
 
 def class_centroids(vectors: DataFrame, label: str = "label", emb: str = "embedding") -> DataFrame:
@@ -231,30 +148,9 @@ def class_centroids(vectors: DataFrame, label: str = "label", emb: str = "embedd
 
 
 def retrieve_dense(queries: DataFrame, vectors: DataFrame, k: int, vid: str = "vec_id", emb: str = "embedding",
-                   max_queries: int = 10_000) -> DataFrame:
-    """RET1d: exact top-k vectors by dot product for a *bounded* query set.
-
-    The query count is checked (a one-row count) before the queries are packed into a single
-    scalar-subquery array; each vector is then scored against every query inside its own row and
-    the per-query top-k uses the partial group limit.  Beyond ``max_queries`` exact dense
-    retrieval would be an all-pairs scan, so the operator refuses instead of degrading."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"retrieve_dense supports at most {max_queries} queries; use retrieve_cosine "
-                         "(sparse inverted index) for large query sets")
-    # the checked, bounded query set as one scalar value attached to every vector row (no join)
-    packed = queries.agg(F.collect_list(F.struct(F.col("qid"), F.col("embedding").alias("qe"))).alias("qs")).scalar()
-    v = vectors.select(F.col(vid).alias("vid"), F.col(emb).alias("ve"), packed.alias("qs"))
-
-    def dot(q):
-        return F.aggregate(F.zip_with(q["qe"], F.col("ve"), lambda a, b: a.cast("double") * b.cast("double")),
-                           F.lit(0.0), lambda acc, x: acc + x)
-
-    scored = v.select("vid", F.explode(F.transform("qs", lambda q: F.struct(q["qid"].alias("qid"),
-                                                                            dot(q).alias("sim")))).alias("s"))
-    pairs = scored.select(F.col("s.qid").alias("qid"), "vid", F.col("s.sim").alias("sim"))
-    best = top_k(pairs, ["qid"], [F.col("sim").desc(), F.col("vid")], k)
-    return best.select("qid", "rank", F.col("vid").alias(vid), "sim")
+                   slab_bytes: int = V.SLAB_BYTES) -> DataFrame:
+    """RET1d: exact top-k vectors by dot product for any number of queries (qid, embedding)."""
+    return V.search_dense(vectors, queries, k, vid, emb, slab_bytes)
 
 
 # ----------------------------------------------------------------------------- RET2
@@ -264,137 +160,26 @@ def token_sets(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return s.select(*keys, F.size("_set").alias("set_size"), F.explode("_set").alias("token"))
 
 
-def jaccard_pairs(left: DataFrame, lkeys: list[str], right: DataFrame, rkeys: list[str],
-                  left_broadcast: bool = False) -> DataFrame:
-    """|A∩B| / max(1, |A∪B|) for every pair sharing ≥ 1 token (inverted-index equi-join).
-    Frequent tokens are hot join keys: with a bounded left side it is broadcast, otherwise
-    AQE's skew-join splitting spreads the hot token partitions."""
+def jaccard_pairs(left: DataFrame, lkeys: list[str], right: DataFrame, rkeys: list[str], salts: int = 1) -> DataFrame:
+    """|A∩B| / max(1, |A∪B|) for every pair sharing ≥ 1 token (inverted-index equi-join); with
+    ``salts`` the right side's tokens are spread and the left side replicated."""
     lt = left.select(*lkeys, F.col("set_size").alias("ls"), "token")
     rt = right.select(*rkeys, F.col("set_size").alias("rs"), "token")
-    j = rt.join(F.broadcast(lt) if left_broadcast else lt, "token", "inner")
+    rt, lt, keys = salted(rt, lt, "token", salts, rkeys)
+    j = rt.join(lt, keys, "inner")
     inter = j.groupBy(*lkeys, *rkeys, "ls", "rs").agg(F.count(F.lit(1)).alias("inter"))
     union = F.col("ls") + F.col("rs") - F.col("inter")
     return inter.select(*lkeys, *rkeys, "inter", (F.col("inter") / F.greatest(F.lit(1), union)).alias("jaccard"))
 
 
-def _jaccard_batches(bc, k: int):
-    """mapInPandas body: exact token-set Jaccard of a batch of chunks against the broadcast
-    query sets and the batch-local top-k per query (ties: doc_id, chunk_index).  Only pairs
-    sharing a token are candidates, as in the inverted-index join."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        qids, vocab, indptr, members, qsize = bc.value
-        nq = len(qids)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            sets = pdf["toks"].tolist()
-            lens = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-            if lens.sum() == 0:
-                continue
-            rows = np.repeat(np.arange(len(sets)), lens)
-            vid = vocab.get_indexer(np.concatenate(sets))        # -1: token in no query
-            hit = vid >= 0
-            rows, vid = rows[hit], vid[hit]
-            per = indptr[vid + 1] - indptr[vid]                   # queries holding each token
-            r2 = np.repeat(rows, per)
-            starts = np.repeat(indptr[vid], per)
-            offs = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-            q2 = members[starts + offs]
-            inter = np.bincount(r2 * nq + q2, minlength=len(sets) * nq).reshape(len(sets), nq)
-            doc = pdf["doc_id"].to_numpy()
-            chunk = pdf["chunk_index"].to_numpy()
-            out_q, out_d, out_c, out_s = [], [], [], []
-            for j in range(nq):
-                idx = np.flatnonzero(inter[:, j])
-                if idx.size == 0:
-                    continue
-                i = inter[idx, j]
-                sc = i / np.maximum(1, lens[idx] + qsize[j] - i)
-                if idx.size > k:
-                    kth = np.partition(sc, idx.size - k)[idx.size - k]
-                    keep = sc >= kth
-                    idx, sc = idx[keep], sc[keep]
-                order = np.lexsort((chunk[idx], doc[idx], -sc))[:k]
-                sel = idx[order]
-                out_q.append(np.full(sel.size, qids[j], dtype=qids.dtype))
-                out_d.append(doc[sel])
-                out_c.append(chunk[sel])
-                out_s.append(sc[order])
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q), "doc_id": np.concatenate(out_d).astype(np.int64),
-                                    "chunk_index": np.concatenate(out_c).astype(np.int32),
-                                    "jaccard": np.concatenate(out_s)})
-    return run
-
-
-def jaccard_top_k(chunks: DataFrame, queries: DataFrame, k: int, qid: str = "qid", qtext: str = "text") -> DataFrame:
-    """RET2 for a bounded (checked) query set: query token sets broadcast as an inverted list
-    over their own vocabulary; every corpus partition counts intersections batch-wise."""
-    import numpy as np
-    import pandas as pd
-
-    spark = chunks.sparkSession
-    qtype = queries.schema[qid].dataType.simpleString()
-    q = queries.select(F.col(qid).alias("qid"), F.array_distinct(tokenize(F.col(qtext))).alias("toks")).collect()
-    qids = np.array([r.qid for r in q], dtype=object if qtype == "string" else np.int64)
-    vocab_list = sorted({t for r in q for t in r.toks})
-    vocab = pd.Index(vocab_list)
-    lists = [[] for _ in vocab_list]
-    for j, r in enumerate(q):
-        for t in r.toks:
-            lists[vocab.get_loc(t)].append(j)
-    indptr = np.zeros(len(vocab_list) + 1, dtype=np.int64)
-    indptr[1:] = np.cumsum([len(x) for x in lists])
-    members = np.array([j for x in lists for j in x], dtype=np.int64)
-    qsize = np.array([len(r.toks) for r in q], dtype=np.int64)
-    bc = spark.sparkContext.broadcast((qids, vocab, indptr, members, qsize))
-    sets = chunks.select("doc_id", "chunk_index", F.array_distinct(tokenize(F.col("content"))).alias("toks"))
-    local = sets.mapInPandas(_jaccard_batches(bc, k),
-                             f"qid {qtype}, doc_id bigint, chunk_index int, jaccard double")
-    return top_k(local, ["qid"], [F.col("jaccard").desc(), F.col("doc_id"), F.col("chunk_index")], k)
-
-
-def retrieve_jaccard(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
-                     qtext: str = "text", max_broadcast_queries: int = 20_000) -> DataFrame:
-    """RET2: token-set Jaccard top-k (zero scores never appear: no shared token, no pair).
-    Within the checked query bound the vectorised kernel is used; beyond it the
-    inverted-index equi-join on token (hot tokens split by AQE skew handling)."""
-    qf = queries.where(F.length(F.trim(F.col(qtext))) > 0)
-    if bounded(qf.select(qid), max_broadcast_queries):
-        best = jaccard_top_k(chunks, qf, k, qid, qtext).withColumnRenamed("qid", qid)
-    else:
-        q = token_sets(qf, [qid], qtext)
-        c = token_sets(chunks, ["doc_id", "chunk_index"], "content")
-        pairs = jaccard_pairs(q, [qid], c, ["doc_id", "chunk_index"])
-        best = top_k(pairs, [qid], [F.col("jaccard").desc(), F.col("doc_id"), F.col("chunk_index")], k)
-    return best.select(qid, "rank", "doc_id", "chunk_index",
-                       round_half_up(F.col("jaccard"), 3).alias("score"))
+def retrieve_jaccard(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", qtext: str = "text",
+                     slab_bytes: int = V.SLAB_BYTES) -> DataFrame:
+    """RET2: token-set Jaccard top-k (zero scores never appear: no shared token, no pair)."""
+    best = V.search_sets(chunks, queries, k, qid, qtext, slab_bytes)
+    return best.select(F.col("qid").alias(qid), "rank", "doc_id", "chunk_index", round_half_up(F.col("jaccard"), 3).alias("score"))
 
 
 # ----------------------------------------------------------------------------- IDX1-4
-def index_documents(docs: DataFrame, as_of, size: int = LX.CHUNK_SIZE, overlap: int = LX.CHUNK_OVERLAP) -> dict:
-    """IDX1: chunk + embed + register.  Returns ``documents`` (registry with status and
-    chunk count; empty texts rejected with an error), ``chunks`` (id ``doc_id:i``) and
-    ``vectors``."""
-    d = by_document(docs)
-    chunks = chunk_documents(d, size=size, overlap=overlap, keep=["filename", "document_type"]) \
-        .withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    vectors = hash_embed(chunks, ["doc_id", "chunk_index"])
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunk_count"))
-    stamp = as_timestamp(as_of)
-    # both sides keep the doc_id partitioning: the merge join needs no further exchange
-    reg = d.select("doc_id", "filename", "document_type").join(counts.hint("merge"), "doc_id", "left")
-    n = F.coalesce(F.col("chunk_count"), F.lit(0)).cast("bigint")
-    documents = reg.select(
-        "doc_id", "filename", "document_type",
-        F.when(n > 0, "Indexed").otherwise("Rejected").alias("status"), n.alias("chunk_count"),
-        F.when(n > 0, stamp).alias("indexed_at"), F.when(n == 0, F.lit(NO_TEXT)).alias("error"))
-    return {"documents": documents, "chunks": chunks, "vectors": vectors}
-
-
 def missing_chunks(chunks: DataFrame, indexed: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Chunks whose key is not yet in the vector index (left anti join)."""
     keys = keys or ["doc_id", "chunk_index"]

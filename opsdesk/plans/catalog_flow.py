@@ -10,7 +10,8 @@ from opsdesk.operators import resolve as RS
 from opsdesk.operators import state as ST
 from opsdesk.plans import workflow as WF
 from opsdesk.plans.catalog_ops import _clock_sql, classify_sql
-from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, SIM_SQL, _chunks_meta, chunks_of, vectors_sql
+from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, SIM_SQL, vectors_sql
+from opsdesk.plans.knowledge import knowledge_index
 from opsdesk.plans.registry import query
 from opsdesk.sources.views import AS_OF
 
@@ -98,7 +99,7 @@ ESC_REASON_SQL = (f"CASE WHEN escalation_required THEN {sql_text(LX.ESCALATE_REA
 
 
 def enriched(v):
-    return WF.enrich_tickets(v.tickets, v.customers, chunks_of(v), _chunks_meta(v), v.ticket_sla, AS_OF)
+    return WF.enrich_tickets(v.tickets, v.customers, knowledge_index(v), v.ticket_sla, AS_OF)
 
 
 def enrich_flat(e):

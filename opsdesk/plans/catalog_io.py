@@ -14,7 +14,8 @@ from opsdesk.operators import sla as SLA
 from opsdesk.operators import state as ST
 from opsdesk.plans import workflow as WF
 from opsdesk.plans.catalog_flow import _TEAM_SQL, _strip_sql
-from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, _chunks_meta, chunks_of, vectors_sql
+from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, best_chunks_sql, vectors_sql
+from opsdesk.plans.knowledge import knowledge_index
 from opsdesk.plans.registry import query
 from opsdesk.session import scratch_path
 from opsdesk.sources import csv_intake, documents
@@ -418,22 +419,28 @@ def bulk_rows(v):
 
 _BULK_SQL = f"""
 chunks AS ({CHUNKS_SQL}),
-corpus AS (SELECT count(*) AS n FROM chunks),
+cv AS ({CVEC_SQL}),
 br AS (SELECT request_id AS row_id, {_strip_sql('subject')} AS s,
               {_strip_sql('description')} AS d,
               coalesce(CAST(name AS VARCHAR), '') AS customer FROM requests),
 bc AS (SELECT * FROM ({{classify}})),
+bq AS (SELECT DISTINCT concat(s, ' ', d) AS text FROM br WHERE length(s) > 0 AND length(d) > 0),
+bv AS ({vectors_sql("bq", "text", "text")}),
+bbest AS ({best_chunks_sql("bq", "bv", "text", LX.K_BULK)}),
+bhits AS (SELECT bbest.text, count(*) AS n, string_agg(filename, ' | ' ORDER BY rank) AS sources
+          FROM bbest JOIN knowledge USING (doc_id) GROUP BY bbest.text),
 bulk AS (
   SELECT br.row_id, CASE WHEN ok THEN s ELSE '{LX.BULK_FAILED_SUBJECT}' END AS subject,
          CASE WHEN ok THEN customer END AS customer, CASE WHEN ok THEN bc.category END AS category,
          CASE WHEN ok THEN bc.intent END AS intent, CASE WHEN ok THEN bc.priority END AS priority,
          CASE WHEN ok THEN bc.severity END AS severity, CASE WHEN ok THEN bc.sentiment END AS sentiment,
          CASE WHEN ok THEN bc.confidence END AS confidence,
-         CASE WHEN ok THEN CAST(least({LX.K_BULK}, corpus.n) AS BIGINT) END AS knowledge_matches,
+         CASE WHEN ok THEN CAST(coalesce(bhits.n, 0) AS BIGINT) END AS knowledge_matches,
+         CASE WHEN ok THEN bhits.sources END AS knowledge_sources,
          CASE WHEN ok THEN 'rules' END AS analysis_mode,
          CASE WHEN NOT ok THEN '{LX.BULK_ERR_TEXT}' END AS error
   FROM (SELECT *, s IS NOT NULL AND d IS NOT NULL AND length(s) > 0 AND length(d) > 0 AS ok FROM br) br
-  JOIN bc ON bc.row_id = br.row_id, corpus)"""
+  JOIN bc ON bc.row_id = br.row_id LEFT JOIN bhits ON bhits.text = concat(br.s, ' ', br.d))"""
 
 
 def _bulk_sql() -> str:
@@ -444,7 +451,7 @@ def _bulk_sql() -> str:
 @query("bulk_analyze", sql=f"WITH {_bulk_sql()} SELECT * FROM bulk", floats=["confidence"])
 def _bulk_analyze(v):
     """CL13: bulk CSV-style analysis of every intake request (single output schema)."""
-    return IN.bulk_analyze(bulk_rows(v), chunks_of(v))
+    return IN.bulk_analyze(bulk_rows(v), knowledge_index(v))
 
 
 @query("bulk_summary", sql=f"""WITH {_bulk_sql()}
@@ -453,7 +460,7 @@ SELECT count(*) AS total_rows, count(*) AS processed_rows, count(*) - count(erro
 def _bulk_summary(v):
     """Bulk job summary."""
     from opsdesk.operators.metrics import bulk_summary
-    return bulk_summary(IN.bulk_analyze(bulk_rows(v), chunks_of(v)))
+    return bulk_summary(IN.bulk_analyze(bulk_rows(v), knowledge_index(v)))
 
 
 @query("copilot_context", sql=f"""
@@ -465,18 +472,18 @@ tt AS (SELECT t.id AS ticket_id, t.subject, concat(coalesce(t.subject, ''), ' ',
        FROM tickets t WHERE t.id IN (SELECT ticket_id FROM qs)),
 texts AS (SELECT DISTINCT th, text FROM tt WHERE length(trim(text)) > 0),
 qv AS ({vectors_sql("texts", "th", "text")}),
-qpairs AS (SELECT q.th, c.doc_id, c.chunk_index, sum(q.v * c.v) / sqrt(CAST(q.norm2 * c.norm2 AS DOUBLE)) AS cosine
-           FROM qv q JOIN cv c ON q.bucket = c.bucket GROUP BY q.th, c.doc_id, c.chunk_index, q.norm2, c.norm2),
-qbest AS (SELECT *, row_number() OVER (PARTITION BY th ORDER BY cosine DESC, doc_id, chunk_index) AS rank
-          FROM qpairs QUALIFY rank <= {LX.K_COPILOT}),
+qbest AS ({best_chunks_sql("texts", "qv", "th", LX.K_COPILOT)}),
 ev AS (SELECT b.th, count(*) AS n, list(ch.content ORDER BY b.rank) AS contents, list(k.filename ORDER BY b.rank) AS sources
        FROM qbest b JOIN chunks ch ON ch.doc_id = b.doc_id AND ch.chunk_index = b.chunk_index
        JOIN knowledge k ON k.doc_id = b.doc_id GROUP BY b.th),
-h AS (SELECT ticket_id, count(*) AS history_count FROM (
-        SELECT ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY created_at DESC, id DESC) AS rn
+h AS (SELECT ticket_id, count(*) AS history_count,
+             string_agg(concat(direction, ': ', content), ' | ' ORDER BY rn DESC) AS history FROM (
+        SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY created_at DESC, id DESC) AS rn
         FROM messages) WHERE rn <= 8 GROUP BY 1)
 SELECT qs.question_id, qs.ticket_id, CAST(coalesce(ev.n, 0) AS INTEGER) AS evidence_count,
        CAST(coalesce(h.history_count, 0) AS BIGINT) AS history_count,
+       array_to_string(ev.sources, ' | ') AS evidence_sources, array_to_string(ev.contents, ' | ') AS evidence_texts,
+       coalesce(h.history, '') AS history,
        concat('Demo copilot: review **', tt.subject, '**. ',
               CASE WHEN ev.n > 0 THEN concat(substr(ev.contents[1], 1, 500), ' (Source: ', ev.sources[1], ')')
                    ELSE 'No matching knowledge evidence was found; verify with the responsible team before advising the customer.'
@@ -485,7 +492,12 @@ FROM qs JOIN tt ON tt.ticket_id = qs.ticket_id LEFT JOIN ev ON ev.th = tt.th LEF
 def _copilot_context(v):
     """CL14 + W7: copilot context pack for every ticket with a conversation."""
     questions = v.messages.select(F.col("ticket_id").alias("question_id"), "ticket_id").distinct()
-    return WF.answer_context(questions, v.tickets, v.messages, chunks_of(v), _chunks_meta(v))
+    pack = WF.answer_context(questions, v.tickets, v.messages, knowledge_index(v))
+    said = F.transform("history", lambda m: F.concat(m["direction"], F.lit(": "), m["content"]))
+    return pack.select("question_id", "ticket_id", "evidence_count", "history_count",
+                       F.array_join(F.col("evidence.source"), " | ").alias("evidence_sources"),
+                       F.array_join(F.col("evidence.content"), " | ").alias("evidence_texts"),
+                       F.coalesce(F.array_join(said, " | "), F.lit("")).alias("history"), "answer")
 
 
 # ----------------------------------------------------------------------------- sources / sinks

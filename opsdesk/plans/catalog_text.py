@@ -9,6 +9,9 @@ from opsdesk.functions.embed import embed_column
 from opsdesk.functions.text import normalize_ws, tokenize
 from opsdesk.operators import retrieve as R
 from opsdesk.operators import similar as SIM
+from opsdesk.operators import vectors as V
+from opsdesk.operators.index import NO_TEXT
+from opsdesk.plans.knowledge import FIRST_RUN, draft_index, knowledge_index
 from opsdesk.plans.registry import query
 from opsdesk.sources.views import AS_OF
 
@@ -112,33 +115,35 @@ def _chunk_list(v):
         "doc_id", "chunk_index", "filename", "document_type", F.length("content").cast("bigint").alias("chunk_chars"))
 
 
+def best_chunks_sql(asked: str, vectors: str, key: str, k: int) -> str:
+    """The k best chunks (of cv and chunks) of every row of ``asked`` by its hashed vector."""
+    return f"""
+SELECT {key}, doc_id, chunk_index, cosine, row_number() OVER (PARTITION BY {key} ORDER BY cosine DESC, doc_id, chunk_index) AS rank
+FROM (SELECT q.{key}, c.doc_id, c.chunk_index, coalesce(d.cosine, 0.0) AS cosine
+      FROM {asked} q CROSS JOIN (SELECT doc_id, chunk_index FROM chunks) c LEFT JOIN (
+        SELECT x.{key}, y.doc_id, y.chunk_index, sum(x.v * y.v) / sqrt(CAST(x.norm2 * y.norm2 AS DOUBLE)) AS cosine
+        FROM {vectors} x JOIN cv y ON x.bucket = y.bucket GROUP BY x.{key}, y.doc_id, y.chunk_index, x.norm2, y.norm2) d
+      ON d.{key} = q.{key} AND d.doc_id = c.doc_id AND d.chunk_index = c.chunk_index)
+QUALIFY rank <= {k}"""
+
+
 def _retrieve_sql(k: int) -> str:
     return f"""
 WITH chunks AS ({CHUNKS_SQL}),
 cv AS ({CVEC_SQL}),
-qv AS ({vectors_sql("(SELECT * FROM queries WHERE length(trim(text)) > 0)", "qid", "text")}),
-pairs AS (SELECT q.qid, c.doc_id, c.chunk_index,
-                 sum(q.v * c.v) / sqrt(CAST(q.norm2 * c.norm2 AS DOUBLE)) AS cosine
-          FROM qv q JOIN cv c ON q.bucket = c.bucket GROUP BY q.qid, c.doc_id, c.chunk_index, q.norm2, c.norm2),
-best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, doc_id, chunk_index) AS rank
-         FROM pairs QUALIFY rank <= {k})
+asked AS (SELECT * FROM queries WHERE length(trim(text)) > 0),
+qv AS ({vectors_sql("asked", "qid", "text")}),
+best AS ({best_chunks_sql("asked", "qv", "qid", k)})
 SELECT b.qid, b.rank, b.doc_id, b.chunk_index, k.filename, k.document_type, ch.content,
        floor(greatest(0.0, b.cosine) * 1000 + 0.5) / 1000 AS score
 FROM best b JOIN chunks ch ON ch.doc_id = b.doc_id AND ch.chunk_index = b.chunk_index
 JOIN knowledge k ON k.doc_id = b.doc_id"""
 
 
-def _chunks_meta(v, chunks=None):
-    """Chunks with their document's file name and type, for looking up the ≤ k·Q hits.
-    Chunking is per row, so this side needs no doc partitioning: it is a narrow scan that
-    the broadcast hits filter (no shuffle)."""
-    return R.chunk_documents(v.knowledge, keep=["filename", "document_type"])
-
-
 @query("retrieve_cosine", sql=_retrieve_sql(K_SEARCH), floats=["score"])
 def _retrieve_cosine(v):
     """RET1 + S6 + J14: cosine top-5 of every benchmark query over every knowledge chunk."""
-    return R.retrieve_cosine(v.queries, chunks_of(v), _chunks_meta(v), K_SEARCH)
+    return knowledge_index(v).retrieve(v.queries, K_SEARCH)
 
 
 @query("retrieve_jaccard", sql=f"""
@@ -178,16 +183,24 @@ def _retrieve_dense(v):
 
 @query("index_documents", sql=f"""
 WITH chunks AS ({CHUNKS_SQL}),
-n AS (SELECT doc_id, count(*) AS chunk_count FROM chunks GROUP BY 1)
+cv AS ({CVEC_SQL}),
+n AS (SELECT doc_id, count(*) AS chunk_count FROM chunks GROUP BY 1),
+e AS (SELECT doc_id, count(*) AS entries FROM cv GROUP BY 1)
 SELECT k.doc_id, k.filename, k.document_type,
        CASE WHEN coalesce(n.chunk_count, 0) > 0 THEN 'Indexed' ELSE 'Rejected' END AS status,
        CAST(coalesce(n.chunk_count, 0) AS BIGINT) AS chunk_count,
-       CASE WHEN coalesce(n.chunk_count, 0) > 0 THEN TIMESTAMP '{AS_OF}' END AS indexed_at,
-       CASE WHEN coalesce(n.chunk_count, 0) = 0 THEN '{R.NO_TEXT}' END AS error
-FROM knowledge k LEFT JOIN n ON n.doc_id = k.doc_id""")
+       CASE WHEN coalesce(n.chunk_count, 0) > 0 THEN coalesce(k.indexed_at, TIMESTAMP '{AS_OF}') END AS indexed_at,
+       CASE WHEN coalesce(n.chunk_count, 0) = 0 THEN '{NO_TEXT}' END AS error,
+       CAST(coalesce(n.chunk_count, 0) AS BIGINT) AS vectors, CAST(coalesce(e.entries, 0) AS BIGINT) AS entries
+FROM knowledge k LEFT JOIN n ON n.doc_id = k.doc_id LEFT JOIN e ON e.doc_id = k.doc_id""")
 def _index_documents(v):
-    """IDX1: chunk, embed and register every knowledge document."""
-    return R.index_documents(v.knowledge, AS_OF)["documents"]
+    """IDX1: registry of the stored index after two successive runs, with the vectors and vector
+    entries that it holds for every document."""
+    index = knowledge_index(v)
+    held = index.vector_stats().groupBy("doc_id").agg(F.count(F.lit(1)).alias("vectors"), F.sum("nnz").alias("entries"))
+    return index.documents().join(held, "doc_id", "left").select(
+        "doc_id", "filename", "document_type", "status", "chunk_count", "indexed_at", "error",
+        F.coalesce("vectors", F.lit(0)).alias("vectors"), F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
 @query("index_missing", sql=f"""
@@ -198,42 +211,28 @@ SELECT m.doc_id, m.chunk_index, CAST(count(mv.bucket) AS BIGINT) AS nnz, CAST(co
 FROM missing m LEFT JOIN mv ON mv.doc_id = m.doc_id AND mv.chunk_index = m.chunk_index
 GROUP BY m.doc_id, m.chunk_index""")
 def _index_missing(v):
-    """IDX2 + J10 + X2: embed only chunks not yet in the index (documents never indexed)."""
-    chunks = chunks_of(v)
-    indexed = chunks.join(v.knowledge.where(F.col("indexed_at").isNotNull()).select("doc_id"), "doc_id", "left_semi")
-    missing = R.missing_chunks(chunks, indexed)
-    vec = R.hash_embed(missing, ["doc_id", "chunk_index"])
-    stats = vec.groupBy("doc_id", "chunk_index").agg(F.count(F.lit(1)).alias("nnz"), F.max("norm2").alias("norm2"))
-    return missing.select("doc_id", "chunk_index").join(stats, ["doc_id", "chunk_index"], "left").select(
-        "doc_id", "chunk_index", F.coalesce("nnz", F.lit(0)).cast("bigint").alias("nnz"),
-        F.coalesce("norm2", F.lit(0)).cast("bigint").alias("norm2"))
+    """IDX2 + J10 + X2: chunk and embed only the documents that the index of the first run lacks."""
+    missing = knowledge_index(v).at(FIRST_RUN).missing(v.knowledge)
+    return V.chunk_stats(R.chunk_documents(missing))
 
 
 @query("doc_reindex", sql=f"""
 WITH chunks AS ({CHUNKS_SQL}),
-cv AS ({CVEC_SQL}),
-req AS (SELECT doc_id FROM knowledge WHERE indexed_at IS NULL),
-old AS (SELECT * FROM cv),
-new AS (SELECT * FROM cv WHERE doc_id IN (SELECT doc_id FROM req)),
-idx AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM req) UNION ALL SELECT * FROM new)
-SELECT k.doc_id, CAST(count(DISTINCT idx.chunk_index) AS BIGINT) AS indexed_chunks,
-       CAST(count(idx.bucket) AS BIGINT) AS entries,
-       CASE WHEN k.doc_id IN (SELECT doc_id FROM req) THEN TIMESTAMP '{AS_OF}' ELSE k.indexed_at END AS indexed_at
-FROM knowledge k LEFT JOIN idx ON idx.doc_id = k.doc_id GROUP BY k.doc_id, k.indexed_at""")
+cv AS ({CVEC_SQL})
+SELECT k.doc_id, CAST(count(DISTINCT cv.chunk_index) AS BIGINT) AS indexed_chunks, CAST(count(cv.bucket) AS BIGINT) AS entries,
+       CASE WHEN k.indexed_at IS NOT NULL THEN k.indexed_at
+            WHEN length(trim(k.text)) > 0 THEN TIMESTAMP '{AS_OF}' END AS indexed_at
+FROM knowledge k LEFT JOIN cv ON cv.doc_id = k.doc_id GROUP BY k.doc_id, k.indexed_at, k.text""")
 def _doc_reindex(v):
-    """IDX3 + IO7: re-index never-indexed documents (replace their vectors by key, refresh time)."""
-    chunks = chunks_of(v)
-    vectors = chunk_vectors(v, chunks)
-    req = v.knowledge.where(F.col("indexed_at").isNull()).select("doc_id")
-    idx = R.replace_by_key(vectors, vectors.join(req, "doc_id", "left_semi"), ["doc_id"], req)
-    stats = idx.groupBy("doc_id").agg(F.count_distinct("chunk_index").alias("indexed_chunks"),
-                                      F.count(F.lit(1)).alias("entries"))
-    reqf = req.withColumn("fresh", F.lit(True))
-    k = v.knowledge.select("doc_id", "indexed_at").join(stats, "doc_id", "left").join(reqf, "doc_id", "left")
-    return k.select("doc_id", F.coalesce("indexed_chunks", F.lit(0)).cast("bigint").alias("indexed_chunks"),
-                    F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"),
-                    F.when(F.col("fresh"), F.lit(AS_OF).cast("timestamp_ntz")).otherwise(F.col("indexed_at"))
-                    .alias("indexed_at"))
+    """IDX3 + IO7: documents that were indexed from a draft are indexed anew from their text: the
+    draft's chunks and vectors go out of force, all others stay, and their time is refreshed."""
+    index = draft_index(v)
+    after = index.at(index.reindex(v.knowledge.where("indexed_at IS NULL"), AS_OF))
+    held = after.vector_stats().where("nnz > 0").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("indexed_chunks"), F.sum("nnz").alias("entries"))
+    return after.documents().select("doc_id", "indexed_at").join(held, "doc_id", "left").select(
+        "doc_id", F.coalesce("indexed_chunks", F.lit(0)).alias("indexed_chunks"),
+        F.coalesce("entries", F.lit(0)).alias("entries"), "indexed_at")
 
 
 @query("doc_delete", sql=f"""

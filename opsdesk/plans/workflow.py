@@ -29,17 +29,17 @@ def text_hash(subject: str = "subject", description: str = "description"):
     return F.sha2(SIM.ticket_text(subject, description), 256)
 
 
-def evidence_by_text(tickets: DataFrame, chunks: DataFrame, chunks_meta: DataFrame, k: int) -> DataFrame:
-    """Top-k evidence per distinct ticket text as an array ordered by rank (≤ k entries)."""
+def evidence_by_text(tickets: DataFrame, knowledge, k: int) -> DataFrame:
+    """Top-k evidence per distinct ticket text as an array ordered by rank (≤ k entries);
+    ``knowledge`` is a ``VectorIndex`` or a ``ChunkCorpus``."""
     texts = tickets.select(text_hash().alias("qid"), SIM.ticket_text().alias("text")).distinct()
-    hits = R.retrieve_cosine(texts, chunks, chunks_meta, k)
+    hits = knowledge.retrieve(texts, k)
     return hits.groupBy(F.col("qid").alias("th")).agg(F.sort_array(F.collect_list(F.struct(
         "rank", "content", F.col("filename").alias("source"), "document_type", "score", "chunk_index")))
         .alias("evidence"))
 
 
-def enrich_tickets(tickets: DataFrame, customers: DataFrame, chunks: DataFrame, chunks_meta: DataFrame,
-                   ticket_sla: DataFrame, as_of, predictions: DataFrame | None = None,
+def enrich_tickets(tickets: DataFrame, customers: DataFrame, knowledge, ticket_sla: DataFrame, as_of, predictions: DataFrame | None = None,
                    k: int = LX.K_WORKFLOW, materialize: str | None = None,
                    materialize_input: str | None = "checkpoint") -> DataFrame:
     """CL12: one enriched row per ticket.
@@ -57,7 +57,7 @@ def enrich_tickets(tickets: DataFrame, customers: DataFrame, chunks: DataFrame,
     a = CL.with_fallback(tickets, predictions)
     base = tickets.select(F.col("id").alias("ticket_id"), "customer_id", "channel", "subject", "description",
                           text_hash().alias("th"))
-    ev = evidence_by_text(tickets, chunks, chunks_meta, k)
+    ev = evidence_by_text(tickets, knowledge, k)
     sim = SIM.similar_tickets(tickets)
     sim_counts = sim["similar"].groupBy("ticket_id").agg(F.count(F.lit(1)).alias("similar_count"))
     dup_counts = sim["duplicate_counts"]
@@ -172,19 +172,20 @@ def split_outputs(enriched: DataFrame, history: DataFrame | None, as_of) -> dict
             "routing": routing, "quality": quality, "audit": audit}
 
 
-def answer_context(questions: DataFrame, tickets: DataFrame, history: DataFrame, chunks: DataFrame,
-                   chunks_meta: DataFrame, k: int = LX.K_COPILOT, history_n: int = 8) -> DataFrame:
-    """CL14: copilot context pack per question — ticket, top-k evidence for the ticket text,
-    last ``history_n`` messages (oldest first) — and the rule answer text.  The model call
-    itself is not built."""
+def answer_context(questions: DataFrame, tickets: DataFrame, history: DataFrame, knowledge,
+                   k: int = LX.K_COPILOT, history_n: int = 8) -> DataFrame:
+    """CL14 + W7: copilot context pack per question — the ticket, its top-k evidence (text, source,
+    type, score), the last ``history_n`` messages oldest first (direction, sender, text, time) — and
+    the rule answer text.  The model call itself is not built."""
     from opsdesk.operators.queue import last_n
 
     t = tickets.select(F.col("id").alias("ticket_id"), "subject", "description", text_hash().alias("th"))
     q = questions.join(t, "ticket_id", "inner")
     ev = evidence_by_text(tickets.join(questions.select(F.col("ticket_id").alias("id")).distinct(), "id",
-                                       "left_semi"), chunks, chunks_meta, k)
+                                       "left_semi"), knowledge, k)
     hist = last_n(history, "ticket_id", [F.col("created_at").desc(), F.col("id").desc()], history_n, "back") \
-        .groupBy("ticket_id").agg(F.count(F.lit(1)).alias("history_count"))
+        .groupBy("ticket_id").agg(F.sort_array(F.collect_list(F.struct(  # at most history_n rows a ticket
+            (-F.col("back")).alias("place"), "direction", "sender", "content", "created_at"))).alias("history"))
     j = q.join(ev, "th", "left").join(hist, "ticket_id", "left")
     top = F.try_element_at("evidence", F.lit(1))
     answer = F.concat(F.lit("Demo copilot: review **"), F.col("subject"), F.lit("**. "),
@@ -192,6 +193,7 @@ def answer_context(questions: DataFrame, tickets: DataFrame, history: DataFrame,
                                                        top["source"], F.lit(")")))
                       .otherwise(F.lit("No matching knowledge evidence was found; verify with the responsible "
                                        "team before advising the customer.")))
-    return j.select("question_id", "ticket_id", F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence_count"),
-                    F.coalesce("history_count", F.lit(0)).cast("bigint").alias("history_count"),
+    return j.select("question_id", "ticket_id", "subject", "description", "evidence", "history",
+                    F.coalesce(F.size("evidence"), F.lit(0)).alias("evidence_count"),
+                    F.coalesce(F.size("history"), F.lit(0)).cast("bigint").alias("history_count"),
                     answer.alias("answer"))

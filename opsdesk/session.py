@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC clocks, AQE (coalescing + skew-join split), ANSI.
 DEFAULT_CONF = {
@@ -73,6 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write once to a fresh folder of the shared checkpoint folder and read back: cuts the lineage
+    and survives lost executors (the owner of that folder removes it)."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 

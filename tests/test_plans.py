@@ -25,9 +25,15 @@ def test_per_key_top_n_is_limited_before_the_shuffle(spark):
         assert "WindowGroupLimit" in p and "Partial" in p, key
 
 
-def test_retrieval_uses_the_vectorised_kernel_for_checked_query_sets(spark):
-    assert "MapInPandas" in _plan(spark, "retrieve_cosine")
-    assert "MapInPandas" in _plan(spark, "retrieve_jaccard")
+def test_retrieval_scores_in_arrow_tasks(spark):
+    for key in ("retrieve_cosine", "retrieve_jaccard", "retrieve_dense"):
+        p = _plan(spark, key)
+        assert "MapInArrow" in p and "CartesianProduct" not in p, key
+
+
+def test_stored_index_is_read_not_rebuilt(spark):
+    p = _plan(spark, "retrieve_cosine")
+    assert "documents.parquet" not in p and "blocks" in p      # no chunking or hashing of the corpus
 
 
 def test_scans_read_only_needed_columns_and_push_filters(spark):

@@ -22,52 +22,36 @@ def test_running_number_with_a_hot_key_equals_window(spark):
     assert rows_of(cols, got.select(*cols).collect()) == rows_of(cols, exp.select(*cols).collect())
 
 
-def test_salted_join_equals_vectorised_kernel(views):
-    chunks = R.chunk_documents(R.by_document(views.knowledge))
-    q = views.queries.select(F.col("qid"), F.col("text"))
-    dense = R.dense_top_k(R.sparse_arrays(chunks, ["doc_id", "chunk_index"]), R.sparse_arrays(q, ["qid"], "text"), 5)
-    pairs = R.cosine_pairs(R.hash_embed(q, ["qid"], "text"), ["qid"], R.hash_embed(chunks, ["doc_id", "chunk_index"]),
-                           ["doc_id", "chunk_index"], query_broadcast=False, salts=8)
-    salted = R.top_k(pairs, ["qid"], [F.col("cosine").desc(), F.col("doc_id"), F.col("chunk_index")], 5)
-    cols = ["qid", "rank", "doc_id", "chunk_index", "cosine"]
-    a = rows_of(cols, dense.select(*cols).collect())
-    b = rows_of(cols, salted.select(*cols).collect())
-    assert a == b and len(a) > 0
-
-
-def test_bounded_check_refuses_large_dense_query_sets(spark):
-    import pytest
-    vecs = spark.range(20).select(F.col("id").alias("vec_id"),
-                                  F.array(*[F.lit(1.0)] * 4).cast("array<float>").alias("embedding"))
-    queries = spark.range(20).select(F.col("id").alias("qid"), F.array(*[F.lit(1.0)] * 4).alias("embedding"))
-    with pytest.raises(ValueError):
-        R.retrieve_dense(queries, vecs, 3, max_queries=10)
-    assert R.retrieve_dense(queries, vecs, 3, max_queries=100).count() == 60
-
-
-def test_jaccard_kernel_equals_inverted_index_join(views):
-    chunks = R.chunk_documents(views.knowledge.select("doc_id", "text"))
-    q = views.queries
-    kernel = R.jaccard_top_k(chunks, q, 4)
-    pairs = R.jaccard_pairs(R.token_sets(q, ["qid"], "text"), ["qid"],
-                            R.token_sets(chunks, ["doc_id", "chunk_index"], "content"), ["doc_id", "chunk_index"])
-    joined = R.top_k(pairs, ["qid"], [F.col("jaccard").desc(), F.col("doc_id"), F.col("chunk_index")], 4)
-    cols = ["qid", "rank", "doc_id", "chunk_index", "jaccard"]
-    a = rows_of(cols, kernel.select(*cols).collect())
-    b = rows_of(cols, joined.select(*cols).collect())
-    assert a == b and len(a) > 0
-
-
-def test_pad_zero_fills_k_hits_for_unmatched_queries(spark):
-    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "alpha gamma")],
-                                 "doc_id long, text string")
-    chunks = R.chunk_documents(docs)
-    meta = R.chunk_documents(docs.withColumn("filename", F.lit("f")).withColumn("document_type", F.lit("t")),
-                             keep=["filename", "document_type"])
-    q = spark.createDataFrame([(10, "zeta"), (11, "alpha")], "qid long, text string")
-    plain = R.retrieve_cosine(q, chunks, meta, 2).collect()
-    padded = R.retrieve_cosine(q, chunks, meta, 2, pad_zero=True).collect()
-    assert {r.qid for r in plain} == {11}                      # no shared bucket, no hit
-    zeta = sorted((r.rank, r.doc_id, r.score) for r in padded if r.qid == 10)
-    assert zeta == [(1, 1, 0.0), (2, 2, 0.0)]                  # padded by lowest ids, score 0
-    assert sorted(r.doc_id for r in padded if r.qid == 11) == sorted(r.doc_id for r in plain if r.qid == 11)
+def test_dense_retrieval_equals_brute_force_for_any_number_of_queries(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16)) * rng.integers(1, 20, (900, 1))
+    q = rng.normal(size=(70, 16))
+    vecs = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(9000, None)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(q)], "qid long, embedding array<double>")
+    want = {(i, n + 1, int(v)) for i, r in enumerate(q @ x.T) for n, v in enumerate(np.lexsort((np.arange(900), -r))[:5])}
+    for slab_bytes in (1 << 24, 16 * 8 * 9):                  # one slab, and many
+        got = R.retrieve_dense(queries, vecs, 5, slab_bytes=slab_bytes)
+        assert {(r.qid, r.rank, r.vec_id) for r in got.collect()} == want
+    skip = R.V.search_dense(vecs.coalesce(1), queries, 5, report=True).first()
+    assert 0 < skip.skipped < skip.pairs                       # short vectors cannot reach the best
+
+
+def _skewed(spark):
+    """Chunks that all hold one token, and queries that all do."""
+    chunks = spark.createDataFrame([(i, 0, f"hot a{i % 40} b{i % 17} c{i % 7}") for i in range(1200)] + [(5000, 0, "other words"), (5001, 0, "")],
+                                   "doc_id long, chunk_index int, content string")
+    return chunks, spark.createDataFrame([(q, f"hot a{q} b{q % 17}") for q in range(60)] + [(99, "missing"), (100, " ")], "qid long, text string")
+
+
+def test_set_retrieval_with_a_token_in_every_chunk_equals_the_salted_join(spark, views):
+    chunks, q = _skewed(spark)
+    real = R.chunk_documents(views.knowledge.select("doc_id", "text"))
+    for c, ask in ((chunks, q), (real, views.queries)):
+        pairs = R.jaccard_pairs(R.token_sets(ask, ["qid"], "text"), ["qid"],
+                                R.token_sets(c, ["doc_id", "chunk_index"], "content"), ["doc_id", "chunk_index"], salts=8)
+        joined = R.top_k(pairs, ["qid"], [F.col("jaccard").desc(), F.col("doc_id"), F.col("chunk_index")], 4)
+        want = sorted((r.qid, r.rank, r.doc_id, r.chunk_index) for r in joined.collect())
+        for slab_bytes in (1 << 24, 150):
+            got = R.retrieve_jaccard(ask, c, 4, slab_bytes=slab_bytes)
+            assert sorted((r.qid, r.rank, r.doc_id, r.chunk_index) for r in got.collect()) == want and want

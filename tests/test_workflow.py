@@ -40,7 +40,7 @@ def test_enrichment_golden(spark):
     tickets, customers, docs, sla = _fixture(spark)
     chunks = R.chunk_documents(R.by_document(docs))
     meta = R.chunk_documents(docs, keep=["filename", "document_type"])
-    e = {r.ticket_id: r for r in WF.enrich_tickets(tickets, customers, chunks, meta, sla, NOW).collect()}
+    e = {r.ticket_id: r for r in WF.enrich_tickets(tickets, customers, R.ChunkCorpus(chunks, meta), sla, NOW).collect()}
     t = e["paid-plan"]
     assert t.category == "Billing" and t.evidence_count > 0
     assert t.mcp_used and t.mcp_succeeded
@@ -56,7 +56,7 @@ def test_enrichment_outputs_and_audit(spark):
     tickets, customers, docs, sla = _fixture(spark)
     chunks = R.chunk_documents(R.by_document(docs))
     meta = R.chunk_documents(docs, keep=["filename", "document_type"])
-    e = WF.enrich_tickets(tickets, customers, chunks, meta, sla, NOW)
+    e = WF.enrich_tickets(tickets, customers, R.ChunkCorpus(chunks, meta), sla, NOW)
     out = WF.split_outputs(e, None, NOW)
     assert out["quality"].count() == 6 and out["routing"].count() == 6
     events = {(r.ticket_id, r.event_type) for r in out["audit"].collect()}
