@@ -1,8 +1,9 @@
 """Similar and duplicate detection (SIM1-SIM3, S5, S9, J13).
 
 SIM1 — every ticket against all *other* tickets.  Scores depend only on the two texts, so
-equal texts are collapsed and distinct texts are scored block against block; only each text's
-best matches and its probable duplicates leave a task, and tickets are joined back by text hash.
+equal texts are collapsed and distinct texts meet in a cosine threshold join: packed blocks with
+bounds per dimension stay where they are, slabs of texts are sent to them, and only each text's
+best matches and its number of probable duplicates leave a task.
 
 SIM2 — corpus-wide near duplicates by token-set Jaccard ≥ t, exact: prefix filtering
 (rarest-first token order; two sets with J ≥ t must share a token within their first
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import normalize_ws, round_half_up, tokenize
-from opsdesk.operators.retrieve import sparse_arrays
+from opsdesk.operators import vectors as V
+from opsdesk.operators.queue import running_number
+from opsdesk.session import stored
 
 
 def ticket_text(subject: str = "subject", description: str = "description") -> Column:
@@ -31,89 +34,125 @@ def match_type(cos: Column, cand_status: Column) -> Column:
         .when(cand_status.isin("Resolved", "Closed"), "resolved_case").otherwise("similar")
 
 
-TEXT_BLOCK = 2048            # expected distinct texts of a block: two dense blocks per task
+TEXT_GROUP = 4096            # expected distinct texts that are packed together
 
 
-def _score_block(top: int, min_score: float, dims: int):
-    """cogroup body: cosines of one block of texts against another.  Per left text it keeps the
-    ``top`` best right texts (by rounded score, then the newest ticket of the text) and every
-    probable duplicate."""
+def _matches(shared, k: int, min_score: float, same: float):
+    """mapInArrow body: for every text of the slab its ``k`` best texts of score >= ``min_score``
+    among a task's blocks, and how many texts (and tickets) reach ``same``.  A block is visited only
+    for texts whose k-th score, or ``same``, it can reach."""
     import numpy as np
-    import pandas as pd
-
-    from opsdesk.operators.retrieve import _dense
-
-    def run(left, right):
-        out = {"a": [], "b": [], "cosine": [], "best": []}
-        if len(left) and len(right):
-            x = _dense(left["lb"].tolist(), left["lv"].tolist(), dims)
-            y = _dense(right["b"].tolist(), right["v"].tolist(), dims)
-            norm = np.sqrt(((x * x).sum(1).astype(np.int64)[:, None] * (y * y).sum(1).astype(np.int64)).astype(np.float64))
-            cos = (x @ y.T) / np.maximum(norm, 1)                # integer dot products below 2**53: exact
-            a, b = left["lth"].to_numpy(), right["th"].to_numpy()
-            created, newest = right["created_us"].to_numpy(), right["newest_id"].to_numpy()
-            for i in range(len(a)):
-                hit = np.flatnonzero(cos[i] >= min_score)
-                score = np.floor(cos[i, hit] * 1000 + 0.5)
-                order = hit[np.lexsort((newest[hit], -created[hit], -score))]
-                rest = order[top:]
-                keep = np.concatenate([order[:top], rest[cos[i, rest] >= LX.DUPLICATE_MIN_SCORE]])
-                out["a"].append(np.full(len(keep), a[i], object))
-                out["b"].append(b[keep])
-                out["cosine"].append(cos[i, keep])
-                out["best"].append(np.arange(len(keep)) < top)
-        return pd.DataFrame({k: np.concatenate(v) if v else [] for k, v in out.items()}).astype(
-            {"cosine": float, "best": bool})
+    import pyarrow as pa
+
+    def run(batches):
+        ids, vec, norm2 = shared.value
+        if not len(vec):
+            return
+        q = vec.astype(np.float64)
+        unit = q / np.sqrt(np.maximum(norm2, 1))[:, None]
+        pos, neg = np.maximum(unit, 0), np.minimum(unit, 0)
+        best = V.Best(len(q), k, 1, valued=True)
+        links, tickets = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                high, low = (np.stack([np.frombuffer(x) for x in batch.column(c).to_pylist()]) for c in ("high", "low"))
+                bound = pos @ high.T + neg @ low.T
+                for b in np.argsort(-bound.mean(0), kind="stable").tolist():
+                    reach = np.maximum(min_score, (best.theta - 0.5) / 1000)      # theta is a rounded score
+                    need = np.flatnonzero(bound[:, b] >= np.minimum(reach, same) - V.SLACK)
+                    if not len(need):
+                        continue
+                    block = V._Block(batch, b)
+                    for a in range(0, len(need), 1024):
+                        me = need[a:a + 1024]
+                        norm = np.sqrt((norm2[me][:, None] * block.norm2).astype(np.float64))
+                        cos = (q[me] @ block.dense.T) / np.where(norm > 0, norm, 1)
+                        score = np.where(cos >= min_score, np.floor(cos * 1000 + 0.5), -np.inf)
+                        best.add(me, score, block.doc, value=cos)
+                        close = cos >= same
+                        links[me] += close.sum(1)
+                        tickets[me] += close @ block.weight
+        best.cut()
+        at, score, doc, cos = best.kept
+        some = np.flatnonzero(links)
+        nothing = pa.nulls(len(some))
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(ids[at]), pa.array(ids[some])]),
+             pa.concat_arrays([pa.array(doc), nothing.cast(pa.int64())]), pa.concat_arrays([pa.array(cos), nothing.cast(pa.float64())]),
+             pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(links[some])]),
+             pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array(tickets[some])])],
+            names=["a", "b", "cosine", "links", "tickets"])
     return run
 
 
-def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, min_score: float = LX.SIMILAR_MIN_SCORE) -> dict:
+def text_matches(texts: DataFrame, k: int, min_score: float, same: float, slab_bytes: int = V.SLAB_BYTES) -> DataFrame:
+    """From distinct texts (place, text, copies): rows (a, b, cosine) of each text's k best texts by
+    rounded score, then smaller place - itself among them - and rows (a, links, tickets) with the
+    texts and tickets whose cosine reaches ``same``, itself included.  At most k + 1 rows per text
+    leave a task, whatever the size of a family of similar texts."""
+    groups = -(-texts.count() // TEXT_GROUP)
+    rows = V.grouped(texts, groups, "place").select(
+        F.lit("").alias("commit"), "grp", F.col("place").alias("doc_id"), F.lit(0).alias("chunk_index"),
+        F.col("text").alias("content"), F.col("copies").alias("weight"))
+    blocks = stored(V.blocks_of(rows), "text-blocks").withColumn("dead", F.lit(None).cast("array<bigint>"))
+    context = texts.sparkSession.sparkContext
+
+    def score(slab: DataFrame) -> DataFrame:
+        import numpy as np
+        t = slab.toArrow().combine_chunks()                      # at most slab_bytes
+        vec = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.int32).reshape(-1, LX.HASH_DIMS)
+        shared = context.broadcast((t.column("qid").to_numpy(), vec, t.column("norm2").to_numpy()))
+        return blocks.mapInArrow(_matches(shared, k, min_score, same), "a long, b long, cosine double, links long, tickets long")
+    vectors = V.query_vectors(texts, "place", "text")
+    return stored(V.per_slab(V.slabs_of(vectors, F.lit(8 * LX.HASH_DIMS), slab_bytes), score), "text-matches")
+
+
+def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, min_score: float = LX.SIMILAR_MIN_SCORE,
+                    slab_bytes: int = V.SLAB_BYTES) -> dict:
     """SIM1 + S5 over *all* other tickets (no candidate cap).
 
-    Equal texts are collapsed; distinct texts are scored block against block (every pair of blocks
-    is a task of bounded size that returns at most ``top`` + 1 texts per text, plus duplicates).
-    A ticket's best matches lie among the ``top`` + 1 newest tickets of those texts, one being itself.
+    Equal texts are one text; texts are numbered by their newest ticket, so that a smaller number
+    wins ties.  A cosine threshold join with bounds (``text_matches``) gives the best ``top`` + 1
+    texts of every text; a ticket's best matches lie among the ``top`` + 1 newest tickets of those.
 
     * ``similar``: top 8 per ticket by rounded score, newest first, then id;
-    * ``duplicates``: probable duplicates as pairs of copy groups with both sizes (a group with
-      itself when it has copies) - every duplicate pair of tickets is in exactly one row;
+    * ``duplicates``: one row per text with probable duplicates: group_id (its smallest ticket),
+      tickets, duplicate_groups (other texts), duplicate_tickets (tickets with those texts) and the
+      closest of them (matched_group_id, score);
     * ``duplicate_counts``: the number of probable duplicates of every ticket that has any."""
-    t = tickets.select(F.col("id").alias("ticket_id"), "created_at", "status", ticket_text().alias("text")) \
-        .withColumn("th", F.sha2(F.col("text"), 256))
-    groups = t.groupBy("th").agg(F.min("ticket_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
+    same = LX.DUPLICATE_MIN_SCORE
+    t = stored(tickets.select(F.col("id").alias("ticket_id"), "created_at", "status", ticket_text().alias("text"))
+               .withColumn("th", F.sha2(F.col("text"), 256)), "tickets")
     newest_first = [F.col("created_at").desc(), F.col("ticket_id").asc()]
-    newest = t.select("th", "ticket_id", "created_at", "status").withColumn(
-        "nr", F.row_number().over(Window.partitionBy("th").orderBy(*newest_first))).where(F.col("nr") <= top + 1)
-    head = newest.where(F.col("nr") == 1).select(
-        "th", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), F.col("ticket_id").alias("newest_id"))
-    texts = t.select("th", "text").distinct()  # th determines text: a hash aggregate, no sort
-    vec = sparse_arrays(texts, ["th"], text="text").join(head, "th")
-    blocks = max(1, -(-texts.count() // TEXT_BLOCK))
-    dealt = vec.withColumn("own", F.pmod(F.xxhash64("th"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt.select(F.col("th").alias("lth"), F.col("b").alias("lb"), F.col("v").alias("lv"), F.col("own").alias("x"),
-                        every.alias("y"))
-    right = dealt.select("th", "b", "v", "created_us", "newest_id", every.alias("x"), F.col("own").alias("y"))
-    pairs = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(
-        _score_block(top + 1, min_score, LX.HASH_DIMS), "a string, b string, cosine double, best boolean")
-    cand = pairs.where("best").join(newest.withColumnRenamed("th", "b"), "b").select(
-        F.col("a").alias("th"), F.col("ticket_id").alias("matched_ticket_id"), F.col("created_at").alias("cand_created"),
+    groups = t.groupBy("th").agg(F.min("ticket_id").alias("group_id"), F.count(F.lit(1)).alias("copies"),
+                                 F.max("created_at").alias("created_at"), F.any_value("text").alias("text"))
+    last = t.join(groups.select("th", "created_at"), ["th", "created_at"]).groupBy("th").agg(F.min("ticket_id").alias("ticket_id"))
+    numbered = running_number(groups.join(last, "th").withColumn("all", F.lit(0)), "all", newest_first, "place")
+    texts = stored(numbered.select("th", "place", "group_id", "copies", "text"), "texts")
+    pairs = text_matches(texts.select("place", "text", "copies"), top + 1, min_score, same, slab_bytes)
+    t = t.drop("text").join(texts.select("th", "place"), "th").drop("th")
+    newest = t.withColumn("nr", F.row_number().over(Window.partitionBy("place").orderBy(*newest_first))).where(F.col("nr") <= top + 1)
+    cand = pairs.where("b IS NOT NULL").join(newest.withColumnRenamed("place", "b"), "b").select(
+        F.col("a").alias("place"), F.col("ticket_id").alias("matched_ticket_id"), F.col("created_at").alias("cand_created"),
         round_half_up(F.col("cosine"), 3).alias("score"), match_type(F.col("cosine"), F.col("status")).alias("match_type"))
     best_first = [F.col("score").desc(), F.col("cand_created").desc(), F.col("matched_ticket_id").asc()]
-    per_text = cand.withColumn("pr", F.row_number().over(Window.partitionBy("th").orderBy(*best_first))) \
+    per_text = cand.withColumn("pr", F.row_number().over(Window.partitionBy("place").orderBy(*best_first))) \
         .where(F.col("pr") <= top + 1).drop("pr")
-    similar = t.select("ticket_id", "th").join(per_text, "th").where("ticket_id <> matched_ticket_id") \
+    similar = t.select("ticket_id", "place").join(per_text, "place").where("ticket_id <> matched_ticket_id") \
         .withColumn("rank", F.row_number().over(Window.partitionBy("ticket_id").orderBy(*best_first))) \
         .where(F.col("rank") <= top).select("ticket_id", "matched_ticket_id", "score", "match_type", "rank")
-    ga = groups.select(F.col("th").alias("a"), "group_id", F.col("copies").alias("tickets"))
-    gb = groups.select(F.col("th").alias("b"), F.col("group_id").alias("matched_group_id"),
-                       F.col("copies").alias("matched_tickets"))
-    both = pairs.where(F.col("cosine") >= F.lit(LX.DUPLICATE_MIN_SCORE)).join(ga, "a").join(gb, "b")
-    duplicates = both.where("group_id < matched_group_id or (group_id = matched_group_id and tickets > 1)").select(
-        "group_id", "matched_group_id", round_half_up(F.col("cosine"), 3).alias("score"), "tickets", "matched_tickets")
-    counts = both.groupBy(F.col("a").alias("th")).agg((F.sum("matched_tickets") - 1).alias("duplicate_count")) \
-        .where("duplicate_count > 0")
-    duplicate_counts = t.select("ticket_id", "th").join(counts, "th").select("ticket_id", "duplicate_count")
+    sums = pairs.where("b IS NULL").groupBy(F.col("a").alias("place")).agg(
+        F.sum("links").alias("links"), F.sum("tickets").alias("reached")).where("reached > 1")
+    closest = pairs.where(f"b <> a AND cosine >= {same}").groupBy(F.col("a").alias("place")).agg(
+        F.min(F.struct((-round_half_up(F.col("cosine"), 3)).alias("low"), F.col("b").alias("b"))).alias("m"))
+    other = texts.select(F.col("place").alias("b"), F.col("group_id").alias("matched_group_id"))
+    duplicates = texts.join(sums, "place").join(closest, "place", "left").withColumn("b", F.col("m.b")) \
+        .join(other, "b", "left").select(
+            "group_id", F.col("copies").alias("tickets"), (F.col("links") - 1).alias("duplicate_groups"),
+            (F.col("reached") - F.col("copies")).alias("duplicate_tickets"), "matched_group_id", (-F.col("m.low")).alias("score"))
+    duplicate_counts = t.select("ticket_id", "place").join(sums, "place").select(
+        "ticket_id", (F.col("reached") - 1).alias("duplicate_count"))
     return {"similar": similar, "duplicates": duplicates, "duplicate_counts": duplicate_counts}
 
 

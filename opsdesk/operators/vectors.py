@@ -33,7 +33,7 @@ BUFFER = 1 << 20             # scores a task keeps before it cuts them to the be
 SLACK = 1e-9                 # bounds are sums of rounded products
 
 BLOCK_SCHEMA = ("commit string, grp long, n int, doc_id binary, chunk_index binary, first binary, dim binary, "
-                "val binary, norm2 binary, high binary, low binary")
+                "val binary, norm2 binary, high binary, low binary, weight binary")
 
 
 def top_k(pairs: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -79,7 +79,7 @@ def _pick(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def pack_blocks(group: pa.Table) -> pa.Table:
-    """Blocks of the chunks of one group (doc_id, chunk_index, toks, commit, grp)."""
+    """Blocks of the chunks of one group (doc_id, chunk_index, toks, commit, grp[, weight])."""
     group = group.combine_chunks()
     parts = []
     for at in range(0, group.num_rows, EMBED_ROWS):
@@ -91,6 +91,7 @@ def pack_blocks(group: pa.Table) -> pa.Table:
     start = np.cumsum(size) - size
     doc = group.column("doc_id").to_numpy()
     chunk = group.column("chunk_index").to_numpy()
+    weight = group.column("weight").to_numpy() if "weight" in group.column_names else None
     order = np.lexsort((chunk, doc, key))
     rows = []
     for at in range(0, len(order), BLOCK_ROWS):
@@ -103,17 +104,19 @@ def pack_blocks(group: pa.Table) -> pa.Table:
         norm2 = (dense * dense).sum(1).astype(np.int64)
         dense /= np.sqrt(np.maximum(norm2, 1))[:, None]
         rows.append((len(me), *(x.tobytes() for x in (doc[me].astype(np.int64), chunk[me].astype(np.int32), first, d, v,
-                                                      norm2, dense.max(0), dense.min(0)))))
+                                                      norm2, dense.max(0), dense.min(0))),
+                     b"" if weight is None else weight[me].astype(np.int64).tobytes()))
     columns = list(zip(*rows))
     return pa.table([pa.array([group.column("commit")[0].as_py()] * len(rows), pa.string()),
                      pa.array([group.column("grp")[0].as_py()] * len(rows), pa.int64()),
                      pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])],
-                    names=["commit", "grp", "n", "doc_id", "chunk_index", "first", "dim", "val", "norm2", "high", "low"])
+                    names=["commit", "grp", "n", "doc_id", "chunk_index", "first", "dim", "val", "norm2", "high", "low", "weight"])
 
 
 def blocks_of(chunks: DataFrame) -> DataFrame:
     """Blocks of chunk rows with commit and grp (chunks of a group meet in one task)."""
-    return chunks.select("commit", "grp", "doc_id", "chunk_index", tokenize(F.col("content")).alias("toks")) \
+    more = [c for c in ("weight",) if c in chunks.columns]
+    return chunks.select("commit", "grp", "doc_id", "chunk_index", tokenize(F.col("content")).alias("toks"), *more) \
         .groupBy("commit", "grp").applyInArrow(pack_blocks, BLOCK_SCHEMA)
 
 
@@ -123,17 +126,18 @@ def grouped(docs: DataFrame, groups: int, key: str = "doc_id") -> DataFrame:
 
 # ----------------------------------------------------------------------------- best k
 class Best:
-    """The best k of every query seen so far, by score and then by the candidate's keys."""
+    """The best k of every query seen so far, by score and then by the candidate's keys; ``valued``
+    keeps one more value of every (query, candidate) pair."""
 
-    def __init__(self, queries: int, k: int, keys: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, keys: int, valued: bool = False):
+        self.k, self.keys = k, keys
         self.theta = np.full(queries, -np.inf)       # k-th score so far
-        self.kept = (np.empty(0, np.int64), np.empty(0), *[np.empty(0, np.int64)] * keys)
+        self.kept = (np.empty(0, np.int64), np.empty(0), *[np.empty(0, np.int64)] * keys, *[np.empty(0)] * valued)
         self.more: list[tuple] = []
         self.waiting = 0
         self.cuts = 0
 
-    def add(self, queries: np.ndarray, scores: np.ndarray, *keys: np.ndarray) -> None:
+    def add(self, queries: np.ndarray, scores: np.ndarray, *keys: np.ndarray, value: np.ndarray | None = None) -> None:
         """``scores`` (queries x candidates); candidates have one value of every key.  A score of
         -inf is no candidate."""
         scores = np.where(np.isnan(scores), -np.inf, scores)
@@ -142,14 +146,14 @@ class Best:
         if m > self.k:
             floor = np.maximum(floor, np.partition(scores, m - self.k, axis=1)[:, m - self.k])
         i, j = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        self.more.append((queries[i], scores[i, j], *(x[j] for x in keys)))
+        self.more.append((queries[i], scores[i, j], *(x[j] for x in keys), *([] if value is None else [value[i, j]])))
         self.waiting += len(i)
         if self.cuts < 8 or self.waiting > max(BUFFER, len(self.theta) * self.k):
             self.cut()
 
     def cut(self) -> None:
         cols = [np.concatenate(c) for c in zip(self.kept, *self.more)]
-        order = np.lexsort((*cols[:1:-1], -cols[1], cols[0]))
+        order = np.lexsort((*cols[2:2 + self.keys][::-1], -cols[1], cols[0]))
         q = cols[0][order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         keep = order[place < self.k]
@@ -207,6 +211,7 @@ class _Block:
         self.dense = np.zeros((len(self.doc), LX.HASH_DIMS))
         self.dense[np.repeat(np.arange(len(self.doc)), np.diff(get("first", np.int32))), get("dim", np.int16)] = get("val", np.int32)
         self.commit = batch.column("commit")[i].as_py()
+        self.weight = get("weight", np.int64)
         dead = batch.column("dead")[i].as_py()
         self.alive = ~np.isin(self.doc, dead) if dead else None
 

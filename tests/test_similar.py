@@ -45,23 +45,43 @@ def test_similar_tickets_equals_brute_force(views):
     assert got == expected and len(got) > 0
 
 
-def test_similar_blocks_and_duplicates_equal_brute_force(views, monkeypatch):
-    """Many blocks give the same matches; group pairs and counts cover every duplicate pair."""
+def test_many_slabs_and_duplicate_rows_equal_brute_force(views, monkeypatch):
+    """Many blocks and slabs give the same matches; the rows count every duplicate pair."""
     whole = {tuple(r) for r in SIM.similar_tickets(views.tickets)["similar"].collect()}
-    monkeypatch.setattr(SIM, "TEXT_BLOCK", 7)
-    out = SIM.similar_tickets(views.tickets)
+    monkeypatch.setattr(SIM, "TEXT_GROUP", 30)
+    out = SIM.similar_tickets(views.tickets, slab_bytes=40 * 8 * 256)
     assert {tuple(r) for r in out["similar"].collect()} == whole
-    t = views.tickets.select("id", "subject", "description").collect()
+    t = views.tickets.select("id", "subject", "description", "created_at").collect()
     text = {r.id: f"{r.subject} {r.description}" for r in t}
     vec = {x: _vec(x) for x in set(text.values())}
-    close = {(x, y) for x in vec for y in vec
-             if float(vec[x] @ vec[y]) / (math.sqrt(float(vec[x] @ vec[x]) * float(vec[y] @ vec[y])) or 1.0) >= 0.72}
-    size = {x: sum(v == x for v in text.values()) for x in vec}
-    counts = {i: sum(size[y] for y in vec if (x, y) in close) - 1 for i, x in text.items()}
-    assert {r.ticket_id: r.duplicate_count for r in out["duplicate_counts"].collect()} == {i: n for i, n in counts.items() if n}
-    pairs = sum(r.tickets * (r.tickets - 1) // 2 if r.group_id == r.matched_group_id else r.tickets * r.matched_tickets
-                for r in out["duplicates"].collect())
-    assert 2 * pairs == sum(counts.values())
+
+    def cos(x, y):
+        return float(vec[x] @ vec[y]) / (math.sqrt(float(vec[x] @ vec[x]) * float(vec[y] @ vec[y])) or 1.0)
+    close = {x: [y for y in vec if cos(x, y) >= 0.72] for x in vec}
+    held = {x: [i for i, v in text.items() if v == x] for x in vec}
+    newest = {x: min((-r.created_at.timestamp(), r.id) for r in t if text[r.id] == x) for x in vec}
+    reached = {x: sum(len(held[y]) for y in close[x]) for x in vec}
+    assert {r.ticket_id: r.duplicate_count for r in out["duplicate_counts"].collect()} == \
+        {i: reached[x] - 1 for i, x in text.items() if reached[x] > 1}
+    want = set()
+    for x in vec:
+        if reached[x] > 1:
+            near = sorted((-math.floor(cos(x, y) * 1000 + 0.5), newest[y], min(held[y])) for y in close[x] if y != x)
+            want.add((min(held[x]), len(held[x]), len(close[x]) - 1, reached[x] - len(held[x]),
+                      near[0][2] if near else None, -near[0][0] / 1000 if near else None))
+    assert {tuple(r) for r in out["duplicates"].collect()} == want and want
+
+
+def test_rows_moved_grow_with_the_texts_not_with_their_pairs(spark):
+    """One family of similar texts: every text resembles every other."""
+    per_text = []
+    for n in (300, 1200, 4800):
+        texts = spark.range(n).selectExpr("id AS place", "concat('same words in every text of the family ', id % 7, ' x', id) AS text", "1L AS copies")
+        found = SIM.text_matches(texts.coalesce(2), 9, 0.22, 0.72)
+        counts = found.where("b IS NULL").agg(F.sum("links").alias("links")).first()
+        assert counts.links > n * n // 4                      # pairs grow with the square
+        per_text.append(found.count() / n)
+    assert max(per_text) <= 2 * min(per_text)
 
 
 def test_near_duplicates_equals_brute_force(views):
