@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
@@ -13,6 +15,7 @@ from opsdesk.plans.catalog_ops import _clock_sql, classify_sql
 from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, SIM_SQL, vectors_sql
 from opsdesk.plans.knowledge import knowledge_index
 from opsdesk.plans.registry import query
+from opsdesk.session import scratch_path
 from opsdesk.sources.views import AS_OF
 
 
@@ -121,8 +124,21 @@ def _enrich(v):
     return enrich_flat(enriched(v))
 
 
+_ENRICHED: dict[tuple, str] = {}
+
+
+def enriched_once(v):
+    """The enrichment, written once per application and data folder for all outputs made from it."""
+    key = (v.spark.sparkContext.applicationId, v.sf_dir.rstrip("/"))
+    if key not in _ENRICHED:
+        path = scratch_path(v.spark, f"enriched-{uuid.uuid4().hex}")
+        enriched(v).write.parquet(path)
+        _ENRICHED[key] = path
+    return v.spark.read.parquet(_ENRICHED[key])
+
+
 def _outputs(v):
-    return WF.split_outputs(enriched(v), v.analyses, AS_OF)
+    return WF.split_outputs(enriched_once(v), v.analyses, AS_OF)
 
 
 @query("wf_recommendations", sql=f"""WITH {ENRICH_CTES}
@@ -183,7 +199,7 @@ def _wf_audit(v):
 SELECT ticket_id, investigation, recommended_steps, safe FROM enr""")
 def _resolution(v):
     """CL5 + CL6 + CL9: investigation text, steps and rule-path draft safety."""
-    return enriched(v).select("ticket_id", "investigation",
+    return enriched_once(v).select("ticket_id", "investigation",
                               F.array_join("recommended_steps", " | ").alias("recommended_steps"), "safe")
 
 
@@ -191,13 +207,13 @@ def _resolution(v):
 SELECT ticket_id, escalation_required, {ESC_REASON_SQL} AS escalation_reason FROM enr""")
 def _escalation(v):
     """CL7: escalation rule (Critical, or Billing without evidence, or breached SLA)."""
-    return enriched(v).select("ticket_id", "escalation_required", "escalation_reason")
+    return enriched_once(v).select("ticket_id", "escalation_required", "escalation_reason")
 
 
 @query("draft_reply", sql=f"""WITH {ENRICH_CTES} SELECT ticket_id, draft FROM enr""")
 def _draft_reply(v):
     """CL8: draft reply per ticket (SMS variant, evidence excerpt)."""
-    return enriched(v).select("ticket_id", "draft")
+    return enriched_once(v).select("ticket_id", "draft")
 
 
 # ----------------------------------------------------------------------------- light rule queries
@@ -362,6 +378,6 @@ def _similarity_counts(v):
     """Similar / duplicate match counts and escalation recommendations of the enrichment."""
     from opsdesk.operators.metrics import similarity_counts
     from opsdesk.operators.similar import similar_tickets
-    e = enriched(v)
+    e = enriched_once(v)
     matches = similar_tickets(v.tickets)["similar"]
     return similarity_counts(matches, e.select("escalation_required"))

@@ -151,6 +151,25 @@ def drafts_from(tickets: DataFrame) -> DataFrame:
     )
 
 
+def requests_from(customer: DataFrame) -> DataFrame:
+    """Support requests derived from customers (batch or streaming)."""
+    c = F.col("c_custkey")
+    phrase = F.element_at(
+        F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(m).alias("message")) for _, s, m, _, _ in PHRASES]),
+        (c % 12 + 1).cast("int"))
+    return customer.select(
+        c.alias("request_id"),
+        F.when(c % 13 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
+        F.when(c % 5 == 0, F.lit("")).when(c % 7 == 0, F.lit("bad@@x"))
+         .otherwise(F.concat(F.lit("user"), (c % 50).cast("string"), F.lit("@new.test"))).alias("email"),
+        phrase.getField("subject").alias("subject"),
+        phrase.getField("message").alias("description"),
+        _channel(c).alias("channel"),
+        F.concat(F.lit("+1555"), F.lpad(c.cast("string"), 7, "0")).alias("phone"),
+        F.timestamp_add("SECOND", c, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).alias("requested_at"),
+    )
+
+
 class Views:
     """Lazily built derived views for one scale-factor directory."""
 
@@ -292,21 +311,7 @@ class Views:
     # ------------------------------------------------------------------ batch inputs
     @cached_property
     def requests(self) -> DataFrame:
-        c = F.col("c_custkey")
-        phrase = F.element_at(
-            F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(m).alias("message")) for _, s, m, _, _ in PHRASES]),
-            (c % 12 + 1).cast("int"))
-        return self.table("customer").select(
-            c.alias("request_id"),
-            F.when(c % 13 == 0, F.lit("")).otherwise(F.col("c_name")).alias("name"),
-            F.when(c % 5 == 0, F.lit("")).when(c % 7 == 0, F.lit("bad@@x"))
-             .otherwise(F.concat(F.lit("user"), (c % 50).cast("string"), F.lit("@new.test"))).alias("email"),
-            phrase.getField("subject").alias("subject"),
-            phrase.getField("message").alias("description"),
-            _channel(c).alias("channel"),
-            F.concat(F.lit("+1555"), F.lpad(c.cast("string"), 7, "0")).alias("phone"),
-            F.timestamp_add("SECOND", c, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).alias("requested_at"),
-        )
+        return requests_from(self.table("customer"))
 
     @cached_property
     def drafts(self) -> DataFrame:

@@ -1,34 +1,43 @@
 """Structured Streaming jobs (ST1-ST5) over the ``events`` stream.
 
-Every job reads the parquet files of ``events`` as a file stream (declared schema), writes to
-a fresh sink with a checkpoint under the shared ``spark.checkpoint.dir`` and can run as a
-long-lived query or with ``trigger(availableNow=True)`` (used by the tests and the
-catalogue, which then read the finished sink back).
+Every job reads the parquet files of ``events`` as a file stream (declared schema) or a stream that
+is given, writes to a fresh sink with a checkpoint under the shared ``spark.checkpoint.dir`` and can
+run as a long-lived query or with ``trigger(availableNow=True)`` (used by the tests and the
+catalogue, which replay the events in several micro-batches and read the finished sink back).
 
 ST1 timeline ingest — stream-static left join + ``dropDuplicatesWithinWatermark``.
-ST2 idempotent outbox — ``foreachBatch`` applying the batch gates plus an all-time key log
-    (left anti join); each micro-batch writes to its own ``batch_id`` folder with overwrite,
-    so a retried batch replaces its own output (exactly-once sink semantics).
+ST2 idempotent outbox — ``foreachBatch`` applying the batch gates plus an all-time key log, stored
+    by key prefix: a batch reads the prefixes of its own keys only.  Each micro-batch writes to its
+    own ``batch_id`` folders with overwrite, so a retried batch replaces its own output.
 ST3 ticket volume per day × series — event-time ``window`` count; ``complete`` mode (via
     foreachBatch overwrite) for parity with the batch counts, ``append`` + watermark for
     production (a window is emitted once the watermark passes its end).
-ST4 SLA breach alerts — ``applyInPandasWithState`` with event-time timeouts per ticket; events
-    behind the watermark are dropped by Spark and counted (``late_rows.json`` next to the sink).
-ST5 streaming classification — stateless CL1 projection, append.
+ST4 SLA breach alerts — ``transformWithStateInPandas``: typed value state and event-time timers per
+    ticket (RocksDB state store).
+ST5 streaming intake (U3 in ``foreachBatch``: customers that earlier batches created are known to
+    later ones) and stateless classification (CL1 projection, append).
+
+Rows that Spark drops behind the watermark are counted by a listener and appended, per batch and
+operator, to the table ``late_rows`` next to the sink.
 """
 
 from __future__ import annotations
 
 import os
+import threading
 from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from opsdesk.functions import lexicon as LX
+from opsdesk.functions.text import is_blank, py_strip
 from opsdesk.operators.classify import with_rule_analysis
+from opsdesk.operators.intake import intake
 from opsdesk.operators.metrics import status_series
 from opsdesk.operators.outbox import build_outbox
 from opsdesk.session import scratch_path
@@ -43,15 +52,88 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None
     return reader.parquet(os.path.join(sf_dir, "events*.parquet"))
 
 
-def _run(writer, available_now: bool = True):
+def replayed(spark: SparkSession, sf_dir: str, table: str = "events", by: str = "ts", parts: int = 3) -> DataFrame:
+    """A finished table as a stream of ``parts`` micro-batches in the order of ``by`` (for runs to
+    completion: every part is written as one file, one after another)."""
+    path = scratch_path(spark, f"replay-{table}-{os.urandom(6).hex()}")
+    rows = spark.read.schema(SCHEMAS[table]).parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    order = F.col(by).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[by] else F.col(by).cast("double")
+    keyed = rows.withColumn("_by", order)
+    cuts = keyed.approxQuantile("_by", [i / parts for i in range(1, parts)], 0.001)
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
+        part = keyed
+        if low is not None:
+            part = part.where(F.col("_by") >= low)
+        if high is not None:
+            part = part.where(F.col("_by") < high)
+        part.drop("_by").coalesce(1).write.parquet(os.path.join(path, f"part={i}"))
+    return spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", 1).parquet(os.path.join(path, "*"))
+
+
+LATE_SCHEMA = "batch_id long, operator int, dropped long"
+
+
+class LateRows(StreamingQueryListener):
+    """Appends the rows that each batch dropped behind the watermark to a table, in any store."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.query, self.ended = None, threading.Event()
+        self.early: list = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        rows = [(p.batchId, i, op.numRowsDroppedByWatermark) for i, op in enumerate(p.stateOperators)
+                if op.numRowsDroppedByWatermark]
+        if rows and self.query is None:
+            self.early.append((str(p.id), rows))
+        elif rows and str(p.id) == self.query:
+            self._write(rows)
+
+    def _write(self, rows: list) -> None:
+        self.spark.createDataFrame(rows, LATE_SCHEMA).write.mode("append").parquet(self.path)
+
+    def watch(self, query) -> None:
+        self.query = str(query.id)
+        for name, rows in self.early:
+            if name == self.query:
+                self._write(rows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.id) == self.query:
+            self.ended.set()
+
+
+def _run(writer, spark: SparkSession, sink: str, available_now: bool = True):
+    """Start a query with its late rows recorded; wait for its end when it ends by itself."""
+    late = os.path.join(os.path.dirname(sink), "late_rows")
+    spark.createDataFrame([], LATE_SCHEMA).write.mode("append").parquet(late)
+    listener = LateRows(spark, late)
     if available_now:
         writer = writer.trigger(availableNow=True)
+    spark.streams.addListener(listener)
     q = writer.start()
+    listener.watch(q)
     if available_now:
-        q.awaitTermination()
+        try:
+            q.awaitTermination()
+            listener.ended.wait(60)          # the listener hears of all batches before the end
+        finally:
+            spark.streams.removeListener(listener)
     return q
 
 
+def late_rows(spark: SparkSession, sink: str) -> DataFrame:
+    """(batch_id, operator, dropped) of the query that wrote ``sink``."""
+    return spark.read.schema(LATE_SCHEMA).parquet(os.path.join(os.path.dirname(sink), "late_rows"))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Does the path exist, in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,11 +147,11 @@ def _locations(spark: SparkSession, name: str, base: str | None) -> tuple[str, s
 
 # ----------------------------------------------------------------------------- ST1
 def timeline_stream(spark: SparkSession, sf_dir: str, tickets: DataFrame, base: str | None = None,
-                    watermark: str = "1 day", available_now: bool = True) -> str:
+                    watermark: str = "1 day", available_now: bool = True, events: DataFrame | None = None) -> str:
     """ST1: audit events with a ticket → timeline rows with the ticket's customer."""
     sink, ck = _locations(spark, "timeline", base)
     # watermarks need TIMESTAMP (LTZ); the session is UTC so the cast keeps the instant
-    a = audit_from(events_stream(spark, sf_dir)).where(F.col("ticket_id").isNotNull()) \
+    a = audit_from(events if events is not None else events_stream(spark, sf_dir)).where(F.col("ticket_id").isNotNull()) \
         .withColumn("event_time", F.col("created_at").cast("timestamp")) \
         .withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["id"])
     t = tickets.select(F.col("id").alias("ticket_id"), "customer_id")
@@ -77,41 +159,63 @@ def timeline_stream(spark: SparkSession, sf_dir: str, tickets: DataFrame, base:
         "id", "ticket_id", "customer_id", "event_type", "actor_type", F.col("description").alias("summary"),
         F.lit("{}").alias("metadata_json"), "created_at")
     _run(out.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
-         .outputMode("append"), available_now)
+         .outputMode("append"), spark, sink, available_now)
     return sink
 
 
 # ----------------------------------------------------------------------------- ST2
 def outbox_stream(spark: SparkSession, sf_dir: str, tickets: DataFrame, customers: DataFrame,
-                  base: str | None = None, available_now: bool = True) -> str:
+                  base: str | None = None, available_now: bool = True, events: DataFrame | None = None,
+                  evidence: DataFrame | None = None) -> str:
     """ST2: drafts arriving as a stream; a key is accepted at most once across all batches."""
     sink, ck = _locations(spark, "outbox", base)
-    keylog = os.path.join(os.path.dirname(sink), "keylog")
-    drafts = drafts_from(tickets_from(events_stream(spark, sf_dir), spark.read.schema(SCHEMAS["benchmark"])
+    events = events if events is not None else events_stream(spark, sf_dir)
+    drafts = drafts_from(tickets_from(events, spark.read.schema(SCHEMAS["benchmark"])
                                       .parquet(os.path.join(sf_dir, "benchmark.parquet"))))
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        # the first batch has no log yet; any other failure to read it stops the batch
-        recorded = s.read.parquet(keylog).where(F.col("batch_id") != batch_id) if _exists(s, keylog) else None
-        result = build_outbox(batch, tickets, customers, recorded_keys=recorded)
-        result = result.withColumn("batch_id", F.lit(batch_id))
-        result.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
-        written = s.read.parquet(os.path.join(sink, f"batch_id={batch_id}"))
-        written.where(F.col("status") == "accepted").select("idempotency_key", F.lit(batch_id).alias("batch_id")) \
-            .write.mode("overwrite").parquet(os.path.join(keylog, f"part_batch={batch_id}"))
-
-    _run(drafts.writeStream.foreachBatch(process).option("checkpointLocation", ck), available_now)
+        outbox_batch(batch, batch_id, sink, tickets, customers, evidence)
+
+    _run(drafts.writeStream.foreachBatch(process).option("checkpointLocation", ck), spark, sink, available_now)
     return sink
 
 
+def outbox_batch(batch: DataFrame, batch_id: int, sink: str, tickets: DataFrame, customers: DataFrame,
+                 evidence: DataFrame | None = None) -> None:
+    """One micro-batch: gates, repeats against the key log, output, then the accepted keys."""
+    s = batch.sparkSession
+    keylog = os.path.join(os.path.dirname(sink), "keylog")
+    prefix = F.substring("idempotency_key", 1, 2).alias("prefix")
+    once = os.path.join(os.path.dirname(sink), "gated", f"batch_id={batch_id}")
+    build_outbox(batch, tickets, customers, evidence).write.mode("overwrite").parquet(once)
+    gated = s.read.parquet(once)
+    fresh = gated.where(F.col("status") == "accepted")
+    out = gated
+    if _exists(s, keylog):                   # the first batch has no log yet
+        asked = [r.prefix for r in fresh.select(prefix).distinct().collect()]        # 256 values at most
+        known = s.read.schema(KEYLOG_SCHEMA).parquet(keylog).where(F.col("prefix").isin(asked) & (F.col("batch") != batch_id)) \
+            .select("idempotency_key").distinct().withColumn("recorded", F.lit(True))
+        out = gated.join(known, "idempotency_key", "left")
+        repeat = (F.col("status") == "accepted") & F.col("recorded").isNotNull()
+        out = out.withColumns({"status": F.when(repeat, "rejected").otherwise(F.col("status")),
+                               "reject_reason": F.when(repeat, LX.GATE_REPEAT).otherwise(F.col("reject_reason"))}) \
+            .select(*gated.columns)
+    out.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+    s.read.parquet(os.path.join(sink, f"batch_id={batch_id}")).where(F.col("status") == "accepted") \
+        .select("idempotency_key", prefix).write.mode("overwrite").partitionBy("prefix") \
+        .parquet(os.path.join(keylog, f"batch={batch_id}"))
+
+
+KEYLOG_SCHEMA = "idempotency_key string, batch long, prefix string"
+
+
 # ----------------------------------------------------------------------------- ST3
 def volume_stream(spark: SparkSession, sf_dir: str, base: str | None = None, mode: str = "complete",
-                  watermark: str = "1 day", available_now: bool = True) -> str:
+                  watermark: str = "1 day", available_now: bool = True, events: DataFrame | None = None) -> str:
     """ST3: tickets per UTC day and series."""
     sink, ck = _locations(spark, "volume", base)
     bench = spark.read.schema(SCHEMAS["benchmark"]).parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    t = tickets_from(events_stream(spark, sf_dir), bench).select(
+    t = tickets_from(events if events is not None else events_stream(spark, sf_dir), bench).select(
         F.col("created_at").cast("timestamp").alias("event_time"),  # UTC session: same instant
         status_series(F.col("status")).alias("series")).where(F.col("series").isNotNull())
     if mode == "append":
@@ -120,12 +224,12 @@ def volume_stream(spark: SparkSession, sf_dir: str, base: str | None = None, mod
     out = agg.select(F.to_date(F.col("w.start")).alias("day"), "series", "tickets")
     if mode == "append":
         _run(out.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
-             .outputMode("append"), available_now)
+             .outputMode("append"), spark, sink, available_now)
     else:
         def overwrite(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(sink)
         _run(out.writeStream.outputMode("complete").foreachBatch(overwrite).option("checkpointLocation", ck),
-             available_now)
+             spark, sink, available_now)
     return sink
 
 
@@ -135,63 +239,71 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("due_at", T.TimestampNTZType()),
 ])
 STATE_SCHEMA = T.StructType([
-    T.StructField("first_due", T.TimestampNTZType()), T.StructField("res_due", T.TimestampNTZType()),
+    T.StructField("first_due", T.LongType()), T.StructField("res_due", T.LongType()),
     T.StructField("replied", T.BooleanType()), T.StructField("closed", T.BooleanType()),
-    T.StructField("first_alerted", T.BooleanType()), T.StructField("res_alerted", T.BooleanType()),
 ])
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
-
-
-def _sla_timer(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per-ticket SLA clocks: a 'created' event arms the timers, 'reply' / 'closed' disarm
-    them; when the watermark passes a due time that is still armed, one alert is emitted."""
-    tid = key[0]
-    if state.exists:
-        first_due, res_due, replied, closed, first_alerted, res_alerted = state.get
-    else:
-        first_due = res_due = None
-        replied = closed = first_alerted = res_alerted = False
-    alerts = []
-    if state.hasTimedOut:
-        now = state.getCurrentWatermarkMs()
-        if first_due is not None and not replied and not first_alerted and _ms(first_due) <= now:
-            alerts.append((tid, "first_response", first_due))
-            first_alerted = True
-        if res_due is not None and not closed and not res_alerted and _ms(res_due) <= now:
-            alerts.append((tid, "resolution", res_due))
-            res_alerted = True
-    else:
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                if row.kind == "created":
-                    first_due = None if pd.isna(row.first_due) else row.first_due
-                    res_due = None if pd.isna(row.res_due) else row.res_due
-                elif row.kind == "reply":
-                    replied = True
-                elif row.kind == "closed":
-                    closed = True
-    pending = [d for d, done in ((first_due, replied or first_alerted), (res_due, closed or res_alerted))
-               if d is not None and not done]
-    if pending:
-        state.update((first_due, res_due, replied, closed, first_alerted, res_alerted))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(min(_ms(d) for d in pending), wm + 1))
-    else:
-        state.remove()
-    if alerts:  # an empty iterator is a valid "no output" for this group
-        yield pd.DataFrame(alerts, columns=["ticket_id", "clock", "due_at"])
-
-
-def sla_event_stream(spark: SparkSession, sf_dir: str, replies: DataFrame) -> DataFrame:
+def _micros(values: pd.Series) -> int | None:
+    known = values.dropna()
+    return None if known.empty else int(pd.Timestamp(known.iloc[0]).value // 1000)
+
+
+class SlaClocks(StatefulProcessor):
+    """SLA clocks of one ticket: a 'created' event arms a timer per due time, 'reply' / 'closed'
+    disarm them; a timer whose clock is still armed when the watermark passes it is an alert."""
+
+    CLOCKS = ("first_response", "resolution")
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("clocks", STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, res, replied, closed = self.state.get() if self.state.exists() else (None, None, False, False)
+        created = (first, res) != (None, None)
+        for pdf in rows:
+            made = pdf[pdf["kind"] == "created"]
+            if len(made):
+                created = True
+                first, res = _micros(made["first_due"]), _micros(made["res_due"])
+            replied = bool(replied or (pdf["kind"] == "reply").any())
+            closed = bool(closed or (pdf["kind"] == "closed").any())
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        armed = {due for due, done in ((first, replied), (res, closed)) if due is not None and not done}
+        if created and not armed:
+            self.state.clear()                    # both clocks are met or unset
+        else:
+            self.state.update((first, res, replied, closed))
+            for due in armed:
+                self.handle.registerTimer(max(due // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        first, res, replied, closed = self.state.get()
+        passed = [(clock, due) for clock, due, done in zip(self.CLOCKS, (first, res), (replied, closed))
+                  if due is not None and not done and due // 1000 <= now]
+        replied, closed = replied or any(c == "first_response" for c, _ in passed), closed or any(c == "resolution" for c, _ in passed)
+        if (first is None or replied) and (res is None or closed):
+            self.state.clear()
+        else:
+            self.state.update((first, res, bool(replied), bool(closed)))
+        yield pd.DataFrame({"ticket_id": pd.Series([key[0]] * len(passed), dtype="int64"), "clock": [c for c, _ in passed],
+                            "due_at": pd.Series([pd.Timestamp(d, unit="us") for _, d in passed], dtype="datetime64[us]")})
+
+    def close(self) -> None:
+        pass
+
+
+def sla_event_stream(spark: SparkSession, sf_dir: str, replies: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """created / reply / closed events per ticket derived from the events stream; reply times
     come from a static first-reply table (stream-static join)."""
     from opsdesk.sources.views import add_minutes
 
     bench = spark.read.schema(SCHEMAS["benchmark"]).parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    t = tickets_from(events_stream(spark, sf_dir), bench)
+    t = tickets_from(events if events is not None else events_stream(spark, sf_dir), bench)
     k = F.col("k")
     has_sla = F.col("id") % 10 != 0
     first_due = F.when(has_sla & (k % 13 != 0), add_minutes(F.col("created_at"), F.lit(60)))
@@ -212,45 +324,69 @@ def sla_event_stream(spark: SparkSession, sf_dir: str, replies: DataFrame) -> Da
     return t.select(F.col("id").alias("ticket_id"), F.inline(F.filter(ev, lambda x: x.isNotNull())))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def sla_stream(spark: SparkSession, sf_dir: str, replies: DataFrame, base: str | None = None,
-               watermark: str = "2 hours", available_now: bool = True) -> str:
+               watermark: str = "2 hours", available_now: bool = True, events: DataFrame | None = None) -> str:
     """ST4: one alert per ticket and clock when the watermark passes an armed due time."""
     sink, ck = _locations(spark, "sla", base)
-    ev = sla_event_stream(spark, sf_dir, replies).withColumn("event_time", F.col("ts").cast("timestamp")) \
+    ev = sla_event_stream(spark, sf_dir, replies, events).withColumn("event_time", F.col("ts").cast("timestamp")) \
         .withWatermark("event_time", watermark)
-    alerts = ev.groupBy("ticket_id").applyInPandasWithState(
-        _sla_timer, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
-    q = _run(alerts.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
-             .outputMode("append"), available_now)
-    if available_now:
-        write_late_rows(q, os.path.join(os.path.dirname(sink), "late_rows.json"))
+    alerts = ev.groupBy("ticket_id").transformWithStateInPandas(SlaClocks(), ALERT_SCHEMA, "Append", "EventTime")
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)         # a query keeps the store it was started with
+    try:
+        _run(alerts.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
+             .outputMode("append"), spark, sink, available_now)
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
     return sink
 
 
-def late_rows(query) -> int:
-    """Events dropped because they arrived behind the watermark (Spark's own state-operator
-    metric, summed over the query's progress reports)."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            total += int(op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
-                         else op.numRowsDroppedByWatermark)
-    return total
+# ----------------------------------------------------------------------------- ST5
+INTAKE_TABLES = ("tickets", "messages", "ticket_sla", "customers", "rejected")
+
 
+def intake_stream(spark: SparkSession, requests: DataFrame, customers: DataFrame, policies: DataFrame,
+                  base: str | None = None, available_now: bool = True) -> dict[str, str]:
+    """ST5 + U3: requests arriving as a stream.  Returns the paths of the tables they make.  A batch
+    knows the given customers and those that earlier batches created; a retried batch replaces its
+    own rows."""
+    sink, ck = _locations(spark, "intake", base)
 
-def write_late_rows(query, path: str) -> None:
-    import json
-    if "://" not in path:
-        with open(path, "w", encoding="utf-8") as fh:
-            json.dump({"late_rows_dropped": late_rows(query)}, fh)
+    def process(batch: DataFrame, batch_id: int) -> None:
+        intake_batch(batch, batch_id, sink, customers, policies)
 
+    _run(requests.writeStream.foreachBatch(process).option("checkpointLocation", ck), spark, sink, available_now)
+    return {name: os.path.join(sink, name) for name in INTAKE_TABLES}
 
-# ----------------------------------------------------------------------------- ST5
-def classify_stream(spark: SparkSession, sf_dir: str, base: str | None = None, available_now: bool = True) -> str:
+
+def intake_batch(batch: DataFrame, batch_id: int, sink: str, customers: DataFrame, policies: DataFrame) -> None:
+    s = batch.sparkSession
+    arrived = os.path.join(os.path.dirname(sink), "arrived", f"batch_id={batch_id}")
+    batch.write.mode("overwrite").parquet(arrived)                # the batch feeds five tables
+    batch = s.read.schema(batch.schema).parquet(arrived)
+    known = customers.where(~is_blank(F.col("email"))).groupBy(F.lower(py_strip(F.col("email"))).alias("email")) \
+        .agg(F.min("id").cast("string").alias("id"))
+    made = os.path.join(sink, "customers")
+    if _exists(s, made):
+        earlier = s.read.parquet(made).where(F.col("batch_id") < batch_id)
+        known = known.unionByName(earlier.where(F.col("email").isNotNull()).select("id", "email"))
+    for name, table in intake(batch, known, policies).items():
+        table.write.mode("overwrite").parquet(os.path.join(sink, name, f"batch_id={batch_id}"))
+
+
+def classify_stream(spark: SparkSession, sf_dir: str, base: str | None = None, available_now: bool = True,
+                    events: DataFrame | None = None) -> str:
     """ST5: stateless rule classification of tickets as they arrive."""
     sink, ck = _locations(spark, "classify", base)
     bench = spark.read.schema(SCHEMAS["benchmark"]).parquet(os.path.join(sf_dir, "benchmark.parquet"))
-    t = tickets_from(events_stream(spark, sf_dir), bench)
+    t = tickets_from(events if events is not None else events_stream(spark, sf_dir), bench)
     a = with_rule_analysis(t.select(F.col("id").alias("ticket_id"), "subject", "description"), "subject",
                            "description")
     out = a.select(
@@ -258,5 +394,5 @@ def classify_stream(spark: SparkSession, sf_dir: str, base: str | None = None, a
         "customer_impact", "urgency_reason", "confidence",
         F.array_join("missing_information", "; ").alias("missing_info"))
     _run(out.writeStream.format("parquet").option("checkpointLocation", ck).option("path", sink)
-         .outputMode("append"), available_now)
+         .outputMode("append"), spark, sink, available_now)
     return sink
