@@ -19,9 +19,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from opsdesk.functions.lexicon import HASH_DIMS
+from opsdesk.functions.lexicon import HASH_DIMS, TOKEN_PATTERN
 
 _TOKEN = regex.compile(r"[\w₹]+")
+_SQL_TOKEN = regex.compile(TOKEN_PATTERN)
 
 
 def blake2b_bucket_sign(token: str, dims: int = HASH_DIMS) -> tuple[int, int]:
@@ -30,15 +31,19 @@ def blake2b_bucket_sign(token: str, dims: int = HASH_DIMS) -> tuple[int, int]:
 
 
 def hashed_vectors(texts: list[str], dims: int = HASH_DIMS) -> list[list[float]]:
-    out = []
-    for text in texts:
-        v = np.zeros(dims, dtype=np.float64)
-        for tok in _TOKEN.findall((text or "").lower()):
-            b, s = blake2b_bucket_sign(tok, dims)
-            v[b] += s
-        n = float(np.sqrt((v * v).sum())) or 1.0
-        out.append((v / n).astype(np.float32).tolist())
-    return out
+    """Unit vectors of a batch of texts: every different token is hashed once, the counts are one
+    scatter-add, the vectors are normalised together."""
+    tokens = [_TOKEN.findall((text or "").lower()) for text in texts]
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    number: dict[str, int] = {}
+    at = np.fromiter((number.setdefault(t, len(number)) for row in tokens for t in row), np.int64, int(sizes.sum()))
+    if not len(at):
+        return np.zeros((len(texts), dims), np.float32).tolist()
+    place = np.array([blake2b_bucket_sign(t, dims) for t in number], np.int64)
+    cell = np.repeat(np.arange(len(texts)), sizes) * dims + place[at, 0]
+    v = np.bincount(cell, place[at, 1].astype(np.float64), len(texts) * dims).reshape(-1, dims)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / np.where(norm > 0, norm, 1.0)).astype(np.float32).tolist()
 
 
 def make_embedder(fn: Callable[[list[str]], list[list[float]]]):
@@ -52,5 +57,17 @@ def make_embedder(fn: Callable[[list[str]], list[list[float]]]):
 hashed_embedder = make_embedder(hashed_vectors)
 
 
+def counted_vectors(texts: list[str]) -> list[list[float]]:
+    """Unscaled md5 feature hashes, equal to ``hash_embed``."""
+    import pyarrow as pa
+
+    from opsdesk.operators.vectors import hashed_rows
+    tokens = pa.array([_SQL_TOKEN.findall((t or "").lower()) for t in texts], pa.list_(pa.string()))
+    return hashed_rows(tokens).astype(np.float32).tolist()
+
+
+counted_embedder = make_embedder(counted_vectors)
+
+
 def embed_column(text: Column, embedder=None) -> Column:
     return (embedder or hashed_embedder)(text)

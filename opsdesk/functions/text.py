@@ -27,8 +27,10 @@ def is_blank(c) -> Column:
 
 
 def normalize_ws(c) -> Column:
-    """TX1: collapse whitespace runs to one space and strip."""
-    return py_strip(F.regexp_replace(col(c), f"{WHITESPACE}+", " "))
+    """TX1: collapse whitespace runs to one space and strip.  One pass, which leaves single spaces
+    alone; what is left at the ends is at most one space each."""
+    other = f"[{WHITESPACE}&&[^ ]]"
+    return F.trim(F.regexp_replace(col(c), f"{WHITESPACE}{{2,}}|{other}", " "))
 
 
 def tokenize(c) -> Column:

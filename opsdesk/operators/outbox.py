@@ -30,6 +30,13 @@ def idempotency_key(ticket_id: Column, channel: Column, recipient: Column, subje
     return F.sha2(F.concat_ws("|", *[F.coalesce(p, F.lit("None")) for p in parts]), 256)
 
 
+def stored_evidence(analyses: DataFrame) -> DataFrame:
+    """(ticket_id, has_evidence) from the latest stored analysis of every ticket (ticket_id,
+    result_json, created_at): a result that is no JSON, or has no evidence, counts as none."""
+    latest = analyses.groupBy("ticket_id").agg(F.max_by("result_json", F.struct("created_at", "result_json")).alias("j"))
+    return latest.select("ticket_id", F.get_json_object("j", "$.evidence[0]").isNotNull().alias("has_evidence"))
+
+
 def build_outbox(drafts: DataFrame, tickets: DataFrame, customers: DataFrame,
                  evidence: DataFrame | None = None, recorded_keys: DataFrame | None = None) -> DataFrame:
     """Every draft with ``status`` accepted/rejected and the first failing gate's reason.

@@ -218,7 +218,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     """SIM3: documents whose normalised lower-case text occurs more than once, with the
     group's canonical (lowest) id and size.  Group stats come from an aggregate joined
     back by hash — no group is ever collected into one row."""
-    h = docs.select(F.col(key).alias("doc_id"), F.sha2(normalize_ws(F.lower(F.col(text))), 256).alias("dup_key"))
+    # hashed once: both sides of the join below read the written keys
+    h = stored(docs.select(F.col(key).alias("doc_id"), F.sha2(normalize_ws(F.lower(F.col(text))), 256).alias("dup_key")),
+               "text-keys")
     groups = h.groupBy("dup_key").agg(F.min("doc_id").alias("canonical_doc_id"),
                                       F.count(F.lit(1)).alias("group_size")).where(F.col("group_size") > 1)
     return h.join(groups, "dup_key", "inner").select(

@@ -127,22 +127,16 @@ def health_bucket(first: Column, res: Column) -> Column:
 
 
 def sla_health(states: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """A10: bucket counts with zero fill and shares over the SLA rows (optionally per group)."""
+    """A10: bucket counts with zero fill and shares over the SLA rows (optionally per group): one
+    aggregate that counts all buckets and the total, unfolded to a row per bucket."""
     by = by or []
-    b = states.select(*by, health_bucket(F.col("first_response_status"), F.col("resolution_status")).alias("bucket"))
-    counts = b.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("tickets"))
-    label_array = F.array(*[F.lit(x) for x in HEALTH_LABELS])
-    base = b.select(*by).distinct() if by else states.sparkSession.range(1).select()
-    grid = base.select(*by, F.posexplode(label_array).alias("bucket_order", "bucket"))
-    filled = grid.join(counts, by + ["bucket"], "left").select(
-        *by, "bucket", "bucket_order", F.coalesce(F.col("tickets"), F.lit(0)).cast("bigint").alias("tickets"))
-    if by:
-        j = filled.join(b.groupBy(*by).agg(F.count(F.lit(1)).alias("sla_rows")), by, "left")
-    else:
-        j = filled.select("*", b.agg(F.count(F.lit(1)).alias("sla_rows")).scalar().alias("sla_rows"))
-    return j.select(*by, "bucket", "bucket_order", "tickets",
-                    (F.col("tickets") / F.greatest(F.lit(1), F.coalesce(F.col("sla_rows"), F.lit(0))))
-                    .alias("share"))
+    b = states.select(*by, health_bucket(F.col("first_response_status"), F.col("resolution_status")).alias("_bucket"))
+    counts = b.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"),
+                                *[F.count_if(F.col("_bucket") == x).alias(f"_n{i}") for i, x in enumerate(HEALTH_LABELS)])
+    buckets = F.array(*[F.struct(F.lit(x).alias("bucket"), F.lit(i).alias("bucket_order"), F.col(f"_n{i}").alias("tickets"))
+                        for i, x in enumerate(HEALTH_LABELS)])
+    return counts.select(*by, "_rows", F.inline(buckets)).select(
+        *by, "bucket", "bucket_order", "tickets", (F.col("tickets") / F.greatest(F.lit(1), F.col("_rows"))).alias("share"))
 
 
 def sla_risks(tickets: DataFrame, states: DataFrame) -> DataFrame:

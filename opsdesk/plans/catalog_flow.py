@@ -154,6 +154,29 @@ def _wf_recommendations(v):
     return _outputs(v)["recommendations"]
 
 
+@query("wf_analyses", sql=f"""WITH {ENRICH_CTES}
+SELECT ticket_id, 'ticket_intelligence' AS analysis_type, 'demo' AS model, category, priority, draft, evidence_count, top_source,
+       TIMESTAMP '{AS_OF}' AS created_at FROM enr""")
+def _wf_analyses(v):
+    """IO6: stored analyses, with the fields read back from their JSON result."""
+    def read(path):
+        return F.get_json_object("result_json", path)
+    found = F.from_json(read("$.evidence"), "array<struct<content: string, source: string>>")
+    return _outputs(v)["analyses"].select(
+        "ticket_id", "analysis_type", "model", read("$.category").alias("category"), read("$.priority").alias("priority"),
+        read("$.draft").alias("draft"), F.coalesce(F.size(found), F.lit(0)).cast("bigint").alias("evidence_count"),
+        F.try_element_at(found, F.lit(1))["source"].alias("top_source"), "created_at")
+
+
+@query("wf_similarity", sql=f"""WITH {SIM_SQL}
+SELECT ticket_id, matched_ticket_id, score, match_type, TIMESTAMP '{AS_OF}' AS created_at FROM top8""", floats=["score"])
+def _wf_similarity(v):
+    """IO6: the similarity rows that the enrichment stores."""
+    from opsdesk.functions.time import as_timestamp
+    from opsdesk.operators.similar import similar_tickets
+    return similar_tickets(v.tickets)["similar"].drop("rank").withColumn("created_at", as_timestamp(AS_OF))
+
+
 @query("wf_routing", sql=f"""WITH {ENRICH_CTES}
 SELECT ticket_id, team AS recommended_team, CAST(NULL AS VARCHAR) AS recommended_agent, routing_reason AS reason,
        confidence, TIMESTAMP '{AS_OF}' AS created_at FROM enr""", floats=["confidence"])

@@ -13,7 +13,7 @@ from opsdesk.operators import resolve as RS
 from opsdesk.operators import sla as SLA
 from opsdesk.operators import state as ST
 from opsdesk.plans import workflow as WF
-from opsdesk.plans.catalog_flow import _TEAM_SQL, _strip_sql
+from opsdesk.plans.catalog_flow import _TEAM_SQL, ENRICH_CTES, _outputs, _strip_sql
 from opsdesk.plans.catalog_text import CHUNKS_SQL, CVEC_SQL, best_chunks_sql, vectors_sql
 from opsdesk.plans.knowledge import knowledge_index
 from opsdesk.plans.registry import query
@@ -245,24 +245,25 @@ def _feedback_validate(v):
 
 # ----------------------------------------------------------------------------- outbox
 
-def _issues_sql(x: str) -> str:
+def _issues_sql(x: str, evidence: str = "FALSE") -> str:
     return f"""list_filter([
         CASE WHEN length({_strip_sql(x)}) < {LX.MIN_DRAFT_LENGTH} THEN '{LX.ISSUE_TOO_SHORT}' END,
         CASE WHEN regexp_matches({x}, '{LX.GUARANTEE_PATTERN}') THEN '{LX.ISSUE_GUARANTEE}' END,
         CASE WHEN regexp_matches({x}, '{LX.CARD_PATTERN}') THEN '{LX.ISSUE_CARD}' END,
-        CASE WHEN regexp_matches({x}, '{LX.POLICY_PATTERN}') THEN '{LX.ISSUE_POLICY}' END],
+        CASE WHEN NOT {evidence} AND regexp_matches({x}, '{LX.POLICY_PATTERN}') THEN '{LX.ISSUE_POLICY}' END],
         lambda i: i IS NOT NULL)"""
 
 
-def _outbox_sql(source: str, recorded: str | None, p: str = "") -> str:
-    """Outbox gates in SQL; CTE names are prefixed with ``p`` so two rounds can coexist."""
+def _outbox_sql(source: str, recorded: str | None, p: str = "", evidence: str = "FALSE") -> str:
+    """Outbox gates in SQL; CTE names are prefixed with ``p`` so two rounds can coexist;
+    ``evidence`` says whether a draft's ticket has evidence."""
     rec_join = f"LEFT JOIN ({recorded}) rk ON rk.idempotency_key = x.idempotency_key" if recorded else ""
     rec_cond = "OR rk.idempotency_key IS NOT NULL" if recorded else ""
     return f"""
 {p}d1 AS (SELECT dr.*, t.customer_id, t.id IS NOT NULL AS has_ticket, c.email, c.phone
        FROM {source} dr LEFT JOIN tickets t ON t.id = dr.ticket_id LEFT JOIN customers c ON c.id = t.customer_id),
 {p}d2 AS (SELECT *, CASE channel WHEN 'Email' THEN email WHEN 'SMS' THEN phone END AS recipient,
-              {_issues_sql('content')} AS issues FROM {p}d1),
+              {_issues_sql('content', evidence)} AS issues FROM {p}d1),
 {p}d3 AS (SELECT *, sha256(concat_ws('|', coalesce(CAST(ticket_id AS VARCHAR), 'None'), coalesce(channel, 'None'),
                                   coalesce(recipient, 'None'), coalesce(subject, 'None'),
                                   coalesce({_strip_sql('content')}, 'None'))) AS idempotency_key,
@@ -299,6 +300,28 @@ def _outbox_build(v):
                             "reject_reason")
 
 
+def analyses_log(v):
+    """Stored analyses: one of every ticket by the enrichment, for some tickets followed by one without
+    evidence or one whose result is cut off."""
+    done = _outputs(v)["analyses"].select("ticket_id", "result_json", "created_at")
+    later = done.where("ticket_id % 7 < 2").select(
+        "ticket_id", F.when(F.col("ticket_id") % 7 == 0, F.expr("substring(result_json, 1, cast(length(result_json) / 2 AS int))"))
+        .otherwise(F.lit('{"category": "Billing", "evidence": []}')).alias("result_json"),
+        F.timestamp_add("HOUR", F.lit(1), F.col("created_at")).alias("created_at"))
+    return done.unionByName(later)
+
+
+@query("outbox_with_evidence", sql=f"""
+WITH {ENRICH_CTES},
+proof AS (SELECT ticket_id FROM enr WHERE evidence_count > 0 AND ticket_id % 7 >= 2),
+{_outbox_sql("drafts", None, evidence="(ticket_id IN (SELECT ticket_id FROM proof))")}
+SELECT {_OB_COLS} FROM ob""")
+def _outbox_with_evidence(v):
+    """U5 + CL10: the gates with the evidence of each ticket's latest stored analysis."""
+    sent = OB.build_outbox(v.drafts, v.tickets, v.customers, OB.stored_evidence(analyses_log(v)))
+    return sent.select("draft_id", "ticket_id", "channel", "recipient", "idempotency_key", "status", "reject_reason")
+
+
 @query("outbox_dedupe", sql=f"""
 WITH first_round AS (SELECT * FROM drafts WHERE review_round = 1),
 second_round AS (SELECT * FROM drafts WHERE review_round = 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsdesk.functions import lexicon as LX
-from opsdesk.functions.embed import embed_column
+from opsdesk.functions.embed import counted_embedder, embed_column
 from opsdesk.functions.text import normalize_ws, tokenize
 from opsdesk.operators import retrieve as R
 from opsdesk.operators import similar as SIM
@@ -91,13 +91,23 @@ def _hash_embed(v):
     return chunk_vectors(v)
 
 
-@query("embed_batch")
+@query("embed_batch", sql=f"""
+WITH chunks AS ({CHUNKS_SQL}),
+cv AS ({CVEC_SQL})
+SELECT c.doc_id, c.chunk_index, {LX.HASH_DIMS} AS dims, CAST(count(cv.bucket) AS BIGINT) AS nnz,
+       CAST(coalesce(sum(cv.v * cv.v), 0) AS BIGINT) AS norm2, CAST(coalesce(sum(cv.v * cv.bucket), 0) AS BIGINT) AS moment
+FROM chunks c LEFT JOIN cv ON cv.doc_id = c.doc_id AND cv.chunk_index = c.chunk_index GROUP BY c.doc_id, c.chunk_index""")
 def _embed_batch(v):
-    """TX5: Arrow-batched pluggable embedder (default blake2b hashing) over every chunk."""
-    c = chunks_of(v)
-    e = c.select("doc_id", "chunk_index", embed_column(F.col("content")).alias("embedding"))
-    return e.select("doc_id", "chunk_index", F.size("embedding").alias("dims"),
-                    F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+    """TX5: Arrow-batched embedder plugged in over every chunk (md5 feature hashing, whose vectors SQL
+    can check): size, non-zero entries, squared norm and first moment of the unscaled vectors."""
+    e = chunks_of(v).select("doc_id", "chunk_index", embed_column(F.col("content"), counted_embedder).alias("e"))
+    place = F.transform("e", lambda x, i: x * i.cast("double"))
+
+    def total(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x).cast("bigint")
+    return e.select("doc_id", "chunk_index", F.size("e").cast("bigint").alias("dims"),
+                    F.size(F.filter("e", lambda x: x != 0)).cast("bigint").alias("nnz"),
+                    total(F.transform("e", lambda x: x.cast("double") * x.cast("double"))).alias("norm2"), total(place).alias("moment"))
 
 
 # ----------------------------------------------------------------------------- J3 / RET

@@ -202,7 +202,7 @@ def outbox_batch(batch: DataFrame, batch_id: int, sink: str, tickets: DataFrame,
             .select(*gated.columns)
     out.write.mode("overwrite").parquet(os.path.join(sink, f"batch_id={batch_id}"))
     s.read.parquet(os.path.join(sink, f"batch_id={batch_id}")).where(F.col("status") == "accepted") \
-        .select("idempotency_key", prefix).write.mode("overwrite").partitionBy("prefix") \
+        .select("idempotency_key", prefix).repartition("prefix").write.mode("overwrite").partitionBy("prefix") \
         .parquet(os.path.join(keylog, f"batch={batch_id}"))
 
 
