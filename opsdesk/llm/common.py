@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Callable, Iterator
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 
 from opsdesk.session import ensure_checkpoint_dir, ship_package
 
+ARROW_BYTES = "8m"         # of a batch between the JVM and a worker
 PIECE_BYTES = 2 << 20      # text handled at once inside a task (a longer text is one piece)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder and package shipping; called by every entry point."""
+    """Shared checkpoint folder, package shipping and the size of Arrow batches (texts are long, so
+    the default of 64 MB a batch would fill the workers); called by every entry point."""
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     ship_package(spark)
 
 
@@ -68,6 +72,27 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES
         i = j
 
 
+def release_memory() -> None:
+    """Give memory back at the end of a task.  Spark keeps Python workers for later stages, where
+    grown pools and caches would still count."""
+    from opsdesk.llm import textscan
+    textscan.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """``run`` (batches to batches) with ``release_memory`` when its task ends."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return task
+
+
 def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
                column: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
     """``mapInArrow`` over text pieces; ``fn`` turns one piece into one output batch."""
@@ -77,7 +102,7 @@ def map_pieces(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(releasing(run), schema)
 
 
 def sha256_hex(data: bytes) -> str:

@@ -4,21 +4,26 @@ A phrase is 1 to 4 words that follow each other inside a piece of a text; phrase
 language.  A *shard* is a run of whole texts that one task holds at a time.  If a phrase occurs
 ``support`` times in all, then some shard holds at least the share of them that equals the shard's
 share of its language's bytes.  So every shard is mined completely at its own proportionally lowered
-support, and the union of what is locally frequent misses nothing:
+support, and the union of what is locally frequent misses nothing.  ``LOWERED`` lowers it further:
+all shards together can then leave at most support / LOWERED occurrences of a phrase unreported, so
+the union is hardly larger than the result, and beyond a few shards the local support is one, so the
+work per byte is the same at any size:
 
 1. **sizes**: bytes per language (JVM);
 2. **pairs**: every shard reports the pairs that reach its local support, with their counts;
-3. **union**: a shard that does not report a phrase holds fewer than its local support, which bounds
-   the phrase's total from above; phrases that cannot reach ``support`` go;
+3. **union**: a shard that does not report a phrase holds fewer than its local support; over all
+   shards that is less than support / LOWERED, so phrases reported too rarely to reach ``support`` go;
 4. **longer**: the same for 3 and 4 words, over places where all pairs are candidates and, inside
    the shard, all shorter phrases are locally frequent;
 5. **count**: all candidates and their words are counted exactly over all texts.
 
+What tasks report goes by ranges of the phrase hash, packed: one row per shard and range, so Spark moves
+few rows, and a range is united by one sort.  The number of ranges grows with the input
+(``RANGE_BYTES`` of text each), so a range has a bounded size; a frequent phrase is one entry per shard.
 Candidates are handed to the tasks as a bitmap of fixed size (2**``BITS`` bits) over 64-bit phrase
 hashes.  A bit that two phrases share only costs work: what does not reach ``support`` is dropped by
 its exact count, which is made by the phrase itself, so results are exact at any number of candidates.
-Shards are as large as memory allows (``SHARD_BYTES``); with so many shards that a local support
-falls to one, the union holds the exact totals already and step 3 prunes to the result.
+Shards are as large as memory allows (``SHARD_BYTES``).
 
 Cuts, scores and the containment rule are joins of the phrase table with itself, with decimal
 arithmetic.  Parts of phrases are hot keys (a frequent word begins many phrases); their rows are
@@ -38,12 +43,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsdesk.llm import textscan as S
-from opsdesk.llm.common import pieces, prepare, stored
+from opsdesk.llm.common import pieces, prepare, releasing, stored
 
 LONGEST = 4
 BITS = 26                     # bitmap of 2**26 bits: 8 MB
 SHARD_BYTES = 64 << 20        # text of a shard
-COUNT_BYTES = 16 << 20        # text counted at once in the exact step
+COUNT_BYTES = 4 << 20         # text counted at once in the exact step
+PIECE = 1 << 20               # text cut into words at once
+LOWERED = 16                  # local support is the shard's share of support / LOWERED
+RANGE_BYTES = 16 << 20        # text whose phrases make one range of hashes (256 ranges at least)
 GROUPS = 1 << 16              # languages are hashed to so many groups of shares
 SALTS = 16
 
@@ -135,37 +143,75 @@ def counted(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ----------------------------------------------------------------------------- mining of a shard
-MINED = "h long, grp int, excess long, whole boolean"
-
-
-def _mine_pairs(word: np.ndarray, joined: np.ndarray, least: int, bitmap) -> tuple[np.ndarray, np.ndarray]:
-    return counted(grams(word, 2)[joined[:-1]], least) if len(word) > 1 else counted(np.empty(0, U64), least)
-
-
-def _mine_longer(word: np.ndarray, joined: np.ndarray, least: int, bitmap) -> tuple[np.ndarray, np.ndarray]:
-    pair = grams(word, 2)
-    ok = np.zeros(len(word), bool)
-    ok[:len(pair)] = joined[:len(pair)] & marked(bitmap, pair)
-    del pair
-    place = np.flatnonzero(runs(ok, 2)[:max(0, len(word) - 2)])
-    three = grams(word, 3)[place]
-    keys, times = counted(three.copy(), least)
-    frequent = np.zeros(len(word), bool)
-    if len(keys):
-        at = np.minimum(np.searchsorted(keys, three), len(keys) - 1)
-        frequent[place[keys[at] == three]] = True
-    place = np.flatnonzero((frequent[:-1] & frequent[1:])[:max(0, len(word) - 3)])
-    more, more_times = counted(grams(word, 4)[place], least)
-    # words of candidate pairs: not phrases, but to be counted in the end
-    begin = np.flatnonzero(ok)
-    single = np.unique(grams(word[np.concatenate([begin, begin + 1])], 1))
+MINED = "range int, keys binary, excess binary"
+PARTS = 4                     # parts of the pair hashes that a shard sorts one after another
+
+
+def grams_at(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """``grams`` at some positions only."""
+    with np.errstate(over="ignore"):
+        out = word[at]
+        for i in range(1, n):
+            out *= _STEP
+            out += word[at + i]
+        out += U64(n)
+    return S.mix(out)
+
+
+def _mine_pairs(parts: list, least: int, bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """Locally frequent pairs of the parts (word hashes, joined flags) of a shard; whole texts lie in
+    one part."""
+    found = []
+    for r in range(PARTS):
+        some = []
+        for word, joined in parts:
+            keys = grams(word, 2)[joined[:-1]]
+            some.append(keys[keys >> U64(62) == U64(r)])
+        found.append(counted(np.concatenate(some), least))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _mine_longer(parts: list, least: int, bitmap) -> tuple[np.ndarray, np.ndarray]:
+    """Locally frequent phrases of three and four words over candidate pairs, and with count 0 the
+    words of those pairs: no phrases, but to be counted in the end."""
+    places, threes, singles = [], [], []
+    for word, joined in parts:
+        ok = np.zeros(len(word) + 1, bool)
+        ok[:len(word) - 1] = joined[:-1] & marked(bitmap, grams(word, 2))
+        begin = np.flatnonzero(ok)
+        singles.append(np.unique(grams_at(word, np.concatenate([begin, begin + 1]), 1)))
+        places.append(begin[ok[begin + 1]])
+        threes.append(grams_at(word, places[-1], 3))
+    keys, times = counted(np.concatenate(threes), least)
+    fours = []
+    for (word, _), place, three in zip(parts, places, threes):
+        at = np.minimum(np.searchsorted(keys, three), max(0, len(keys) - 1))
+        frequent = np.zeros(len(word) + 1, bool)
+        if len(keys):
+            frequent[place[keys[at] == three]] = True
+        place = np.flatnonzero(frequent[:-1] & frequent[1:])
+        fours.append(grams_at(word, place, 4))
+    more, more_times = counted(np.concatenate(fours), least)
+    single = np.unique(np.concatenate(singles))
     return np.concatenate([keys, more, single]), np.concatenate([times, more_times, np.zeros(len(single), np.int64)])
 
 
+def hash_ranges(total: int) -> int:
+    """Ranges of hashes for ``total`` bytes of text, a power of two."""
+    return 1 << max(8, (total // RANGE_BYTES).bit_length())
+
+
+def range_slices(keys: np.ndarray, ranges: int):
+    """(range, from, to) of the sorted ``keys``, without empty ranges."""
+    top = (keys >> U64(65 - ranges.bit_length())).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else np.empty(0, np.int64)
+    return zip(top[at].tolist(), at.tolist(), [*at[1:].tolist(), len(top)])
+
+
 def mine(docs: DataFrame, sizes: np.ndarray, miner, support: int, bitmap=None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Locally frequent phrases of all shards: (h, grp, excess), where excess is the local count
-    beyond what an unreported phrase could have; rows with ``whole`` carry that amount itself, one
-    per shard and group.  Words to be counted in the end have a null excess."""
+    """Locally frequent phrases of all shards by range: hashes, and for each the local count beyond
+    what an unreported phrase could have; -1 marks words to be counted in the end."""
+    ranges = hash_ranges(int(sizes.sum()))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((sizes, bitmap))      # both of fixed size
 
@@ -177,22 +223,19 @@ def mine(docs: DataFrame, sizes: np.ndarray, miner, support: int, bitmap=None, s
 
         def shard():
             for group, parts in held.items():
-                least = max(1, -(-support * nbytes[group] // int(total[group])))
-                word = np.concatenate([w for w, _ in parts])
-                joined = np.concatenate([j for _, j in parts])
+                least = max(1, -(-support * nbytes[group] // (LOWERED * int(total[group]))))
+                keys, times = miner(parts, least, bits)
                 parts.clear()
-                keys, times = miner(word, joined, least, bits)
-                excess = pa.array(times - (least - 1), mask=times == 0)
-                n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(keys.view(np.int64), 0)), pa.array(np.full(n + 1, group, np.int32)),
-                     pa.concat_arrays([excess.cast(pa.int64()), pa.array([least - 1], pa.int64())]),
-                     pa.array(np.arange(n + 1) == n)], names=["h", "grp", "excess", "whole"])
+                order = np.argsort(keys, kind="stable")
+                keys, excess = keys[order], np.where(times == 0, -1, times - (least - 1))[order].astype(np.int32)
+                rows = [(r, keys[a:b].tobytes(), excess[a:b].tobytes()) for r, a, b in range_slices(keys, ranges)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 3, (
+                    pa.int32(), pa.binary(), pa.binary()))], names=["range", "keys", "excess"])
             held.clear()
             nbytes.clear()
 
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 size = _bytes_by_group(piece)
                 words = Words(piece)
                 order = np.argsort(words.group, kind="stable")
@@ -207,7 +250,7 @@ def mine(docs: DataFrame, sizes: np.ndarray, miner, support: int, bitmap=None, s
                     yield from shard()
                     have = 0
         yield from shard()
-    return docs.mapInArrow(run, MINED)
+    return docs.mapInArrow(releasing(run), MINED)
 
 
 def _bytes_by_group(piece: pa.RecordBatch) -> dict[int, int]:
@@ -218,13 +261,19 @@ def _bytes_by_group(piece: pa.RecordBatch) -> dict[int, int]:
 
 
 def united(mined: DataFrame, support: int) -> DataFrame:
-    """Hashes of the candidates: phrases whose reported counts, and what the other shards may hold
-    unreported, reach the support; and the words to be counted."""
-    unreported = mined.where("whole").groupBy("grp").agg(F.sum("excess").alias("most"))
-    phrases = mined.where("NOT whole").groupBy("h", "grp").agg(F.sum("excess").alias("excess"))
-    # one row per language group, GROUPS at most
-    return phrases.join(F.broadcast(unreported), "grp").where(
-        F.col("excess").isNull() | (F.col("excess") + F.col("most") >= support)).select("h")
+    """Hashes of the candidates: phrases whose reported counts, with all that the shards may hold
+    unreported (less than support / LOWERED), reach the support; and the words to be counted."""
+    least = support - support // LOWERED
+
+    def unite(group: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), U64)
+        excess = np.frombuffer(b"".join(group.column("excess").to_pylist()), np.int32)
+        order = np.argsort(keys, kind="stable")
+        keys, excess = keys[order], excess[order].astype(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        wanted = (np.add.reduceat(np.maximum(excess, 0), head) >= least) | np.logical_or.reduceat(excess < 0, head)
+        return pa.table({"h": pa.array(keys[head[wanted]].view(np.int64))})
+    return mined.groupBy("range").applyInArrow(unite, "h long")
 
 
 def bitmap_of(keys: DataFrame) -> np.ndarray:
@@ -242,29 +291,32 @@ def bitmap_of(keys: DataFrame) -> np.ndarray:
 COUNTED = "lang string, words int, phrase string, n long"
 
 
-def count_marked(docs: DataFrame, bitmap: np.ndarray, count_bytes: int = COUNT_BYTES) -> DataFrame:
-    """(lang, words, phrase, n): partial counts of every phrase whose bit is set, and with words = 0
-    those of all word occurrences."""
+def count_marked(docs: DataFrame, bitmap: np.ndarray, ranges: int, support: int, count_bytes: int = COUNT_BYTES) -> DataFrame:
+    """(lang, words, phrase, n): exact counts of the phrases whose bit is set - those of two words and
+    more from ``support`` on - and with words = 0 those of all word occurrences."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)   # of fixed size
 
     def run(batches):
         held, have = [], 0
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=PIECE):
                 held.append((piece.column("lang"), Words(piece, keep_text=True)))
                 have += len(held[-1][1].low)
                 if have >= count_bytes:
-                    yield from count(held, shared.value)
-                    held, have = [], 0
+                    yield count(held, shared.value)
+                    have = 0
         if held:
-            yield from count(held, shared.value)
+            yield count(held, shared.value)
 
-    def count(held: list, bits: np.ndarray):
+    def count(held: list, bits: np.ndarray) -> pa.RecordBatch:
         lang = pa.concat_arrays([x for x, _ in held])
         w = Words.joint([w for _, w in held])
+        held.clear()
         named = lang.dictionary_encode()
         total = np.bincount(np.asarray(named.indices, np.int64)[w.doc], minlength=len(named.dictionary))
-        yield _rows(named.dictionary, np.arange(len(total)), 0, pa.array([""] * len(total), pa.string()), total)
+        sums = pa.table({"lang": named.dictionary, "words": pa.array(np.zeros(len(total), np.int32)),
+                         "phrase": pa.array([""] * len(total), pa.string()), "n": pa.array(total.astype(np.int64))})
+        rows: dict[int, list] = {0: [sums]}
         for n in range(1, LONGEST + 1):
             keys = grams(w.hash, n)
             ok = marked(bits, keys)
@@ -276,14 +328,29 @@ def count_marked(docs: DataFrame, bitmap: np.ndarray, count_bytes: int = COUNT_B
             keys = keys[order]
             head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
             at = place[order[head]]
-            yield _rows(lang, w.doc[at], n, phrase_texts(w, at, n), np.diff(head, append=len(keys)))
-    return docs.mapInArrow(run, COUNTED)
-
-
-def _rows(lang: pa.Array, doc: np.ndarray, words: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [lang.take(pa.array(doc)), pa.array(np.full(len(doc), words, np.int32)), phrase, pa.array(n.astype(np.int64))],
-        names=["lang", "words", "phrase", "n"])
+            made = pa.table({"lang": lang.take(pa.array(w.doc[at])), "words": pa.array(np.full(len(at), n, np.int32)),
+                             "phrase": phrase_texts(w, at, n), "n": pa.array(np.diff(head, append=len(keys)).astype(np.int64))})
+            for r, a, b in range_slices(keys[head], ranges):
+                rows.setdefault(r, []).append(made.slice(a, b - a))
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([packed(t) for t in rows.values()], pa.binary())],
+                                          names=["range", "rows"])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        parts = [pa.ipc.open_stream(x).read_all() for x in group.column("rows").to_pylist()]
+        sums = pa.concat_tables(parts).group_by(["lang", "words", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        few, n = sums.column("words").to_numpy() < 2, sums.column("n_sum").to_numpy()
+        return sums.filter(pa.array(few | (n >= support))).rename_columns(
+            {"n_sum": "n"}).select(["lang", "words", "phrase", "n"])
+    return docs.mapInArrow(releasing(run), "range int, rows binary").groupBy("range").applyInArrow(add_up, COUNTED)
+
+
+def packed(tables: list[pa.Table]) -> bytes:
+    """Tables of equal columns as one Arrow stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, tables[0].schema) as stream:
+        for t in tables:
+            stream.write_table(t)
+    return out.getvalue().to_pybytes()
 
 
 def phrase_texts(w: Words, at: np.ndarray, n: int) -> pa.Array:
@@ -315,12 +382,10 @@ def frequent_phrases(docs: DataFrame, support: int = 30, shard_bytes: int = SHAR
         sizes[group] = n
     # as few tasks as hold a shard each, so that local supports stay high
     shards = texts.coalesce(max(1, -(-int(sizes.sum()) // shard_bytes)))
-    pairs = united(stored(mine(shards, sizes, _mine_pairs, support, None, shard_bytes), "pairs"), support)
-    pairs = stored(pairs, "pair-candidates")
-    longer = united(stored(mine(shards, sizes, _mine_longer, support, bitmap_of(pairs), shard_bytes), "longer"), support)
-    found = count_marked(texts, bitmap_of(pairs.unionByName(longer)))
-    totals = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return stored(totals.where((F.col("words") < 2) | (F.col("n") >= support)), "phrases")
+    pairs = stored(united(mine(shards, sizes, _mine_pairs, support, None, shard_bytes), support), "pairs")
+    longer = united(mine(shards, sizes, _mine_longer, support, bitmap_of(pairs), shard_bytes), support)
+    bitmap = bitmap_of(pairs.unionByName(longer))
+    return stored(count_marked(texts, bitmap, hash_ranges(int(sizes.sum())), support), "phrases")
 
 
 # ----------------------------------------------------------------------------- collocations
@@ -354,8 +419,12 @@ def collocations(docs: DataFrame, support: int = 30, top: int = 2000, shard_byte
                    "div (cast(l AS decimal(20, 0)) + cast(r AS decimal(20, 0)))").cast("long")
     lowest = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "l", "r")).alias("cut"), F.first("a").alias("a"))
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = lowest.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score")) \
-        .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    scored = lowest.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"),
+                           F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).alias("salt"))
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    # the best of every part of a language first, so that at most SALTS * top rows of it meet
+    part = Window.partitionBy("lang", "salt").orderBy(*order)
+    ranked = scored.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top) \
+        .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     words = table.where("words = 0").select("lang", "n")
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -31,10 +31,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the hash base and its inverse, grown on demand and kept for the worker."""
+    """Powers of the hash base and its inverse, grown on demand and kept until the task ends."""
     fwd = _powers(_R, 1)
     inv = _powers(_RINV, 1)
 
+    @classmethod
+    def forget(cls) -> None:
+        cls.fwd, cls.inv = _powers(_R, 1), _powers(_RINV, 1)
+
     @classmethod
     def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.fwd) < n:
@@ -43,6 +47,11 @@ class _Powers:
         return cls.fwd, cls.inv
 
 
+def forget() -> None:
+    """Drop what is kept between calls (at the end of a task: Python workers live on)."""
+    _Powers.forget()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift / multiply), so that every bit depends on all input bits."""
     with np.errstate(over="ignore"):
