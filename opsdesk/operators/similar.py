@@ -22,6 +22,7 @@ from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import normalize_ws, round_half_up, tokenize
 from opsdesk.operators import vectors as V
 from opsdesk.operators.queue import running_number
+from opsdesk.plans.hints import salted
 from opsdesk.session import stored
 
 
@@ -157,8 +158,12 @@ def similar_tickets(tickets: DataFrame, top: int = LX.SIMILAR_TOP, min_score: fl
 
 
 # ----------------------------------------------------------------------------- SIM2
+HEAVY = 2000                 # sets per part of a frequent token in the prefix join
+DF_SALTS = 8                 # parts of a token's sets when its frequency is joined back
+
+
 def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE, key: str = "doc_id",
-                    text: str = "text") -> DataFrame:
+                    text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """SIM2: near-duplicate pairs by token-set Jaccard ≥ ``threshold`` — exact, and safe when
     a large share of the corpus consists of copies.
 
@@ -171,6 +176,10 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
     4. positional filter: with (i, j) the positions of the first shared token,
        overlap ≤ 1 + min(|A| − i, |B| − j) must reach ⌈t / (1 + t) · (|A| + |B|)⌉;
     5. survivors are verified with the full sets.
+    Tokens are 64-bit hashes from the start, so no strings are shuffled.  Frequent tokens are split on
+    both sides: a token's sets are dealt into parts when its frequency is joined back, and in the
+    prefix join a token of more than ``heavy`` sets becomes several keys - one side's rows are dealt
+    over them, the other side's are repeated.
     Output: one row per pair of distinct sets (their representatives) with both copy counts —
     lossless: every near-duplicate document pair is either inside one copy group (Jaccard 1)
     or maps to exactly one row.  Every filter is a necessary condition (= brute force)."""
@@ -180,8 +189,8 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
     # then exchange-free; identical sets are grouped by a fixed-width hash aggregate and the
     # representative's tokens are fetched by a join (no aggregation of arrays)
     per_doc = docs.select(F.col(key).alias("doc"), F.col(text).alias("_t")).repartition("doc") \
-        .select("doc", F.sort_array(F.array_distinct(tokenize(F.col("_t")))).alias("toks")) \
-        .where(F.size("toks") > 0).withColumn("set_key", F.sha2(F.array_join("toks", " "), 256))
+        .select("doc", F.sort_array(F.array_distinct(F.transform(tokenize(F.col("_t")), lambda x: F.xxhash64(x)))).alias("toks")) \
+        .where(F.size("toks") > 0).withColumn("set_key", F.xxhash64("toks"))
     groups = per_doc.groupBy("set_key").agg(F.min("doc").alias("d"), F.count(F.lit(1)).alias("copies"))
     # the distinct sets feed three branches (index, and both sides of the verification):
     # materialise them once in the shared checkpoint folder instead of tokenising three times
@@ -189,13 +198,17 @@ def near_duplicates(docs: DataFrame, threshold: float = LX.DUPLICATE_MIN_SCORE,
         .select("d", "copies", "toks").checkpoint()
     toks = sets.select("d", F.size("toks").alias("n"), F.explode("toks").alias("token"))
     df = toks.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = toks.join(df, "token", "inner") \
+    spread, counts, keys = salted(toks, df, "token", DF_SALTS, ["d"])
+    ranked = spread.join(counts, keys, "inner").drop("_salt") \
         .withColumn("pos", F.row_number().over(Window.partitionBy("d").orderBy("df", "token")))
     need = F.ceil(F.col("n") * F.lit(t) - F.lit(eps))
-    prefix = ranked.where(F.col("pos") <= F.col("n") - need + 1).select("d", "n", "token", "pos")
-    a = prefix.select(F.col("d").alias("a"), F.col("n").alias("na"), "token", F.col("pos").alias("pa"))
-    b = prefix.select(F.col("d").alias("b"), F.col("n").alias("nb"), "token", F.col("pos").alias("pb"))
-    shared = a.join(b, "token", "inner").where(
+    prefix = ranked.where(F.col("pos") <= F.col("n") - need + 1).select(
+        "d", "n", "token", "pos", F.ceil(F.col("df") / F.lit(heavy)).cast("int").alias("parts"))
+    a = prefix.select(F.col("d").alias("a"), F.col("n").alias("na"), "token", F.col("pos").alias("pa"),
+                      F.pmod(F.xxhash64("d"), F.col("parts")).cast("int").alias("part"))
+    b = prefix.select(F.col("d").alias("b"), F.col("n").alias("nb"), "token", F.col("pos").alias("pb"),
+                      F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    shared = a.join(b, ["token", "part"], "inner").where(
         (F.col("a") < F.col("b")) & (F.col("nb") >= F.col("na") * t - eps) & (F.col("na") >= F.col("nb") * t - eps))
     first = shared.groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("i"), F.min("pb").alias("j"))
     alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - F.lit(eps))

@@ -110,6 +110,20 @@ def test_near_duplicates_equals_brute_force(views):
                 assert (min(rep_of[x], rep_of[y]), max(rep_of[x], rep_of[y])) in {(f[0], f[1]) for f in fast}
 
 
+def test_near_duplicates_with_a_token_in_every_prefix(spark):
+    """One token in every set, among the rarest of each: its sets are split and no pair is lost or doubled."""
+    rows = [(i, f"common x{i % 25} y{i % 4}") for i in range(400)] + [(1000 + i, f"common z{i} own{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(t.split()), []).append(i)
+    reps = sorted((min(ids), s, len(ids)) for s, ids in sets.items())
+    want = sorted((a, b, ca, cb) for x, (a, sa, ca) in enumerate(reps) for b, sb, cb in reps[x + 1:] if len(sa & sb) / len(sa | sb) >= 0.5)
+    for heavy in (10, 50, 10_000):
+        got = SIM.near_duplicates(docs, threshold=0.5, heavy=heavy)
+        assert sorted((r.doc_a, r.doc_b, r.copies_a, r.copies_b) for r in got.collect()) == want and want
+
+
 def test_exact_duplicates_groups(views):
     d = SIM.exact_duplicates(views.table("documents"))
     rows = d.collect()
