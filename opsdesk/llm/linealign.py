@@ -3,18 +3,18 @@
 A document is its sequence of line hashes (lines without surrounding blanks).  Equal sequences are
 collapsed: only the one with the smallest doc_id is aligned, later copies lose all their lines.
 Overlapping documents are found through shared rare lines: a line of at least ``min_line``
-characters that at least two sequences hold and that is rare - held by at most ``rare`` sequences,
-or among the rarer half of its document's own lines (so that large groups of near copies, whose
-every line is frequent, find each other while boilerplate between otherwise different documents
-does not).  Frequent lines link by runs: the shortest run of consecutive lines from a line on that
-has two lines with characters and ``min_block`` characters, however many sequences hold it, so every
-common block of two or more lines links.  A sequence is paired with the earliest holder of each of
-its rare lines and of each of its runs, so pairs grow with lines and a group of any size is a star,
-never all pairs.
+characters that at least two sequences hold and that is rare for its document - among the rarer half
+of the document's own lines, whatever its number of holders.  All other lines link by runs: the
+shortest runs of consecutive lines from a line on and up to a line that have ``min_block`` characters
+(a long line is a run of its own), however many sequences hold them.  As every line of a deletable
+block is in such a run inside the block, no number of holders hides one.  A sequence is paired with the earliest holder of each of its rare
+lines and of each of its runs, so pairs grow with lines and a group of any size is a star, never all
+pairs.
 
 Each pair is aligned by patience diff: common ends are matched, then lines that are unique in both
-and in increasing order split the rest, recursively.  Maximal blocks of aligned lines with at
-least ``min_block`` characters are deleted from the later document.
+and in increasing order split the rest, recursively; a stretch without such lines (repeated lines)
+is aligned by a longest common subsequence in memory of the order of its lines.  Maximal blocks of
+aligned lines with at least ``min_block`` characters are deleted from the later document.
 
 Cases: a null text has no lines and stays null, an empty one has one blank line; blank lines count
 in blocks but have no characters and link nothing; repeated rows of one id are not later than each
@@ -34,9 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsdesk.llm import textscan as S
-from opsdesk.llm.common import map_pieces, prepare, stored
+from opsdesk.llm.common import map_pieces, prepare, releasing, stored
 
-RARE = 50                    # holders up to which a line is rare anywhere
 MIN_LINE = 20                # characters of a linking line
 MIN_BLOCK = 40               # characters of a deleted block
 ALIGN_LINES = 100_000        # lines of the pairs turned into Python lists at once
@@ -62,6 +61,43 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _reach(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of a longest common subsequence of ``a`` with every prefix of ``b`` (bit-parallel: one
+    big integer holds a row of the table)."""
+    match: dict[int, int] = {}
+    for j, x in enumerate(b):
+        match[x] = match.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & match.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(1 - np.unpackbits(bits, bitorder="little")[:len(b)].astype(np.int64))])
+
+
+def common_subsequence(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence, in order, by halving ``a`` where both halves'
+    subsequences are longest (so memory stays of the order of the sequences)."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            at = next((j for j in range(b0, b1) if b[j] == a[a0]), None)
+            if at is not None:
+                out.append((a0, at))
+            continue
+        mid = (a0 + a1) // 2
+        left = _reach(a[a0:mid], b[b0:b1])
+        right = _reach(a[mid:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + int(np.argmax(left + right))
+        todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned index pairs of two sequences by patience diff, in order."""
     out: list[tuple[int, int]] = []
@@ -81,10 +117,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             place[a[i]] = i if a[i] not in place else -1
         mine: dict[int, int] = {}
         for j in range(b0, b1):
-            if a[a0:a1] and b[j] in place:
+            if b[j] in place:
                 mine[b[j]] = j if b[j] not in mine else -1
         unique = [(j, place[x]) for x, j in mine.items() if j >= 0 and place[x] >= 0]
         if not unique:
+            if mine:                          # common lines, all of them repeated
+                out += [(a0 + i, b0 + j) for i, j in common_subsequence(a[a0:a1], b[b0:b1])]
             continue
         unique.sort()
         chain = [unique[i] for i in increasing([i for _, i in unique])]
@@ -117,14 +155,15 @@ def line_runs(h: np.ndarray, c: np.ndarray, off: np.ndarray, min_block: int) ->
     """(sequence, hash) of the distinct runs of sequences of line hashes ``h`` and lengths ``c``; a
     sequence is [off[i], off[i + 1])."""
     chars = np.concatenate([[0], np.cumsum(c, dtype=np.int64)])
-    filled = np.concatenate([[0], np.cumsum(c > 0)])
     at = np.flatnonzero(c > 0)
-    end = np.maximum(np.searchsorted(chars, chars[at] + min_block), np.searchsorted(filled, filled[at] + 2))
     seq = np.searchsorted(off, at, side="right") - 1
-    ok = end <= off[seq + 1]
-    run = S.range_hash(S.prefix_hash(S.mix(h.view(np.uint64))), at[ok], end[ok])
-    order = np.lexsort((run, seq[ok]))
-    seq, run = seq[ok][order], run[order]
+    end = np.searchsorted(chars, chars[at] + min_block)                            # from a line on
+    begin = np.searchsorted(chars, chars[at + 1] - min_block, side="right") - 1    # up to a line
+    on, upto = end <= off[seq + 1], begin >= off[seq]
+    begin, end, seq = (np.concatenate(x) for x in ((at[on], begin[upto]), (end[on], at[upto] + 1), (seq[on], seq[upto])))
+    run = S.range_hash(S.prefix_hash(S.mix(h.view(np.uint64))), begin, end)
+    order = np.lexsort((run, seq))
+    seq, run = seq[order], run[order]
     new = np.concatenate([[True], (seq[1:] != seq[:-1]) | (run[1:] != run[:-1])])[:len(seq)]
     return seq[new], run[new]
 
@@ -140,13 +179,14 @@ def run_pairs(seqs: DataFrame, min_block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("seq_key").take(pick), b.column("doc").take(pick),
                                               pa.array(run.view(np.int64))], names=["seq_key", "doc", "run"])
 
-    runs = seqs.select("seq_key", "doc", "h", "c").mapInArrow(cut, "seq_key long, doc long, run long")
-    holders = runs.groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc", "seq_key")).alias("hub")) \
-        .where("df > 1").select("run", F.col("hub.seq_key").alias("hub"))
+    runs = seqs.select("seq_key", "doc", "h", "c").mapInArrow(releasing(cut), "seq_key long, doc long, run long")
+    # written, so that both sides of the join are dealt anew and the rows of a hot run are split
+    holders = stored(runs.groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc", "seq_key")).alias("hub"))
+                     .where("df > 1").select("run", F.col("hub.seq_key").alias("hub")), "run-holders")
     return runs.join(holders, "run").where("hub <> seq_key").select("seq_key", "hub").distinct()
 
 
-def repeated_lines(rows: DataFrame, rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK
+def repeated_lines(rows: DataFrame, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK
                    ) -> tuple[DataFrame, DataFrame]:
     """From rows of (doc_id, text): (sequences, cuts).  sequences: seq_key, first_doc; cuts:
     seq_key and the sorted line indices that its first document loses."""
@@ -161,14 +201,14 @@ def repeated_lines(rows: DataFrame, rare: int = RARE, min_line: int = MIN_LINE,
                        F.explode(F.array_distinct(F.arrays_zip("h", "c"))).alias("x")) \
         .select("seq_key", "doc", "n", F.col("x.h").alias("line"), F.col("x.c").alias("c")) \
         .where(F.col("c") >= min_line)
-    holders = held.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc", "seq_key")).alias("hub")) \
-        .where("df > 1").select("line", "df", F.col("hub.seq_key").alias("hub"))
+    holders = stored(held.groupBy("line").agg(F.count("*").alias("df"), F.min(F.struct("doc", "seq_key")).alias("hub"))
+                     .where("df > 1").select("line", "df", F.col("hub.seq_key").alias("hub")), "line-holders")
     shared = held.join(holders, "line").select("seq_key", "n", "line", "df", "hub")
     from pyspark.sql.window import Window
     place = F.row_number().over(Window.partitionBy("seq_key").orderBy("df", "line"))
     number = F.count("*").over(Window.partitionBy("seq_key"))
     ranked = shared.withColumn("rank", F.col("n") - number + place - 1)
-    pairs = ranked.where((F.col("df") <= rare) | (2 * F.col("rank") < F.col("n"))) \
+    pairs = ranked.where(2 * F.col("rank") < F.col("n")) \
         .where("hub <> seq_key").select("seq_key", "hub").union(run_pairs(seqs, min_block)).distinct()
     early = seqs.select(F.col("seq_key").alias("hub"), F.col("h").alias("early"))
     # the later document's lines travel with it, the hub's are joined (skewed joins are split)
@@ -188,19 +228,19 @@ def repeated_lines(rows: DataFrame, rare: int = RARE, min_line: int = MIN_LINE,
                                                  names=["seq_key", "cut"])
                 i = j
 
-    cuts = both.select("seq_key", "early", "late", "c").mapInArrow(align, "seq_key long, cut array<int>") \
+    cuts = both.select("seq_key", "early", "late", "c").mapInArrow(releasing(align), "seq_key long, cut array<int>") \
         .where(F.size("cut") > 0).groupBy("seq_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
     return seqs.select("seq_key", F.col("doc").alias("first_doc")), cuts
 
 
-def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, rare: int = RARE,
+def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None,
                           min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
     """The columns of ``keep`` (doc_id and text among them), text without the deleted lines, with
     n_lines, n_removed and kept_sha256 (of the kept lines joined by line feeds)."""
     prepare(docs.sparkSession)
     keep = keep or ["doc_id", "text"]
     frame = docs.select(*[F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in keep])
-    seqs, cuts = repeated_lines(frame.select("doc_id", "text"), rare, min_line, min_block)
+    seqs, cuts = repeated_lines(frame.select("doc_id", "text"), min_line, min_block)
     verdict = seqs.join(cuts, "seq_key", "left").withColumnsRenamed(
         {"seq_key": "_seq", "first_doc": "_first", "cut": "_cut"})
     keyed = frame.withColumn("_seq", F.when(F.col("doc_id").isNotNull(), F.xxhash64(
