@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsdesk.llm.common import stored
+from opsdesk.llm.common import releasing, stored
 
 EDGES_PER_TASK = 1 << 20
 
@@ -69,7 +69,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(pairs)
     while before[0]:
         tasks = -(-before[0] // EDGES_PER_TASK)
-        forest = pairs.coalesce(tasks).mapInArrow(_local_forest, "a long, b long")
+        forest = pairs.coalesce(tasks).mapInArrow(releasing(_local_forest), "a long, b long")
         if tasks == 1:
             pairs = stored(forest, "edges")
             break

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsdesk.llm import textscan as S
-from opsdesk.llm.common import id_text, map_pieces, pieces, prepare
+from opsdesk.llm.common import id_text, map_pieces, pieces, prepare, releasing
 
 BUCKETS = 1 << 15
 STEPS = 12                   # EM steps
@@ -103,7 +103,7 @@ def train(rows: DataFrame) -> Model:
                 names=["lang", "bucket", "n"])
 
     counts = rows.where("lang is not null and text is not null").select("text", "lang") \
-        .mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        .mapInArrow(releasing(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toArrow()                           # bounded by languages x BUCKETS
     langs = sorted(set(got.column("lang").to_pylist()))
     table = np.ones((len(langs), BUCKETS))

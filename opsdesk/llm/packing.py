@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsdesk.llm import textscan as S
-from opsdesk.llm.common import id_text, map_pieces, pieces, prepare, stored
+from opsdesk.llm.common import id_text, pieces, prepare, releasing, stored
 
 GROUP_PIECES = 16_384      # expected pieces of a group: bounds memory of a packing task
 ENCODE_BYTES = 1 << 19     # text encoded at once: about a hundred bytes of arrays per byte of text
@@ -117,7 +117,8 @@ def encode_pieces(docs: DataFrame, spec: bytes, capacity: int = 2048, eos: int =
     prepare(spark)
     shared = spark.sparkContext.broadcast(spec)      # the vocabulary file: fixed size
     schema = PIECE_SCHEMA + (", ids array<long>" if emit_ids else "")
-    return id_text(docs).mapInArrow(lambda batches: piece_batches(batches, shared.value, capacity, eos, emit_ids), schema)
+    return id_text(docs).mapInArrow(
+        releasing(lambda batches: piece_batches(batches, shared.value, capacity, eos, emit_ids)), schema)
 
 
 _TOKENIZER: dict[int, object] = {}

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsdesk.llm.common import id_text, prepare, stored
+from opsdesk.llm.common import id_text, prepare, releasing, stored
 from opsdesk.llm.packing import PIECE_SCHEMA, piece_batches
 
 ROUNDS = 100        # multiplicative updates of the fit
@@ -190,7 +190,7 @@ def numbered_pieces(docs: DataFrame, spec: bytes, capacity: int, eos: int) -> Da
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(len(length), part, np.int64)), pa.array(nth)],
                 names=[*batch.schema.names, "part", "nth"])
-    return stored(id_text(docs).mapInArrow(run, PIECE_SCHEMA + ", part long, nth long"), "pieces")
+    return stored(id_text(docs).mapInArrow(releasing(run), PIECE_SCHEMA + ", part long, nth long"), "pieces")
 
 
 def length_counts(counted: DataFrame, capacity: int) -> np.ndarray:

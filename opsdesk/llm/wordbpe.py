@@ -11,7 +11,7 @@ distinct words and array passes only.
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -42,6 +42,38 @@ def _byte_letters() -> np.ndarray:
     return out
 
 
+class KeySlots:
+    """64-bit keys to slots, as two sorted arrays: a large one and a small one of recent keys that is
+    merged into it from time to time (12 bytes a key)."""
+
+    def __init__(self):
+        self.parts = [(np.empty(0, np.uint64), np.empty(0, np.int32))] * 2
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the sorted ``keys``, -1 where unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = slots[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """New keys, sorted."""
+        large, recent = self.parts
+        recent = self._merged(recent, (keys, slots.astype(np.int32)))
+        if len(recent[0]) > max(1 << 15, len(large[0]) >> 3):
+            large, recent = self._merged(large, recent), (keys[:0], np.empty(0, np.int32))
+        self.parts = [large, recent]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
 class WordBpe:
     def __init__(self, spec: bytes):
         one_thread()
@@ -54,17 +86,18 @@ class WordBpe:
         self._reset()
 
     def _reset(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slots = KeySlots()
+        self.known = 0
         self.pool = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int32)
 
-    def _add(self, keys: list[int], ids: list[list[int]]) -> None:
-        """Remember the ids of new keys in slots len(slot), len(slot) + 1, ..."""
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """Remember the ids of new keys in the slots known, known + 1, ..."""
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        base = len(self.slot)
+        base = self.known
         while base + len(keys) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
@@ -74,7 +107,8 @@ class WordBpe:
         self.start[base:base + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.size[base:base + len(keys)] = lengths
         self.used += len(flat)
-        self.slot.update(zip(keys, range(base, base + len(keys))))
+        self.slots.add(keys, np.arange(base, base + len(keys)))
+        self.known += len(keys)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): all token ids of the texts one after another and, per text, where its
@@ -136,11 +170,9 @@ class WordBpe:
         return ids, total[np.searchsorted(starts, offsets, side="left")]
 
     def _slots(self, uniq, where, starts, ends, raw, data, low) -> np.ndarray:
-        if len(self.slot) + len(uniq) > max(CACHE_WORDS, len(uniq)):
+        if self.known + len(uniq) > max(CACHE_WORDS, len(uniq)):
             self._reset()
-        keys = uniq.tolist()
-        slot = self.slot
-        out = np.fromiter(map(slot.get, keys, repeat(-1)), np.int64, len(keys))
+        out = self.slots.find(uniq)
         missing = np.flatnonzero(out < 0)
         if len(missing):
             at = where[missing]
@@ -154,6 +186,6 @@ class WordBpe:
                 if texts else iter(())
             ids = [next(whole_ids) if w else [t.id for t in token(low_text[a:b])]
                    for w, a, b in zip(whole.tolist(), s, e)]
-            out[missing] = np.arange(len(slot), len(slot) + len(missing))
-            self._add(uniq[missing].tolist(), ids)
+            out[missing] = np.arange(self.known, self.known + len(missing))
+            self._add(uniq[missing], ids)
         return out

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from opsdesk.llm import packing
 from opsdesk.llm import textscan as S
-from opsdesk.llm.wordbpe import WordBpe
+from opsdesk.llm.wordbpe import KeySlots, WordBpe
 
 SPEC = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
 ODD = ["", None, "it's DON'T we'll 3,000  a b", "<|endoftext|> foo<|startoftext|>x a<|b", "ÀÉÎÕÜ ß × ÷ naïve", "日本語 text 123 é ́x",
@@ -74,3 +74,34 @@ def test_pieces_are_exact_and_fit(spark, make_docs, words, bpe, group):
 
 def test_empty_table(spark, make_docs):
     assert packing.pack_documents(make_docs([(1, "x")]).where("doc_id = 2"), SPEC).count() == 0
+
+
+def test_key_slots_equal_a_dictionary():
+    rng = np.random.default_rng(1)
+    slots, known = KeySlots(), {}
+    for _ in range(40):
+        keys = np.unique(rng.integers(0, 200_000, 5_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        got = slots.find(keys)
+        assert got.tolist() == [known.get(k, -1) for k in keys.tolist()]
+        new = keys[got < 0]
+        slots.add(new, np.arange(len(known), len(known) + len(new)))
+        known.update(zip(new.tolist(), range(len(known), len(known) + len(new))))
+
+
+def test_the_word_cache_starts_anew_when_full(bpe, words, monkeypatch):
+    from opsdesk.llm import wordbpe
+    monkeypatch.setattr(wordbpe, "CACHE_WORDS", 50)
+    texts = [" ".join(words(120, i)) for i in range(6)]
+    assert ids_of(bpe, texts) == [bpe.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for t in texts:
+        assert ids_of(bpe, [t]) == [bpe.tok.encode(t, add_special_tokens=False).ids]
+
+
+def test_memory_is_released_when_a_task_ends():
+    from opsdesk.llm.common import releasing
+    S.prefix_hash(np.ones(100_000, np.uint64))
+    assert len(S._Powers.fwd) > 100_000
+    assert list(releasing(lambda batches: iter(batches))([1, 2])) == [1, 2]
+    assert len(S._Powers.fwd) == 1
+    with pytest.raises(ValueError):
+        list(releasing(lambda batches: (_ for _ in ()).throw(ValueError()))([]))
