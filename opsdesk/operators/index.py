@@ -52,8 +52,8 @@ class VectorIndex:
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> VectorIndex:
         index = cls(spark, path)
-        for name, schema in (("log", LOG_SCHEMA), ("chunks", CHUNK_SCHEMA), ("blocks", BLOCK_SCHEMA)):
-            spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{index.path}/{name}")
+        for name, schema, by in (("log", LOG_SCHEMA, []), ("chunks", CHUNK_SCHEMA, ["bucket"]), ("blocks", BLOCK_SCHEMA, ["bucket"])):
+            spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*by).parquet(f"{index.path}/{name}")
         return index
 
     def at(self, seq: int) -> VectorIndex:
