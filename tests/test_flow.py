@@ -29,7 +29,7 @@ def _drafts(spark, rows):
         "created_at timestamp_ntz")
 
 
-SAFE = "We are reviewing the account details."
+SAFE = "A colleague reads your case today and writes back."
 
 
 def test_outbox_gate_order(spark):
@@ -38,7 +38,7 @@ def test_outbox_gate_order(spark):
         (2, 1, "   ", "Email", True),
         (3, 1, SAFE, "Web", True),
         (4, 9, SAFE, "Email", True),
-        (5, 1, "Your refund is guaranteed and definitely approved.", "Email", True),
+        (5, 1, "It is certain: your refund is guaranteed by us today.", "Email", True),
         (6, 1, SAFE, "Email", True),
         (7, 1, SAFE + "  ", "Email", True),
         (8, 2, SAFE, "SMS", True),
@@ -86,19 +86,28 @@ def test_intake_sequential_customer_semantics(spark):
     assert cust[4].customer_id != cust[5].customer_id and cust[4].creates_customer and cust[5].creates_customer
 
 
+def _corpus(spark, chunks):
+    from opsdesk.operators.retrieve import ChunkCorpus
+    df = spark.createDataFrame(chunks, "doc_id long, chunk_index int, content string")
+    meta = df.withColumn("filename", F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt"))) \
+        .withColumn("document_type", F.lit("guide"))
+    return ChunkCorpus(df, meta)
+
+
 def test_bulk_blank_row_fails_without_echo_and_cap(spark):
-    rows = spark.createDataFrame([(1, "Subscription charge", "Charged but plan not active", None),
-                                  (2, "", "Payment succeeded", None)],
+    rows = spark.createDataFrame([(1, "Two entries on one bill", "The bank shows a payment that was charged twice", None),
+                                  (2, "", "The bank has settled it", None)],
                                  "row_id long, subject string, description string, customer string")
-    chunks = spark.createDataFrame([(1, 0, "x"), (1, 1, "y"), (2, 0, "z")], "doc_id long, chunk_index int, content string")
-    out = {r.row_id: r for r in IN.bulk_analyze(rows, chunks).collect()}
+    corpus = _corpus(spark, [(1, 0, "bank payment"), (1, 1, "y"), (2, 0, "z")])
+    out = {r.row_id: r for r in IN.bulk_analyze(rows, corpus).collect()}
+    assert out[1].knowledge_sources.split(" | ")[0] == "f1.txt" and out[2].knowledge_sources is None
     assert out[1].category == "Billing" and out[1].knowledge_matches == 2 and out[1].error is None
     assert out[2].subject == LX.BULK_FAILED_SUBJECT and out[2].error == LX.BULK_ERR_TEXT
-    assert "Payment succeeded" not in str(out[2].asDict())
+    assert "The bank has settled it" not in str(out[2].asDict())
     big = spark.range(5001).select(F.col("id").alias("row_id"), F.lit("x").alias("subject"),
                                    F.lit("y").alias("description"), F.lit(None).cast("string").alias("customer"))
     with pytest.raises(ValueError, match="5,000-row limit"):
-        IN.bulk_analyze(big, chunks, max_rows=5000)
+        IN.bulk_analyze(big, corpus, max_rows=5000)
 
 
 def test_status_change_reopen_clears_resolved_at(spark):
@@ -124,10 +133,10 @@ def test_feedback_rating_optional(spark):
 
 def test_bulk_progress_via_observation(spark):
     from pyspark.sql import Observation
-    rows = spark.createDataFrame([(1, "Subscription charge", "Charged twice", None), (2, " ", "x", None),
+    rows = spark.createDataFrame([(1, "Two entries on one bill", "It was charged twice", None), (2, " ", "x", None),
                                   (3, "Login", "cannot sign in", "Ann")],
                                  "row_id long, subject string, description string, customer string")
-    chunks = spark.createDataFrame([(1, 0, "x")], "doc_id long, chunk_index int, content string")
+    corpus = _corpus(spark, [(1, 0, "x")])
     obs = Observation("bulk")
-    IN.bulk_analyze(rows, chunks, observation=obs).write.format("noop").mode("overwrite").save()
+    IN.bulk_analyze(rows, corpus, observation=obs).write.format("noop").mode("overwrite").save()
     assert obs.get == {"processed": 3, "failed": 1}

@@ -33,7 +33,7 @@ def test_retrieval_scores_in_arrow_tasks(spark):
 
 def test_stored_index_is_read_not_rebuilt(spark):
     p = _plan(spark, "retrieve_cosine")
-    assert "documents.parquet" not in p and "blocks" in p      # no chunking or hashing of the corpus
+    assert "documents.parquet" not in p and "index-knowledge" in p      # no chunking or hashing of the corpus
 
 
 def test_scans_read_only_needed_columns_and_push_filters(spark):

@@ -44,9 +44,9 @@ def test_confidence_and_payment_reference(spark):
 
 
 def test_response_safety(spark):
-    df = spark.createDataFrame([("Your refund is guaranteed and definitely approved.",), ("short",),
+    df = spark.createDataFrame([("It is certain: your refund is guaranteed by us today.",), ("short",),
                                 ("Card 4111111111111111 is on file and will be charged.",),
-                                ("We reviewed the account and will follow up tomorrow.",)], "content string")
+                                ("A colleague reads your case today and writes back.",)], "content string")
     rows = RS.check_response(df).collect()
     assert not rows[0].safe and "Draft makes a guarantee or refund promise that requires verification." in rows[0].issues
     assert "Policy-related language has no retrieved supporting evidence." in rows[0].issues

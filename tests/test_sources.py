@@ -11,7 +11,7 @@ from opsdesk.sources import csv_intake, documents
 def test_extract_documents_limits_and_types(spark):
     d = tempfile.mkdtemp(prefix="opsdesk-docs-", dir=os.environ.get("OPSDESK_SCRATCH", "/tmp"))
     with open(os.path.join(d, "guide.txt"), "w", encoding="utf-8") as f:
-        f.write("For product resets, generate a fresh single-use recovery link.")
+        f.write("Hold the round button for ten seconds, then pair the device again.")
     with open(os.path.join(d, "page.html"), "w", encoding="utf-8") as f:
         f.write("<html><script>x()</script><p>Hello &amp; welcome</p></html>")
     with open(os.path.join(d, "large.txt"), "wb") as f:
@@ -21,7 +21,7 @@ def test_extract_documents_limits_and_types(spark):
     with open(os.path.join(d, "image.png"), "wb") as f:
         f.write(b"\x89PNG")
     out = {r.filename: r for r in documents.extract_documents(documents.read_binary(spark, d)).collect()}
-    assert out["guide.txt"].text.startswith("For product resets") and out["guide.txt"].error is None
+    assert out["guide.txt"].text.startswith("Hold the round button") and out["guide.txt"].error is None
     assert out["page.html"].text == "Hello & welcome"
     assert out["large.txt"].warning == documents.ERR_SIZE and out["large.txt"].error is None
     assert len(out["large.txt"].text) == 10 * 1024 * 1024 + 1
