@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from opsdesk.session import ensure_checkpoint_dir, ship_package
 
 ARROW_BYTES = "8m"         # of a batch between the JVM and a worker
-PIECE_BYTES = 2 << 20      # text handled at once inside a task (a longer text is one piece)
+PIECE_BYTES = 1 << 20      # text handled at once inside a task (a longer text is one piece)
 
 
 def prepare(spark: SparkSession) -> None:
