@@ -174,3 +174,32 @@ def test_outbox_stream_equals_batch_outbox(spark, views):
     b = build_outbox(views.drafts, views.tickets, views.customers)
     cols = ["draft_id", "ticket_id", "channel", "status", "reject_reason"]
     assert rows_of(cols, s.select(*cols).collect()) == rows_of(cols, b.select(*cols).collect())
+
+
+def test_replayed_parts_are_many_files_and_one_batch_each(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i * 7 % 900), 1, "click", 1.0, None) for i in range(900)]
+    spark.createDataFrame(rows, EVENTS).write.parquet(str(tmp_path / "events.parquet"))
+    sink, seen = scratch_path(spark, f"test-replay-{uuid.uuid4().hex}"), []
+
+    def process(batch, batch_id):
+        seen.append(tuple(batch.withColumn("file", F.input_file_name()).agg(F.count_distinct("file"), F.count("*"), F.min("ts"), F.max("ts")).first()))
+    J.replayed(spark, str(tmp_path), file_rows=50).writeStream.foreachBatch(process) \
+        .option("checkpointLocation", sink).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(n for _, n, _, _ in seen) == 900
+    assert len({files for files, *_ in seen}) == 1 and seen[0][0] > 1
+    assert seen[0][3] < seen[1][2] and seen[1][3] < seen[2][2]
+
+
+def test_sla_clocks_share_state_and_a_timer_by_bucket(spark, monkeypatch):
+    """One bucket for all tickets: armed, disarmed, fired one after another, made again."""
+    monkeypatch.setattr(J, "CLOCK_BUCKETS", 1)
+    batches = [[_event(1, 1, 0, k=3), _event(2, 1, 1, k=3), _event(11, 1, 2, k=6)], [_event(3, 3, 0, k=6), _event(1, 3, 1, k=3)],
+               [_event(4, 20, 0, k=1)], [_event(5, 21, 0, k=1)]]
+    replies = spark.createDataFrame([(2, dt.datetime(2024, 1, 1, 2))], "ticket_id long, reply_at timestamp_ntz")
+    sink = J.sla_stream(spark, SF, replies, watermark="1 hour", events=_stream_of(spark, batches, EVENTS))
+    got = sorted((r.ticket_id, r.clock, r.due_at) for r in spark.read.parquet(sink).collect())
+    day = dt.datetime(2024, 1, 1)
+    assert [x for x in got if x[1] == "first_response"] == [
+        (1, "first_response", day + dt.timedelta(days=2, hours=2)), (3, "first_response", day + dt.timedelta(days=2, hours=1)),
+        (4, "first_response", day + dt.timedelta(days=19, hours=1)), (11, "first_response", day + dt.timedelta(hours=3))]
+    assert [x[:2] for x in got if x[1] == "resolution"] == [(3, "resolution"), (11, "resolution")]
