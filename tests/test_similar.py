@@ -1,5 +1,6 @@
 """SIM1 against a brute-force evaluation; SIM2 prefix filtering against brute force; SIM3."""
 
+import datetime as dt
 import hashlib
 import math
 
@@ -84,6 +85,26 @@ def test_rows_moved_grow_with_the_texts_not_with_their_pairs(spark):
     assert max(per_text) <= 2 * min(per_text)
 
 
+def test_every_duplicate_pair_equals_brute_force(spark, monkeypatch):
+    """All pairs of texts, also beyond the best ten of a text, over many blocks and slabs."""
+    monkeypatch.setattr(SIM, "TEXT_GROUP", 10)
+    words = [f"shared words of one family {i % 30} v{i % 4}" for i in range(90)] + [f"lonely{i}" for i in range(9)] + ["twice alone"] * 2
+    rows = [(i, None, w, "Open", dt.datetime(2024, 1, 1, i % 24)) for i, w in enumerate(words)]
+    tickets = spark.createDataFrame(rows, "id long, subject string, description string, status string, created_at timestamp_ntz")
+    held = {}
+    for i, w in enumerate(words):
+        held.setdefault(w, []).append(i)
+    want = set()
+    for x, xs in held.items():
+        for y, ys in held.items():
+            a, b = _vec(" " + x), _vec(" " + y)
+            cos = float(a @ b) / math.sqrt(float(a @ a) * float(b @ b))
+            if cos >= 0.72 and (min(xs) < min(ys) or (x == y and len(xs) > 1)):
+                want.add((min(xs), min(ys), math.floor(cos * 1000 + 0.5) / 1000, len(xs), len(ys)))
+    got = [tuple(r) for r in SIM.duplicate_pairs(tickets, slab_bytes=7 * 8 * 256).collect()]
+    assert set(got) == want and len(got) == len(want) > 200
+
+
 def test_near_duplicates_equals_brute_force(views):
     docs = views.table("documents")
     fast = {(r.doc_a, r.doc_b, r.inter, r.copies_a, r.copies_b) for r in SIM.near_duplicates(docs).collect()}
