@@ -18,6 +18,7 @@ from opsdesk.functions.time import as_timestamp
 from opsdesk.functions import lexicon as LX
 from opsdesk.functions.text import is_blank, py_strip
 from opsdesk.operators.resolve import response_issues
+from opsdesk.session import stored
 
 
 def recipient_for(channel: Column, email: Column, phone: Column) -> Column:
@@ -33,8 +34,21 @@ def idempotency_key(ticket_id: Column, channel: Column, recipient: Column, subje
 def stored_evidence(analyses: DataFrame) -> DataFrame:
     """(ticket_id, has_evidence) from the latest stored analysis of every ticket (ticket_id,
     result_json, created_at): a result that is no JSON, or has no evidence, counts as none."""
-    latest = analyses.groupBy("ticket_id").agg(F.max_by("result_json", F.struct("created_at", "result_json")).alias("j"))
-    return latest.select("ticket_id", F.get_json_object("j", "$.evidence[0]").isNotNull().alias("has_evidence"))
+    found = F.coalesce(F.get_json_object("result_json", "$.evidence[0]").isNotNull(), F.lit(False))
+    # only times and flags are shuffled; results themselves only where the latest ones of a ticket disagree
+    flags = analyses.select("ticket_id", "created_at", found.alias("has"))
+    latest = stored(flags.groupBy("ticket_id", "created_at").agg(F.max(F.col("has").cast("int")).alias("some"),
+                                                                F.min(F.col("has").cast("int")).alias("all"))
+                    .groupBy("ticket_id").agg(F.max(F.struct("created_at", "some", "all")).alias("m"))
+                    .select("ticket_id", (F.col("m.some") == 1).alias("has_evidence"), (F.col("m.some") != F.col("m.all")).alias("unsure")),
+                    "stored-evidence")
+    sure = latest.where("NOT unsure").select("ticket_id", "has_evidence")
+    unsure = latest.where("unsure").select(F.col("ticket_id").alias("id"))
+    if unsure.isEmpty():
+        return sure
+    tied = analyses.join(unsure, F.col("ticket_id").eqNullSafe(F.col("id")), "left_semi")
+    last = tied.groupBy("ticket_id").agg(F.max_by("result_json", F.struct("created_at", "result_json")).alias("j"))
+    return sure.unionByName(last.select("ticket_id", F.get_json_object("j", "$.evidence[0]").isNotNull().alias("has_evidence")))
 
 
 def build_outbox(drafts: DataFrame, tickets: DataFrame, customers: DataFrame,
