@@ -208,3 +208,22 @@ def test_best_keeps_the_best_with_ties():
         want = sorted((-s, i) for s, i in zip(scores[q], ids) if not np.isnan(s))[:7]
         at = best.kept[0] == q
         assert list(zip((-best.kept[1][at]).tolist(), best.kept[2][at].tolist())) == want
+
+
+def test_a_commit_writes_one_file_per_bucket_folder(spark):
+    from pathlib import Path
+    docs = spark.createDataFrame([doc(i, prose(i, 40)) for i in range(400)], DOC).repartition(8)
+    index = VectorIndex.create(spark, scratch_path(spark, f"test-index-{uuid.uuid4().hex}"))
+    index.add(docs, "2024-01-01 00:00:00")
+    folders = [[f for f in d.iterdir() if f.name.endswith(".parquet")] for d in Path(index.path, "chunks").glob("bucket=*")]
+    assert len(folders) > 100 and {len(files) for files in folders} == {1}
+    assert index.chunks().select("doc_id").distinct().count() == 400
+
+
+def test_tokens_travel_as_one_string(spark):
+    import pyarrow as pa
+    assert V.split_tokens(pa.array(["a b a", "", None, "x"])).to_pylist() == [["a", "b", "a"], None, None, ["x"]]
+    rows = spark.createDataFrame([("c", 0, 1, 0, "two words two"), ("c", 0, 2, 0, " ?! ")], "commit string, grp long, doc_id long, chunk_index int, content string")
+    packed = V.blocks_of(rows).first()
+    assert np.frombuffer(packed.norm2, np.int64).sum() in (5, 1, 9)       # no token, no entry
+    assert sorted(np.diff(np.frombuffer(packed.first, np.int32)).tolist())[0] == 0
