@@ -80,3 +80,20 @@ def test_unicode_white_space_collapses(spark):
     r = spark.createDataFrame([(raw, "　 ")], "t string, e string").select(
         normalize_ws("t").alias("n"), py_strip("t").alias("s"), is_blank("e").alias("b")).first()
     assert r.n == " ".join(raw.split()) and r.s == raw.strip() and r.b
+
+
+def test_hash_embed_parts_grow_with_the_text(spark):
+    docs = spark.createDataFrame([(i, "some words of a text " * 10) for i in range(50)], "doc_id long, text string")
+    rows = R.chunk_documents(docs)
+    parts = [R.by_volume(rows, ["doc_id", "chunk_index"], d, task_chars=1000).rdd.getNumPartitions() for d in (docs.limit(0), docs.limit(10), docs)]
+    assert parts == [1, 3, 11]
+
+
+def test_vector_statistics_stay_in_the_embedding_pass(spark):
+    from opsdesk.functions.embed import counted_embedder, counted_vectors, embed_column, vector_stats
+    texts = ["Refund the ₹999 charge the", "password reset link", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", vector_stats(embed_column(F.col("t"), counted_embedder)).alias("s"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.i: tuple(r.s) for r in df.collect()}
+    for i, v in enumerate(counted_vectors(texts)):
+        assert got[i] == (256, sum(x != 0 for x in v), sum(x * x for x in v), sum(j * x for j, x in enumerate(v)))
