@@ -140,3 +140,15 @@ def test_bulk_progress_via_observation(spark):
     obs = Observation("bulk")
     IN.bulk_analyze(rows, corpus, observation=obs).write.format("noop").mode("overwrite").save()
     assert obs.get == {"processed": 3, "failed": 1}
+
+
+def test_latest_evidence_without_shuffling_results(spark):
+    yes, no = '{"evidence": [{"content": "x"}]}', '{"evidence": []}'
+    rows = [(1, no, T0), (1, yes, T0 + dt.timedelta(hours=1)), (2, yes, T0), (2, no, T0 + dt.timedelta(hours=1)),
+            (3, yes, T0), (3, '{"evidence": [{"cont', T0 + dt.timedelta(hours=1)), (4, None, T0)]
+    schema = "ticket_id long, result_json string, created_at timestamp_ntz"
+    out = OB.stored_evidence(spark.createDataFrame(rows, schema))
+    assert "max_by(result_json" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.ticket_id: r.has_evidence for r in out.collect()} == {1: True, 2: False, 3: False, 4: False}
+    tied = OB.stored_evidence(spark.createDataFrame(rows + [(5, yes, T0), (5, no, T0), (6, no, T0), (6, "z", T0)], schema))
+    assert {r.ticket_id: r.has_evidence for r in tied.collect()} == {1: True, 2: False, 3: False, 4: False, 5: yes > no, 6: False}
