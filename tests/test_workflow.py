@@ -62,3 +62,26 @@ def test_enrichment_outputs_and_audit(spark):
     events = {(r.ticket_id, r.event_type) for r in out["audit"].collect()}
     assert ("paid-plan", LX.EV_ANALYSIS) in events and ("paid-plan", LX.EV_TOOL) in events
     assert ("twice", LX.EV_ESCALATION) in events
+
+
+def test_evidence_is_kept_per_text(spark):
+    tickets, customers, docs, sla = _fixture(spark)
+    twice = tickets.unionByName(tickets.withColumn("id", F.concat("id", F.lit("-again"))))
+    corpus = R.ChunkCorpus(R.chunk_documents(docs), R.chunk_documents(docs, keep=["filename", "document_type"]))
+    rows, evidence = WF.enrich_parts(twice, customers, corpus, sla, NOW)
+    assert "evidence" not in rows.columns and rows.count() == 12 and evidence.count() == 6
+    whole = {r.ticket_id: r for r in WF.with_evidence(rows, evidence).collect()}
+    assert all(whole[t].evidence == whole[f"{t}-again"].evidence and whole[t].similar_count >= 1 for t in ("paid-plan", "wish"))
+
+
+def test_tickets_of_one_id_are_ranked_together(spark):
+    from opsdesk.operators.similar import similar_tickets
+    rows = [(i // 2 if i < 4 else i, None, f"a reset link that expired {i % 2}", "Open", NOW) for i in range(24)]
+    out = similar_tickets(spark.createDataFrame(rows, "id long, subject string, description string, status string, created_at timestamp_ntz"))
+    assert "similar_counts" in out
+    ranks = {}
+    for r in out["similar"].collect():
+        assert r.ticket_id != r.matched_ticket_id
+        ranks.setdefault(r.ticket_id, []).append(r.rank)
+    assert all(sorted(x) == list(range(1, 9)) for x in ranks.values()) and len(ranks) == 22
+    assert {r.ticket_id: r.similar_count for r in out["similar_counts"].collect()} == {t: 8 for t in ranks}
