@@ -145,6 +145,46 @@ def test_near_duplicates_with_a_token_in_every_prefix(spark):
         assert sorted((r.doc_a, r.doc_b, r.copies_a, r.copies_b) for r in got.collect()) == want and want
 
 
+def test_near_duplicates_keep_their_candidates_in_the_task(spark):
+    """Many sets of a small vocabulary share prefix tokens: the pairs meet slab by slab, and neither they nor
+    the full sets pass a shuffle.  Any slab, part and number of ordered tokens gives every pair once."""
+    rng = np.random.default_rng(7)
+    base = [rng.choice(60, int(k), replace=False) for k in rng.integers(1, 30, 80)]
+    rows = []
+    for i in range(400):
+        words = set(base[i % 80].tolist())
+        words ^= set(rng.choice(60, int(rng.integers(0, 4)), replace=False).tolist())
+        rows.append((i, " ".join(f"w{w}" for w in words)))
+    rows += [(400, None), (401, " .,"), (None, "only here x y"), (402, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, t in rows:
+        if t and t.strip(" .,"):
+            sets.setdefault(frozenset(t.split()), []).append(i)
+    reps = sorted((min(ids), s, len(ids)) for s, ids in sets.items() if None not in ids)
+    want = sorted((a, b, len(sa & sb), len(sa | sb), ca, cb) for x, (a, sa, ca) in enumerate(reps) for b, sb, cb in reps[x + 1:]
+                  if len(sa & sb) / len(sa | sb) >= 0.72)
+    assert len(want) > 300
+    for slab_bytes, ordered, heavy in ((1 << 25, 1 << 20, 1 << 20), (20_000, 20, 50), (3_000_000, 0, 1000)):
+        got = SIM.near_duplicates(docs, slab_bytes=slab_bytes, ordered=ordered, heavy=heavy)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert sorted((r.doc_a, r.doc_b, r.inter, r.union_size, r.copies_a, r.copies_b) for r in got.collect()) == want
+
+
+def test_near_duplicates_without_words(spark):
+    """No documents, or none with words."""
+    for rows in ([], [(1, None), (2, "...")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert SIM.near_duplicates(docs).collect() == []
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """Rows of one id and text: a pair per row of the representatives, copies count all of them."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
+    assert [tuple(r) for r in SIM.near_duplicates(docs).collect()] == [(1, 2, 5, 6, 5 / 6, 2, 2)] * 2
+
+
 def test_exact_duplicates_groups(views):
     d = SIM.exact_duplicates(views.table("documents"))
     rows = d.collect()
