@@ -172,6 +172,42 @@ def test_near_duplicates_keep_their_candidates_in_the_task(spark):
         assert sorted((r.doc_a, r.doc_b, r.inter, r.union_size, r.copies_a, r.copies_b) for r in got.collect()) == want
 
 
+def test_near_duplicates_send_only_sets_with_a_partner_in_full(spark, monkeypatch):
+    """Prefixes and sketches of all sets meet first; the full sets of those without a partner are not sent to the tasks."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{w}" for w in rng.choice(900, 60, replace=False))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + f" own{i}") for i in range(3)]
+    sent, inverted = [], SIM._inverted
+
+    def seen(slab, t):
+        sent.append((slab.num_rows, "toks" in slab.column_names))
+        return inverted(slab, t)
+    monkeypatch.setattr(SIM, "_inverted", seen)
+    got = SIM.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_a, r.doc_b, r.inter, r.union_size) for r in got) == [(i, 1000 + i, 60, 61) for i in range(3)]
+    assert sum(n for n, full in sent if full) == 6 and sum(n for n, full in sent if not full) == 303
+
+
+def test_near_duplicates_of_sets_with_sketches_of_many_sizes(spark):
+    """Sets of 1 to 1,400 words, whose sketches have different numbers of bits, over several slabs: as brute force."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in (1, 2, 3, 5, 20, 100, 200, 250, 256, 300, 500, 520, 1000, 1020, 1030):
+        words = rng.choice(4000, k, replace=False)
+        for more in (0, k // 9, k // 4, k // 3):
+            new = rng.choice(4000, more, replace=False)
+            rows += [(len(rows), words), (len(rows) + 1, np.concatenate([words, new])), (len(rows) + 2, np.concatenate([words[more:], new]))]
+    sets = {}
+    for i, w in rows:
+        sets.setdefault(frozenset(w.tolist()), []).append(i)
+    reps = sorted((min(ids), s) for s, ids in sets.items() if s)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in w)) for i, w in rows], "doc_id long, text string")
+    for t, slab_bytes in ((0.72, 60_000), (0.4, 1 << 25)):
+        want = sorted((a, b, len(sa & sb), len(sa | sb)) for x, (a, sa) in enumerate(reps) for b, sb in reps[x + 1:] if len(sa & sb) / len(sa | sb) >= t)
+        got = SIM.near_duplicates(docs, threshold=t, slab_bytes=slab_bytes)
+        assert sorted((r.doc_a, r.doc_b, r.inter, r.union_size) for r in got.collect()) == want and len(want) > 50
+
+
 def test_near_duplicates_without_words(spark):
     """No documents, or none with words."""
     for rows in ([], [(1, None), (2, "...")]):
